@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .common import table
 from .packing import pack_documents
 from .secret_scan import secret_report
 from .simhash import simhash_near_duplicates
+from .substring_dedup import removal_report
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -24,9 +30,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_packing": op5_packing, "op6_simhash": op6_simhash, "op10_secrets": op10_secrets}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op5_packing, op6_simhash, op7_substrings, op10_secrets)}
 SQL: dict[str, str] = {}
