@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
 from .common import table
+from .hnsw_dedup import embedding_near_duplicates
 from .packing import pack_documents
 from .secret_scan import secret_report
 from .simhash import simhash_near_duplicates
@@ -22,6 +23,10 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
 
 
+def op4_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -38,5 +43,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op5_packing, op6_simhash, op7_substrings, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op4_embedding_dups, op5_packing, op6_simhash, op7_substrings, op10_secrets)}
 SQL: dict[str, str] = {}
