@@ -11,6 +11,7 @@ from .packing import pack_documents
 from .secret_scan import secret_report
 from .simhash import simhash_near_duplicates
 from .substring_dedup import removal_report
+from .toxicity import fit, score
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,9 +40,14 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op4_embedding_dups, op5_packing, op6_simhash, op7_substrings, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op4_embedding_dups, op5_packing, op6_simhash, op7_substrings, op8_toxicity, op10_secrets)}
 SQL: dict[str, str] = {}

@@ -257,10 +257,12 @@ def repeat_marks(keyed: DataFrame, text_col: str, window: int = 35, gram: int =
         raise ValueError("gram must lie between 1 and window")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     runs = stored(keyed.select("__k1", "__k2", text.alias("t")).mapInArrow(_runs(window, gram), RUN), "runs")
-    groups = runs.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", (F.col("c") > hot).alias("hot"))
+    # Written first: joined with plain exchanges on both sides, so that Spark can split a very frequent anchor.
+    groups = stored(runs.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", (F.col("c") > hot).alias("hot")), "anchors")
     needed = runs.join(groups, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "h", "hot")).alias("runs"))
     having = keyed.join(needed, (keyed["__k1"] == needed["k1"]) & (keyed["__k2"] == needed["k2"]))
-    parts = having.select("k1", "k2", text.alias("t"), "runs").mapInArrow(_parts(window), PART)
+    # All columns go in, though four are read: then this exchange of the documents is the one that the last join uses.
+    parts = having.select("k1", "k2", text.alias("t"), "runs", *[keyed[c] for c in keyed.columns]).mapInArrow(_parts(window), PART)
     marks = spread(parts, "key").sortWithinPartitions("key").mapInArrow(_repeats(window), MARK)
     return marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 
