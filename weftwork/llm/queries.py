@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import quality
 from .ann import nearest
 from .common import table
 from .hnsw_dedup import embedding_near_duplicates
+from .license_scan import license_scan
 from .packing import pack_documents
 from .secret_scan import secret_report
+from .sentence_pieces import encoding_report
 from .simhash import simhash_near_duplicates
 from .substring_dedup import removal_report
 from .toxicity import fit, score
@@ -24,6 +28,15 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source/lang/doc_id."""
+    return license_scan(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def op4_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -45,9 +58,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op4_embedding_dups, op5_packing, op6_simhash, op7_substrings, op8_toxicity, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_sentencepiece, op3_licenses, op4_embedding_dups, op5_packing, op6_simhash, op7_substrings, op8_toxicity, op9_quality, op10_secrets)}
 SQL: dict[str, str] = {}
