@@ -217,10 +217,10 @@ def _repeats(window: int):
         hit = np.flatnonzero(repeat)
         if not len(hit):
             return
-        # Positions in ``at`` are neighbours only within a row, since a row's last window - 1 words start no suffix.
-        first, number = _stretches(at[hit])
-        own = row[hit][np.searchsorted(at[hit], first)]
-        start = keep["start"].to_numpy().astype(np.int64)[own] + first - begin[own]
+        place = at[hit] + row[hit]  # a gap between rows: neighbours only within one
+        first, number = _stretches(place)
+        own = row[hit][np.searchsorted(place, first)]
+        start = keep["start"].to_numpy().astype(np.int64)[own] + first - own - begin[own]
         yield pa.RecordBatch.from_arrays([pa.array(keep["k1"].to_numpy()[own]), pa.array(keep["k2"].to_numpy()[own]), pa.array(start.astype(np.int32)), pa.array(number.astype(np.int32))], names=["k1", "k2", "start", "n"])
 
     def run(batches):
@@ -304,7 +304,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.select("__id", "__text", "marks").mapInArrow(_report(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _cleaned(window: int, at: int):
+def _cleaned(window: int, at: int, names: list[str]):
     def run(batches):
         for b in batches:
             texts = []
@@ -318,15 +318,16 @@ def _cleaned(window: int, at: int):
                 texts.append(text)
             columns = [b.column(i) for i in range(b.num_columns - 1)]
             columns[at] = pa.array(texts, b.column(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, **how) -> DataFrame:
     """``docs`` with its own columns; a text with repeats keeps its other stretches as they stand, one to a line."""
-    keyed = _keyed(docs, id_col, text_col)
-    marks = repeat_marks(keyed, text_col, window, **how)
+    plain = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])  # no name of theirs meets one of ours
+    keyed = _keyed(plain, f"__c{docs.columns.index(id_col)}", f"__c{docs.columns.index(text_col)}")
+    marks = repeat_marks(keyed, f"__c{docs.columns.index(text_col)}", window, **how)
     joined = keyed.join(marks, (keyed["__k1"] == marks["k1"]) & (keyed["__k2"] == marks["k2"]), "left")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
-    return joined.select(*[keyed[c] for c in docs.columns], "marks").mapInArrow(_cleaned(window, docs.columns.index(text_col)), schema)
+    return joined.select(*plain.columns, "marks").mapInArrow(_cleaned(window, docs.columns.index(text_col), docs.columns), schema)
