@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import oracle, quality
 from .ann import nearest
 from .common import table
 from .hnsw_dedup import embedding_near_duplicates
@@ -68,4 +68,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_neighbours, op2_sentencepiece, op3_licenses, op4_embedding_dups, op5_packing, op6_simhash, op7_substrings, op8_toxicity, op9_quality, op10_secrets)}
-SQL: dict[str, str] = {}
+SQL = oracle.SQL
