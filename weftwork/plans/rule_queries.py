@@ -17,7 +17,7 @@ R = Registry()
 
 RULES = (Rule("ends_tion", ("tion",), keep=True), Rule("german", ("und", "der "), keep=False, reason="german"), Rule("spanish", ("que",), keep=None, reason="short_conversation"), Rule("the_word", patterns=(r"\bthe\b",), unless=("edth",), keep=True))
 DEFAULT = Rule("unclear", keep=False, reason="unclear")
-_CASE = "case when contains(lower(text), 'tion') then 'ends_tion' when contains(lower(text), 'und') or contains(lower(text), 'der ') then 'german' when contains(lower(text), 'que') then 'spanish' when regexp_matches(lower(text), '\\bthe\\b') and not contains(lower(text), 'edth') then 'the_word' else 'unclear' end"
+_CASE = "case when contains(lower(text), 'tion') then 'ends_tion' when contains(lower(text), 'und') or contains(lower(text), 'der ') then 'german' when contains(lower(text), 'que') then 'spanish' when regexp_matches(lower(text), '(?:^|[^\\p{L}\\p{N}_])the(?:$|[^\\p{L}\\p{N}_])') and not contains(lower(text), 'edth') then 'the_word' else 'unclear' end"
 _CLASSED = f"select conv_id, turn, role, text, {_CASE} as category from conversations where role = 'user'"
 
 
@@ -25,7 +25,7 @@ def _classed(spark, d):
     return users(spark, d).select("conv_id", "turn", "role", "text").withColumn("category", first_match(F.lower("text"), RULES))
 
 
-ORDER = (F.col("conv_id"), F.col("turn"))
+ORDER = ("conv_id", "turn")
 
 
 @R.add(f"with c as ({_CLASSED}), k as (select *, case category when 'ends_tion' then true when 'german' then false when 'spanish' then turn > 1 when 'the_word' then true else false end as keep from c) select conv_id, turn, category, keep, case when keep then '' when category = 'german' then 'german' when category = 'spanish' then 'short_conversation' else 'unclear' end as reason from k")
@@ -39,7 +39,7 @@ def classify_counts(spark: SparkSession, d: str) -> DataFrame:
     return _classed(spark, d).groupBy("category").agg(F.count("*").alias("n"))
 
 
-_BUCKETS = "select conv_id, turn, unnest([case when contains(lower(text), 'tion') then 'ends_tion' end, case when contains(lower(text), 'und') or contains(lower(text), 'der ') then 'german' end, case when contains(lower(text), 'que') then 'spanish' end, case when regexp_matches(lower(text), '\\bthe\\b') and not contains(lower(text), 'edth') then 'the_word' end, 'all']) as bucket from conversations"
+_BUCKETS = "select conv_id, turn, unnest([case when contains(lower(text), 'tion') then 'ends_tion' end, case when contains(lower(text), 'und') or contains(lower(text), 'der ') then 'german' end, case when contains(lower(text), 'que') then 'spanish' end, case when regexp_matches(lower(text), '(?:^|[^\\p{L}\\p{N}_])the(?:$|[^\\p{L}\\p{N}_])') and not contains(lower(text), 'edth') then 'the_word' end, 'all']) as bucket from conversations"
 
 
 @R.add(f"select * from ({_BUCKETS}) where bucket is not null")

@@ -73,7 +73,7 @@ def word_count(spark: SparkSession, d: str) -> DataFrame:
     return conversations(spark, d).select("conv_id", "turn", X.word_count(X.norm_key(F.col("text")), ("the", "of", "and")).alias("n"))
 
 
-@R.add("select conv_id, turn, contains(lower(text), 'tion') or contains(lower(text), 'und') as phrase, regexp_matches(lower(text), '\\bthe\\b') or regexp_matches(lower(text), '\\bque\\b') as pattern from conversations")
+@R.add("select conv_id, turn, contains(lower(text), 'tion') or contains(lower(text), 'und') as phrase, regexp_matches(lower(text), '(?:^|[^\\p{L}\\p{N}_])the(?:$|[^\\p{L}\\p{N}_])') or regexp_matches(lower(text), '(?:^|[^\\p{L}\\p{N}_])que(?:$|[^\\p{L}\\p{N}_])') as pattern from conversations")
 def contains_any(spark: SparkSession, d: str) -> DataFrame:
     low = F.lower("text")
     return conversations(spark, d).select("conv_id", "turn", X.contains_any(low, ("tion", "und")).alias("phrase"), (low.rlike(r"\bthe\b") | low.rlike(r"\bque\b")).alias("pattern"))
