@@ -2,9 +2,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests import oracle
-from weftwork.plans import ground_queries, rule_queries, text_queries
+from weftwork.plans import ground_queries, jobs, rule_queries, text_queries
 
-PARTS = (text_queries.R, rule_queries.R, ground_queries.R)
+PARTS = (text_queries.R, rule_queries.R, ground_queries.R, jobs.R)
 NAMES = [n for p in PARTS for n in p.queries]
 
 
