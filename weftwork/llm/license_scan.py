@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: (licence, statement): short public notices, one licence may have several.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -89,6 +91,7 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.when(k > 0, F.array_join(F.slice(parts, F.lit(1), k), "/")).otherwise(F.lit("")).alias("up")))).alias("a"))
     above = above.select("dir", "a.depth", F.col("a.up").alias("up")).filter("depth = 0 or up <> ''")
     heir = above.join(held.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct("depth", F.struct("f.license", "f.path"))).alias("h")).select("dir", F.col("h.col2").alias("h"))
+    heir = stored(heir, "heirs")  # its size is then known: broadcast when small, else a join whose hot directory Spark can split
     out = rows.select("doc_id", "path", folder.alias("dir"), speaks.alias("speaks"))
     spoken = out.filter("speaks").join(own.select(F.col("doc_id").alias("i"), F.col("path").alias("p"), "o"), F.col("doc_id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")), "left").select("doc_id", "path", "dir", "o")
     silent = out.filter("not speaks").select("doc_id", "path", "dir", F.lit(None).cast(spoken.schema["o"].dataType).alias("o"))
