@@ -32,11 +32,17 @@ _FROM, _TO, _SEVERAL = _fold_table()
 
 def fold(c: Column) -> Column:
     """Lower case without accents: letters up to U+024F by table, combining marks dropped, one-to-many letters spelled out."""
-    c = F.lower(c)
-    for ch, plain in _SEVERAL:
+    plain = F.lower(c)
+    full = plain
+    for ch, spelled in _SEVERAL:
         if ch.lower() == ch:
-            c = F.replace(c, F.lit(ch), F.lit(plain))
-    return F.translate(c, _FROM, _TO)
+            full = F.replace(full, F.lit(ch), F.lit(spelled))
+    return F.when(c.rlike(r"^[\x00-\x7F]*$"), plain).otherwise(F.translate(full, _FROM, _TO))
+
+
+def once(c: Column, f) -> Column:
+    """f(c) with c computed once a row, however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
 
 
 def repair_mojibake(c: Column) -> Column:
@@ -106,11 +112,11 @@ def norm_label(c: Column) -> Column:
 
 def missing_terms(c: Column, terms: Column) -> Column:
     """The terms that the folded text lacks."""
-    return F.filter(terms, lambda t: ~fold(c).contains(fold(t)))
+    return once(fold(c), lambda x: F.filter(terms, lambda t: ~x.contains(fold(t))))
 
 
 def present_terms(c: Column, terms: Column) -> Column:
-    return F.filter(terms, lambda t: fold(c).contains(fold(t)))
+    return once(fold(c), lambda x: F.filter(terms, lambda t: x.contains(fold(t))))
 
 
 def clean_output(c: Column, prefixes: Sequence[str] = ()) -> Column:

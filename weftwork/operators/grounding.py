@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions import presets
-from weftwork.functions.text import contains_any, fold, ordered_distinct
+from weftwork.functions.text import contains_any, fold, once, ordered_distinct
 from weftwork.operators.rules import Rule, first_match
 
 #: Surfaces beyond this many are not broadcast: mentions then meet by the words of the surface.
@@ -63,7 +63,10 @@ def require_member(df: DataFrame, dim: DataFrame, col: str, dim_col: str, member
 
 def extract_quantity(text: Column, surface: Column) -> Column:
     """A number (digits or a word) next to the surface: before it, after it with a unit, right after it, anywhere with a unit; else 1."""
-    t, s = fold(text), F.concat(F.lit(r"\Q"), fold(surface), F.lit(r"\E"))
+    return once(F.struct(fold(text).alias("t"), F.concat(F.lit(r"\Q"), fold(surface), F.lit(r"\E")).alias("s")), lambda x: _quantity(x["t"], x["s"]))
+
+
+def _quantity(t: Column, s: Column) -> Column:
     number, unit = r"(\d+|bir|iki|uc|dort|bes)", r"\s*(?:x|adet|tane)"
     patterns = [F.concat(F.lit(number + unit + r"?\s*"), s), F.concat(s, F.lit(r".*?" + number + unit)), F.concat(s, F.lit(r"\s*" + number)), F.lit(number + unit)]
     found = F.coalesce(*[F.nullif(F.call_function("regexp_extract", t, p, F.lit(1)), F.lit("")) for p in patterns])
@@ -73,7 +76,10 @@ def extract_quantity(text: Column, surface: Column) -> Column:
 
 def reply_intent(text: Column, has_item: Column) -> Column:
     """The reply cascade: intents without a mention first, then add, update, price, ingredients, detail; else fallback."""
-    t = fold(F.trim(text))
+    return once(fold(F.trim(text)), lambda t: _reply_intent(t, has_item))
+
+
+def _reply_intent(t: Column, has_item: Column) -> Column:
     add = (has_item & t.contains("daha")) | (has_item & t.rlike(presets.NUMBER)) | t.rlike(presets.ADD_WORDS)
     later = [
         (add, "add_order"),
@@ -91,7 +97,10 @@ def reply_intent(text: Column, has_item: Column) -> Column:
 
 def grounded_intent(text: Column, has_item: Column, unavailable: Column) -> Column:
     """The grounding cascade: allergy before confirm, unavailable before add."""
-    t = fold(F.trim(text))
+    return once(fold(F.trim(text)), lambda t: _grounded_intent(t, has_item, unavailable))
+
+
+def _grounded_intent(t: Column, has_item: Column, unavailable: Column) -> Column:
     of = {r.label: r for r in presets.REPLY_BEFORE_MENTION}
     steps = [(of[k].test(t), k) for k in ("allergy", "confirm_order", "clear_order", "remove_order")]
     steps += [(F.size(unavailable) > 0, "unavailable_item"), ((has_item & t.rlike(presets.NUMBER)) | t.rlike(presets.ADD_WORDS), "add_order"), (has_item & contains_any(t, presets.PRICE_ASKS), "ask_price"), (has_item, "menu_detail")]
@@ -104,7 +113,10 @@ def grounded_intent(text: Column, has_item: Column, unavailable: Column) -> Colu
 
 def eval_intent(text: Column, has_item: Column) -> Column:
     """The evaluation cascade: thanks, hours and update before add."""
-    t = fold(F.trim(text))
+    return once(fold(F.trim(text)), lambda t: _eval_intent(t, has_item))
+
+
+def _eval_intent(t: Column, has_item: Column) -> Column:
     order = ("greeting", "thanks", "ask_hours", "allergy", "recommendation", "ask_categories", "confirm_order", "summary", "clear_order", "remove_order")
     of = {r.label: r for r in presets.REPLY_BEFORE_MENTION}
     steps = [(of[k].test(t), k) for k in order]
