@@ -57,6 +57,7 @@ def replaced(c: Column, steps: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda acc, s: F.regexp_replace(acc, s[0], s[1]), steps, c)
 
 
+# The signs, fillers, openers and spellings that keys must agree on.
 _CLEAN = r"[^a-z0-9\s]"
 _ORDER_WORDS = ((r"\btake out\b", "takeout"), (r"\bpick up\b", "pickup"))
 _PEOPLE = (r"\bfor\s+(?:one|two|three|\d+)\s+(?:person|people)\b", " for qty people ")

@@ -50,7 +50,7 @@ def job_preview(spark: SparkSession, d: str) -> DataFrame:
     return G.review(marked, [(F.col("dup"), "duplicate"), (F.col("ok"), "approved")], "bad_match", ("approved",)).select("doc_id", "status")
 
 
-@R.add("with v as (select conv_id, turn, text from conversations where role = 'user' and trim(text) <> ''), s as (select conv_id, turn, text, row_number() over (order by md5(concat('7:', cast(conv_id * 1000 + turn as varchar))), conv_id * 1000 + turn) as n, count(*) over () as total from v) select case when n <= ceil(0.85 * total) then 'train' else 'valid' end as split, count(*) as records, sum(length(text)) as chars from s group by 1")
+@R.add("with v as (select conv_id, turn, text from conversations where role = 'user' and trim(text) <> ''), s as (select conv_id, turn, text, row_number() over (order by md5(concat('7:', cast(conv_id * 1000 + turn as varchar))), conv_id * 1000 + turn) as n, count(*) over () as total from v) select case when n <= ceil(0.85 * total) then 'train' else 'valid' end as split, count(*) as records, cast(sum(length(text)) as bigint) as chars from s group by 1")
 def job_sft(spark: SparkSession, d: str) -> DataFrame:
     """Validated turns to chat records, split by seeded hash order."""
     turns = conversations(spark, d).filter("role = 'user'").withColumn("errors", G.all_errors([(F.trim("text") == "", "empty")])).filter(F.size("errors") == 0)

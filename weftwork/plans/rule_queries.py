@@ -81,7 +81,7 @@ def noise_filter(spark: SparkSession, d: str) -> DataFrame:
     return conversations(spark, d).filter(~X.contains_any(X.norm_key(F.col("text")), ("und", "que"))).select("conv_id", "turn")
 
 
-_PARSE = "select conv_id, turn, case when contains(lower(text), 'tion') then 'add_item' when contains(lower(text), 'und') then 'ask_price' else 'unknown' end as intent, case when contains(lower(text), 'tion') then 0.9 when contains(lower(text), 'und') then 0.7 else 0.3 end as confidence, coalesce(try_cast(nullif(regexp_extract(text, '[0-9]+'), '') as bigint), 1) as quantity from conversations"
+_PARSE = "select conv_id, turn, case when contains(lower(text), 'tion') then 'add_item' when contains(lower(text), 'und') then 'ask_price' else 'unknown' end as intent, cast(case when contains(lower(text), 'tion') then 0.9 when contains(lower(text), 'und') then 0.7 else 0.3 end as double) as confidence, coalesce(try_cast(nullif(regexp_extract(text, '[0-9]+'), '') as bigint), 1) as quantity from conversations"
 
 
 def _parsed(spark, d):

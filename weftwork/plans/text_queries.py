@@ -153,7 +153,7 @@ def extract_user_turns(spark: SparkSession, d: str) -> DataFrame:
     return io.extract_turns(_dialogues(spark, d))
 
 
-@R.add("select cast(conv_id as varchar) as id, count(*) as turns, sum(length(text)) as chars from conversations group by conv_id")
+@R.add("select cast(conv_id as varchar) as id, count(*) as turns, cast(sum(length(text)) as bigint) as chars from conversations group by conv_id")
 def dialogue_scan(spark: SparkSession, d: str) -> DataFrame:
     """Dialogues as JSON texts, read back with the nested schema."""
     texts = _dialogues(spark, d).select(F.to_json(F.struct("*")).alias("j"))
@@ -183,7 +183,7 @@ def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @R.add("select source_domain, count(*) as n, min(length(text)) as least from (select 'conversations' as source_domain, text from conversations union all select 'documents', text from documents) group by 1")
 def union_sources(spark: SparkSession, d: str) -> DataFrame:
     both = io.tag_and_union({"conversations": conversations(spark, d).select("text"), "documents": table(spark, d, "documents").select("text")})
-    return both.groupBy("source_domain").agg(F.count("*").alias("n"), F.min(F.length("text")).alias("least"))
+    return both.groupBy("source_domain").agg(F.count("*").alias("n"), F.min(F.length("text")).cast("bigint").alias("least"))
 
 
 @R.add("select p_name as name, min(p_type) as category, coalesce(min(p_retailprice), 0.0) as price, true as availability from part group by p_name")
