@@ -7,12 +7,18 @@ next stage's documents. All stages but the last return the columns of ``document
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftwork.llm import near_copies, packing, secret_scan, substring_dedup, toxicity
 from weftwork.llm.common import stored, table
 from weftwork.llm.queries import tokenizer_path
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` follows a changed text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the labelled examples' votes call toxic go."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -25,12 +31,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that lie in a repeated window of 35 words go; the document stays with the rest."""
-    return substring_dedup.without_repeats(docs)
+    return counted(substring_dedup.without_repeats(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; all documents stay."""
-    return secret_scan.redacted(docs)
+    return counted(secret_scan.redacted(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,10 +3,10 @@
 A similarity of 0.8 (Jaccard, five-word shingles) differs in about 15 of 100 SimHash bits, far beyond two bits of 64.
 So the fingerprint is wider here (``WIDTH`` bits, from one hash per shingle mixed into several words), and pairs meet
 by many keys instead of by a guarantee: each of ``tables`` keys joins a codeword near 23 sampled bits (one to six
-keys, as in :mod:`simhash`) with some more bits exactly. Pairs that meet are checked on 128 bits at once and then on
-the whole fingerprint. A pair of similarity 0.8 is found with a chance of about 0.95 by itself, 0.9 with 0.99 and more.
+keys, as in :mod:`simhash`) with some more bits exactly. Pairs that meet are verified on the whole fingerprint, which
+travels with the key. A pair of similarity 0.8 meets with a chance of about 0.95, one of 0.9 with 0.99 and more.
 
-Equal fingerprints are one node. Large groups behind one key are linked in their task as a spanning forest.
+Equal fingerprints are one node. Links of a large group behind one key leave their task as a spanning forest.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from .common import WORD_BYTES, spread, stored
 from .components import connected_components, local_components
 from .simhash import SEED, codewords
 
-LANES = 6
+LANES = 4
 WIDTH = 64 * LANES
 EXACT_BITS = 8
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], np.uint64)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 NAMES = ["id", *[f"w{k}" for k in range(LANES)]]
 
 
@@ -81,64 +81,54 @@ def _keys(tables: int):
                     exact = bits[:, places[23:]] @ (1 << np.arange(EXACT_BITS))
                     rows, code = codewords(word)
                     key = (t << 40) | (exact[rows] << 12) | code
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(b.column(k).to_numpy()[rows]) for k in (0, 1, 2)]], names=["key", "id", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(b.column(k).to_numpy()[rows]) for k in range(1 + LANES)]], names=["key", *NAMES])
 
     return run
 
 
-def _meet(limit: int, group: int = 64):
-    """Pairs of ids with one key and at most ``limit`` of 128 bits apart. Rows come sorted by key."""
+def _meet(limit: int, group: int = 8):
+    """Edges between ids with one key and at most ``limit`` differing bits. Rows come sorted by key."""
 
-    def near(a, b, i, j):
-        return np.bitwise_count(a[i] ^ a[j]) + np.bitwise_count(b[i] ^ b[j]) <= limit
-
-    def forest(ids, a, b):
-        n, block, label = len(ids), 2048, np.arange(len(ids))
+    def forest(ids, wide):
+        n, block, label = len(ids), 1024, np.arange(len(ids))
         for i in range(0, n, block):
             for j in range(i, n, block):
-                x = np.bitwise_count(a[i : i + block, None] ^ a[None, j : j + block]) + np.bitwise_count(b[i : i + block, None] ^ b[None, j : j + block])
-                p, q = np.nonzero(x <= limit)
+                apart = sum(np.bitwise_count(wide[i : i + block, None, k] ^ wide[None, j : j + block, k]).astype(np.uint16) for k in range(LANES))
+                p, q = np.nonzero(apart <= limit)
                 p, q = p + i, q + j
                 keep = label[p] != label[q]
                 label = label[local_components(label[p[keep]], label[q[keep]], n)]
         child = np.flatnonzero(label != np.arange(n))
         return ids[child], ids[label[child]]
 
-    def ready(key, ids, a, b):
-        cut = np.flatnonzero(np.diff(key)) + 1
-        start = np.r_[0, cut]
+    def ready(key, ids, wide):
+        start = np.r_[0, np.flatnonzero(np.diff(key)) + 1]
         size = np.diff(np.r_[start, len(key)])
-        of = np.repeat(size, size)
-        out = []
-        lag = 1
-        rows = np.flatnonzero((of > 1) & (of <= group))
+        of, out = np.repeat(size, size), [(ids[:0], ids[:0])]
+        rows, lag = np.flatnonzero((of > 1) & (of <= group)), 1
         while len(rows):
             rows = rows[rows + lag < len(key)]
-            rows = rows[key[rows] == key[np.minimum(rows + lag, len(key) - 1)]]
-            hit = rows[near(a, b, rows, rows + lag)]
+            rows = rows[key[rows] == key[rows + lag]]
+            hit = rows[np.bitwise_count(wide[rows] ^ wide[rows + lag]).sum(1, dtype=np.int64) <= limit]
             out.append((ids[hit], ids[hit + lag]))
             lag += 1
-        for s, n in zip(start[size > group], size[size > group], strict=True):
-            out.append(forest(ids[s : s + n], a[s : s + n], b[s : s + n]))
-        x = np.concatenate([np.minimum(p, q) for p, q in out]) if out else np.zeros(0, np.int64)
-        y = np.concatenate([np.maximum(p, q) for p, q in out]) if out else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+        out += [forest(ids[s : s + n], wide[s : s + n]) for s, n in zip(start[size > group], size[size > group], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([y for _, y in out]))], names=["src", "dst"])
 
     def run(batches):
         wait: list[tuple] = []
         for r in batches:
             if not r.num_rows:
                 continue
-            key, ids, a, b = (r.column(k).to_numpy() for k in range(4))
-            part = (key, ids, a.view(np.uint64), b.view(np.uint64))
-            if wait and key[-1] == wait[-1][0][-1]:
+            part = (r.column(0).to_numpy(), r.column(1).to_numpy(), np.stack([r.column(2 + k).to_numpy() for k in range(LANES)], 1).view(np.uint64))
+            if wait and part[0][-1] == wait[-1][0][-1]:
                 wait.append(part)
                 continue
-            key, ids, a, b = (np.concatenate(c) for c in zip(*wait, part, strict=True))
+            key, ids, wide = (np.concatenate(c) for c in zip(*wait, part, strict=True))
             last = np.searchsorted(key, key[-1])
             if last:
-                yield ready(key[:last], ids[:last], a[:last], b[:last])
-            wait = [(key[last:], ids[last:], a[last:], b[last:])]
+                yield ready(key[:last], ids[:last], wide[:last])
+            wait = [(key[last:], ids[last:], wide[last:])]
         if wait:
             yield ready(*(np.concatenate(c) for c in zip(*wait, strict=True)))
 
@@ -152,18 +142,14 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     share of differing bits is at most that of the similarity's angle plus one standard deviation.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bound = lambda bits: int(bits * share + (share * (1 - share) * bits) ** 0.5)
-    rough = int(128 * share + 2.5 * (share * (1 - share) * 128) ** 0.5)
+    limit = int(WIDTH * share + (share * (1 - share) * WIDTH) ** 0.5)
     lanes = NAMES[1:]
+    long = lambda *names: ", ".join(f"{n} long" for n in names)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id is not null")
-    prints = stored(rows.mapInArrow(_prints(words), "id long, " + ", ".join(f"{n} long" for n in lanes)), "wide")
+    prints = stored(rows.mapInArrow(_prints(words), long(*NAMES)), "wide")
     nodes = stored(prints.groupBy(*lanes).agg(F.min("id").alias("id")).select(*NAMES), "nodes")
-    keys = nodes.mapInArrow(_keys(tables), "key long, id long, a long, b long")
-    met = stored(spread(keys, "key").sortWithinPartitions("key").mapInArrow(_meet(rough), "x long, y long").distinct(), "met")
-    side = lambda c: nodes.select(F.col("id").alias(c), *[F.col(n).alias(f"{c}{n}") for n in lanes])
-    apart = sum((F.bit_count(F.col(f"x{n}").bitwiseXOR(F.col(f"y{n}"))) for n in lanes), F.lit(0))
-    links = met.join(side("x"), "x").join(side("y"), "y").filter(apart <= bound(WIDTH)).select(F.col("x").alias("src"), F.col("y").alias("dst"))
-    top = connected_components(links)
+    keys = spread(nodes.mapInArrow(_keys(tables), long("key", *NAMES)), "key").sortWithinPartitions("key")
+    top = connected_components(keys.mapInArrow(_meet(limit), long("src", "dst")))
     placed = nodes.join(top, nodes["id"] == top["node"], "left").select(*lanes, F.coalesce("component", "id").alias("component_id"))
     return prints.join(placed, lanes).select(F.col("id").alias("doc_id"), "component_id")
 
