@@ -54,7 +54,7 @@ def job_preview(spark: SparkSession, d: str) -> DataFrame:
 def job_sft(spark: SparkSession, d: str) -> DataFrame:
     """Validated turns to chat records, split by seeded hash order."""
     turns = conversations(spark, d).filter("role = 'user'").withColumn("errors", G.all_errors([(F.trim("text") == "", "empty")])).filter(F.size("errors") == 0)
-    records = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), sft.chat_record("You are a waiter.", F.col("text"), F.lit("")).alias("messages"))
+    records = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), sft.chat_record("You take orders.", F.col("text"), F.lit("")).alias("messages"))
     split = S.split_ratio(records, F.col("id"), 7)
     return split.groupBy("split").agg(F.count("*").alias("records"), F.sum(F.length(F.col("messages")[1]["content"])).alias("chars"))
 

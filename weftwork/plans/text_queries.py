@@ -226,7 +226,7 @@ def chat_records(spark: SparkSession, d: str) -> DataFrame:
 
     w = Window.partitionBy("conv_id").orderBy("turn")
     pairs = conversations(spark, d).withColumn("reply", F.lead("text").over(w)).withColumn("next", F.lead("role").over(w)).filter("role = 'user' and next = 'assistant'")
-    rec = pairs.withColumn("m", sft.chat_record("You are a waiter.", F.col("text"), F.col("reply")))
+    rec = pairs.withColumn("m", sft.chat_record("You take orders.", F.col("text"), F.col("reply")))
     return rec.select("conv_id", "turn", F.col("m")[1]["content"].alias("user_text"), F.col("m")[2]["content"].alias("reply"), F.size("m").alias("n"), F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"))
 
 
