@@ -43,9 +43,12 @@ def rank_of(c: Column, preferred: Sequence[str]) -> Column:
 
 def quota_sample(df: DataFrame, group: Column, limits: Mapping[str, int], order: Sequence[Column]) -> DataFrame:
     """At most ``limits[g]`` first rows of each listed group, with the group's place in the list."""
+    if not limits:
+        return df.limit(0).withColumn("limit_rank", F.lit(0))
     cap = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
-    picked = df.filter(group.isin(*limits)).withColumn("__n", _nth([group], order)).withColumn("__cap", F.try_element_at(cap, group))
-    return picked.filter("__n <= __cap").withColumn("limit_rank", rank_of(group, list(limits))).drop("__n", "__cap")
+    picked = df.filter(group.isin(*limits)).withColumn("__n", _nth([group], order)).filter(F.col("__n") <= max(limits.values()))
+    # The constant bound lets each map task drop what no group can take; the own cap follows.
+    return picked.withColumn("__cap", F.try_element_at(cap, group)).filter("__n <= __cap").withColumn("limit_rank", rank_of(group, list(limits))).drop("__n", "__cap")
 
 
 def priority_topk(df: DataFrame, domain: Column, ranks: Sequence[Column], k: Mapping[str, int]) -> DataFrame:
