@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -53,5 +54,20 @@ def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def released(run):
+    """``run`` for mapInArrow, after which the Python worker, which Spark keeps for later tasks, gives its memory back."""
+
+    def whole(batches):
+        yield from run(batches)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(parallelism(df.sparkSession), *[F.col(c) for c in cols])

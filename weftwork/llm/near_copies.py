@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, spread, stored
+from .common import WORD_BYTES, released, spread, stored
 from .components import connected_components, local_components
 from .simhash import SEED, codewords
 
@@ -146,10 +146,10 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lanes = NAMES[1:]
     long = lambda *names: ", ".join(f"{n} long" for n in names)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id is not null")
-    prints = stored(rows.mapInArrow(_prints(words), long(*NAMES)), "wide")
+    prints = stored(rows.mapInArrow(released(_prints(words)), long(*NAMES)), "wide")
     nodes = stored(prints.groupBy(*lanes).agg(F.min("id").alias("id")).select(*NAMES), "nodes")
-    keys = spread(nodes.mapInArrow(_keys(tables), long("key", *NAMES)), "key").sortWithinPartitions("key")
-    top = connected_components(keys.mapInArrow(_meet(limit), long("src", "dst")))
+    keys = spread(nodes.mapInArrow(released(_keys(tables)), long("key", *NAMES)), "key").sortWithinPartitions("key")
+    top = connected_components(keys.mapInArrow(released(_meet(limit)), long("src", "dst")))
     placed = nodes.join(top, nodes["id"] == top["node"], "left").select(*lanes, F.coalesce("component", "id").alias("component_id"))
     return prints.join(placed, lanes).select(F.col("id").alias("doc_id"), "component_id")
 

@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
 
 
@@ -40,7 +42,7 @@ class Chunks:
     without runs of spaces is the sum of its chunks. Other texts are encoded whole. The cache is emptied when full.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 250_000) -> None:
         import json
 
         import tiktoken
@@ -195,6 +197,7 @@ def _placed(limits: Limits, tokenizer: str, end_id: int):
             yield flush()
         place(packer.fill(0))
         yield flush()
+        encoder.known.clear()
 
     return run
 
@@ -206,7 +209,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     loss-bearing. ``padded_to`` is the sequence's length with padding. Repeated rows are packed as often as they
     occur; a null id stays null; an empty table gives no rows; columns besides id and text are not read.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_placed(limits, tokenizer, end_id), PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(_placed(limits, tokenizer, end_id)), PIECES)
 
 
 def _packed_examples(limits: Limits):

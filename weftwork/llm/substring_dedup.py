@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, spread, stored
+from .common import WORD_BYTES, released, spread, stored
 
 RUN = "h long, k1 long, k2 long, start int, n int"
 PART = "key long, k1 long, k2 long, start int, n int, words binary, known boolean"
@@ -106,7 +106,7 @@ def _runs(window: int, gram: int):
                     hashes.append(h[at : at + size])
                     heads.append((k1, k2, at, size, suffixes))
                     total += size
-                    if total > 1 << 20:
+                    if total > 1 << 19:
                         yield flush(hashes, heads)
                         hashes, heads, total = [], [], 0
         if hashes:
@@ -163,7 +163,7 @@ def _parts(window: int, most: int = 1 << 17):
                             seen[content] = [k1, k2, p, False]
                 for s, n in zip(*_stretches(np.unique(np.array(again, np.int64))), strict=True):
                     rows.append((int(np.uint64(xxhash.xxh64_intdigest(b"%d %d %d" % (k1, k2, s))).view(np.int64)), k1, k2, int(s), int(n), None, True))
-                if size > 8_000_000 or len(rows) > 50_000:
+                if size > 4_000_000 or len(rows) > 20_000:
                     yield batch(rows)
                     rows, size = [], 0
                 if len(seen) > most:
@@ -232,7 +232,7 @@ def _repeats(window: int):
             tail = b.column(0)[b.num_rows - 1].as_py()
             wait.append(b)
             size += b.nbytes
-            if size > 12_000_000 and tail != last:
+            if size > 6_000_000 and tail != last:
                 whole = pa.Table.from_batches(wait)
                 cut = int(np.searchsorted(whole["key"].to_numpy(), tail))
                 if cut:
@@ -256,14 +256,14 @@ def repeat_marks(keyed: DataFrame, text_col: str, window: int = 35, gram: int =
     if not 1 <= gram <= window:
         raise ValueError("gram must lie between 1 and window")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    runs = stored(keyed.select("__k1", "__k2", text.alias("t")).mapInArrow(_runs(window, gram), RUN), "runs")
+    runs = stored(keyed.select("__k1", "__k2", text.alias("t")).mapInArrow(released(_runs(window, gram)), RUN), "runs")
     # Written first: joined with plain exchanges on both sides, so that Spark can split a very frequent anchor.
     groups = stored(runs.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", (F.col("c") > hot).alias("hot")), "anchors")
     needed = runs.join(groups, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "h", "hot")).alias("runs"))
     having = keyed.join(needed, (keyed["__k1"] == needed["k1"]) & (keyed["__k2"] == needed["k2"]))
     # All columns go in, though four are read: then this exchange of the documents is the one that the last join uses.
-    parts = having.select("k1", "k2", text.alias("t"), "runs", *[keyed[c] for c in keyed.columns]).mapInArrow(_parts(window), PART)
-    marks = spread(parts, "key").sortWithinPartitions("key").mapInArrow(_repeats(window), MARK)
+    parts = having.select("k1", "k2", text.alias("t"), "runs", *[keyed[c] for c in keyed.columns]).mapInArrow(released(_parts(window)), PART)
+    marks = spread(parts, "key").sortWithinPartitions("key").mapInArrow(released(_repeats(window)), MARK)
     return marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 
 
@@ -301,7 +301,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = _keyed(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
     marks = repeat_marks(keyed, "__text", window, **how)
     joined = keyed.join(marks, (keyed["__k1"] == marks["k1"]) & (keyed["__k2"] == marks["k2"]), "left")
-    return joined.select("__id", "__text", "marks").mapInArrow(_report(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.select("__id", "__text", "marks").mapInArrow(released(_report(window)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _cleaned(window: int, at: int, names: list[str]):
@@ -330,4 +330,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = repeat_marks(keyed, f"__c{docs.columns.index(text_col)}", window, **how)
     joined = keyed.join(marks, (keyed["__k1"] == marks["k1"]) & (keyed["__k2"] == marks["k2"]), "left")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
-    return joined.select(*plain.columns, "marks").mapInArrow(_cleaned(window, docs.columns.index(text_col), docs.columns), schema)
+    return joined.select(*plain.columns, "marks").mapInArrow(released(_cleaned(window, docs.columns.index(text_col), docs.columns)), schema)

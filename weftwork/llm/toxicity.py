@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import released
+
 BLOCK = 64
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MARKS = re.compile(rb"\xe2[\x80\x81].|\xc2[\x80-\xbf]", re.S)
@@ -137,7 +139,7 @@ def _counts(batches):
             rows.update(found)
             if label:
                 toxic.update(found)
-            if len(rows) > 300_000:
+            if len(rows) > 150_000:
                 yield part()
                 rows, toxic = Counter(), Counter()
     yield part()
@@ -163,13 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = text.join(F.broadcast(lab), "__id")  # at most ``labelled`` pairs of numbers
     total = known.agg(F.count("*").alias("n"), F.sum("__y").alias("n1")).first()
     n, n1 = total["n"] or 0, total["n1"] or 0
-    count = known.select("__t", "__y").mapInArrow(_counts, "term binary, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).filter(F.col("n") >= least_rows)
+    count = known.select("__t", "__y").mapInArrow(released(_counts), "term binary, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).filter(F.col("n") >= least_rows)
     share = F.lit(n1 / n if n else 0.0)
     telling = (F.col("n1") - F.col("n") * share) ** 2 / F.col("n")
     vocabulary = {bytes(r.term): i for i, r in enumerate(count.orderBy(telling.desc(), "term").limit(terms).collect())}
-    df = {r.term: r.n for r in text.select("__t").mapInArrow(_frequencies(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    df = {r.term: r.n for r in text.select("__t").mapInArrow(released(_frequencies(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    sampled = known.select("__id", "__t", "__y").mapInArrow(_vectors(vocabulary), "id long, y int, ts array<int>, ns array<int>")
+    sampled = known.select("__id", "__t", "__y").mapInArrow(released(_vectors(vocabulary)), "id long, y int, ts array<int>, ns array<int>")
     empty = sampled.filter(F.size("ts") == 0).agg(F.count("*").alias("n"), F.sum("y").alias("n1")).first()
     held = fold(F.col("id")) == 1
     pick = lambda cond, most: sampled.filter(cond & (F.size("ts") > 0)).orderBy(F.xxhash64("id"), "id").limit(most).collect()
@@ -205,7 +207,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             found = [m.score(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.string())], names=["doc_id", "score", "evidence"])
 
-    out = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCORED)
+    out = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(released(run), SCORED)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
@@ -217,4 +219,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit:
         for b in batches:
             yield b.filter(pa.array([shared.value.score(t)[0] < limit for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+    return docs.mapInArrow(released(run), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
