@@ -306,6 +306,16 @@ def test_quality(spark, sf, edge_docs, no_docs):
     assert quality.score(no_docs, quality.fit(no_docs)).count() == 0
 
 
+def test_measures_count_every_word():
+    at = {name: k for k, name in enumerate(quality.MEASURES)}
+    few = b" ".join([b"alpha", b"beta", b"gamma"] * 80).decode()  # 240 words, 3 of them distinct, none doubled
+    assert quality.measures(few)[0][at["doubled"]] == 0 and quality.votes(quality.measures(few)[0])[10] == 1
+    long = " ".join(["a", "b", "b", "c"] * 3000)
+    assert quality.measures(long)[0][at["doubled"]] == pytest.approx(3000 / 12000)
+    signs = " ".join("w%" if i % 6 == 1 else "w" for i in range(12000))  # every sixth word, none of those in steps of six
+    assert quality.measures(signs)[0][at["tail_signs"]] == pytest.approx(2000 / 12000)
+
+
 def test_em_finds_accuracies():
     rnd = np.random.default_rng(0)
     truth = rnd.random(20_000) < 0.8

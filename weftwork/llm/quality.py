@@ -27,6 +27,8 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _CAPS = re.compile(rb"[A-Z]")
 _DIGITS = re.compile(rb"[0-9]")
 _SIGNS = re.compile(rb"[!-/:-@\[-`{-~]")
+#: Last bytes of a word that are neither letters, digits, parts of other characters, nor plain punctuation.
+_TAILS = frozenset(c for c in range(128) if not (bytes([c]).isalnum() or c in b".,;:"))
 
 
 def measures(text: str | None) -> tuple[np.ndarray, list[bytes]]:
@@ -39,8 +41,8 @@ def measures(text: str | None) -> tuple[np.ndarray, list[bytes]]:
     lines = [x for x in data.split(b"\n") if x.strip()]
     signs, caps = len(_SIGNS.findall(data)), len(_CAPS.findall(data))
     ends = data.count(b".") + data.count(b"!") + data.count(b"?")
-    doubled = sum(a == b for a, b in zip(words, words[1:], strict=False)) if n < 4 * len(distinct) + 50 else n
-    tails = sum(not (w[-1:].isalnum() or w[-1] >= 128 or w[-1:] in b".,;:") for w in words[:: max(1, n // 2000)]) * max(1, n // 2000)
+    doubled = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    tails = sum(w[-1] in _TAILS for w in words)
     common = sum(w.lower() in FUNCTION_WORDS for w in distinct)
     return np.array([n, (size - n) / n, signs / size, len(_DIGITS.findall(data)) / size, caps / size, len(distinct) / n, 1 - len(set(lines)) / len(lines), ends / n, data.count(b"|") / n, doubled / n, common / (len(distinct) ** 0.5), tails / n]), words
 
