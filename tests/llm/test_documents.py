@@ -180,6 +180,18 @@ def test_chunked_ids_equal_the_tokenizer():
     assert [np.frombuffer(c.ids(x), np.uint32).tolist() for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_inside_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  z", "<|endoftext| >", "plain"]
+    c = packing.Chunks(path)
+    assert [np.frombuffer(c.tokens(x), np.uint32).tolist() for x in texts] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    check_pieces(rows, {i: t.encode(x, add_special_tokens=False).ids + [1] for i, x in enumerate(texts)}, 2048)
+
+
 def test_vector_limits(spark):
     rnd = random.Random(5)
     rows = [(i, rnd.randrange(0, 900), rnd.randrange(0, 500)) for i in range(3000)] + [(9000, None, None), (9001, 5, None)]

@@ -49,7 +49,9 @@ class Chunks:
 
         spec = json.loads(open(path, encoding="utf-8").read())
         units = _byte_units()
-        ranks = {bytes(units[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in {t["content"] for t in spec.get("added_tokens", [])}}
+        self.path, self.library = path, None
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        ranks = {bytes(units[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in set(self.added)}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.most, self.known = most, {}
@@ -57,7 +59,18 @@ class Chunks:
     def whole(self, text: str) -> bytes:
         return array.array("I", self.encoding.encode_ordinary(text)).tobytes()
 
+    def tokens(self, text: str) -> bytes:
+        """The ids as the tokenizer file has them: a text that holds an added token's content goes to the library."""
+        if not any(t in text for t in self.added):
+            return self.ids(text)
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
     def ids(self, text: str) -> bytes:
+        """The ids of ``text`` as plain text, added tokens' contents too."""
         if "  " in text:
             return self.whole(text)
         known = self.known
@@ -186,7 +199,7 @@ def _placed(limits: Limits, tokenizer: str, end_id: int):
         key = 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = encoder.ids(text or "") + end
+                data = encoder.tokens(text or "") + end
                 ids[key] = (doc, data)
                 place(packer.add(key, len(data) // 4, len(data) // 4))
                 key += 1
