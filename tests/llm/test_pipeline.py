@@ -1,8 +1,10 @@
 """The pipeline: its stages against direct versions, on its own input each."""
 
+import random
+
 import corpus_pipeline as P
 from tests.llm.test_documents import WORDS, check_pieces, direct_removal
-from weftwork.llm import toxicity
+from weftwork.llm import near_copies, toxicity
 from weftwork.llm.common import stored, table
 
 
@@ -45,3 +47,24 @@ def test_empty(spark, sf, tmp_path):
     for name in ("documents", "labels"):
         table(spark, sf, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_are_decided_on_shingles(spark):
+    rnd = random.Random(8)
+    word = lambda k: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(k))
+    docs, alike = [], []
+    base = word(100)
+    docs += [f"{base} {word(23)}" for _ in range(60)]  # a template: every two of 0.67
+    for _ in range(120):  # pairs of 0.81
+        base = word(300)
+        alike.append((len(docs), len(docs) + 1))
+        docs += [f"{base} {word(35)}", f"{base} {word(35)}"]
+    shared, own = word(240), word(60)
+    center = len(docs)
+    docs.append(f"{shared} {word(60)}")  # 0.66 with the next ones, which are of 0.9 with each other
+    docs += [f"{shared} {own} {word(12)}" for _ in range(15)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    top = {r["doc_id"]: r["component_id"] for r in near_copies.near_copy_groups(df).collect()}
+    assert all(top[i] == i for i in range(60))
+    assert sum(top[b] == a for a, b in alike) >= 0.92 * len(alike)
+    assert top[center] == center and {top[i] for i in range(center + 1, len(docs))} == {center + 1}

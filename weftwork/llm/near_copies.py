@@ -3,10 +3,11 @@
 A similarity of 0.8 (Jaccard, five-word shingles) differs in about 15 of 100 SimHash bits, far beyond two bits of 64.
 So the fingerprint is wider here (``WIDTH`` bits, from one hash per shingle mixed into several words), and pairs meet
 by many keys instead of by a guarantee: each of ``tables`` keys joins a codeword near 23 sampled bits (one to six
-keys, as in :mod:`simhash`) with some more bits exactly. Pairs that meet are verified on the whole fingerprint, which
-travels with the key. A pair of similarity 0.8 meets with a chance of about 0.95, one of 0.9 with 0.99 and more.
+keys, as in :mod:`simhash`) with some more bits exactly. A pair of similarity 0.8 meets with a chance of about 0.95,
+one of 0.9 with 0.99 and more. Pairs that meet are admitted by the whole fingerprint, which travels with the key, and
+then decided by the exact similarity of their shingle sets.
 
-Equal fingerprints are one node. Links of a large group behind one key leave their task as a spanning forest.
+Rows of equal shingles are one node. Large groups behind one key are tried by spanning forests of their candidates.
 """
 
 from __future__ import annotations
@@ -53,11 +54,34 @@ def wide_fingerprints(texts: list[str | None], words: int) -> np.ndarray:
     return out
 
 
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; none for null and wordless texts."""
+    w = WORD_BYTES.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
+    shingles = map(b" ".join, zip(*[w[k:] for k in range(words)], strict=False)) if len(w) >= words else [b" ".join(w)] if w else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+
+
+def _digest(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
+
+
 def _prints(words: int):
     def run(batches):
         for b in batches:
-            wide = wide_fingerprints(b.column(1).to_pylist(), words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(wide[:, k])) for k in range(LANES)]], names=NAMES)
+            texts = b.column(1).to_pylist()
+            wide = wide_fingerprints(texts, words).view(np.int64)
+            digest = np.array([_digest(shingle_hashes(t, words)) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(wide[:, k])) for k in range(LANES)], pa.array(digest)], names=[*NAMES, "digest"])
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingle_hashes(t, words) for t in b.column(1).to_pylist()]
+            digest = np.array([_digest(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "digest", "hashes"])
 
     return run
 
@@ -81,77 +105,138 @@ def _keys(tables: int):
                     exact = bits[:, places[23:]] @ (1 << np.arange(EXACT_BITS))
                     rows, code = codewords(word)
                     key = (t << 40) | (exact[rows] << 12) | code
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(b.column(k).to_numpy()[rows]) for k in range(1 + LANES)]], names=["key", *NAMES])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(b.column(k).to_numpy()[rows]) for k in range(2 + LANES)]], names=["key", *NAMES, "component"])
 
     return run
 
 
-def _meet(limit: int, group: int = 8):
-    """Edges between ids with one key and at most ``limit`` differing bits. Rows come sorted by key."""
+def _meet(limit: int, turn: int | None, group: int = 8):
+    """Candidates (src, dst, part): ids of different components with one key and at most ``limit`` differing bits.
 
-    def forest(ids, wide):
-        n, block, label = len(ids), 1024, np.arange(len(ids))
-        for i in range(0, n, block):
-            for j in range(i, n, block):
-                apart = sum(np.bitwise_count(wide[i : i + block, None, k] ^ wide[None, j : j + block, k]).astype(np.uint16) for k in range(LANES))
-                p, q = np.nonzero(apart <= limit)
-                p, q = p + i, q + j
-                keep = label[p] != label[q]
-                label = label[local_components(label[p[keep]], label[q[keep]], n)]
-        child = np.flatnonzero(label != np.arange(n))
-        return ids[child], ids[label[child]]
+    Rows come sorted by key and id. Of a group of more than ``group`` rows only a spanning forest of candidates is
+    taken (part 1), grown in an order that changes with ``turn``; without a turn all of them are.
+    """
 
-    def ready(key, ids, wide):
+    def large(ids, wide, label):
+        n, pairs = len(ids), []
+        if turn:
+            order = np.argsort(ids.view(np.uint64) * _MIX[turn % LANES], kind="stable")
+            ids, wide, label = ids[order], wide[order], label[order]
+        label = np.unique(label, return_inverse=True)[1]
+        left, waiting = label.max() + 1, 0
+        for i in range(n - 1):
+            if left == 1:
+                break
+            j = i + 1 + np.flatnonzero(np.bitwise_count(wide[i] ^ wide[i + 1 :]).sum(1, dtype=np.int64) <= limit)
+            j = j[label[j] != label[i]]
+            if not len(j):
+                continue
+            if turn is not None:
+                j = j[np.unique(label[j], return_index=True)[1]]
+                label[np.isin(label, label[j])] = label[i]
+                left -= len(j)
+            pairs.append((np.full(len(j), ids[i]), ids[j]))
+            waiting += len(j)
+            if waiting > 100_000:
+                yield batch(pairs, turn is not None)
+                pairs, waiting = [], 0
+        yield batch(pairs, turn is not None)
+
+    def batch(pairs, part):
+        a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), int(part)))], names=["src", "dst", "part"])
+
+    def ready(key, ids, wide, label):
         start = np.r_[0, np.flatnonzero(np.diff(key)) + 1]
         size = np.diff(np.r_[start, len(key)])
-        of, out = np.repeat(size, size), [(ids[:0], ids[:0])]
+        of, out = np.repeat(size, size), []
         rows, lag = np.flatnonzero((of > 1) & (of <= group)), 1
         while len(rows):
             rows = rows[rows + lag < len(key)]
             rows = rows[key[rows] == key[rows + lag]]
-            hit = rows[np.bitwise_count(wide[rows] ^ wide[rows + lag]).sum(1, dtype=np.int64) <= limit]
+            hit = rows[(np.bitwise_count(wide[rows] ^ wide[rows + lag]).sum(1, dtype=np.int64) <= limit) & (label[rows] != label[rows + lag])]
             out.append((ids[hit], ids[hit + lag]))
             lag += 1
-        out += [forest(ids[s : s + n], wide[s : s + n]) for s, n in zip(start[size > group], size[size > group], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([y for _, y in out]))], names=["src", "dst"])
+        yield batch(out, False)
+        for s, n in zip(start[size > group], size[size > group], strict=True):
+            yield from large(ids[s : s + n], wide[s : s + n], label[s : s + n])
 
     def run(batches):
         wait: list[tuple] = []
         for r in batches:
             if not r.num_rows:
                 continue
-            part = (r.column(0).to_numpy(), r.column(1).to_numpy(), np.stack([r.column(2 + k).to_numpy() for k in range(LANES)], 1).view(np.uint64))
+            part = (r.column(0).to_numpy(), r.column(1).to_numpy(), np.stack([r.column(2 + k).to_numpy() for k in range(LANES)], 1).view(np.uint64), r.column(2 + LANES).to_numpy())
             if wait and part[0][-1] == wait[-1][0][-1]:
                 wait.append(part)
                 continue
-            key, ids, wide = (np.concatenate(c) for c in zip(*wait, part, strict=True))
+            key, ids, wide, label = (np.concatenate(c) for c in zip(*wait, part, strict=True))
             last = np.searchsorted(key, key[-1])
             if last:
-                yield ready(key[:last], ids[:last], wide[:last])
-            wait = [(key[last:], ids[last:], wide[last:])]
+                yield from ready(key[:last], ids[:last], wide[:last], label[:last])
+            wait = [(key[last:], ids[last:], wide[last:], label[last:])]
         if wait:
-            yield ready(*(np.concatenate(c) for c in zip(*wait, strict=True)))
+            yield from ready(*(np.concatenate(c) for c in zip(*wait, strict=True)))
 
     return run
 
 
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 20) -> DataFrame:
-    """(doc_id, component_id) for rows with an id: the smallest id reachable over links of about ``similarity`` or more.
-
-    Null, empty and wordless texts are one group. The similarity is read from the fingerprints: a link is a pair whose
-    share of differing bits is at most that of the similarity's angle plus one standard deviation.
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, name: str, most: int = 500) -> DataFrame:
+    """``pairs`` with the set of their ``end``. An id of more than ``most`` pairs has several copies of its set."""
+    hot = pairs.groupBy(F.col(end).alias("hot")).agg(F.ceil(F.count("*") / most).alias("copies")).filter("copies > 1")
+    hot = F.broadcast(hot)  # at most one row for ``most`` pairs
+    other = "dst" if end == "src" else "src"
+    dealt = pairs.join(hot, pairs[end] == F.col("hot"), "left").withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1)))).drop("hot", "copies")
+    many = sets.join(hot, sets["id"] == F.col("hot"), "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)))
+    many = many.select(F.col("id").alias(end), "copy", F.col("hashes").alias(name))
+    return dealt.join(many, [end, "copy"]).drop("copy")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(src, dst, part, ok): whether the exact similarity of the pair's shingle sets is at least ``similarity``."""
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    sets = rows.join(ends, "id", "left_semi").mapInArrow(released(_sets(words)), "id long, digest long, hashes array<long>")
+    sets = stored(sets.dropDuplicates(["id", "digest"]).select("id", "hashes"), "sets")
+    both = _with_sets(_with_sets(pairs, sets, "src", "a"), sets, "dst", "b")
+    shared = F.size(F.array_intersect("a", "b"))
+    both = both.select("src", "dst", "part", shared.alias("shared"), (F.size("a") + F.size("b")).alias("sizes"))
+    ok = F.coalesce(F.try_divide("shared", F.col("sizes") - F.col("shared")) >= similarity, F.lit(False))
+    # An id that occurs with several texts counts by its best one.
+    return both.groupBy("src", "dst", "part").agg(F.max(ok).alias("ok"))
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 20, turns: int = 2) -> DataFrame:
+    """(doc_id, component_id) for rows with an id: the smallest id reachable over links of ``similarity`` or more.
+
+    Null, empty and wordless texts are one group. A link is a pair that meets behind a key, differs in at most as many
+    bits as the similarity's angle plus three standard deviations, and has the similarity on its shingle sets. The
+    large groups of a key are tried by spanning forests in ``turns`` turns; where a tried pair of a forest fails, its
+    components meet again, and in the last turn all their remaining candidates are tried.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    limit = int(WIDTH * share + (share * (1 - share) * WIDTH) ** 0.5)
-    lanes = NAMES[1:]
+    limit = int(WIDTH * share + 3 * (share * (1 - share) * WIDTH) ** 0.5)
+    same = [*NAMES[1:], "digest"]
     long = lambda *names: ", ".join(f"{n} long" for n in names)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id is not null")
-    prints = stored(rows.mapInArrow(released(_prints(words)), long(*NAMES)), "wide")
-    nodes = stored(prints.groupBy(*lanes).agg(F.min("id").alias("id")).select(*NAMES), "nodes")
-    keys = spread(nodes.mapInArrow(released(_keys(tables)), long("key", *NAMES)), "key").sortWithinPartitions("key")
-    top = connected_components(keys.mapInArrow(released(_meet(limit)), long("src", "dst")))
-    placed = nodes.join(top, nodes["id"] == top["node"], "left").select(*lanes, F.coalesce("component", "id").alias("component_id"))
-    return prints.join(placed, lanes).select(F.col("id").alias("doc_id"), "component_id")
+    prints = stored(rows.mapInArrow(released(_prints(words)), long(*NAMES, "digest")), "wide")
+    nodes = stored(prints.groupBy(*same).agg(F.min("id").alias("id")).select(*NAMES, "digest"), "nodes")
+    live, tried = nodes.select(*NAMES, F.col("id").alias("component")), None
+    for turn in [*range(turns), None]:
+        keys = spread(live.mapInArrow(released(_keys(tables)), long("key", *NAMES, "component")), "key").sortWithinPartitions("key", "id")
+        pairs = keys.mapInArrow(released(_meet(limit, turn)), long("src", "dst", "part")).groupBy("src", "dst").agg(F.max("part").alias("part"))
+        if turn is None:
+            pairs = pairs.join(tried.select("src", "dst"), ["src", "dst"], "left_anti")
+        new = stored(_verified(stored(pairs, "pairs"), rows, words, similarity), "tried")
+        tried = new if tried is None else tried.union(new)
+        top = connected_components(tried.filter("ok").select("src", "dst"))
+        placed = nodes.join(top, nodes["id"] == top["node"], "left").select(*NAMES, "digest", F.coalesce("component", "id").alias("component"))
+        failed = new.filter("not ok and part = 1").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        if turn is None or failed.isEmpty():
+            break
+        again = placed.join(failed, "id", "left_semi").select("component").distinct()
+        live = stored(placed.join(again, "component", "left_semi").select(*NAMES, "component"), "again")
+    placed = placed.select(*same, F.col("component").alias("component_id"))
+    return prints.join(placed, same).select(F.col("id").alias("doc_id"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
