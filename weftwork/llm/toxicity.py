@@ -1,9 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists, distance-weighted votes.
 
 Fitting reads a bounded sample of labelled rows (``labelled`` rows outside the held-out fold, those with the smallest
-hash of their id; its ids and labels are broadcast). The vocabulary is the ``terms`` terms that tell the labels apart
-best (chi-squared over the sampled rows); document frequencies count all documents. A part of the sample, at most
-``examples`` rows, is indexed; at most ``calibration`` other rows calibrate the vote by pooled neighbours (isotonic).
+hash of their id; its ids and labels are broadcast). At most ``examples`` of them are indexed with every term that they
+hold; at most ``calibration`` other rows calibrate the vote by pooled neighbours (isotonic). Document frequencies count
+all documents. A term's TF-IDF weight is multiplied by its relevance (:func:`relevance`), which is zero for words that
+the labelled rows hold with either label as often as chance would have it.
+
+A term that no indexed example holds adds to no product and would scale all cosines of a text alike, so it changes
+neither order nor votes; norms are those of the vocabulary's terms.
 
 A search sums the block maxima of its terms to an upper bound per block of examples, opens blocks by falling bound,
 and stops when the k-th cosine reaches the next bound, so the cosines found are exactly the k largest.
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released
+from .common import released, stored
 
 BLOCK = 64
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -37,44 +41,59 @@ def terms_of(text: str | None) -> list[bytes]:
     return data.translate(_FOLD).split()
 
 
+def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers start[i] .. stop[i] - 1 of all i, in order."""
+    size = stop - start
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
 class Index:
-    """Inverted lists of unit example vectors; per list and block of examples the largest weight."""
+    """Inverted lists of unit example vectors (terms, weights), cut into blocks with their largest weight."""
 
-    def __init__(self, vectors: list[dict[int, float]], width: int) -> None:
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], width: int) -> None:
         # Examples with the same strongest term stand together, which keeps block maxima tight.
-        self.order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t)), i))
+        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (vectors[i][0][vectors[i][1].argmax()], i)), int)
         self.blocks = -(-len(vectors) // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for place, i in enumerate(self.order):
-            for t, w in vectors[i].items():
-                lists.setdefault(t, []).append((place, w))
-        self.top = np.zeros((width, self.blocks))
-        self.lists = {}
-        for t, found in lists.items():
-            place, weight = np.array([p for p, _ in found]), np.array([w for _, w in found])
-            np.maximum.at(self.top[t], place // BLOCK, weight)
-            self.lists[t] = (place, weight, np.searchsorted(place, np.arange(self.blocks + 1) * BLOCK))
-
-    def nearest(self, vector: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k largest positive cosines with their examples, largest first."""
-        terms = [t for t in vector if t in self.lists]
-        if not terms:
+        sizes = np.array([len(vectors[i][0]) for i in self.order], int)
+        term = np.concatenate([vectors[i][0] for i in self.order]) if len(vectors) else np.zeros(0, int)
+        weight = np.concatenate([vectors[i][1] for i in self.order]) if len(vectors) else np.zeros(0)
+        place = np.repeat(np.arange(len(vectors)), sizes)
+        by_term = np.argsort(term, kind="stable")
+        term, self.place, self.weight = term[by_term], place[by_term].astype(np.int32), weight[by_term]
+        key = term.astype(np.int64) * max(1, self.blocks) + self.place // BLOCK
+        self.cut = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)] if len(key) else np.zeros(1, int)
+        first = self.cut[:-1]
+        self.part_block = (self.place[first] // BLOCK).astype(np.int32)
+        self.part_top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.part_of = np.searchsorted(term[first], np.arange(width + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k largest positive cosines with their examples, largest first; of equal ones the smaller example number."""
+        start, stop = self.part_of[terms], self.part_of[terms + 1]
+        part, w = _ranges(start, stop), np.repeat(weights, stop - start)
+        if not len(part):
             return []
-        bound = np.array([vector[t] for t in terms]) @ self.top[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= (best[-1][0] if len(best) == k else 0.0):
-                break
-            score = np.zeros(BLOCK)
-            for t in terms:
-                place, weight, at = self.lists[t]
-                part = slice(at[b], at[b + 1])
-                score[place[part] - b * BLOCK] += vector[t] * weight[part]
-            floor = best[-1][0] if len(best) == k else 0.0
-            best += [(float(score[j]), self.order[b * BLOCK + j]) for j in np.flatnonzero(score > floor).tolist()]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return best
+        of = self.part_block[part]
+        bound = np.bincount(of, weights=w * self.part_top[part], minlength=self.blocks)
+        by_bound = np.argsort(-bound, kind="stable")
+        score, example = np.zeros(0), np.zeros(0, int)
+        at, step, floor = 0, 8, 0.0
+        while at < self.blocks and bound[by_bound[at]] * (1 + 1e-12) >= floor and bound[by_bound[at]] > 0:
+            opened = np.zeros(self.blocks, bool)
+            opened[by_bound[at : at + step]] = True
+            here = opened[of]
+            a, z = self.cut[part[here]], self.cut[part[here] + 1]
+            rows = _ranges(a, z)
+            total = np.bincount(self.place[rows], weights=np.repeat(w[here], z - a) * self.weight[rows])
+            hit = np.flatnonzero(total > 0)
+            score, example = np.r_[score, total[hit]], np.r_[example, self.order[hit]]
+            if len(score) > k:
+                best = np.lexsort((example, -score))[:k]
+                score, example = score[best], example[best]
+            floor = score.min() if len(score) == k else 0.0
+            at, step = at + step, 2 * step
+        best = np.lexsort((example, -score))[:k]
+        return list(zip(score[best].tolist(), example[best].tolist(), strict=True))
 
 
 def pooled(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +111,7 @@ def pooled(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     vocabulary: dict[bytes, int]
-    idf: np.ndarray
+    worth: np.ndarray  # inverse document frequency times relevance
     index: Index
     ids: list[int]
     labels: list[int]
@@ -101,102 +120,137 @@ class Model:
     ends: np.ndarray = field(default_factory=lambda: np.array([1.0]))
     values: np.ndarray = field(default_factory=lambda: np.array([0.5]))
 
-    def vector(self, text: str | None) -> dict[int, float]:
+    def near(self, text: str | None) -> list[tuple[float, int]]:
         known = self.vocabulary
-        return weighted(Counter(known[w] for w in terms_of(text) if w in known), self.idf)
+        counts = Counter(known[w] for w in terms_of(text) if w in known)
+        terms = np.fromiter(counts, np.int64, len(counts))
+        return self.index.nearest(*weighted(terms, np.fromiter(counts.values(), float, len(counts)), self.worth), self.k)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         return sum(c * self.labels[i] for c, i in near) / sum(c for c, _ in near)
 
     def score(self, text: str | None) -> tuple[float, str]:
-        near = self.index.nearest(self.vector(text), self.k)
+        near = self.near(text)
         if not near:
             return self.unknown, ""
         place = min(int(np.searchsorted(self.ends, self.vote(near) - 1e-12)), len(self.ends) - 1)
         return float(self.values[place]), ",".join(f"{self.ids[i]}:{self.labels[i]}:{c:.4f}" for c, i in near[:3])
 
 
-def weighted(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    w = {t: (1 + np.log(n)) * idf[t] for t, n in counts.items()}
-    norm = np.sqrt(sum(x * x for x in w.values()))
-    return {t: float(x / norm) for t, x in sorted(w.items())}
+def weighted(terms: np.ndarray, counts: np.ndarray, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in order and their weights of length one; terms of no worth are left out."""
+    by_term = np.argsort(terms)
+    terms = terms[by_term]
+    w = (1 + np.log(counts[by_term])) * worth[terms]
+    some = w > 0
+    return terms[some], w[some] / np.sqrt((w * w).sum()) if some.any() else w[some]
+
+
+def relevance(n: np.ndarray, n1: np.ndarray, rows: int, toxic: int) -> np.ndarray:
+    """How far the chi-squared statistic of term and label lies above its mean of 1, as a root; 0 below it.
+
+    ``n`` of ``rows`` labelled rows hold the term, ``n1`` of them toxic.
+    """
+    share = min(max(toxic / max(rows, 1), 1e-6), 1 - 1e-6)
+    chi = (n1 - n * share) ** 2 / (np.maximum(n, 1) * share * (1 - share))
+    return np.sqrt(np.maximum(chi - 1, 0))
 
 
 def fold(id_col) -> F.Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5))
 
 
-def _counts(batches):
-    """(term, rows, toxic rows) per task, in parts of bounded size."""
-    rows, toxic = Counter(), Counter()
+def _terms(batches):
+    """(id, y, ts, ns): the distinct terms of a text and how often each occurs."""
+    for b in batches:
+        counts = [Counter(terms_of(t)) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(c) for c in counts], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["id", "y", "ts", "ns"])
 
-    def part():
-        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.int64()), pa.array([toxic[t] for t in rows], pa.int64())], names=["term", "n", "n1"])
 
-    for b in batches:
-        for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = set(terms_of(text))
-            rows.update(found)
-            if label:
-                toxic.update(found)
-            if len(rows) > 150_000:
-                yield part()
-                rows, toxic = Counter(), Counter()
-    yield part()
-
-
-def _frequencies(known: dict[bytes, int]):
+def _told(vocabulary):
+    """(term, n, n1) per task: rows and toxic rows that hold each term of the vocabulary."""
+
     def run(batches):
-        total, docs = Counter(), 0
+        known = vocabulary.value
+        n, n1 = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        for b in batches:
+            for y, terms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = [known[t] for t in terms if t in known]
+                n[found] += 1
+                if y:
+                    n1[found] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(n1[some])], names=["term", "n", "n1"])
+
+    return run
+
+
+def _frequencies(vocabulary):
+    """(term, n) per task: documents that hold each term; term -1 counts the documents."""
+
+    def run(batches):
+        known, docs = vocabulary.value, 0
+        n = np.zeros(len(known), np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
                 docs += 1
-                total.update({known[w] for w in terms_of(text) if w in known})
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *total], pa.int32()), pa.array([docs, *total.values()], pa.int64())], names=["term", "n"])
+                n[[known[w] for w in set(terms_of(text)) if w in known]] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[docs, n[some]])], names=["term", "n"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = 65_536, terms: int = 256, least_rows: int = 5, examples: int = 8192, calibration: int = 4096, k: int = 15) -> Model:
+def _rows(table: pa.Table):
+    """(ids, labels, [(terms, counts) of each row]) of a collected sample."""
+    table = table.combine_chunks()
+    of = lambda c: table[c].to_pylist()
+    return of("id"), of("y"), list(zip(of("ts"), of("ns"), strict=True))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = 65_536, examples: int = 4096, calibration: int = 4096, k: int = 15) -> Model:
     """A model from the labelled documents outside the held-out fold. A document with several labels has the largest."""
+    context = docs.sparkSession.sparkContext
     lab = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id is not null and __y is not null")
     lab = lab.filter(fold(F.col("__id")) != 0).groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(labelled)
     text = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__t"))
     known = text.join(F.broadcast(lab), "__id")  # at most ``labelled`` pairs of numbers
-    total = known.agg(F.count("*").alias("n"), F.sum("__y").alias("n1")).first()
-    n, n1 = total["n"] or 0, total["n1"] or 0
-    count = known.select("__t", "__y").mapInArrow(released(_counts), "term binary, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).filter(F.col("n") >= least_rows)
-    share = F.lit(n1 / n if n else 0.0)
-    telling = (F.col("n1") - F.col("n") * share) ** 2 / F.col("n")
-    vocabulary = {bytes(r.term): i for i, r in enumerate(count.orderBy(telling.desc(), "term").limit(terms).collect())}
-    df = {r.term: r.n for r in text.select("__t").mapInArrow(released(_frequencies(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    sampled = known.select("__id", "__t", "__y").mapInArrow(released(_vectors(vocabulary)), "id long, y int, ts array<int>, ns array<int>")
-    empty = sampled.filter(F.size("ts") == 0).agg(F.count("*").alias("n"), F.sum("y").alias("n1")).first()
+    sampled = stored(known.select("__id", "__t", "__y").mapInArrow(released(_terms), "id long, y int, ts array<binary>, ns array<int>"), "labelled")
+    total = sampled.agg(F.count("*").alias("n"), F.sum("y").alias("n1")).first()
     held = fold(F.col("id")) == 1
-    pick = lambda cond, most: sampled.filter(cond & (F.size("ts") > 0)).orderBy(F.xxhash64("id"), "id").limit(most).collect()
-    shown, tried = pick(~held, examples), pick(held, calibration)
-    vectors = [weighted(dict(zip(r.ts, r.ns, strict=True)), idf) for r in shown]
-    model = Model(vocabulary, idf, Index(vectors, len(vocabulary)), [r.id for r in shown], [r.y for r in shown], k, ((empty["n1"] or 0) + 0.5) / ((empty["n"] or 0) + 1) if n else 0.5)
-    votes = [(model.vote(near), r.y) for r in tried if (near := model.index.nearest(weighted(dict(zip(r.ts, r.ns, strict=True)), idf), k))]
+    pick = lambda cond, most: _rows(sampled.filter(cond).orderBy(F.xxhash64("id"), "id").limit(most).toArrow())
+    ids, ys, bags = pick(~held, examples)
+    vocabulary = {t: i for i, t in enumerate(sorted({t for ts, _ in bags for t in ts}))}
+    shared = context.broadcast(vocabulary)
+    worth = np.zeros(len(vocabulary))
+    if vocabulary:
+        told = sampled.select("y", "ts").mapInArrow(released(_told(shared)), "term int, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).toArrow()
+        seen = text.select("__t").mapInArrow(released(_frequencies(shared)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        n, n1, df = (np.zeros(len(vocabulary) + 1) for _ in range(3))  # the last place is that of term -1
+        n[told["term"].to_numpy()], n1[told["term"].to_numpy()] = told["n"].to_numpy(), told["n1"].to_numpy()
+        df[seen["term"].to_numpy()] = seen["n"].to_numpy()
+        worth = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * relevance(n[:-1], n1[:-1], total["n"], total["n1"] or 0)
+        telling = {t: i for t, i in vocabulary.items() if worth[i] > 0}
+        vocabulary, worth = {t: k for k, t in enumerate(telling)}, worth[list(telling.values())]
+    vector = lambda bag: weighted(np.array([vocabulary[t] for t in bag[0] if t in vocabulary], np.int64), np.array([c for t, c in zip(*bag, strict=True) if t in vocabulary], float), worth)
+    vectors = [vector(bag) for bag in bags]
+    some = [i for i, v in enumerate(vectors) if len(v[0])]
+    model = Model(vocabulary, worth, Index([vectors[i] for i in some], len(vocabulary)), [ids[i] for i in some], [ys[i] for i in some], k, 0.5)
+    _, tried, bags = pick(held, calibration)
+    near = [model.index.nearest(*vector(bag), k) for bag in bags]
+    votes = [(model.vote(x), y) for x, y in zip(near, tried, strict=True) if x]
+    silent = [y for x, y in zip(near, tried, strict=True) if not x]
+    if total["n"]:  # texts without telling terms: their share of toxic ones, or that of all labelled rows
+        model.unknown = (sum(silent) + 0.5) / (len(silent) + 1) if silent else (total["n1"] + 0.5) / (total["n"] + 1)
     if votes:
         model.ends, model.values = pooled(np.array([v for v, _ in votes]), np.array([y for _, y in votes]))
     return model
 
 
-def _vectors(known: dict[bytes, int]):
-    def run(batches):
-        for b in batches:
-            counts = [Counter(known[w] for w in terms_of(t) if w in known) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["id", "y", "ts", "ns"])
-
-    return run
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) per row; evidence: nearest examples as id:label:cosine.
 
-    A null or empty text, and one without known terms, has the share of toxic rows among such labelled texts. Repeated
+    A null or empty text, and one without telling terms, has the share of toxic rows among such labelled texts. Repeated
     rows are each scored; a null id is kept (not held out); an empty table gives no rows. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
