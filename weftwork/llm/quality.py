@@ -69,21 +69,23 @@ def votes(m: np.ndarray) -> tuple[int, ...]:
 LABELLERS = 11
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """(posterior of each pattern, accuracy of each labeller on bad and good texts, share of good texts)."""
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, belief: float = 20) -> tuple[np.ndarray, np.ndarray, float]:
+    """(posterior of each pattern, accuracy of each labeller on bad and good texts, share of good texts).
+
+    The accuracies start where bad texts are bad in few ways each: a labeller is right on most good texts, but on a
+    fifth of the bad ones. These values weigh as much as ``belief`` documents, whatever the size of the corpus.
+    """
     cast, good = patterns >= 0, patterns == 1
-    # Bad texts are bad in few ways each: a labeller is right on most good texts, but on a fifth of the bad ones.
     right = np.repeat([[0.2], [0.99]], patterns.shape[1], axis=1)
     prior, post = 0.8, np.full(len(patterns), 0.5)
-    belief = 0.2 * counts.sum()  # weight of the starting values, in documents
     for _ in range(rounds):
         log1 = np.log(prior) + np.where(cast, np.where(good, np.log(right[1]), np.log1p(-right[1])), 0).sum(1)
         log0 = np.log1p(-prior) + np.where(cast, np.where(good, np.log1p(-right[0]), np.log(right[0])), 0).sum(1)
         new = 1 / (1 + np.exp(np.clip(log0 - log1, -500, 500)))
         w1, w0 = new * counts, (1 - new) * counts
         right[1] = ((w1[:, None] * (cast & good)).sum(0) + 0.99 * belief) / ((w1[:, None] * cast).sum(0) + belief)
-        right[0] = ((w0[:, None] * (cast & ~good)).sum(0) + 0.2 * belief / 4) / ((w0[:, None] * cast).sum(0) + belief / 4)
-        right = np.clip(right, 0.02, 0.995)
+        right[0] = ((w0[:, None] * (cast & ~good)).sum(0) + 0.2 * belief) / ((w0[:, None] * cast).sum(0) + belief)
+        right = np.clip(right, 0.001, 0.999)
         prior = float(np.clip(w1.sum() / counts.sum(), 0.02, 0.98))
         if np.abs(new - post).max() < 1e-9:
             break
@@ -139,6 +141,11 @@ def _voted(batches):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000) -> Scorer:
+    """A scorer from the votes on all documents; the linear part learns on the documents of at most ``sample`` ids.
+
+    A null text is an empty one; a repeated row counts each time; rows with a null id vote but train nothing; an empty
+    table gives a scorer of 0.5 for every text.
+    """
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     counted = text.select("t").mapInArrow(_voted, "pattern string").groupBy("pattern").count().collect()
     if not counted:
