@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
-#: What a text must hold for a kind to have any span at all; a superset, so that skipping never loses one.
-ADMIT = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
+# A match of these two is never part of a longer run, so the shortest length can stand in the pattern itself: what it
+# leaves out are whole runs that are too short. Runs are possessive and start at their first character, so each
+# character is read a bounded number of times, however long a run is.
+ACCESS = r"AKIA[A-Z0-9]{12,}+"
+HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 KINDS = ("assign", "access", "hex")
+_KEY = r"[A-Za-z0-9+/_=-]"
 
 
 @dataclass(frozen=True)
@@ -40,74 +42,84 @@ class Entropy:
 def _spans(text: Column, pattern: str, keep, kind: str) -> Column:
     """Array of (start, end, kind, rank) in code points of the matches that ``keep`` (match, first group) admits."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if "([A-Z" in pattern else whole
+    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if pattern == ASSIGN else whole
     between = F.split(text, pattern, -1)
     walked = F.aggregate(
         F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("hit"), group.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("found")),
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.when(keep(x["hit"], x["value"]), F.concat(acc["found"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"))))).otherwise(acc["found"]).alias("found"),
+            F.when(keep(x["hit"], x["value"]), F.concat(acc["found"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"))))).otherwise(acc["found"]).alias("found"),
         ),
         lambda acc: acc["found"],
     )
     rank = (*KINDS, "entropy").index(kind)
-    return F.transform(walked, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+    return F.transform(walked, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["hit"].alias("hit")))
 
 
-def _peak_entropy(candidate: Column, window: int) -> Column:
-    """The largest entropy (bits) of any window, by counts that move by one character in and one out."""
+def _peak_entropy(candidate: Column, window: int, enough: Column | None = None) -> Column:
+    """The largest entropy (bits) of any window, by counts that move by one character in and one out.
+
+    With ``enough``, windows after one that reaches it are not looked at.
+    """
     plogp = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
     chars = F.split(candidate, "")
-    zero = F.struct(F.create_map().cast("map<string,int>").alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("i"), F.array().cast("array<string>").alias("seen"))
-
-    def step(acc, c):
-        size = F.size(acc["seen"])
-        out = F.when(size >= window, F.element_at(acc["seen"], 1))
-        n_out = F.coalesce(F.try_element_at(acc["n"], out), F.lit(0)).cast("double")
-        after = F.when(out.isNull(), acc["sum"]).otherwise(acc["sum"] - plogp(n_out) + plogp(n_out - 1))
-        base = F.coalesce(F.try_element_at(acc["n"], c), F.lit(0)) - F.when(out.eqNullSafe(c), 1).otherwise(0)
-        total = after - plogp(base.cast("double")) + plogp(base.cast("double") + 1)
-        counts = F.map_concat(
+    # Each character with the one that leaves the window when it comes in (null before the window is full).
+    steps = F.arrays_zip(chars.alias("c"), F.concat(F.array_repeat(F.lit(None).cast("string"), window), chars).alias("out"))
+    steps = F.slice(steps, F.lit(1), F.size(chars))
+    none = F.create_map().cast("map<string,int>")
+    limit = F.lit(None).cast("double") if enough is None else enough.cast("double")
+    zero = F.struct(none.alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("i"), limit.alias("enough"))
+    bits = float(window)
+
+    def step(acc, x):
+        c, out = x["c"], x["out"]
+        n_in = F.coalesce(F.try_element_at(acc["n"], c), F.lit(0))
+        n_out = F.coalesce(F.try_element_at(acc["n"], out), F.lit(0))
+        change = plogp(n_in + 1) - plogp(n_in) + F.when(out.isNull(), 0.0).otherwise(plogp(n_out - 1) - plogp(n_out))
+        moved = F.map_concat(
             F.map_filter(acc["n"], lambda k, v: (k != c) & (out.isNull() | (k != out))),
-            F.when(out.isNull() | out.eqNullSafe(c) | (n_out <= 1), F.create_map().cast("map<string,int>")).otherwise(F.create_map(F.coalesce(out, F.lit("")), (n_out - 1).cast("int"))),
-            F.create_map(c, (base + 1).cast("int")),
+            F.create_map(c, n_in + 1),
+            F.when(out.isNull() | (n_out <= 1), none).otherwise(F.create_map(F.coalesce(out, F.lit("")), n_out - 1)),
         )
-        seen = F.concat(F.when(size >= window, F.slice(acc["seen"], 2, window)).otherwise(acc["seen"]), F.array(c))
-        full = F.size(seen) >= window
-        bits = F.lit(float(window)).cast("double")
-        peak = F.when(full, F.greatest(acc["peak"], F.log2(bits) - total / bits)).otherwise(acc["peak"])
-        return F.struct(counts.alias("n"), total.alias("sum"), peak.alias("peak"), (acc["i"] + 1).alias("i"), seen.alias("seen"))
 
-    return F.aggregate(chars, zero, step, lambda acc: acc["peak"])
+        def after(counts, total):
+            full = acc["i"] + 1 >= window
+            peak = F.when(full, F.greatest(acc["peak"], F.log2(F.lit(bits)) - total / bits)).otherwise(acc["peak"])
+            return F.struct(counts.alias("n"), total.alias("sum"), peak.alias("peak"), (acc["i"] + 1).alias("i"), acc["enough"].alias("enough"))
+
+        # What comes in is often what goes out in runs of one character: nothing changes then.
+        moving = F.when(out.eqNullSafe(c), after(acc["n"], acc["sum"])).otherwise(after(moved, acc["sum"] + change))
+        return F.when(acc["peak"] >= acc["enough"], acc).otherwise(moving)
+
+    return F.aggregate(steps, zero, step, lambda acc: acc["peak"])
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entropy: Entropy | None = Entropy(), carry: bool = False) -> DataFrame:  # noqa: B008
-    """``docs`` with columns base and extra: arrays of (start, rank, end, kind), each in order.
+    """``docs`` with columns __base and __extra: arrays of (start, rank, end, kind, hit), each in order.
 
     A null text is empty and has no spans. Rows and their ids are kept as they are, repeated and null ones included.
-    With ``carry`` all input columns stay; otherwise only doc_id and the whole text.
+    With ``carry`` all input columns stay, as __c0, __c1, ...; otherwise only doc_id. The whole text is __text.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__text", text) if carry else docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    if carry:  # no name of theirs meets one of ours
+        rows = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+        rows = rows.withColumn("__text", F.coalesce(F.col(f"__c{docs.columns.index(text_col)}"), F.lit("")))
+    else:
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,hit:string>>")
     t = F.col("__text")
-    kinds = {
-        "assign": _spans(t, ASSIGN, lambda hit, value: F.length(value) >= 8, "assign"),
-        "access": _spans(t, ACCESS, lambda hit, value: F.length(hit) >= 16, "access"),
-        "hex": _spans(t, HEX, lambda hit, value: F.length(hit) >= 32, "hex"),
-    }
-    found = [F.when(t.rlike(ADMIT[k]), kinds[k]).otherwise(none) for k in KINDS]
-    rows = rows.withColumn("__base", F.array_sort(F.concat(*found)))
+    every = lambda hit, value: F.lit(True)
+    found = {"assign": _spans(t, ASSIGN, lambda hit, value: F.length(value) >= 8, "assign"), "access": _spans(t, ACCESS, every, "access"), "hex": _spans(t, HEX, every, "hex")}
+    admit = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
+    rows = rows.withColumn("__base", F.array_sort(F.concat(*[F.when(t.rlike(admit[k]), found[k]).otherwise(none) for k in KINDS])))
     if entropy is None:
         return rows.withColumn("__extra", none)
-    run = r"[A-Za-z0-9+/_=-]{%d,}" % entropy.window
-    piece = lambda s: F.substring(t, s["start"] + 1, s["end"] - s["start"])
+    run = rf"(?<!{_KEY}){_KEY}{{{entropy.window},}}+"
+    # The same with a digit in the run: without one the allow-list lets none pass.
+    admits = t.rlike(rf"(?<!{_KEY})(?={_KEY}{{{entropy.window}}})[A-Za-z+/_=-]*+[0-9]")
     limit = lambda c: F.when(c.rlike(r"^[0-9a-fA-F]+$"), entropy.hex_bits).when(c.rlike("[a-z]") & c.rlike("[A-Z]") & c.rlike("[0-9]"), entropy.mixed_bits).otherwise(entropy.other_bits)
     candidates = _spans(t, run, lambda hit, value: hit.rlike("[0-9]") & ~hit.rlike(entropy.allow), "entropy")
-    # A run of key characters and digits somewhere: without both there is no candidate that the allow-list lets pass.
-    admits = t.rlike(r"(?:[A-Za-z+/_=-]*[0-9][A-Za-z0-9+/_=-]{%d,}|[A-Za-z0-9+/_=-]{%d,}[0-9])" % (entropy.window // 2 - 1, entropy.window // 2))
-    high = F.filter(candidates, lambda s: _peak_entropy(piece(s), entropy.window) >= limit(piece(s)))
+    high = F.filter(candidates, lambda s: _peak_entropy(s["hit"], entropy.window, limit(s["hit"])) >= limit(s["hit"]))
     return rows.withColumn("__extra", F.when(admits, high).otherwise(none))
 
 
@@ -139,4 +151,6 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
         ),
         lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t) - acc["at"])),
     )
-    return s.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(F.col(text_col))).select(*docs.columns)
+    at = docs.columns.index(text_col)
+    changed = F.when(F.size(spans) > 0, done).otherwise(F.col(f"__c{at}"))
+    return s.select(*[(changed if i == at else F.col(f"__c{i}")).alias(name) for i, name in enumerate(docs.columns)])
