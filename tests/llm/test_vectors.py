@@ -26,21 +26,52 @@ def plain(vectors):
     return p.vec_id.to_numpy().astype(int), np.array(p.embedding.tolist(), float)
 
 
-@pytest.mark.parametrize("block", [4096, 9])
-def test_nearest(vectors, plain, block):
-    ids, x = plain
-    got = ann.nearest(vectors, "id % 100 = 0", block=block, visits=120).toPandas()
-    asked = [i for i in ids if i % 100 == 0]
-    assert sorted(set(got.query_id)) == asked
-    hits = 0
+def recall_of(got, ids, x, k=10):
+    hits = asked = 0
     for q, g in got.groupby("query_id"):
         d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
         g = g.sort_values("rank")
-        assert g["rank"].tolist() == list(range(1, 11)) and q not in set(g.vec_id)
-        assert np.allclose(g.score, [d[ids == v][0] for v in g.vec_id], atol=1e-12)
+        assert g["rank"].tolist() == list(range(1, k + 1)) and q not in set(g.vec_id)
+        assert np.allclose(g.score, [d[ids == v][0] for v in g.vec_id], atol=1e-12) and (np.diff(g.score) >= 0).all()
         d[ids == q] = np.inf
-        hits += len(set(ids[np.lexsort((ids, d))[:10]]) & set(g.vec_id))
-    assert hits / (10 * len(asked)) >= 0.9
+        hits, asked = hits + len(set(ids[np.lexsort((ids, d))[:k]]) & set(g.vec_id)), asked + k
+    return hits / asked
+
+
+@pytest.mark.parametrize("how", [{}, {"block": 37, "part": 5, "sample": 500}])
+def test_nearest(vectors, plain, how):
+    ids, x = plain
+    got = ann.nearest(vectors, "id % 100 = 0", **how).toPandas()
+    assert sorted(set(got.query_id)) == [i for i in ids if i % 100 == 0]
+    assert recall_of(got, ids, x) >= 0.9
+
+
+def share(df, queries, rows):
+    _, asked, asks, _ = ann.candidates(df, queries)
+    seen = sum(len(np.unique(np.frombuffer(b"".join(r["places"]), np.uint16))) for r in asks.collect())
+    return seen / asked.count() / rows
+
+
+def test_candidates_become_a_smaller_share(spark):
+    rng = np.random.default_rng(0)
+    shares = []
+    for n in (2000, 8000):
+        x = np.repeat(rng.standard_normal((n // 50, 24)), 50, 0) + 0.25 * rng.standard_normal((n, 24))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        assert recall_of(ann.nearest(df, "id % 100 = 0").toPandas(), np.arange(n), x) >= 0.9
+        shares.append(share(df, "id % 100 = 0", n))
+    assert shares[1] < 0.5 * shares[0] and shares[1] < 0.2
+
+
+def test_queue_follows_margins():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((900, 8))
+    forest = ann.Forest(x, 5, 4)
+    for q in x[:20]:
+        cost = forest.margins(q)
+        taken = forest.opened(q, 30)
+        assert [cost[t, leaf] for t, leaf in taken] == sorted(cost.ravel())[:30]
+        assert all((t, leaf) in taken for t, leaf in enumerate(forest.leaves(q[None])[0]))
 
 
 def test_nearest_few(spark):
@@ -48,6 +79,18 @@ def test_nearest_few(spark):
     got = [tuple(r)[:3] for r in ann.nearest(few, "id % 100 = 0").orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 100), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
     assert ann.nearest(few.limit(0), "id % 100 = 0").count() == 0
+    one = ann.nearest(few.limit(1), "id % 100 = 0")
+    assert one.count() == 0 and one.columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_repeated_query_rows_are_one_query(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 6)))]
+    once = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 100 = 0").collect()
+    twice = ann.nearest(spark.createDataFrame([*rows, rows[0], rows[100], rows[0]], "vec_id long, embedding array<double>"), "id % 100 = 0").collect()
+    assert sorted(r for r in once if r["query_id"] == 200)[:1] == sorted(r for r in twice if r["query_id"] == 200)[:1]
+    assert len(twice) == len(once) == 30 and len({(r["query_id"], r["rank"]) for r in twice}) == 30
+    assert len({r["vec_id"] for r in twice if r["query_id"] == 0}) == 10
 
 
 def test_embedding_duplicates(vectors, plain):

@@ -1,14 +1,20 @@
 """Approximate nearest neighbours: a forest of random-projection trees behind one priority queue, then exact reranking.
 
-The forest is fitted on a bounded sample (``sample`` rows, those with the smallest hash of their id), so what is
-broadcast has a fixed size: trees x leaves x dimensions. Every row is indexed: each tree sends it to one leaf. A query
-keeps one priority queue over all trees; the branch with the smallest margin so far is opened next, until ``visits``
-leaves are open. Rows that share an open leaf with the query in any tree are candidates, and their distance is taken
-exactly on the original vectors, in double precision.
-
-Queries travel in blocks of at most ``block`` rows to blocks of indexed rows; a block returns its own nearest only,
-so what is shuffled is a few rows a query and block. Only the forest and one block of queries are in memory with a
-block of rows.
+The forest is fitted on a bounded sample (``sample`` rows, those with the smallest hash of their id): every level of a
+tree has one random direction, every node the median of its sampled rows on it. The depth grows with the number of rows
+until a leaf holds ``leaf`` of them, or four sampled rows. What is broadcast is bounded: trees x depth directions and
+trees x 2^depth medians. Every row is indexed: each tree sends it to one leaf. A query keeps one priority queue over all
+trees; the branch with the smallest margin so far is opened next, until ``visits`` leaves are open. Where ``visits`` is
+not given, it is the number that ``recall`` of the true neighbours within the sample need, measured on some sampled rows.
+
+Search is two joins by equality, and nothing meets everything:
+
+1. Rows are packed into blocks, in the order of the first tree's leaves, and written once. Each block lists, by tree
+   and leaf, the places of its rows. These lists join the leaves that the queries open, on (tree, leaf, salt); a leaf
+   with many lists has several salts.
+2. The places found by all trees for a query in a block are united, and join the block's vectors on (block, part); a
+   block with many queries has several parts. Distances are exact, in double precision, on the original vectors. A
+   block returns a query's ``k`` nearest only.
 """
 
 from __future__ import annotations
@@ -16,65 +22,84 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, stored
+from .common import parallelism, released, stored
+
+FOUND = "query_id long, vec_id long, score double"
 
 
 class Forest:
-    """Complete trees of hyperplanes: node k has children 2k + 1 and 2k + 2; a leaf's number is its place in the last level."""
+    """Complete trees: node k has children 2k + 1 and 2k + 2; a leaf's number is its place in the last level."""
 
-    def __init__(self, x: np.ndarray, trees: int, leaf: int, seed: int = 7) -> None:
+    def __init__(self, x: np.ndarray, trees: int, depth: int, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        self.depth = max(0, int(np.ceil(np.log2(max(1, len(x)) / leaf))))
-        self.normal = np.zeros((trees, (1 << self.depth) - 1, x.shape[1]))
-        self.offset = np.zeros((trees, (1 << self.depth) - 1))
+        self.trees, self.depth = trees, depth
+        self.direction = rng.standard_normal((trees, depth, x.shape[1]))
+        self.direction /= np.linalg.norm(self.direction, axis=2, keepdims=True)
+        self.median = np.zeros((trees, (1 << depth) - 1))
         for t in range(trees):
-            parts = {0: np.arange(len(x))}
-            for node in range((1 << self.depth) - 1):
-                rows = parts.pop(node)
-                w = rng.standard_normal(x.shape[1])
-                w /= np.linalg.norm(w)
-                p = x[rows] @ w
-                cut = float(np.median(p)) if len(p) else 0.0
-                self.normal[t, node], self.offset[t, node] = w, cut
-                parts[2 * node + 1], parts[2 * node + 2] = rows[p < cut], rows[p >= cut]
+            parts = [np.arange(len(x))]
+            for level in range(depth):
+                p = self.along(x, t, level)
+                cuts = np.array([np.median(p[rows]) if len(rows) else 0.0 for rows in parts])
+                self.median[t, (1 << level) - 1 : (2 << level) - 1] = cuts
+                parts = [side for rows, cut in zip(parts, cuts, strict=True) for side in (rows[p[rows] < cut], rows[p[rows] >= cut])]
+
+    def along(self, x: np.ndarray, tree: int, level: int) -> np.ndarray:
+        """Not a matrix product: its last digits would depend on the number of rows, and a copy could reach another leaf."""
+        return (x * self.direction[tree, level]).sum(1)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each row in each tree."""
-        out = np.zeros((len(x), len(self.normal)), np.int32)
-        for t in range(len(self.normal)):
+        out = np.zeros((len(x), self.trees), np.int32)
+        for t in range(self.trees):
             node = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                node = 2 * node + 1 + ((x * self.normal[t, node]).sum(1) >= self.offset[t, node])
+            for level in range(self.depth):
+                node = 2 * node + 1 + (self.along(x, t, level) >= self.median[t, node])
             out[:, t] = node - ((1 << self.depth) - 1)
         return out
 
-    def opened(self, q: np.ndarray, visits: int) -> np.ndarray:
-        """(tree, leaf) flags of the ``visits`` leaves with the smallest margins over all trees together."""
-        inner, trees = self.normal.shape[1], len(self.normal)
-        out = np.zeros((trees, inner + 1), bool)
-        if not self.depth:
-            out[:] = True
-            return out
-        margin = (self.normal @ q - self.offset).tolist()
-        queue = [(0.0, t, 0) for t in range(trees)]
-        while queue and visits:
-            worst, t, node = heapq.heappop(queue)
+    def opened(self, q: np.ndarray, visits: int) -> list[tuple[int, int]]:
+        """The ``visits`` (tree, leaf) with the smallest margins over all trees together, in the order of the queue."""
+        place = (self.direction * q).sum(2).tolist()
+        inner = (1 << self.depth) - 1
+        queue = [(0.0, t, 0, 0) for t in range(self.trees)]
+        out: list[tuple[int, int]] = []
+        while queue and len(out) < visits:
+            worst, t, node, level = heapq.heappop(queue)
             if node >= inner:
-                out[t, node - inner] = True
-                visits -= 1
+                out.append((t, node - inner))
                 continue
-            m = margin[t][node]
-            near = 2 * node + (2 if m >= 0 else 1)
-            far = 4 * node + 3 - near
-            heapq.heappush(queue, (worst, t, near))
-            heapq.heappush(queue, (max(worst, abs(m)), t, far))
+            margin = place[t][level] - self.median[t, node]
+            near = 2 * node + (2 if margin >= 0 else 1)
+            heapq.heappush(queue, (worst, t, near, level + 1))
+            heapq.heappush(queue, (max(worst, abs(margin)), t, 4 * node + 3 - near, level + 1))
         return out
 
+    def margins(self, q: np.ndarray) -> np.ndarray:
+        """(tree, leaf): the margin at which the queue reaches each leaf."""
+        place, cost = (self.direction * q).sum(2), np.zeros((self.trees, 1))
+        for level in range(self.depth):
+            m = place[:, level, None] - self.median[:, (1 << level) - 1 : (2 << level) - 1]
+            cost = np.stack([np.maximum(cost, np.maximum(m, 0)), np.maximum(cost, np.maximum(-m, 0))], 2).reshape(self.trees, -1)
+        return cost
+
+
+def visits_for(forest: Forest, x: np.ndarray, k: int, recall: float, tried: int = 100) -> int:
+    """Leaves to open so that ``recall`` of the ``k`` nearest of ``tried`` rows of ``x``, among ``x``, are reached."""
+    leaf, nth, need = forest.leaves(x), np.arange(forest.trees), []
+    for i in range(min(tried, len(x))):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        near = np.argpartition(d, min(k, len(x) - 1) - 1)[: min(k, len(x) - 1)] if len(x) > 1 else []
+        cost = forest.margins(x[i])
+        level = np.sort(cost, axis=None)
+        need += [int(np.searchsorted(level, cost[nth, leaf[j]].min(), side="right")) for j in near]
+    return max([forest.trees, *([int(np.quantile(need, recall, method="higher"))] if need else [])])
+
 
 def valid(vector: str):
     """Vectors that take part: not null, no null or non-finite component, not zero."""
@@ -89,111 +114,155 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _search(forest, k: int):
+def _first_leaf(forest):
+    """Rows with their leaf in the first tree."""
+
     def run(batches):
         for b in batches:
-            out = {"query_id": [], "vec_id": [], "score": []}
-            for i in range(b.num_rows):
-                ids, rows, asked, vectors, flags = (np.frombuffer(b.column(c)[i].as_py(), t) for c, t in (("ids", np.int64), ("vectors", float), ("q_ids", np.int64), ("q_vectors", float), ("q_open", np.uint8)))
-                rows, vectors, flags = rows.reshape(len(ids), -1), vectors.reshape(len(asked), -1), flags.reshape(len(asked), -1)
-                trees = forest.value
-                leaf = trees.leaves(rows)
-                nth, shape = np.arange(leaf.shape[1]), (leaf.shape[1], 1 << trees.depth)
-                for one, vector, flag in zip(asked, vectors, flags, strict=True):
-                    opened = np.unpackbits(flag, count=shape[0] * shape[1]).reshape(shape)
-                    near = np.flatnonzero(opened[nth, leaf].any(1) & (ids != one))
-                    d = np.sqrt(((rows[near] - vector) ** 2).sum(1))
-                    if len(near) > k:
-                        keep = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                        near, d = near[keep], d[keep]
-                    top = np.lexsort((ids[near], d))[:k]
-                    out["query_id"].append(np.full(len(top), one))
-                    out["vec_id"].append(ids[near][top])
-                    out["score"].append(d[top])
-            yield pa.RecordBatch.from_pydict({c: np.concatenate(v) if v else np.zeros(0, np.int64 if c != "score" else float) for c, v in out.items()})
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(forest.value.leaves(_matrix(b.column(1)))[:, 0])], names=["id", "v", "leaf"])
 
     return run
 
 
-def _opened(forest, visits: int, block: int):
-    """Query blocks with the leaves that each query opens; small blocks of a task are joined up to ``block`` queries."""
-
-    def one(ids, vectors):
-        x = np.concatenate(vectors)
-        flags = [np.packbits(forest.value.opened(q, visits)) for q in x]
-        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (np.concatenate(ids), x, np.stack(flags))], names=["q_ids", "q_vectors", "q_open"])
+def _blocks(size: int):
+    """Rows of a task packed ``size`` to a block: (block, ids, vectors), vectors in the type they came in."""
 
     def run(batches):
+        import hashlib
+
         ids, vectors, have = [], [], 0
+
+        def one():
+            own, x = np.concatenate(ids), np.concatenate(vectors)
+            name = hashlib.blake2b(own.tobytes() + x.tobytes(), digest_size=8).digest()  # the same if the task runs again
+            return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(name, "little", signed=True)], pa.int64()), pa.array([own.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["block", "ids", "vectors"])
+
         for b in batches:
-            for i in range(b.num_rows):
-                own = np.frombuffer(b.column(0)[i].as_py(), np.int64)
-                x = np.frombuffer(b.column(1)[i].as_py()).reshape(len(own), -1)
-                if have and have + len(own) > block:
-                    yield one(ids, vectors)
+            at = 0
+            while at < b.num_rows:
+                part = b.slice(at, size - have)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                ids.append(part.column(0).to_numpy().astype(np.int64))
+                vectors.append(flat.reshape(part.num_rows, -1))
+                have, at = have + part.num_rows, at + part.num_rows
+                if have == size:
+                    yield one()
                     ids, vectors, have = [], [], 0
-                ids.append(own)
-                vectors.append(x)
-                have += len(own)
         if have:
-            yield one(ids, vectors)
+            yield one()
 
     return run
 
 
-def _blocks(size: int, named: tuple[str, str]):
-    """Vectors of a task packed ``size`` to a row, so that a block is one value."""
+def _unpacked(ids: bytes, vectors: bytes, kind) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(ids, np.int64)
+    return own, np.frombuffer(vectors, kind).reshape(len(own), -1).astype(np.float64)
+
+
+def _lists(forest, kind):
+    """(tree, leaf, block, places) of each block."""
 
     def run(batches):
-        ids, vectors, have = [], [], 0
         for b in batches:
-            for at in range(0, b.num_rows, size):
-                part = b.slice(at, size)
-                ids.append(part.column(0).to_numpy().astype(np.int64))
-                vectors.append(_matrix(part.column(1)))
-                have += part.num_rows
-                if have >= size:
-                    yield one(ids, vectors)
-                    ids, vectors, have = [], [], 0
-        if have:
-            yield one(ids, vectors)
+            for block, ids, vectors in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                leaf = forest.value.leaves(_unpacked(ids, vectors, kind)[1])
+                tree, of, places = [], [], []
+                for t in range(leaf.shape[1]):
+                    order = np.argsort(leaf[:, t], kind="stable").astype(np.uint16)
+                    value, first = np.unique(leaf[order, t], return_index=True)
+                    tree.append(np.full(len(value), t, np.int32))
+                    of.append(value)
+                    places += [p.tobytes() for p in np.split(order, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tree)), pa.array(np.concatenate(of)), pa.array(np.full(len(places), block)), pa.array(places, pa.binary())], names=["tree", "leaf", "block", "places"])
+
+    return run
+
+
+def _opened(forest, visits: int):
+    def run(batches):
+        for b in batches:
+            for query, vector in zip(b.column(0).to_pylist(), _matrix(b.column(1)), strict=True):
+                at = np.array(forest.value.opened(vector, visits), np.int32).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(np.full(len(at), query, np.int64))], names=["tree", "leaf", "query_id"])
 
-    def one(ids, vectors):
-        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(vectors).tobytes()], pa.binary())], names=list(named))
+    return run
+
+
+def _nearest(k: int, kind):
+    """Rows of one part of a block, the block's own row (no query) first; then its queries with the places to look at."""
+
+    def run(batches):
+        ids = x = None
+        for b in batches:
+            out = [], [], []
+            for query, own, vectors, vector, places in zip(*(b.column(c).to_pylist() for c in ("query_id", "ids", "vectors", "v", "places")), strict=True):
+                if own is not None:
+                    ids, x = _unpacked(own, vectors, kind)
+                    continue
+                near = np.unique(np.frombuffer(b"".join(places), np.uint16))
+                near = near[ids[near] != query]
+                d = np.sqrt(((x[near] - np.array(vector)) ** 2).sum(1))
+                if len(near) > k:
+                    keep = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                    near, d = near[keep], d[keep]
+                top = np.lexsort((ids[near], d))[:k]
+                for c, v in zip(out, (np.full(len(top), query), ids[near][top], d[top]), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, t), type=a) for c, t, a in zip(out, (np.int64, np.int64, float), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, trees: int = 24, leaf: int = 64, visits: int = 250, sample: int = 16_384, block: int = 4096) -> DataFrame:
+def candidates(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, trees: int = 24, leaf: int = 64, visits: int | None = None, recall: float = 0.95, sample: int = 16_384, block: int = 4096):
+    """What a search looks at: (blocks, queries, asks, type), asks with the places that each query has in each block; None without rows."""
+    context = vectors.sparkSession.sparkContext
+    rows = vectors.filter(valid(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    widths = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").head(1)
+    if not widths:
+        return None
+    width, total = widths[0]
+    rows = rows.filter(F.size("v") == width)
+    kind = np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64
+    rows = rows.select("id", F.col("v").cast("array<float>" if kind == np.float32 else "array<double>").alias("v"))
+    fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    x = _matrix(fitted["v"].combine_chunks())
+    depth = max(0, min(int(np.ceil(np.log2(max(1, total / leaf)))), int(np.log2(max(1, len(x) / 4)))))
+    own = Forest(x, trees, depth)
+    visits = visits or visits_for(own, x, k, recall)
+    forest = context.broadcast(own)
+    plain = "array<float>" if kind == np.float32 else "array<double>"
+    located = rows.mapInArrow(_first_leaf(forest), f"id long, v {plain}, leaf int")
+    # A range of leaves a task: a leaf of many equal vectors is dealt over several by the hash of the id.
+    ordered = located.repartitionByRange(parallelism(vectors.sparkSession), "leaf", F.xxhash64("id")).sortWithinPartitions("leaf")
+    blocks = stored(ordered.select("id", "v").mapInArrow(_blocks(block), "block long, ids binary, vectors binary"), "blocks")
+    asked = stored(rows.filter(queries).groupBy("id").agg(F.min("v").alias("v")), "asked")
+    lists = stored(blocks.mapInArrow(_lists(forest, kind), "tree int, leaf int, block long, places binary"), "lists")
+    salts = lists.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / 1000).alias("salts"))  # trees x leaves rows: bounded by the parameters
+    listed = lists.join(F.broadcast(salts), ["tree", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("block"), "salts")).drop("salts")
+    opened = asked.mapInArrow(_opened(forest, visits), "tree int, leaf int, query_id long")
+    opened = opened.join(F.broadcast(salts), ["tree", "leaf"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    asks = listed.join(opened, ["tree", "leaf", "salt"]).groupBy("block", "query_id").agg(F.collect_list("places").alias("places"))  # at most one list a tree and leaf
+    return blocks, asked, asks, kind
+
+
+def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, part: int = 20_000, **how) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row that the condition ``queries`` picks.
 
-    score is the Euclidean distance; ties go to the smaller id, and a query is no neighbour of itself. Null, zero and
-    non-finite vectors take no part, nor do null ids or vectors of another length than most of the sample; a query
-    with fewer candidates returns them all; a repeated row counts each time; an empty table gives no rows.
+    ``queries`` is a condition on ``id`` and ``v``. score is the Euclidean distance; ties go to the smaller id, and rows
+    with the query's own id are no neighbours of it. Null, zero and non-finite vectors take no part, nor do null ids or
+    vectors of another length than most; a query with fewer candidates returns them all. An id that is asked for
+    several times is one query (of several vectors the smallest); a repeated row counts as a neighbour each time. An
+    empty table gives no rows; other columns are not read. ``how``: see :func:`candidates`.
     """
-    spark = vectors.sparkSession
-    rows = vectors.filter(valid(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    schema = "query_id long, rank int, vec_id long, score double"
-    fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    if not fitted:
-        return spark.createDataFrame([], schema)
-    width = pd.Series([len(r.v) for r in fitted]).mode()[0]
-    rows = rows.filter(F.size("v") == int(width))
-    forest = spark.sparkContext.broadcast(Forest(np.array([r.v for r in fitted if len(r.v) == width]), trees, leaf))
-    asked = rows.filter(queries)
-    tasks = 1 + asked.count() // block
-    packed = asked.mapInArrow(_blocks(block, ("q_ids", "q_vectors")), "q_ids binary, q_vectors binary").repartition(tasks)
-    packed = stored(packed.mapInArrow(_opened(forest, visits, block), "q_ids binary, q_vectors binary, q_open binary"), "queries")
-    indexed = rows.mapInArrow(_blocks(block, ("ids", "vectors")), "ids binary, vectors binary")
-    if packed.count() == 1:  # one block of at most ``block`` queries: its size is bounded by the parameters
-        pairs = indexed.crossJoin(F.broadcast(packed))
-    else:
-        salts = parallelism(spark)
-        numbered = packed.withColumn("number", F.xxhash64("q_ids"))
-        numbers = [r.number for r in numbered.select("number").collect()]
-        left = indexed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts))).withColumn("number", F.explode(F.array(*[F.lit(n) for n in numbers])))
-        right = numbered.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        pairs = left.join(right, ["number", "salt"])
-    found = pairs.select("ids", "vectors", "q_ids", "q_vectors", "q_open").mapInArrow(_search(forest, k), "query_id long, vec_id long, score double")
+    found = candidates(vectors, queries, id_col, vector_col, k, **how)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    blocks, asked, asks, kind = found
+    asks = stored(asks.join(asked, asked["id"] == asks["query_id"]).select("block", "query_id", "v", "places"), "asks")
+    parts = asks.groupBy("block").agg(F.ceil(F.count("*") / part).alias("parts"))
+    dealt = asks.join(parts, "block").select("block", F.pmod(F.xxhash64("query_id"), "parts").alias("part"), "query_id", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("vectors"), F.col("v").cast("array<double>").alias("v"), "places")
+    copies = blocks.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("query_id"), "ids", "vectors", F.lit(None).cast("array<double>").alias("v"), F.lit(None).cast("array<binary>").alias("places"))
+    met = copies.union(dealt).repartition(parallelism(vectors.sparkSession), "block", "part").sortWithinPartitions("block", "part", F.col("query_id").asc_nulls_first())
+    near = met.mapInArrow(released(_nearest(k, kind)), FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
