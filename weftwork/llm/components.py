@@ -2,8 +2,9 @@
 
 Every task first shrinks its own edges to a spanning forest (union-find over the edges of one partition), so a
 clique of n nodes costs at most n - 1 edges a task from then on. The star steps are two partial minimum aggregations
-and joins a round; Spark splits a hub's join partition when it is skewed. Each round is written to the shared folder,
-so a lost executor costs at most one round.
+and joins a round. A hub, a node with many edges, is not joined by its key: the edges have at most twice as many ends as
+``1 / SHARE`` hubs with a share of ``SHARE`` of them, so the hubs' minima are broadcast. Each round is written to the
+shared folder, so a lost executor costs at most one round.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import dropped, stored
 
 EDGE = "src long, dst long"
+#: A node with more than this share of the edges (and more than FEW) is a hub; there are at most 2 / SHARE of them.
+SHARE, FEW = 1e-5, 500
 
 
 class Forest:
@@ -57,14 +60,21 @@ def _shrink(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([forest.root(n) for n in part], pa.int64())], names=["src", "dst"])
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, many: float) -> DataFrame:
+    """``edges`` joined with ``least(src, m, n)`` on src; edges of nodes with n above ``many`` are not shuffled."""
+    hubs = F.broadcast(least.filter(F.col("n") > many).select("src", "m"))  # at most 2 / SHARE rows
+    usual = edges.join(hubs, "src", "left_anti").join(least.filter(F.col("n") <= many).select("src", "m"), "src")
+    return usual.select("src", "dst", "m").union(edges.join(hubs, "src").select("src", "dst", "m"))
+
+
+def _stars(edges: DataFrame, count: int) -> DataFrame:
     """One large-star and one small-star step; edges point from the larger to the smaller id."""
+    many = max(FEW, SHARE * count)
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"))
-    large = both.filter("dst > src").join(least, "src").filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-    small = large.groupBy("src").agg(F.min("dst").alias("m"))
-    moved = large.join(small, "src")
-    out = moved.filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"), F.count("*").alias("n"))
+    large = _with_least(both.filter("dst > src"), least, many).filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
+    small = large.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n"))
+    out = _with_least(large, small, many).filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
     return out.union(small.select("src", F.col("m").alias("dst"))).distinct()
 
 
@@ -74,14 +84,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Null ends and self-loops carry no link; repeated and two-way edges count once; no edges give an empty table.
     """
     now = stored(edges.select("src", "dst").filter("src <> dst").mapInArrow(_shrink, EDGE).distinct(), "edges")
-    mark = None
+    mark, count = None, now.count()
     for _ in range(max_rounds):
-        new = stored(_stars(now), "stars")
+        new = stored(_stars(now, count), "stars")
         total = new.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if mark == tuple(total) or total[0] == 0:
             break
         dropped(now)
-        now, mark = new, tuple(total)
+        now, mark, count = new, tuple(total), total[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return new.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(new.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
