@@ -119,3 +119,32 @@ def test_dense_group_and_empty(spark):
     got = hnsw_dedup.embedding_near_duplicates(df, least_shards=2, block=100).toPandas().sort_values("vec_id")
     assert got.n_links.tolist() == want.tolist() and (got.component_id[:300] == 0).all()
     assert hnsw_dedup.embedding_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_links_of_odd_ids_are_audited_too(spark):
+    rng = np.random.default_rng(5)
+    base = np.repeat(rng.standard_normal((150, 12)), 4, 0)
+    x = base + 0.12 * rng.standard_normal(base.shape)
+    ids = 2 * np.arange(len(x)) + 1
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = hnsw_dedup.embedding_near_duplicates(df, least_shards=2, beam=2, links=2, audit=60, block=50).toPandas().set_index("vec_id")
+    want, have = links.sum(), got.loc[ids, "n_links"].sum()
+    assert 0.9 * want <= have <= want
+
+
+def test_nodes_without_a_path_are_kept_beside_the_graph():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw_dedup.Graph(x, 4, 16)
+    table = graph.layers[-1][1]
+    table[table == 150] = -1
+    if graph.layers[0][0][0] != 150:
+        assert 150 in graph.unreached()
+    table[:] = -1
+    assert len(graph.unreached()) == 199 and hnsw_dedup.audited(graph, x[:50].astype(np.float32), 0.5, 4, 1.0) == 0
+    r, c = hnsw_dedup.products(graph.x, x[:50].astype(np.float32), 0.5)
+    assert set(zip(r, c, strict=True)) == set(zip(*np.nonzero(x[:50] @ x.T >= 0.5), strict=True))

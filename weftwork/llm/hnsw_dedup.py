@@ -1,11 +1,14 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one node with a weight, so copies never multiply. Nodes are dealt to shards of bounded size; each
-shard's graph is built in one task and written to the shared folder. Every block of nodes is then searched in every
-shard (the blocks stream past a graph). A search whose beam holds links only is repeated with a wider beam, and an
-audit of each block against all of the shard's vectors widens all beams until the audited recall is reached. Cosines
-are verified in double precision; links leave a task as weighted counts and as a spanning forest, never as all pairs,
-and the forests are united by connected components.
+shard's graph is built, audited and written in one task. The audit searches a bounded sample (``audit`` nodes of all
+shards and as many of its own, those with the smallest hash of their id) and compares with all products: the shard's
+beam is widened until ``recall`` of the links are found, and a shard where no beam finds them is searched by products.
+Nodes that no path of the graph's lowest layer reaches are kept beside it and compared with every query.
+
+Every block of nodes is then searched in every shard (the blocks stream past a graph). A search whose beam holds links
+only is repeated with a wider beam. Cosines are verified in double precision; links leave a task as weighted counts and
+as a spanning forest per block, never as all pairs, and the forests are united by connected components.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import _matrix, valid
-from .common import parallelism, stored
+from .common import parallelism, released, stored
 from .components import Forest, connected_components
 
 
@@ -146,6 +149,31 @@ class Graph:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 2
 
 
+    def unreached(self) -> np.ndarray:
+        """Nodes to which no path of the lowest layer leads from the first entry point."""
+        table = self.layers[-1][1]
+        seen = np.zeros(len(self.x), bool)
+        front = self.layers[0][0][:1]
+        while len(front):
+            seen[front] = True
+            near = np.unique(table[front])
+            near = near[near >= 0]
+            front = near[~seen[near]]
+        return np.flatnonzero(~seen)
+
+
+def products(x: np.ndarray, q: np.ndarray, limit: float, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs of similarity ``limit`` or more by all products with ``x`` (or its rows ``among``), in steps."""
+    out = [np.zeros(0, int)], [np.zeros(0, int)]
+    some = np.arange(len(x)) if among is None else among
+    for at in range(0, len(some), 8192):
+        rows = some[at : at + 8192]
+        r, c = np.nonzero(q @ x[rows].T >= limit)
+        out[0].append(r)
+        out[1].append(rows[c])
+    return np.concatenate(out[0]), np.concatenate(out[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -156,12 +184,31 @@ def _packed(batch: pa.RecordBatch) -> bytes:
     return pickle.dumps((ids, weight, _matrix(batch.column(2)).astype(kind)))
 
 
-def _build(links: int, beam: int):
-    """Rows (id, weight, v, shard) sorted by shard: one graph a shard."""
+def audited(graph: Graph, q: np.ndarray, threshold: float, beam: int, recall: float) -> int:
+    """The beam with which ``recall`` of the links of ``q`` are found; 0 where none does."""
+    key = lambda pairs: pairs[0].astype(np.int64) * len(graph.x) + pairs[1]
+    truth, width = key(products(graph.x, q, threshold)), beam
+    while len(truth):
+        found = np.isin(truth, key(graph.within(q, threshold - 1e-4, width))).mean()
+        if found >= recall:
+            break
+        if width >= len(graph.x):
+            return 0
+        width = min(4 * width, len(graph.x))
+    return width
+
+
+def _build(links: int, beam: int, threshold: float, audit: int, recall: float, tried):
+    """Rows (id, weight, v, shard) sorted by shard: one graph a shard, with its beam and the nodes beside it."""
 
     def graph(shard, parts):
         ids, weight, x = (np.concatenate(c) for c in zip(*(pickle.loads(_packed(p)) for p in parts), strict=True))
-        data = pickle.dumps((ids, weight, x, Graph(_unit(x.astype(np.float64)), links, beam).layers))
+        unit = _unit(x.astype(np.float64))
+        g = Graph(unit, links, beam)
+        own = np.argsort(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:audit]
+        q = np.concatenate([tried.value.get(x.shape[1], unit[:0]), unit[own]]).astype(np.float32)
+        loose = g.unreached()
+        data = pickle.dumps((ids, weight, x, g.layers, audited(g, q, threshold, beam, recall), loose))
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([data], pa.binary())], names=["shard", "data"])
 
     def run(batches):
@@ -195,23 +242,28 @@ def _query_blocks(size: int):
     return run
 
 
-def _search(threshold: float, beam: int, audit: int, recall: float):
+def _search(threshold: float):
     """Rows (slot, shard, kind, data) sorted so that a graph comes before its blocks. Out: (0, id, links) and (1, id, id)."""
 
-    def found(graph, ids, x, q, q_unit, width):
-        r, c = graph.within(q_unit.astype(np.float32), threshold - 1e-4, width)
+    def found(graph, width, loose, x, q):
+        unit = _unit(q).astype(np.float32)
+        r, c = graph.within(unit, threshold - 1e-4, width) if width else products(graph.x, unit, threshold - 1e-4)
+        if width and len(loose):
+            more = products(graph.x, unit, threshold - 1e-4, loose)
+            key = np.unique(np.r_[r * len(x) + c, more[0] * len(x) + more[1]])
+            r, c = key // len(x), key % len(x)
         exact = np.einsum("kd,kd->k", q[r], x[c]) / (np.sqrt((q[r] ** 2).sum(1)) * np.sqrt((x[c] ** 2).sum(1)))
         ok = exact >= threshold
         return r[ok], c[ok]
 
     def run(batches):
-        forest, graph, width, at = Forest(), None, beam, None
+        graph, at = None, None
         for b in batches:
             for shard, kind, data in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 if kind == 0:
                     if at != shard:
-                        at, width = shard, beam
-                        ids, weight, x, layers = pickle.loads(data)
+                        at = shard
+                        ids, weight, x, layers, width, loose = pickle.loads(data)
                         x = x.astype(np.float64)
                         graph = Graph.__new__(Graph)
                         graph.x, graph.layers = np.ascontiguousarray(_unit(x), np.float32), layers
@@ -219,56 +271,50 @@ def _search(threshold: float, beam: int, audit: int, recall: float):
                 if at != shard:  # no vector of this length is in the shard
                     continue
                 q_ids, _, q = pickle.loads(data)
-                q = q.astype(np.float64)
-                unit = _unit(q)
-                tried = np.flatnonzero(q_ids % audit == 0)
-                truth = unit[tried].astype(np.float32) @ graph.x.T >= threshold + 1e-4
-                while True:
-                    r, c = found(graph, ids, x, q, unit, width)
-                    if width >= len(x) or not truth.any():
-                        break
-                    got = np.zeros((len(q), len(x)), bool)
-                    got[r, c] = True
-                    if (got[tried] & truth).sum() >= recall * truth.sum():
-                        break
-                    width = min(4 * width, len(x))
+                r, c = found(graph, width, loose, x, q.astype(np.float64))
                 other = q_ids[r] != ids[c]
                 r, c = r[other], c[other]
                 n = np.bincount(r, weights=weight[c], minlength=len(q)).astype(np.int64)
-                for a, z in zip(q_ids[r].tolist(), ids[c].tolist(), strict=True):
-                    forest.join(a, z)
                 some = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(some.sum(), np.int32)), pa.array(q_ids[some]), pa.array(n[some])], names=["kind", "a", "b"])
-        ends = [(k, forest.root(k)) for k in forest.up if forest.root(k) != k]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(ends), np.int32)), pa.array([e[0] for e in ends], pa.int64()), pa.array([e[1] for e in ends], pa.int64())], names=["kind", "a", "b"])
+                forest = Forest()
+                for left, right in zip(q_ids[r].tolist(), ids[c].tolist(), strict=True):
+                    forest.join(left, right)
+                ends = [(k, root) for k in forest.up if (root := forest.root(k)) != k]
+                kinds = np.r_[np.zeros(some.sum(), np.int32), np.ones(len(ends), np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.r_[q_ids[some], np.array([e[0] for e in ends], np.int64)]), pa.array(np.r_[n[some], np.array([e[1] for e in ends], np.int64)])], names=["kind", "a", "b"])
 
     return run
 
 
-def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, shard_rows: int = 65_536, least_shards: int = 8, links: int = 12, beam: int = 48, block: int = 512, audit: int = 4, recall: float = 1.0) -> DataFrame:
+def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, shard_rows: int = 65_536, least_shards: int = 8, links: int = 12, beam: int = 48, block: int = 512, audit: int = 512, recall: float = 1.0, streamed: int = 262_144) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors``.
 
     Vectors that are null, zero or hold null or non-finite components, and rows with a null id, link with nothing;
     vectors link only with vectors of their own length. Equal vectors (a repeated row too) are linked with each
-    other. A quarter of the queries (those whose id is divisible by ``audit``) is audited in each shard. An empty
-    table gives no rows; other columns are not read.
+    other. At most ``streamed`` vectors pass one copy of a graph in a task. An empty table gives no rows; other columns
+    are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     fine = F.col("vec_id").isNotNull() & valid("v")
     nodes = stored(rows.filter(fine).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).select("id", "weight", "v"), "nodes")
-    shards = max(least_shards, -(-nodes.count() // shard_rows))
+    total = nodes.count()
+    shards = max(least_shards, -(-total // shard_rows))
+    tried: dict[int, list] = {}
+    for r in nodes.orderBy(F.xxhash64("id"), "id").limit(audit).select("v").collect():
+        tried.setdefault(len(r.v), []).append(r.v)
+    tried = spark.sparkContext.broadcast({w: _unit(np.array(v, np.float64)) for w, v in tried.items()})
     width = F.size("v").cast("long")
     dealt = nodes.withColumn("shard", width * 1_000_000 + F.pmod(F.xxhash64("id"), F.lit(shards)))
-    graphs = stored(dealt.repartition(parallelism(spark), "shard").sortWithinPartitions("shard").mapInArrow(_build(links, beam), "shard long, data binary"), "graphs")
-    chunks = max(1, 2 * parallelism(spark) // shards)
+    graphs = stored(dealt.repartition(parallelism(spark), "shard").sortWithinPartitions("shard").mapInArrow(released(_build(links, beam, threshold, audit, recall, tried)), "shard long, data binary"), "graphs")
+    chunks = max(2, 2 * parallelism(spark) // shards, -(-total // streamed))
     slot = F.xxhash64("shard", "chunk")
     blocks = nodes.mapInArrow(_query_blocks(block), "width int, data binary")
     blocks = blocks.withColumn("chunk", F.pmod(F.xxhash64("data"), F.lit(chunks))).withColumn("one", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     blocks = blocks.withColumn("shard", F.col("width").cast("long") * 1_000_000 + F.col("one")).select(slot.alias("slot"), "shard", F.lit(1).alias("kind"), "data")
     copies = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))).select(slot.alias("slot"), "shard", F.lit(0).alias("kind"), "data")
     ready = copies.union(blocks).repartition(max(2 * shards * chunks, parallelism(spark)), "slot").sortWithinPartitions("slot", "shard", "kind")
-    hits = stored(ready.mapInArrow(_search(threshold, beam, audit, recall), "kind int, a long, b long"), "hits")
+    hits = stored(ready.mapInArrow(released(_search(threshold)), "kind int, a long, b long"), "hits")
     counts = hits.filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     members = connected_components(hits.filter("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     placed = nodes.join(counts, "id", "left").join(members, members.node == nodes.id, "left")
