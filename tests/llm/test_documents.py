@@ -134,6 +134,29 @@ def test_substrings_of_few_words(spark, window, gram):
     assert got == direct_removal(docs, window)
 
 
+def test_suffix_tree_against_plain_order():
+    rnd = np.random.default_rng(4)
+    for depth in (1, 2, 3, 5, 8, 13):
+        text = rnd.integers(0, 3, 200)
+        at = rnd.permutation(200 - depth)[:120]
+        order, lcp = substring_dedup.suffix_tree(text, at, depth)
+        cut = [tuple(text[i : i + depth]) for i in at[order]]
+        assert cut == sorted(cut)
+        same = lambda a, b: next((k for k in range(depth) if a[k] != b[k]), depth)
+        assert lcp.tolist() == [0] + [same(a, b) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def test_many_rows_of_one_id_stay_linear(spark):
+    rnd = random.Random(7)
+    text = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(300))
+    df = spark.createDataFrame([(1, text)] * 300 + [(2, "x " + text)], "doc_id long, text string").repartition(6)
+    keyed = substring_dedup._keyed(df, "doc_id", "text")
+    sizes = {r["k1"]: len(r["marks"]) for r in substring_dedup.repeat_marks(keyed, "text").collect()}
+    assert max(sizes.values()) <= 300
+    got = [tuple(r) for r in substring_dedup.removal_report(df).collect()]
+    assert len(got) == 301 and {g[:3] for g in got} == {(1, 300, 300), (2, 301, 300)}
+
+
 def test_substring_edges(edge_docs, no_docs):
     got = [tuple(r) for r in substring_dedup.removal_report(edge_docs).collect()]
     empty = hashlib.sha256(b"").hexdigest()

@@ -1,20 +1,22 @@
 """Exact removal of repeated word windows by prefix-partitioned suffix trees.
 
-A suffix starts at each word and is cut at the window's length. Its prefix up to and including its anchor (the
-``gram``-word group with the smallest hash among those in the window, leftmost first) has a length that follows from
-the content, so equal windows have equal prefixes and meet in one group. Neighbouring suffixes share anchors and
-travel as one run of words. Steps:
+A suffix starts at each word and is cut at the window's length. Suffixes are split into groups by a prefix of variable
+length: the ``gram`` words of its anchor (the ``gram``-word group with the smallest hash among those in the window,
+leftmost first) or, where more than ``hot`` runs share these, the whole window. Equal windows have the same anchor and
+meet in one group. A row per suffix would send each word 35 times; neighbouring suffixes share an anchor, so they travel
+as one run of words, and the words of a suffix before its anchor stand in its run instead of in the key. Steps:
 
 1. One scan writes the runs: (anchor hash, document, first suffix, number of suffixes), about one per 14 words.
-2. Anchors that occur once are leaves; their suffixes repeat nowhere and need no text. For the others, the words of
-   the runs are sent to the anchor's group. An anchor with more than ``hot`` runs would make a group beyond memory:
-   its suffixes get the longest prefix, the whole window, and each task first merges the equal ones that it has.
-3. A task builds the levels of each group's tree by naming (doubling the depth until the window's length). Nodes at
-   full depth with two or more leaves are the repeats; leaves are compared word by word with their node, so that a
-   hash never decides.
+2. Anchors are counted. One that occurs once is a leaf; its suffixes repeat nowhere and need no text. For the others, the
+   words of the runs are sent to the anchor's group. An anchor with more than ``hot`` runs would make a group beyond
+   memory: its suffixes get the longest prefix, and each task first merges the equal ones that it has.
+3. A task builds the tree of its groups as a suffix array with the lengths of common prefixes (LCP). Internal nodes of
+   depth ``window`` are the stretches of the array whose LCP reaches it; all their leaves repeat. Ranks are exact: words
+   are numbered, and no hash decides.
 4. The marks go back to the documents, which drop the covered words.
 
-Windows are judged on the input. Exact for documents of any length: lists gathered per document are bounded by it.
+Windows are judged on the input. Exact for documents of any length: sets gathered per document are bounded by it, and
+repeated rows (same id and text) share one set.
 """
 
 from __future__ import annotations
@@ -174,8 +176,32 @@ def _parts(window: int, most: int = 1 << 17):
     return run
 
 
+def suffix_tree(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes ``at`` of ``text`` (numbers), cut at ``depth``: their order and the LCP of each with the one before.
+
+    Ranks double their length until ``depth``; every suffix must have that many words. Suffixes of one node are
+    neighbours, and a node of depth d is a stretch whose LCPs (but the first) are d or more.
+    """
+    levels, width = [text], 1
+    while width * 2 <= depth:
+        low = levels[-1]
+        pair = low[:-width] * (int(low.max()) + 1) + low[width:]
+        levels.append(np.unique(pair, return_inverse=True)[1].astype(np.int64))
+        width *= 2
+    top, rest = levels[-1], depth - width
+    order = np.lexsort((top[at + rest], top[at]))
+    a, b = at[order[1:]], at[order[:-1]]
+    lcp = np.zeros(len(a), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        for _ in range(2 if k == len(levels) - 1 else 1):
+            fits = lcp + (1 << k) <= depth
+            x, y = a + np.where(fits, lcp, 0), b + np.where(fits, lcp, 0)
+            lcp += np.where(fits & (levels[k][x] == levels[k][y]), 1 << k, 0)
+    return order, np.r_[0, lcp] if len(order) else lcp
+
+
 def _repeats(window: int):
-    """Marks of the suffixes that share a full-depth node. Rows come sorted by key; the last key waits for the next batch."""
+    """Marks of the suffixes below internal nodes of full depth. Rows come sorted by key; the last key waits for the next batch."""
 
     def solve(table: pa.Table):
         keep = table.filter(pa.compute.is_valid(table["words"]))
@@ -192,28 +218,10 @@ def _repeats(window: int):
         row = np.repeat(np.arange(len(n)), n)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         at = begin[row] + nth
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, code), np.uint64, len(code))
-        name = _names(hashes[ids], window)[at]
-        order = np.argsort(name, kind="stable")
-        ordered = name[order]
-        head = np.r_[True, ordered[1:] != ordered[:-1]]
-        node = np.cumsum(head) - 1
-        leaves = np.bincount(node)
-        inner = leaves[node] > 1
-        members = order[inner]
-        lead = order[np.flatnonzero(head)][node[inner]]
-        same = np.ones(len(members), bool)
-        for d in range(window):
-            same &= ids[at[members] + d] == ids[at[lead] + d]
+        order, lcp = suffix_tree(ids, at, window)
+        deep = lcp >= window  # this suffix and the one before it lie below one node of full depth
         repeat = keep["known"].to_numpy(zero_copy_only=False)[row].astype(bool)
-        if same.all():
-            repeat[members] = True
-        else:  # two windows with one name: tell the leaves of these nodes apart by their words
-            groups: dict[tuple, list[int]] = {}
-            for m in members:
-                groups.setdefault((name[m], ids[at[m] : at[m] + window].tobytes()), []).append(m)
-            for g in groups.values():
-                repeat[g] = len(g) > 1 or repeat[g]
+        repeat[order[deep | np.r_[deep[1:], False]]] = True
         hit = np.flatnonzero(repeat)
         if not len(hit):
             return
@@ -259,12 +267,12 @@ def repeat_marks(keyed: DataFrame, text_col: str, window: int = 35, gram: int =
     runs = stored(keyed.select("__k1", "__k2", text.alias("t")).mapInArrow(released(_runs(window, gram)), RUN), "runs")
     # Written first: joined with plain exchanges on both sides, so that Spark can split a very frequent anchor.
     groups = stored(runs.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", (F.col("c") > hot).alias("hot")), "anchors")
-    needed = runs.join(groups, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "h", "hot")).alias("runs"))
+    needed = runs.join(groups, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n", "h", "hot")).alias("runs"))
     having = keyed.join(needed, (keyed["__k1"] == needed["k1"]) & (keyed["__k2"] == needed["k2"]))
     # All columns go in, though four are read: then this exchange of the documents is the one that the last join uses.
     parts = having.select("k1", "k2", text.alias("t"), "runs", *[keyed[c] for c in keyed.columns]).mapInArrow(released(_parts(window)), PART)
     marks = spread(parts, "key").sortWithinPartitions("key").mapInArrow(released(_repeats(window)), MARK)
-    return marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    return marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
 
 
 def _covered(n_words: int, marks, window: int) -> np.ndarray | None:
