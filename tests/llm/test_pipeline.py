@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as P
-from tests.llm.test_documents import WORDS, check_pieces, direct_removal
+from tests.llm.test_documents import WORDS, check_pieces, components, direct_removal
 from weftwork.llm import near_copies, toxicity
 from weftwork.llm.common import stored, table
 
@@ -68,3 +68,27 @@ def test_near_copies_are_decided_on_shingles(spark):
     assert all(top[i] == i for i in range(60))
     assert sum(top[b] == a for a, b in alike) >= 0.92 * len(alike)
     assert top[center] == center and {top[i] for i in range(center + 1, len(docs))} == {center + 1}
+
+
+def test_near_copies_against_all_pairs(spark, sf):
+    docs = table(spark, sf.replace("sf0.001", "sf0.01"), "documents")
+    sets = {r["doc_id"]: shingles(r["text"] or "") for r in docs.select("doc_id", "text").collect()}
+    holders, pairs = {}, set()
+    for k, own in sets.items():
+        for s in own:
+            holders.setdefault(s, []).append(k)
+    for held in holders.values():
+        pairs |= {(a, b) for i, a in enumerate(held) for b in held[i + 1 :]}
+    alike = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = components(sets, alike)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copy_groups(docs).collect()}
+    assert len(alike) > 100 and sum(got[a] == got[b] for a, b in alike) >= 0.9 * len(alike)
+    assert all(want[k] == want[c] for k, c in got.items())  # no group holds documents that links do not tie
+
+
+def test_keys_follow_the_rows():
+    share = 0.1515
+    for rows in (1000, 10**6, 10**9, 10**11):
+        bits, tables = near_copies.keys_for(rows, 0.8)
+        assert rows / 2 ** (12 + bits) <= near_copies.BEHIND
+        assert (1 - near_copies.shared_codeword(share) * (1 - share) ** bits) ** tables <= 0.06

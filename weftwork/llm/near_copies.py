@@ -2,9 +2,10 @@
 
 A similarity of 0.8 (Jaccard, five-word shingles) differs in about 15 of 100 SimHash bits, far beyond two bits of 64.
 So the fingerprint is wider here (``WIDTH`` bits, from one hash per shingle mixed into several words), and pairs meet
-by many keys instead of by a guarantee: each of ``tables`` keys joins a codeword near 23 sampled bits (one to six
-keys, as in :mod:`simhash`) with some more bits exactly. A pair of similarity 0.8 meets with a chance of about 0.95,
-one of 0.9 with 0.99 and more. Pairs that meet are admitted by the whole fingerprint, which travels with the key, and
+by many keys instead of by a guarantee: each key joins a codeword near 23 sampled bits (one to six keys, as in
+:mod:`simhash`) with some more bits exactly. The exact bits grow with the logarithm of the rows, so that the rows behind
+a key do not grow, and the keys with them, so that a pair of similarity 0.8 always meets with a chance of about 0.95
+(one of 0.9 with 0.99 and more); :func:`keys_for` has the rule. Pairs that meet are admitted by the whole fingerprint, which travels with the key, and
 then decided by the exact similarity of their shingle sets.
 
 Rows of equal shingles are one node. Large groups behind one key are tried by spanning forests of their candidates.
@@ -26,7 +27,8 @@ from .simhash import SEED, codewords
 
 LANES = 4
 WIDTH = 64 * LANES
-EXACT_BITS = 8
+#: Rows behind a key that the exact bits aim at, by the rows' number; at least so many exact bits.
+BEHIND, LEAST_BITS = 64, 8
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 NAMES = ["id", *[f"w{k}" for k in range(LANES)]]
 
@@ -86,23 +88,46 @@ def _sets(words: int):
     return run
 
 
+def shared_codeword(share: float) -> float:
+    """Chance that two words of 23 bits have a codeword in common if each bit differs with chance ``share``.
+
+    Words at 2 or fewer bits always do; farther ones by their weights around the codewords, taken from random words.
+    """
+    rng = np.random.default_rng(5)
+    word = rng.integers(0, 1 << 23, 4000)
+    other = word ^ ((rng.random((4000, 23)) < share) @ (1 << np.arange(23)))
+    left, right = ([set() for _ in word] for _ in range(2))
+    for sets, words in ((left, word), (right, other)):
+        for r, c in zip(*codewords(words), strict=True):
+            sets[r].add(int(c))
+    return float(np.mean([bool(a & b) for a, b in zip(left, right, strict=True)]))
+
+
+def keys_for(rows: int, similarity: float, miss: float = 0.05) -> tuple[int, int]:
+    """(exact bits, number of keys): 2^(12 + bits) values for ``rows``, and a chance of ``miss`` that a pair of ``similarity`` never meets."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, rows / BEHIND)))) - 12)
+    meet = shared_codeword(share) * (1 - share) ** bits
+    return bits, max(20, int(np.ceil(np.log(miss) / np.log1p(-meet))))
+
+
 @lru_cache
-def _sampled(tables: int) -> np.ndarray:
+def _sampled(bits: int, tables: int) -> np.ndarray:
     """Bit places of each key: 23 for the codeword, then the exact ones; fixed for all runs."""
     rng = np.random.default_rng(20)
-    return np.stack([rng.permutation(WIDTH)[: 23 + EXACT_BITS] for _ in range(tables)])
+    return np.stack([rng.permutation(WIDTH)[: 23 + bits] for _ in range(tables)])
 
 
-def _keys(tables: int):
+def _keys(exact_bits: int, tables: int):
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
                 wide = np.stack([b.column(1 + k).to_numpy() for k in range(LANES)], 1)
                 bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-                for t, places in enumerate(_sampled(tables)):
+                for t, places in enumerate(_sampled(exact_bits, tables)):
                     word = bits[:, places[:23]] @ (1 << np.arange(23))
-                    exact = bits[:, places[23:]] @ (1 << np.arange(EXACT_BITS))
+                    exact = bits[:, places[23:]] @ (1 << np.arange(exact_bits))
                     rows, code = codewords(word)
                     key = (t << 40) | (exact[rows] << 12) | code
                     yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(b.column(k).to_numpy()[rows]) for k in range(2 + LANES)]], names=["key", *NAMES, "component"])
@@ -205,7 +230,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float)
     return both.groupBy("src", "dst", "part").agg(F.max(ok).alias("ok"))
 
 
-def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 20, turns: int = 2) -> DataFrame:
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, turns: int = 2) -> DataFrame:
     """(doc_id, component_id) for rows with an id: the smallest id reachable over links of ``similarity`` or more.
 
     Null, empty and wordless texts are one group. A link is a pair that meets behind a key, differs in at most as many
@@ -220,9 +245,10 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id is not null")
     prints = stored(rows.mapInArrow(released(_prints(words)), long(*NAMES, "digest")), "wide")
     nodes = stored(prints.groupBy(*same).agg(F.min("id").alias("id")).select(*NAMES, "digest"), "nodes")
+    bits, tables = keys_for(nodes.count(), similarity)
     live, tried = nodes.select(*NAMES, F.col("id").alias("component")), None
     for turn in [*range(turns), None]:
-        keys = spread(live.mapInArrow(released(_keys(tables)), long("key", *NAMES, "component")), "key").sortWithinPartitions("key", "id")
+        keys = spread(live.mapInArrow(released(_keys(bits, tables)), long("key", *NAMES, "component")), "key").sortWithinPartitions("key", "id")
         pairs = keys.mapInArrow(released(_meet(limit, turn)), long("src", "dst", "part")).groupBy("src", "dst").agg(F.max("part").alias("part"))
         if turn is None:
             pairs = pairs.join(tried.select("src", "dst"), ["src", "dst"], "left_anti")
