@@ -17,6 +17,7 @@ from weftwork.llm import license_scan, packing, quality, secret_scan, sentence_p
 from weftwork.llm.common import table
 from weftwork.llm.components import connected_components
 from weftwork.llm.near_copies import one_of_each
+from weftwork.llm.license_templates import TEMPLATES
 from weftwork.llm.queries import tokenizer_path
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -315,22 +316,45 @@ def test_pieces_equal_the_model(spark, edge_docs, no_docs):
     assert sentence_pieces.encoding_report(no_docs, path).count() == 0
 
 
+def scanned(df, path="path"):
+    return {r["doc_id"]: (r["license"], r["how"], r["license_path"]) for r in license_scan.license_scan(df, F.col(path)).collect()}
+
+
 def test_licenses(spark, edge_docs, no_docs):
     rows = [
-        (1, "src/LICENSE", "Released under the MIT License."), (2, "src/a.py", "code " * 100), (3, "src/sub/b.py", "Licensed under the Apache License, Version 2.0.\n" + "more " * 90), (4, "src/sub/c.py", None),
-        (5, "other/d.py", "nothing"), (6, "src/sub/COPYING", "This work is licensed under the GNU General Public License, version 3."), (7, None, "Licensed under CC BY-NC 4.0."), (8, None, ""), (9, "top.py", "x"),
+        (1, "src/LICENSE", "Copyright (c) 2021 Jane Doe\n\n" + dict(TEMPLATES)["MIT"]), (2, "src/a.py", "code " * 100), (3, "src/sub/b.py", "Licensed under the Apache License, Version 2.0.\n" + "more " * 90), (4, "src/sub/c.py", None),
+        (5, "other/d.py", "nothing"), (6, "src/sub/COPYING", "Some words first.\nThis work is licensed under the GNU General Public License, version 3.\n" + "and many more " * 40), (7, None, "Licensed under CC BY-NC 4.0."), (8, None, ""), (9, "top.py", "x"),
+        (10, "deep/er/est/e.py", "# SPDX-License-Identifier: MIT\n" + "code " * 60), (11, "deep/er/est/f.py", "nothing"),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
-    got = {r["doc_id"]: (r["license"], r["how"], r["license_path"]) for r in license_scan.license_scan(df, F.col("path")).collect()}
+    got = scanned(spark.createDataFrame(rows, "doc_id long, path string, text string"))
     assert got == {
         1: ("MIT", "own", "src/LICENSE"), 2: ("MIT", "inherited", "src/LICENSE"), 3: ("Apache-2.0", "own", "src/sub/b.py"), 4: ("GPL-3.0", "inherited", "src/sub/COPYING"),
         5: (None, "none", None), 6: ("GPL-3.0", "own", "src/sub/COPYING"), 7: ("CC-BY-NC-4.0", "own", None), 8: (None, "none", None), 9: (None, "none", None),
+        10: ("MIT", "own", "deep/er/est/e.py"), 11: (None, "none", None),
     }
     assert license_scan.license_scan(edge_docs, F.col("source")).count() == edge_docs.count()
     scan = license_scan.license_scan(no_docs, F.col("path"))
     assert scan.count() == 0 and not re.search("Python|Pandas|Arrow", scan._jdf.queryExecution().executedPlan().toString())
 
 
+def test_each_template_finds_itself(spark, sf):
+    rows = [(i, f"d{i}/x", text) for i, (_, text) in enumerate(TEMPLATES)]
+    rows += [(r[0] + 1000, f"e/{r[0]}", r[1]) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
+    got = scanned(spark.createDataFrame(rows, "doc_id long, path string, text string"))
+    assert [got[i][0] for i in range(len(TEMPLATES))] == [name for name, _ in TEMPLATES]
+
+
+def test_licenses_along_page_urls(spark, sf):
+    """Paths that the data have: hosts and directories of pages, with one licence file planted at a host."""
+    pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"//([^?#]*)", 1).alias("path"), F.lit("plain text").alias("text"))
+    host = pages.first()["path"].split("/")[0]
+    planted = spark.createDataFrame([(-1, f"{host}/LICENSE.txt", dict(TEMPLATES)["ISC"])], "page_id long, path string, text string")
+    got = {r["doc_id"]: r for r in license_scan.license_scan(pages.union(planted), F.col("path"), "page_id").collect()}
+    for r in pages.collect():
+        below = r["path"].startswith(host + "/")
+        assert (got[r["page_id"]]["license"], got[r["page_id"]]["how"]) == (("ISC", "inherited") if below else (None, "none"))
+
+
 def test_quality(spark, sf, edge_docs, no_docs):
     docs = table(spark, sf.replace("sf0.001", "sf0.01"), "documents")
     got = quality.score(docs, quality.fit(docs, sample=1000)).join(table(spark, sf.replace("sf0.001", "sf0.01"), "labels"), "doc_id").toPandas()

@@ -1,46 +1,28 @@
 """Licence scans with Spark SQL functions alone.
 
-Every sentence of a file that speaks of licensing is compared with short licence templates by the cosine of sparse
-TF-IDF vectors; the file's licence is that of its best sentence. A file without one inherits from the licence file
-in the nearest ancestor directory of its path: distinct directories are exploded to their ancestors, joined with the
-directories that hold a licence file, and the deepest match is joined back.
+Every sentence of a text (a header has one or several) and the whole text (a licence file) are compared with licence
+templates by the cosine of sparse TF-IDF vectors; the file's licence is that of the best of them. A file without one
+inherits from the licence file in the nearest ancestor directory of its path: distinct directories are exploded to
+their ancestors, joined with the directories that hold a licence file, and the deepest match is joined back.
 
-Only the templates (a fixed list) and the document frequencies of their terms are broadcast; frequencies count the
-sentences of all files. A term outside the templates weighs as one that was never seen.
+Document frequencies count all files. A term outside the templates weighs as one that was never seen. What is compared
+follows from the limit: without any of a template's leading terms (its heaviest ones, until the rest has a norm below
+the limit) a cosine stays below it, by Cauchy and Schwarz, so texts without any leading term need no comparison.
+Broadcast are the templates' terms with their weights, which a fixed list bounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
+from .license_templates import TEMPLATES
 
-#: (licence, statement): short public notices, one licence may have several.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("Proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited."),
-)
-#: A sentence without any of these is never compared.
-SPEAKS = r"(?i)licen[sc]e|public domain|creative commons|cc[ -]by|permission is hereby|redistribut|all rights reserved"
 SENTENCE = r"\n|(?<=[.!?])[ \t]+(?=[A-Z])"
 TERM = r"[a-z]+(?:-[a-z]+)*|[0-9]+(?:\.[0-9]+)*"
+#: Names of licence files.
+NAMED = r"(?i)(?:^|/)(?:(?:un)?licen[cs]e|copying|notice)[^/]*$"
 
 
 def terms(text: Column) -> Column:
@@ -52,50 +34,62 @@ def _templates(spark: SparkSession, templates) -> DataFrame:
     return rows.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
 
 
-def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", file_words: int = 60, least: float = 0.6, templates=TEMPLATES) -> DataFrame:
+def _weights(rows: DataFrame, templates, least: float) -> tuple[DataFrame, DataFrame, float, list[str]]:
+    """(idf of the templates' terms, unit template vectors, idf of an unseen term, leading terms)."""
+    model = stored(_templates(rows.sparkSession, templates), "templates")
+    vocabulary = model.select("term").distinct()
+    own = rows.select(F.explode(F.array_distinct(terms(F.col("t")))).alias("term"))
+    df = own.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df"))
+    total = rows.count()
+    idf = vocabulary.join(df, "term", "left").select("term", (F.log(F.lit(total + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf"))
+    idf = stored(idf, "idf")
+    vector = model.join(F.broadcast(idf), "term").withColumn("v", (1.0 + F.log("tf")) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("template")))
+    vector = stored(vector.select("template", "license", "term", (F.col("v") / norm).alias("v")), "vectors")
+    rest = F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("template").orderBy(F.desc("v"), "term").rowsBetween(0, Window.unboundedFollowing))
+    leading = vector.withColumn("rest", rest).filter(F.col("rest") >= (least - 1e-6) ** 2).select("term").distinct()
+    most = rows.sparkSession.range(1).select((F.log(F.lit(total + 1.0)) + 1.0)).first()[0]
+    return idf, vector, most, sorted(r["term"] for r in leading.collect())  # at most the templates' terms
+
+
+def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = 0.6, templates=TEMPLATES) -> DataFrame:
     """(doc_id, path, license, how, similarity, license_path) for each row of ``files``.
 
-    how is own (a sentence of its text), inherited (from the licence file of the nearest ancestor directory) or none.
-    A licence file is a text of at most ``file_words`` words with a licence of its own; of several in a directory the
-    smallest path counts. Ties between templates go to the first one. Null texts have no sentences; a null path has
-    no ancestors; repeated rows are each returned; an empty table gives no rows.
+    how is own (a sentence or the whole of its text), inherited (from the licence file of the nearest ancestor
+    directory) or none. A licence file is a text whose whole has a licence, or one with a licence and the name of a
+    licence file; of several in a directory the smallest path counts. Of equal similarities the first template counts,
+    then the whole text, then the first sentence. Null texts are empty; a null path has no ancestors; repeated rows are
+    each returned; an empty table gives no rows.
     """
-    spark = files.sparkSession
     rows = files.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.col(text_col).alias("t"))
-    speaks = F.coalesce(F.col("t").rlike(SPEAKS), F.lit(False))
-    said = rows.filter(speaks).select("doc_id", "path", (F.size(F.split("t", r"\s+")) <= file_words).alias("short"), F.posexplode(F.filter(F.split("t", SENTENCE), lambda s: s.rlike(SPEAKS))).alias("n", "sentence"))
-    # Equal sentences are compared once.
-    words = said.groupBy("sentence").agg(F.count("*").alias("times")).select("sentence", "times", F.explode(terms(F.col("sentence"))).alias("term")).groupBy("sentence", "times", "term").agg(F.count("*").alias("tf"))
-    model = _templates(spark, templates)
-    vocabulary = F.broadcast(model.select("term").distinct())
-    total = said.agg(F.count("*").alias("total"))
-    df = words.join(vocabulary, "term").groupBy("term").agg(F.sum("times").alias("df"))
-    idf = model.select("term").distinct().join(df, "term", "left").crossJoin(total)  # one row for each template term
-    idf = F.broadcast(idf.select("term", (F.log((F.col("total") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf")))
-    weight = lambda c: (F.lit(1.0) + F.log("tf")) * c
-    unseen = F.broadcast(total.select((F.log(F.col("total") + 1.0) + 1.0).alias("most")))
-    w = words.join(idf, "term", "left").crossJoin(unseen).select("sentence", "term", weight(F.coalesce("idf", "most")).alias("w"))
-    m = model.join(idf, "term").select("template", "license", "term", weight(F.col("idf")).alias("v"))
-    m_norm = m.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v_norm"))
-    m = F.broadcast(m.join(m_norm, "template").withColumn("v", F.col("v") / F.col("v_norm")).drop("v_norm"))
-    norm = w.groupBy("sentence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    cosine = w.join(m, "term").groupBy("sentence", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    cosine = cosine.join(norm, "sentence").select("sentence", "template", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
-    best = cosine.groupBy("sentence").agg(F.max(F.struct("similarity", -F.col("template"), "license")).alias("b")).filter(F.col("b.similarity") >= least)
-    own = said.join(best, "sentence").groupBy("doc_id", "path", "short").agg(F.max(F.struct(F.col("b.similarity").alias("similarity"), -F.col("n"), F.col("b.license").alias("license"))).alias("o"))
-    own = own.groupBy("doc_id", "path").agg(F.max("short").alias("short"), F.max("o").alias("o"))
+    idf, vector, most, leading = _weights(rows, templates, least)
+    marks = F.array(*[F.lit(t) for t in leading])
+    held = stored(rows.filter(F.arrays_overlap(terms(F.col("t")), marks)), "speaking")
+    units = held.select("doc_id", "path", F.posexplode(F.concat(F.array("t"), F.split("t", SENTENCE))).alias("n", "unit"))
+    units = units.filter(F.arrays_overlap(terms(F.col("unit")), marks)).withColumn("key", F.sha2("unit", 256))
+    # Equal units are compared once; the first of two counts of a text's terms is within its row.
+    words = units.select("key", "unit").dropDuplicates(["key"]).select("key", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    w = words.join(F.broadcast(idf), "term", "left").select("key", "term", ((1.0 + F.log("tf")) * F.coalesce("idf", F.lit(most))).alias("w"))
+    norm = w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    cosine = w.join(F.broadcast(vector), "term").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    cosine = cosine.join(norm, "key").select("key", "template", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity"))
+    best = cosine.groupBy("key").agg(F.max(F.struct("similarity", -F.col("template"), "license")).alias("b")).filter(F.col("b.similarity") >= least)
+    own = units.join(best, "key").groupBy("doc_id", "path").agg(
+        F.max(F.struct(F.col("b.similarity").alias("similarity"), F.col("b.col2").alias("template"), (-F.col("n")).alias("n"), F.col("b.license").alias("license"))).alias("o"),
+        F.max((F.col("n") == 0) | F.coalesce(F.col("path").rlike(NAMED), F.lit(False))).alias("whole"),
+    )
+    own = stored(own.select("doc_id", "path", "whole", "o.license", "o.similarity"), "own")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
-    held = own.filter("short").withColumn("dir", folder).groupBy("dir").agg(F.min(F.struct("path", F.col("o.license").alias("license"))).alias("f"))
+    files_of = own.filter("whole").withColumn("up", folder).groupBy("up").agg(F.min(F.struct("path", "license")).alias("f"))
     parts = F.split("dir", "/")
     dirs = rows.select(folder.alias("dir")).filter("dir is not null").distinct()
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.when(k > 0, F.array_join(F.slice(parts, F.lit(1), k), "/")).otherwise(F.lit("")).alias("up")))).alias("a"))
     above = above.select("dir", "a.depth", F.col("a.up").alias("up")).filter("depth = 0 or up <> ''")
-    heir = above.join(held.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct("depth", F.struct("f.license", "f.path"))).alias("h")).select("dir", F.col("h.col2").alias("h"))
+    heir = above.join(files_of, "up").groupBy("dir").agg(F.max(F.struct("depth", F.struct("f.license", "f.path"))).alias("h")).select("dir", F.col("h.col2").alias("h"))
     heir = stored(heir, "heirs")  # its size is then known: broadcast when small, else a join whose hot directory Spark can split
-    out = rows.select("doc_id", "path", folder.alias("dir"), speaks.alias("speaks"))
-    spoken = out.filter("speaks").join(own.select(F.col("doc_id").alias("i"), F.col("path").alias("p"), "o"), F.col("doc_id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")), "left").select("doc_id", "path", "dir", "o")
-    silent = out.filter("not speaks").select("doc_id", "path", "dir", F.lit(None).cast(spoken.schema["o"].dataType).alias("o"))
-    joined = spoken.union(silent).join(heir, "dir", "left")
+    mine = own.select(F.col("doc_id").alias("i"), F.col("path").alias("p"), F.struct("license", "similarity").alias("o"))
+    out = rows.select("doc_id", "path", folder.alias("dir"))
+    joined = out.join(mine, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")), "left").join(heir, "dir", "left")
     return joined.select(
         "doc_id", "path",
         F.coalesce("o.license", "h.license").alias("license"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .license_scan import SPEAKS, TEMPLATES, TERM
+from .license_scan import TERM
+from .license_templates import TEMPLATES
 
 OP4 = """
 with recursive v as (select vec_id, embedding::double[] as e from embeddings),
@@ -23,26 +24,28 @@ select w.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coales
 """
 
 _VALUES = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(TEMPLATES))
-_SPEAKS = SPEAKS.replace("'", "''")
 
+#: Every sentence and every whole text against every template: no leading terms here.
 OP3 = f"""
 with t(template, license, body) as (values {_VALUES}),
 model as (select template, license, term, count(*) as tf from (select template, license, unnest(regexp_extract_all(lower(body), '{TERM}')) as term from t) group by all),
 files as (select doc_id, concat_ws('/', source, lang, cast(doc_id as varchar)) as path, concat_ws('/', source, lang) as dir, text from documents),
-cut as (select doc_id, path, len(regexp_split_to_array(text, '\\s+')) <= 60 as short, regexp_split_to_array(regexp_replace(text, '([.!?])[ \t]+([A-Z])', '\\1' || chr(10) || '\\2', 'g'), chr(10)) as parts from files where regexp_matches(text, '{_SPEAKS}')),
-said as (select doc_id, path, short, s as sentence, n from (select doc_id, path, short, unnest(list_filter(parts, lambda x: regexp_matches(x, '{_SPEAKS}'))) as s, unnest(range(0, len(list_filter(parts, lambda x: regexp_matches(x, '{_SPEAKS}'))))) as n from cut)),
-words as (select sentence, times, term, count(*) as tf from (select sentence, times, unnest(regexp_extract_all(lower(sentence), '{TERM}')) as term from (select sentence, count(*) as times from said group by 1)) group by all),
-total as (select count(*) as n from said),
-df as (select term, sum(times) as df from words where term in (select term from model) group by term),
+total as (select count(*) as n from files),
+df as (select term, count(*) as df from (select unnest(list_distinct(regexp_extract_all(lower(text), '{TERM}'))) as term from files) where term in (select term from model) group by term),
 idf as (select term, ln((total.n + 1.0) / (coalesce(df.df, 0) + 1.0)) + 1.0 as idf from (select distinct term from model) left join df using (term), total),
-w as (select sentence, term, (1.0 + ln(tf)) * coalesce(idf.idf, ln(total.n + 1.0) + 1.0) as w from words left join idf using (term), total),
+cut as (select doc_id, path, list_concat([text], string_split(regexp_replace(text, '([.!?])[ \t]+([A-Z])', '\\1' || chr(10) || '\\2', 'g'), chr(10))) as parts from files where text is not null),
+units as (select doc_id, path, unnest(parts) as unit, unnest(range(0, len(parts))) as n from cut),
+words as (select unit, term, count(*) as tf from (select unit, unnest(regexp_extract_all(lower(unit), '{TERM}')) as term from (select distinct unit from units)) group by all),
+w as (select unit, term, (1.0 + ln(tf)) * coalesce(idf.idf, ln(total.n + 1.0) + 1.0) as w from words left join idf using (term), total),
 m as (select template, license, term, (1.0 + ln(tf)) * idf as v from model join idf using (term)),
 mn as (select template, sqrt(sum(v * v)) as norm from m group by template),
-wn as (select sentence, sqrt(sum(w * w)) as norm from w group by sentence),
-cosine as (select w.sentence, m.template, m.license, round(sum(w.w * m.v / mn.norm) / any_value(wn.norm), 6) as similarity from w join m using (term) join mn using (template) join wn on wn.sentence = w.sentence group by 1, 2, 3),
-best as (select * from cosine where similarity >= 0.6 qualify row_number() over (partition by sentence order by similarity desc, template) = 1),
-own as (select doc_id, path, short, license, similarity from said join best using (sentence) qualify row_number() over (partition by doc_id, path order by similarity desc, n, license desc) = 1),
-held as (select regexp_replace(path, '/[^/]*$', '') as up, min(path) as path, arg_min(license, path) as license from own where short group by 1),
+wn as (select unit, sqrt(sum(w * w)) as norm from w group by unit),
+cosine as (select w.unit, m.template, m.license, round(sum(w.w * m.v / mn.norm) / any_value(wn.norm), 6) as similarity from w join m using (term) join mn using (template) join wn on wn.unit = w.unit group by 1, 2, 3),
+best as (select * from cosine where similarity >= 0.6 qualify row_number() over (partition by unit order by similarity desc, template) = 1),
+found as (select doc_id, path, n, template, license, similarity from units join best using (unit)),
+own as (select doc_id, path, license, similarity from found qualify row_number() over (partition by doc_id, path order by similarity desc, template, n) = 1),
+whole as (select distinct doc_id, path from found where n = 0),
+held as (select regexp_replace(path, '/[^/]*$', '') as up, min(path) as path, arg_min(license, path) as license from own join whole using (doc_id, path) group by 1),
 heir as (select d.dir, arg_max(held.license, len(held.up)) as license, arg_max(held.path, len(held.up)) as path from (select distinct dir from files) d join held on d.dir = held.up or starts_with(d.dir, held.up || '/') group by d.dir)
 select f.doc_id, f.path, coalesce(own.license, heir.license) as license, case when own.license is not null then 'own' when heir.license is not null then 'inherited' else 'none' end as how, own.similarity, case when own.license is not null then f.path else heir.path end as license_path from files f left join own on own.doc_id = f.doc_id left join heir on heir.dir = f.dir
 """
