@@ -185,3 +185,41 @@ def test_dialogues(spark, tmp_path):
     path.write_text('[{"conversation_id": "", "id": "x", "utterances": [{"index": 0, "speaker": "USER", "text": " hi "}, {"index": 1, "role": "assistant", "text": "yes"}, {"participant": "customer", "utterance": "."}, {"author": "Customer 2", "content": "soup"}]}]')
     got = io.extract_turns(io.read_dialogues(spark, str(path))).collect()
     assert [(r["conversation_id"], r["turn_index"], r["original_text"]) for r in got] == [("x", 0, "hi"), ("x", 3, "soup")]
+
+
+def test_containment_of_many_and_of_short_surfaces(spark):
+    texts = spark.createDataFrame([(1, "iki Köfte ve su"), (2, "a"), (3, ""), (4, None), (5, "çay, ayran")], "id long, text string")
+    found = spark.createDataFrame([("kofte", 0, "kofte"), ("su", 1, "su"), ("a", 2, "a"), ("ayran", 3, "ayran"), ("cay", 4, "cay")], "item string, position int, surface string")
+    few, many = (sorted(map(tuple, J.mention_join(texts, found, ["id"], most=m).collect())) for m in (100, 2))
+    assert few == many and (2, "a", 2) in many and (1, "su", 1) in many and (5, "cay", 4) in many and (1, "kofte", 0) in many
+
+
+def test_every_category_counts(spark):
+    kinds = spark.range(50_001).selectExpr("concat('kat', lpad(cast(id as string), 6, '0'), 'x') as category")
+    texts = spark.createDataFrame([(1, "bir kat050000x lütfen"), (2, "kat000007x ve kat000003x"), (3, "yok")], "id long, text string")
+    assert sorted(map(tuple, J.extract_category(texts, kinds, ["id"]).collect())) == [(1, "kat050000x"), (2, "kat000003x")]
+
+
+def test_category_aliases(spark):
+    kinds = spark.createDataFrame([("Ana Yemek",), ("Tatlı",)], "category string")
+    texts = spark.createDataFrame([(1, "yemekleriniz ne"), (2, "TATLI var mı, yemek de"), (3, "su")], "id long, text string")
+    assert sorted(map(tuple, J.extract_category(texts, kinds, ["id"]).collect())) == [(1, "Ana Yemek"), (2, "Tatlı")]
+
+
+def test_quantity_patterns(spark):
+    rows = [("3 köfte", 3), ("iki tane köfte", 2), ("köfte istiyorum 4 adet", 4), ("köfte 5", 5), ("bana 6 adet ver", 6), ("köfte lütfen", 1), ("köfte üç", 3), (None, 1)]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", J.extract_quantity(F.col("t"), F.lit("Köfte")).alias("q")).collect()
+    assert [r["q"] for r in sorted(got)] == [q for _, q in rows]
+
+
+def test_fold_repairs_what_was_misread(spark):
+    rows = [("Menü".encode().decode("latin-1"), "menu"), ("Menü", "menu"), ("ÇAY", "cay"), ("", ""), (None, None)]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", X.fold(F.col("t")).alias("f")).collect()
+    assert [r["f"] for r in sorted(got)] == [f for _, f in rows]
+
+
+def test_parser_is_pluggable(spark):
+    df = spark.createDataFrame([("su",)], "text string")
+    assert J.parsed(df, lambda x: x.withColumn("intent", F.lit("add")).withColumn("confidence", F.lit(0.9))).first()["intent"] == "add"
+    with pytest.raises(ValueError):
+        J.parsed(df, lambda x: x.withColumn("intent", F.lit("add")))

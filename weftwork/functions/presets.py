@@ -64,3 +64,9 @@ INFO_TOPICS = (
     Rule("delivery", ("paket servis", "teslimat", "kurye")),
     Rule("location", ("adres", "nerede", "konum")),
 )
+
+# The category that aliases stand for, its aliases (folded), marks of restaurant facts, and grounded intents.
+MAIN_DISH = "ana yemek"
+MAIN_DISH_ALIASES = ("ana yemek", "ana yemekler", "yemek", "yemekler", "yemekleri")
+INFO_MARKERS = ("10:00", "22:00", "nakit", "kredi kartı", "temassız ödeme", "teyit", "Vejetaryen", "demo")
+GROUNDED_INTENTS = ("greeting", "restaurant_info", "menu_question", "recommendation", "price_question", "allergen_question", "add_item", "remove_item", "clear_order", "summarize_order", "confirm_order", "unavailable_item", "off_topic")

@@ -31,9 +31,12 @@ _FROM, _TO, _SEVERAL = _fold_table()
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents: letters up to U+024F by table, combining marks dropped, one-to-many letters spelled out."""
+    """Lower case without accents: letters up to U+024F by table, combining marks dropped, one-to-many letters spelled out.
+
+    UTF-8 text that was read as Latin-1 is repaired first.
+    """
     plain = F.lower(c)
-    full = plain
+    full = F.lower(repair_mojibake(c))
     for ch, spelled in _SEVERAL:
         if ch.lower() == ch:
             full = F.replace(full, F.lit(ch), F.lit(spelled))

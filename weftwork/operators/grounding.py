@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions import presets
-from weftwork.functions.text import contains_any, fold, once, ordered_distinct
+from weftwork.functions.text import contains_any, fold, missing_terms, name_list, once, ordered_distinct, present_terms
+from weftwork.operators.ranking import global_rank
 from weftwork.operators.rules import Rule, first_match
 
 #: Surfaces beyond this many are not broadcast: mentions then meet by the words of the surface.
 MOST_SURFACES = 50_000
 
 
+def small(df: DataFrame, most: int = MOST_SURFACES) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has at most ``most`` rows (counted); otherwise as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def surfaces(dim: DataFrame, item: str = "item_id", name: str = "name", aliases: str | None = None, position: str = "position") -> DataFrame:
     """(item, position, surface): folded names and aliases."""
     names = F.array(F.col(name)) if aliases is None else F.concat(F.array(F.col(name)), F.coalesce(F.col(aliases), F.array().cast("array<string>")))
@@ -23,21 +29,23 @@ def surfaces(dim: DataFrame, item: str = "item_id", name: str = "name", aliases:
 
 
 def mention_join(texts: DataFrame, found: DataFrame, id_cols: Sequence[str], text: str = "text", most: int = MOST_SURFACES) -> DataFrame:
-    """(ids, item, position) for each item with a surface that is a substring of the folded text, once an item.
+    """(ids, item, position) for each item with a surface that is a substring of the folded text, once an item."""
+    folded = texts.select(*id_cols, fold(F.col(text)).alias("__t"))
+    return containing(folded, found, most).groupBy(*id_cols, "item").agg(F.min("position").alias("position"))
 
-    Few surfaces are broadcast (their number is checked). More meet by their first four characters, which every text
-    holding the surface also holds at some place.
+
+def containing(folded: DataFrame, found: DataFrame, most: int = MOST_SURFACES) -> DataFrame:
+    """Rows of ``folded`` (text: __t) with those of ``found`` whose surface, not empty, the text contains.
+
+    Few surfaces are broadcast (their number is checked). More meet by an equal key, the first four characters of the
+    surface or all of a shorter one, which every text holding the surface also holds at some place; none is left out.
     """
-    folded = texts.select(*id_cols, fold(F.col(text)).alias("__t"))
     if found.limit(most + 1).count() <= most:
-        hits = folded.join(F.broadcast(found), F.col("__t").contains(F.col("surface")))
-    else:
-        gram = 4
-        short, long = found.filter(F.length("surface") < gram), found.filter(F.length("surface") >= gram).withColumn("__g", F.substring("surface", 1, gram))
-        grams = folded.withColumn("__g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__t") - gram + 1, F.lit(1))), lambda i: F.substring("__t", i, F.lit(gram))))))
-        hits = grams.join(long, "__g").filter(F.col("__t").contains(F.col("surface"))).select(*id_cols, "__t", "item", "position", "surface")
-        hits = hits.unionByName(folded.join(short, F.col("__t").contains(F.col("surface"))))
-    return hits.groupBy(*id_cols, "item").agg(F.min("position").alias("position"))
+        return folded.join(F.broadcast(found), F.col("__t").contains(F.col("surface")))
+    keyed = found.withColumn("__g", F.substring("surface", 1, 4))
+    place = F.sequence(F.lit(1), F.greatest(F.length("__t"), F.lit(1)))
+    keys = F.flatten(F.transform(place, lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(F.col("__t"), i, n))))
+    return folded.withColumn("__g", F.explode(F.array_distinct(keys))).join(keyed, "__g").filter(F.col("__t").contains(F.col("surface"))).drop("__g")
 
 
 def first_mention(mentions: DataFrame, id_cols: Sequence[str]) -> DataFrame:
@@ -63,13 +71,18 @@ def require_member(df: DataFrame, dim: DataFrame, col: str, dim_col: str, member
 
 def extract_quantity(text: Column, surface: Column) -> Column:
     """A number (digits or a word) next to the surface: before it, after it with a unit, right after it, anywhere with a unit; else 1."""
-    return once(F.struct(fold(text).alias("t"), F.concat(F.lit(r"\Q"), fold(surface), F.lit(r"\E")).alias("s")), lambda x: _quantity(x["t"], x["s"]))
+    marked = lambda x: F.struct(x["t"].alias("t"), F.replace(x["t"], x["s"], F.lit(_MARK)).alias("m"))
+    return once(once(F.struct(fold(text).alias("t"), fold(surface).alias("s")), marked), lambda x: _quantity(x["t"], x["m"]))
 
 
-def _quantity(t: Column, s: Column) -> Column:
+#: Stands for the surface, so that the patterns are constant and compiled once.
+_MARK = "\x01"
+
+
+def _quantity(t: Column, m: Column) -> Column:
     number, unit = r"(\d+|bir|iki|uc|dort|bes)", r"\s*(?:x|adet|tane)"
-    patterns = [F.concat(F.lit(number + unit + r"?\s*"), s), F.concat(s, F.lit(r".*?" + number + unit)), F.concat(s, F.lit(r"\s*" + number)), F.lit(number + unit)]
-    found = F.coalesce(*[F.nullif(F.call_function("regexp_extract", t, p, F.lit(1)), F.lit("")) for p in patterns])
+    patterns = [(m, number + unit + r"?\s*" + _MARK), (m, _MARK + r".*?" + number + unit), (m, _MARK + r"\s*" + number), (t, number + unit)]
+    found = F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for c, p in patterns])
     words = F.create_map(*[F.lit(x) for kv in presets.NUMBER_WORDS.items() for x in kv])
     return F.coalesce(F.try_element_at(words, found), found.try_cast("int"), F.lit(1))
 
@@ -127,19 +140,40 @@ def _eval_intent(t: Column, has_item: Column) -> Column:
     return out
 
 
-def unavailable_terms(text: Column, has_item: Column, terms: Sequence[str], markers: Sequence[str]) -> Column:
-    """Known unavailable things that a request without a mention names; a request that names none of them: ['unknown']."""
-    t = fold(text)
-    named = F.filter(F.array(*[F.lit(x) for x in terms]), lambda x: t.contains(fold(x)))
-    asked = ~has_item & contains_any(t, markers)
-    return F.when(asked & (F.size(named) > 0), named).otherwise(F.array().cast("array<string>"))
+def _named(t: Column, terms: Mapping[str, str] | Sequence[str]) -> Column:
+    """Display names of the terms that the folded text holds, in the terms' order, once each."""
+    pairs = terms.items() if isinstance(terms, Mapping) else [(x, x) for x in terms]
+    return F.array_distinct(F.array_compact(F.array(*[F.when(t.contains(fold(F.lit(x))), F.lit(shown)) for x, shown in pairs])))
+
+
+def unavailable_terms(text: Column, has_item: Column, terms: Mapping[str, str] | Sequence[str], markers: Sequence[str]) -> Column:
+    """Names of known unavailable things in a request (a marker) without a mention; empty where it is no such request.
+
+    ``terms`` are folded terms, or terms with the names to show.
+    """
+    return once(fold(text), lambda t: F.when(~has_item & contains_any(t, markers), _named(t, terms)).otherwise(F.array().cast("array<string>")))
+
+
+def unavailable_names(intent: Column, text: Column, has_item: Column, terms: Mapping[str, str] | Sequence[str], unknown: str = "Bilinmeyen ürün") -> Column:
+    """What a row of the intent ``unavailable_item`` asks for: the known things it names, else (without a mention) ``unknown``."""
+    named = once(fold(text), lambda t: _named(t, terms))
+    none = F.array().cast("array<string>")
+    return F.when(intent != "unavailable_item", none).when((F.size(named) == 0) & ~has_item, F.array(F.lit(unknown))).otherwise(named)
 
 
-def extract_category(texts: DataFrame, categories: DataFrame, id_cols: Sequence[str], text: str = "text") -> DataFrame:
-    """``id_cols`` and the first category (in name order) whose folded name the text contains."""
-    c = categories.select(F.col("category"), fold(F.col("category")).alias("__c"))
-    hits = texts.select(*id_cols, fold(F.col(text)).alias("__t")).join(F.broadcast(c.limit(MOST_SURFACES)), F.col("__t").contains(F.col("__c")))
-    return hits.groupBy(*id_cols).agg(F.min("category").alias("category"))
+def extract_category(texts: DataFrame, categories: DataFrame, id_cols: Sequence[str], text: str = "text", aliases: Sequence[str] = presets.MAIN_DISH_ALIASES, alias_of: str = presets.MAIN_DISH) -> DataFrame:
+    """``id_cols`` and the first category (in name order) whose folded name the text contains.
+
+    A text without one that holds one of ``aliases`` has the category whose folded name is ``alias_of``, if there is
+    one; other texts have no row.
+    """
+    named = categories.select("category", fold(F.col("category")).alias("surface")).filter("surface <> ''")
+    other = named.filter(F.col("surface") == alias_of).agg(F.min("category").alias("__other"))
+    folded = texts.select(*id_cols, fold(F.col(text)).alias("__t"))
+    hits = containing(folded, named).select(*id_cols, "category", F.lit(0).alias("__n"))
+    aliased = folded.filter(contains_any(F.col("__t"), aliases)).crossJoin(F.broadcast(other)).filter("__other is not null")  # one row
+    both = hits.unionByName(aliased.select(*id_cols, F.col("__other").alias("category"), F.lit(1).alias("__n")))
+    return both.groupBy(*id_cols).agg(F.min(F.struct("__n", "category")).alias("__c")).select(*id_cols, F.col("__c.category").alias("category"))
 
 
 def route_parsed(df: DataFrame, dim: DataFrame, intent: Column, confidence: Column, item: str, dim_col: str, threshold: float = 0.6) -> DataFrame:
@@ -159,29 +193,149 @@ def extract_terms(name: Column, text: Column, cautions: Sequence[str] = (), reje
     return ordered_distinct(F.array_compact(F.concat(one, prices, F.array(*pick(cautions)) if cautions else F.array().cast("array<string>"), quantity, F.array(*pick(rejections)) if rejections else F.array().cast("array<string>"))))
 
 
-def grounding_terms(intent: Column, name: Column, price: Column, quantity: Column) -> Column:
-    """Struct of must_preserve and must_not_introduce per intent."""
-    priced = F.array(name, F.format_string("%.2f TL", price))
-    preserve = F.when(intent == "add_order", F.concat(F.array(F.format_string("%d x", quantity)), F.array(name))).when(intent == "ask_price", priced).when(intent == "menu_detail", F.array(name)).otherwise(F.array().cast("array<string>"))
-    forbid = F.when(intent.isin("ask_price", "menu_detail"), F.array(F.lit("siparişinize eklendi"))).when(intent == "allergy", F.array(F.lit("kesinlikle güvenli"))).otherwise(F.array().cast("array<string>"))
-    return F.struct(F.array_distinct(F.array_compact(preserve)).alias("must_preserve"), forbid.alias("must_not_introduce"))
-
-
-def render_reply(intent: Column, name: Column, price: Column, quantity: Column) -> Column:
-    """A reply text per intent."""
-    return (
-        F.when(intent == "greeting", "Merhaba, hoş geldiniz.")
-        .when(intent == "thanks", "Rica ederim, afiyet olsun.")
-        .when((intent == "add_order") & name.isNotNull(), F.format_string("%d x %s siparişinize eklendi.", quantity, name))
-        .when((intent == "ask_price") & name.isNotNull(), F.format_string("%s fiyatı %.2f TL.", name, price))
-        .when((intent == "menu_detail") & name.isNotNull(), F.format_string("%s menümüzde var.", name))
-        .when(intent == "allergy", "Alerji konusunda mutfakla teyit edebilirim.")
-        .otherwise("Bu konuda yardımcı olamıyorum.")
+#: Prices in terms.
+PRICE = "%.2f"
+
+
+def _texts(*cols: Column) -> Column:
+    return F.array(*cols) if cols else F.array().cast("array<string>")
+
+
+def _by_intent(intent: Column, table: Mapping[str, Column]) -> Column:
+    out = _texts()
+    for name, value in table.items():
+        out = F.when(intent == name, value).otherwise(out)
+    return out
+
+
+def grounding_terms(intent: Column, canonical: Column, matched: Column, before: Column, after: Column, unavailable: Column, offered: Column | None = None, markers: Sequence[str] = presets.INFO_MARKERS) -> Column:
+    """Struct of must_preserve, must_not_introduce, must_include, forbidden_claims and staff, for all 13 intents.
+
+    ``matched`` holds structs of name and price, ``before`` and ``after`` (the order) of name, quantity and price;
+    ``offered`` names the items that a recommendation may name. must_include, forbidden_claims and staff are the safety
+    part. Terms keep their first place; empty ones are left out.
+    """
+    lit = lambda *words: _texts(*[F.lit(w) for w in words])
+    names = F.transform(matched, lambda m: m["name"])
+    ordered = lambda items, total: F.flatten(F.transform(items, lambda o: F.array(o["name"], o["quantity"].cast("string"), F.format_string(PRICE, o["price"]), *([F.format_string(PRICE, o["price"] * o["quantity"])] if total else []))))
+    gone = F.filter(before, lambda o: ~F.exists(after, lambda x: x["name"] == o["name"]))
+    some = F.size(after) > 0
+    preserve = {
+        "greeting": lit("Merhaba"),
+        "restaurant_info": F.filter(lit(*markers), lambda m: F.contains(canonical, m)),
+        "menu_question": F.when(F.contains(canonical, F.lit("Kategoriler")), lit("Kategoriler")).otherwise(lit("Kategori")),
+        "recommendation": F.concat(lit("Öneri"), F.filter(offered if offered is not None else names, lambda n: F.contains(canonical, n))),
+        "price_question": F.concat(lit("TL"), F.flatten(F.transform(matched, lambda m: F.array(m["name"], F.format_string(PRICE, m["price"]))))),
+        "allergen_question": lit("Alerji", "teyit"),
+        "add_item": F.concat(lit("Ekledim"), names, ordered(after, True)),
+        "remove_item": F.concat(lit("Çıkardım"), names, ordered(gone, False)),
+        "clear_order": lit("temizlendi"),
+        "summarize_order": F.concat(F.when(some, lit("Toplam", "TL")).otherwise(_texts()), ordered(after, True)),
+        "confirm_order": F.concat(F.when(some, lit("Toplam", "MVP/demo")).otherwise(lit("aktif bir siparişiniz görünmüyor", "Önce")), ordered(after, True)),
+        "unavailable_item": F.concat(lit("bulunmuyor"), unavailable),
+        "off_topic": lit("yardımcı olamıyorum"),
+    }
+    unsafe = lit("kesinlikle güvenli", "hiç sorun yok")
+    avoid = {
+        "unavailable_item": F.concat(unavailable, lit("eklendi", "fiyatı", "fiyati", "MVP/demo")),
+        "off_topic": lit("şiir hazırladım", "şiir yazdım", "iste bir siir", "işte bir şiir"),
+        "allergen_question": unsafe,
+    }
+    return F.struct(
+        F.array_distinct(F.filter(_by_intent(intent, preserve), lambda t: t != "")).alias("must_preserve"),
+        _by_intent(intent, avoid).alias("must_not_introduce"),
+        _by_intent(intent, {"allergen_question": lit("Alerji", "teyit"), "off_topic": lit("yardımcı olamıyorum")}).alias("must_include"),
+        _by_intent(intent, {"allergen_question": unsafe}).alias("forbidden_claims"),
+        (intent == "allergen_question").alias("staff"),
     )
 
 
-def ack_text(name: Column, certain: Sequence[str]) -> Column:
-    return F.when(name.isin(*certain), F.concat(name, F.lit(" için isteğinizi aldım."))).otherwise(F.concat(name, F.lit(" için mutfağa sorup bilgi vereyim.")))
+def grounded_errors(intent: Column, message: Column, confidence: Column, canonical: Column, total: Column, source: Column, must_include: Column, must_preserve: Column, demo: Column) -> Column:
+    """All broken invariants of a grounded result, in order; empty if it is sound. Null texts are blank."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    lacks = lambda terms, word: ~F.array_contains(terms, word)
+    allergen = intent == "allergen_question"
+    checks = [
+        (~intent.isin(*presets.GROUNDED_INTENTS), F.concat(F.lit("unsupported intent: "), intent)),
+        (blank(message), F.lit("empty message")),
+        (confidence.isNotNull() & ~confidence.between(0.0, 1.0), F.lit("confidence outside 0 and 1")),
+        (blank(canonical), F.lit("empty response")),
+        (F.coalesce(total < 0, F.lit(False)), F.lit("negative total")),
+        (F.coalesce(source, F.lit("")).rlike(r"^\s*$"), F.lit("empty menu source")),
+        (allergen & lacks(must_include, "Alerji"), F.lit("allergen answer without Alerji")),
+        (allergen & lacks(must_include, "teyit"), F.lit("allergen answer without teyit")),
+        ((intent == "off_topic") & (F.size(must_include) == 0), F.lit("refusal without terms")),
+        ((intent == "confirm_order") & demo & lacks(must_preserve, "MVP/demo"), F.lit("demo confirmation without MVP/demo")),
+    ]
+    return F.array_compact(F.array(*[F.when(condition, message) for condition, message in checks]))
+
+
+def order_terms(items: Column, total: Column) -> Column:
+    """What a paraphrase must keep of an order: names, quantities, unit prices and line totals of its lines, and the total."""
+    each = F.transform(items, lambda o: F.array(F.nullif(F.trim(o["name"]), F.lit("")), o["quantity"].cast("string"), F.format_string(PRICE, o["price"]), F.format_string(PRICE, o["price"] * o["quantity"])))
+    return F.array_compact(F.concat(F.flatten(each), F.array(F.when(total.isNotNull(), F.format_string(PRICE, total)))))
+
+
+def paraphrase_errors(errors: Column, paraphrase: Column, canonical: Column, required: Column, forbidden: Column, allowed: Column) -> Column:
+    """Why a paraphrase is unsafe: the result's own ``errors`` first and alone, then missing and forbidden terms, then a change that is not allowed."""
+    said = lambda prefix, terms: F.transform(terms, lambda t: F.concat(F.lit(prefix), t))
+    changed = F.when(~allowed & (fold(paraphrase) != fold(canonical)), _texts(F.lit("paraphrase not allowed"))).otherwise(_texts())
+    later = F.concat(said("missing: ", missing_terms(paraphrase, required)), said("forbidden: ", present_terms(paraphrase, forbidden)), changed)
+    return F.when(F.size(errors) > 0, errors).otherwise(later)
+
+
+def render_reply(intent: Column, name: Column, price: Column, quantity: Column, facts: Mapping[str, str] | None = None, category: Column | None = None, choices: Column | None = None, categories: Column | None = None, detail: Column | None = None, summary: Column | None = None, hours: str = "") -> Column:
+    """A reply text for each intent of the reply cascade; what a text needs and does not have gives its question instead.
+
+    ``choices`` are the names that a recommendation or a category offers, ``summary`` the order's text.
+    """
+    text = lambda c: F.lit(None).cast("string") if c is None else c
+    several = choices if choices is not None else _texts()
+    category, categories, detail, summary = text(category), categories if categories is not None else _texts(), text(detail), text(summary)
+    missing = lambda topic: F.lit(f"{topic} bu demo ortamında tanımlı değildir. Menü veya siparişle ilgili yardımcı olabilirim.")
+    line = F.format_string("%d x %s", quantity, name)
+    more = F.lit(". Başka bir isteğiniz var mı?")
+    replies = {
+        "greeting": F.lit("Merhaba, hoş geldiniz."),
+        "thanks": F.lit("Rica ederim, afiyet olsun."),
+        "ask_hours": F.lit(f"Çalışma saatlerimiz: {hours}.") if hours else missing("Çalışma saatleri"),
+        "restaurant_info": F.coalesce(text(F.lit((facts or {}).get("name")).cast("string")), missing("Bu bilgi")),
+        "ask_categories": F.when(F.size(categories) > 0, F.concat(F.lit("Kategoriler: "), F.array_join(categories, ", "))).otherwise("Menüde böyle bir bilgi yok."),
+        "recommendation": F.when(category.isNotNull() & (F.size(several) == 0), F.concat(category, F.lit(" için uygun bir önerim yok. Başka bir kategori belirtir misiniz?")))
+        .when(category.isNotNull(), F.concat(category, F.lit(" olarak "), name_list(several), F.lit(" önerebilirim.")))
+        .when(F.size(several) > 0, F.concat(F.lit("Öneri olarak şunları sunabilirim: "), F.array_join(several, ", "), F.lit(".")))
+        .otherwise("Size uygun bir önerim yok. Bir kategori belirtir misiniz?"),
+        "allergy": F.when(name.isNotNull(), F.concat(name, F.lit(" için kayıtlı alerjen bilgisini mutfakla teyit edebilirim."))).otherwise("Alerji konusunda mutfakla teyit edebilirim."),
+        "ask_price": F.when(name.isNotNull(), F.format_string("%s %.2f TL.", name, price)),
+        "ask_ingredient": F.when(name.isNotNull(), F.concat(name, F.lit(": "), F.coalesce(detail, F.lit("İçerik bilgisi bulunamadı.")))),
+        "menu_detail": F.when(name.isNotNull(), F.concat(name, F.lit(": "), F.coalesce(F.concat(detail, F.lit(" ")), F.lit("")), F.format_string("Fiyat: %.2f TL.", price))),
+        "add_order": F.when(name.isNotNull(), F.concat(F.lit("Ekledim: "), line, more)).otherwise("Siparişe eklemek istediğiniz ürünü yazar mısınız?"),
+        "update_order": F.when(name.isNotNull(), F.concat(F.lit("Güncelledim: "), line, more)).otherwise("Hangi ürünün miktarını güncellemek istersiniz?"),
+        "remove_order": F.when(name.isNotNull(), F.concat(F.lit("Çıkardım: "), name, more)).otherwise("Hangi ürünü çıkarmak istersiniz?"),
+        "clear_order": F.lit("Siparişiniz temizlendi."),
+        "summary": F.coalesce(summary, F.lit("Siparişinizde henüz ürün yok.")),
+        "confirm_order": F.coalesce(F.concat(F.lit("Siparişinizi onaylıyorum.\n"), summary, F.lit("\nNot: Bu yalnızca MVP/demo onayıdır; gerçek restoran gönderimi yapılmaz.")), F.lit("Onaylanacak aktif bir siparişiniz görünmüyor. Önce siparişinize bir ürün ekleyebilir misiniz?")),
+        "unavailable_item": F.concat(F.coalesce(name, F.lit("Bu ürün")), F.lit(" menümüzde bulunmuyor.")),
+        "empty": F.lit("Sizi duyamadım, tekrar eder misiniz?"),
+    }
+    out = F.lit("Bu konuda yardımcı olamıyorum. Menü veya siparişle ilgili sorabilir misiniz?")
+    for key, value in replies.items():
+        out = F.when((intent == key) & value.isNotNull(), value).otherwise(out)
+    return out
+
+
+def ack_text(name: Column, uncertain: Column) -> Column:
+    """An acknowledgement; where ``uncertain`` holds, one that promises to ask the kitchen."""
+    return F.concat(name, F.when(uncertain, " için mutfağa sorup bilgi vereyim.").otherwise(" için isteğinizi aldım."))
+
+
+def parsed(df: DataFrame, parser: Callable[[DataFrame], DataFrame], fields: Sequence[str] = ("intent", "confidence")) -> DataFrame:
+    """``df`` through a pluggable parser, which must return all columns of ``df`` and ``fields``."""
+    out = parser(df)
+    lost = [c for c in (*df.columns, *fields) if c not in out.columns]
+    if lost:
+        raise ValueError(f"the parser's rows lack {lost}")
+    return out
 
 
 def route_info(text: Column, facts: dict[str, str], topics: Sequence[Rule] = presets.INFO_TOPICS, missing: str = "Bu bilgi elimde yok.") -> Column:
@@ -193,17 +347,24 @@ def route_info(text: Column, facts: dict[str, str], topics: Sequence[Rule] = pre
 
 def round_robin_join(generated: DataFrame, sources: DataFrame, bucket: str, gen_order: Sequence[Column], src_order: Sequence[Column], fallback: str = "all") -> DataFrame:
     """The k-th generated row of a bucket takes source k mod n of that bucket, or of ``fallback`` when it has none."""
-    g = generated.withColumn("__k", F.row_number().over(Window.partitionBy(bucket).orderBy(*gen_order)) - 1)
-    s = sources.withColumn("__i", F.row_number().over(Window.partitionBy(bucket).orderBy(*src_order)) - 1).withColumnRenamed(bucket, "__b")
+    g = _place(generated, bucket, gen_order, "__k")
+    s = _place(sources, bucket, src_order, "__i").withColumnRenamed(bucket, "__b")
     sizes = F.broadcast(s.groupBy("__b").agg(F.count("*").alias("__n")))  # one row a bucket of the rule table
     own = g.join(sizes, g[bucket] == F.col("__b"), "left").withColumn("__use", F.when(F.col("__n").isNotNull(), F.col(bucket)).otherwise(fallback)).drop("__b", "__n")
     sized = own.join(sizes, F.col("__use") == F.col("__b")).withColumn("__i", F.pmod("__k", "__n")).drop("__b", "__n")
     return sized.join(s, (F.col("__use") == s["__b"]) & (sized["__i"] == s["__i"])).drop("__k", "__i", "__b", "__use")
 
 
+def _place(df: DataFrame, bucket: str, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with the 0-based place of each row in its bucket, by exact global ranks: a bucket is never one task."""
+    ranked = global_rank(df, F.col(bucket).asc_nulls_first(), *order, name="__rank")
+    first = ranked.groupBy(F.col(bucket).alias("__of")).agg(F.min("__rank").alias("__first"))  # one row a bucket of the rule table
+    return ranked.join(F.broadcast(first), F.col(bucket).eqNullSafe(F.col("__of"))).withColumn(name, F.col("__rank") - F.col("__first")).drop("__rank", "__of", "__first")
+
+
 def expand_templates(patterns: DataFrame, *dims: DataFrame) -> DataFrame:
-    """Every pattern with every value of small dimensions, in nesting order of their ordinals; sizes are the lists' own."""
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), dims, patterns)
+    """Every pattern with every value of the dimensions, in nesting order of their ordinals; dimensions of a checked size are broadcast."""
+    return reduce(lambda a, b: a.crossJoin(small(b)), dims, patterns)
 
 
 def shifted_pairs(items: DataFrame, position: str, n: int, shift: int = 5) -> DataFrame:

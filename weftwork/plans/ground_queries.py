@@ -82,6 +82,13 @@ def unavailable_terms(spark: SparkSession, d: str) -> DataFrame:
     return utterances(spark, d).select(*IDS, J.unavailable_terms(text, F.col("l_orderkey") % 2 != 0, ("pizza", "sushi"), ("alabilir",)).alias("terms"))
 
 
+@R.add("select p_partkey, case when p_size % 3 = 0 then [] when p_size % 2 = 0 then case when p_size % 4 = 0 then ['Pizza', 'Suşi'] else ['Suşi'] end when p_partkey % 2 = 0 then ['Bilinmeyen ürün'] else [] end as names from part")
+def unavailable_names(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("bir "), F.when(F.col("p_size") % 4 == 0, "PIZZA ").otherwise(""), F.when(F.col("p_size") % 2 == 0, "Sushi ").otherwise(""), F.lit("var mı"))
+    intent = F.when(F.col("p_size") % 3 == 0, "add_item").otherwise("unavailable_item")
+    return table(spark, d, "part").select("p_partkey", J.unavailable_names(intent, text, F.col("p_partkey") % 2 == 1, {"pizza": "Pizza", "sushi": "Suşi"}).alias("names"))
+
+
 @R.add("select conv_id, turn, case when contains(lower(text), 'tion') then case when p.k is null then 'unknown_item' else 'pass' end when contains(lower(text), 'und') then 'off_topic' else 'low_confidence' end as route from conversations left join (select distinct lower(p_name) as k from part) p on lower(conversations.role) = p.k")
 def route_parsed(spark: SparkSession, d: str) -> DataFrame:
     low = F.lower("text")
@@ -106,8 +113,8 @@ def lookup_item(spark: SparkSession, d: str) -> DataFrame:
 def search_item(spark: SparkSession, d: str) -> DataFrame:
     """Reverse containment: the query inside a name."""
     q = table(spark, d, "part").select(F.split("p_name", " ")[0].alias("q")).distinct()
-    names = items(spark, d).select("name", X.fold(F.col("name")).alias("folded"))
-    return q.join(F.broadcast(names.limit(J.MOST_SURFACES)), F.col("folded").contains(X.fold(F.col("q")))).groupBy("q").agg(F.count("*").alias("hits"), F.min("name").alias("first_name"))
+    names = items(spark, d).select("name", X.fold(F.col("name")).alias("__t"))
+    return J.containing(names, q.select("q", X.fold(F.col("q")).alias("surface"))).groupBy("q").agg(F.count("*").alias("hits"), F.min("name").alias("first_name"))
 
 
 @R.add("select l_orderkey, count(*) as lines, round(sum(p_retailprice * l_quantity), 2) as total from lineitem join part on l_partkey = p_partkey group by l_orderkey")
@@ -140,16 +147,16 @@ def dim_by_tag(spark: SparkSession, d: str) -> DataFrame:
     return hit.orderBy("p_partkey").limit(25).select("p_partkey", "p_name")
 
 
-@R.add("with g as (select p_partkey, 'role_' || cast(p_size % 2 as varchar) as bucket from part where p_partkey <= 500), s as (select conv_id, turn, case when role = 'user' then 'role_0' else 'all' end as bucket from conversations), sn as (select *, row_number() over (partition by bucket order by conv_id, turn) - 1 as i, count(*) over (partition by bucket) as n from s), gn as (select *, row_number() over (partition by bucket order by p_partkey) - 1 as k, case when bucket = 'role_0' then 'role_0' else 'all' end as use from g) select p_partkey, conv_id, turn from gn join sn on use = sn.bucket and k % n = i")
+@R.add("with g as (select p_partkey, 'role_' || cast(p_size % 2 as varchar) as bucket from part), s as (select conv_id, turn, case when role = 'user' then 'role_0' else 'all' end as bucket from conversations), sn as (select *, row_number() over (partition by bucket order by conv_id, turn) - 1 as i, count(*) over (partition by bucket) as n from s), gn as (select *, row_number() over (partition by bucket order by p_partkey) - 1 as k, case when bucket = 'role_0' then 'role_0' else 'all' end as use from g) select p_partkey, conv_id, turn from gn join sn on use = sn.bucket and k % n = i")
 def round_robin_join(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "part").filter("p_partkey <= 500").select("p_partkey", F.concat(F.lit("role_"), (F.col("p_size") % 2).cast("string")).alias("bucket"))
+    g = table(spark, d, "part").select("p_partkey", F.concat(F.lit("role_"), (F.col("p_size") % 2).cast("string")).alias("bucket"))
     s = conversations(spark, d).select("conv_id", "turn", F.when(F.col("role") == "user", "role_0").otherwise("all").alias("bucket"))
     return J.round_robin_join(g, s, "bucket", [F.col("p_partkey")], [F.col("conv_id"), F.col("turn")]).select("p_partkey", "conv_id", "turn")
 
 
-@R.add("select p_partkey, n_nationkey, concat(cast(q as varchar), ' ', p_name, ' ', n_name) as text from part cross join (values (1), (2)) as v(q) cross join nation where p_size <= 3")
+@R.add("select p_partkey, n_nationkey, concat(cast(q as varchar), ' ', p_name, ' ', n_name) as text from part cross join (values (1), (2)) as v(q) cross join nation")
 def template_expand(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").filter("p_size <= 3").select("p_partkey", "p_name")
+    parts = table(spark, d, "part").select("p_partkey", "p_name")
     e = J.expand_templates(parts, spark.createDataFrame([(1,), (2,)], "q int"), table(spark, d, "nation").select("n_nationkey", "n_name"))
     return e.select("p_partkey", "n_nationkey", F.concat(F.col("q").cast("string"), F.lit(" "), "p_name", F.lit(" "), "n_name").alias("text"))
 
@@ -159,45 +166,98 @@ def shifted_pairs(spark: SparkSession, d: str) -> DataFrame:
     return J.shifted_pairs(table(spark, d, "nation").select("n_nationkey"), "n_nationkey", 25).select("n_nationkey", F.col("other_n_nationkey").alias("other"))
 
 
-_PART = {"intent": "case when p_size % 3 = 0 then 'add_order' when p_size % 3 = 1 then 'ask_price' else 'menu_detail' end"}
-
-
-def _part_intents(spark, d):
-    return table(spark, d, "part").withColumn("intent", F.when(F.col("p_size") % 3 == 0, "add_order").when(F.col("p_size") % 3 == 1, "ask_price").otherwise("menu_detail"))
+_INTENTS = ", ".join(f"'{i}'" for i in (*presets.GROUNDED_INTENTS, "dance"))
+_GROUNDED = f"""with g as (select p_partkey, p_name, p_retailprice, p_size, [{_INTENTS}][1 + p_partkey % 14] as intent, case when p_partkey % 17 = 0 then ' ' else 'istek' end as message,
+  case when p_partkey % 11 = 0 then 1.5 when p_partkey % 7 = 0 then null else 0.9 end as confidence,
+  case when p_size % 9 = 0 then '' else concat('Kategoriler: ', p_name, ' 10:00 nakit') end as canonical,
+  case when p_size % 3 = 0 then [] else [{{'name': p_name, 'quantity': p_size, 'price': p_retailprice}}] end as ordered,
+  case when p_size % 2 = 0 then ['Pizza'] else [] end as unavailable from part),
+t as (select *, case intent when 'greeting' then ['Merhaba'] when 'restaurant_info' then list_filter(['10:00', '22:00', 'nakit'], lambda m: contains(canonical, m))
+  when 'menu_question' then [case when contains(canonical, 'Kategoriler') then 'Kategoriler' else 'Kategori' end] when 'recommendation' then list_concat(['Öneri'], list_filter([p_name], lambda n: contains(canonical, n)))
+  when 'price_question' then ['TL', p_name, printf('%.2f', p_retailprice)] when 'allergen_question' then ['Alerji', 'teyit']
+  when 'add_item' then list_concat(['Ekledim', p_name], own) when 'remove_item' then ['Çıkardım', p_name] when 'clear_order' then ['temizlendi']
+  when 'summarize_order' then list_concat(case when len(ordered) > 0 then ['Toplam', 'TL'] else [] end, own)
+  when 'confirm_order' then list_concat(case when len(ordered) > 0 then ['Toplam', 'MVP/demo'] else ['aktif bir siparişiniz görünmüyor', 'Önce'] end, own)
+  when 'unavailable_item' then list_concat(['bulunmuyor'], unavailable) when 'off_topic' then ['yardımcı olamıyorum'] else [] end as terms from
+  (select *, case when len(ordered) > 0 then [p_name, cast(p_size as varchar), printf('%.2f', p_retailprice), printf('%.2f', p_retailprice * p_size)] else [] end as own from g)),
+r as (select *, list_filter(terms, lambda x, i: list_position(terms, x) = i) as must_preserve,
+  case intent when 'unavailable_item' then list_concat(unavailable, ['eklendi', 'fiyatı', 'fiyati', 'MVP/demo']) when 'off_topic' then ['şiir hazırladım', 'şiir yazdım', 'iste bir siir', 'işte bir şiir'] when 'allergen_question' then ['kesinlikle güvenli', 'hiç sorun yok'] else [] end as must_not_introduce,
+  case intent when 'allergen_question' then ['Alerji', 'teyit'] when 'off_topic' then ['yardımcı olamıyorum'] else [] end as safe,
+  intent = 'allergen_question' as staff from t),
+c as (select *, case when p_size % 5 = 0 then list_filter(safe, lambda x: x = 'Alerji') else safe end as must_include, case when p_size % 4 = 0 then [] else must_preserve end as kept, case when p_size % 8 = 0 then -1.0 else p_retailprice end as total, case when p_size % 7 = 0 then ' ' else 'menu' end as source from r),
+e as (select *, list_filter([case when intent = 'dance' then 'unsupported intent: dance' end, case when trim(message) = '' then 'empty message' end, case when confidence > 1 then 'confidence outside 0 and 1' end, case when trim(canonical) = '' then 'empty response' end,
+  case when total < 0 then 'negative total' end, case when trim(source) = '' then 'empty menu source' end, case when intent = 'allergen_question' and not list_contains(must_include, 'Alerji') then 'allergen answer without Alerji' end,
+  case when intent = 'allergen_question' and not list_contains(must_include, 'teyit') then 'allergen answer without teyit' end, case when intent = 'off_topic' and len(must_include) = 0 then 'refusal without terms' end,
+  case when intent = 'confirm_order' and not list_contains(kept, 'MVP/demo') then 'demo confirmation without MVP/demo' end], lambda x: x is not null) as errors from c)
+"""
+
+
+def _grounded(spark, d):
+    """Results of all 13 intents and one that is not supported, from parts; sound and broken ones."""
+    p = table(spark, d, "part")
+    intent = F.element_at(F.array(*[F.lit(i) for i in (*presets.GROUNDED_INTENTS, "dance")]), (F.col("p_partkey") % 14 + 1).cast("int"))
+    ordered = F.array(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("quantity"), F.col("p_retailprice").alias("price")))
+    g = p.select(
+        "p_partkey", "p_name", "p_retailprice", "p_size", intent.alias("intent"), F.when(F.col("p_partkey") % 17 == 0, " ").otherwise("istek").alias("message"),
+        F.when(F.col("p_partkey") % 11 == 0, 1.5).when(F.col("p_partkey") % 7 == 0, None).otherwise(0.9).alias("confidence"),
+        F.when(F.col("p_size") % 9 == 0, "").otherwise(F.concat(F.lit("Kategoriler: "), "p_name", F.lit(" 10:00 nakit"))).alias("canonical"),
+        F.filter(ordered, lambda o: o["quantity"] % 3 != 0).alias("ordered"), F.filter(F.array(F.lit("Pizza")), lambda x: F.col("p_size") % 2 == 0).alias("unavailable"),
+    )
+    matched = F.array(F.struct(F.col("p_name").alias("name"), F.col("p_retailprice").alias("price")))
+    g = g.withColumn("g", J.grounding_terms(F.col("intent"), F.col("canonical"), matched, F.col("ordered"), F.col("ordered"), F.col("unavailable"))).select("*", "g.*")
+    include = F.when(F.col("p_size") % 5 == 0, F.filter("must_include", lambda x: x == "Alerji")).otherwise(F.col("must_include"))
+    kept = F.when(F.col("p_size") % 4 == 0, F.array().cast("array<string>")).otherwise(F.col("must_preserve"))
+    c = g.withColumn("included", include).withColumn("kept", kept).withColumn("total", F.when(F.col("p_size") % 8 == 0, -1.0).otherwise(F.col("p_retailprice"))).withColumn("source", F.when(F.col("p_size") % 7 == 0, " ").otherwise("menu"))
+    return c.withColumn("errors", J.grounded_errors(F.col("intent"), F.col("message"), F.col("confidence"), F.col("canonical"), F.col("total"), F.col("source"), F.col("included"), F.col("kept"), F.lit(True)))
+
+
+@R.add(f"{_GROUNDED} select p_partkey, must_preserve, must_not_introduce, safe as must_include, staff from e")
+def grounding_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _grounded(spark, d).select("p_partkey", "must_preserve", "must_not_introduce", "must_include", "staff")
 
 
-@R.add(f"select p_partkey, case {_PART['intent']} when 'add_order' then [concat(cast(p_size as varchar), ' x'), p_name] when 'ask_price' then [p_name, printf('%.2f TL', p_retailprice)] else [p_name] end as must_preserve, case {_PART['intent']} when 'add_order' then [] else ['siparişinize eklendi'] end as must_not_introduce from part")
-def grounding_terms(spark: SparkSession, d: str) -> DataFrame:
-    g = J.grounding_terms(F.col("intent"), F.col("p_name"), F.col("p_retailprice"), F.col("p_size"))
-    return _part_intents(spark, d).select("p_partkey", g.alias("g")).select("p_partkey", "g.*")
+@R.add(f"{_GROUNDED} select p_partkey, errors from e")
+def validate_grounded(spark: SparkSession, d: str) -> DataFrame:
+    return _grounded(spark, d).select("p_partkey", "errors")
 
 
-@R.add(f"select p_partkey, case {_PART['intent']} when 'add_order' then concat(cast(p_size as varchar), ' x ', p_name, ' siparişinize eklendi.') when 'ask_price' then printf('%s fiyatı %.2f TL.', p_name, p_retailprice) else concat(p_name, ' menümüzde var.') end as reply from part")
+@R.add(f"""{_GROUNDED}, s as (select *, list_concat(kept, must_include, list_concat(own, [printf('%.2f', total)])) as required, case when p_size % 10 = 1 then canonical else concat(array_to_string(list_concat(kept, own), ' '), ' ', printf('%.2f', total), case when p_size % 6 = 1 then ' eklendi kesinlikle güvenli' else '' end) end as said from e)
+select p_partkey, case when len(errors) > 0 then errors else list_concat(list_transform(list_filter(required, lambda x: not contains({folded('said')}, {folded('x')})), lambda x: concat('missing: ', x)), list_transform(list_filter(must_not_introduce, lambda x: contains({folded('said')}, {folded('x')})), lambda x: concat('forbidden: ', x)),
+ case when p_size % 13 = 0 and {folded('said')} <> {folded('canonical')} then ['paraphrase not allowed'] else [] end) end as reasons from s""")
+def paraphrase_safety(spark: SparkSession, d: str) -> DataFrame:
+    own = J.order_terms(F.col("ordered"), F.col("total"))
+    said = F.when(F.col("p_size") % 10 == 1, F.col("canonical")).otherwise(F.concat(F.array_join(F.concat("kept", own), " "), F.when(F.col("p_size") % 6 == 1, " eklendi kesinlikle güvenli").otherwise("")))
+    reasons = J.paraphrase_errors(F.col("errors"), said, F.col("canonical"), F.concat("kept", "included", own), F.col("must_not_introduce"), F.col("p_size") % 13 != 0)
+    return _grounded(spark, d).select("p_partkey", reasons.alias("reasons"))
+
+
+_REPLIES = ("greeting", "thanks", "ask_hours", "restaurant_info", "ask_categories", "recommendation", "allergy", "ask_price", "ask_ingredient", "menu_detail", "add_order", "update_order", "remove_order", "clear_order", "summary", "confirm_order", "unavailable_item", "empty", "fallback")
+_NAMES = ", ".join(f"'{i}'" for i in _REPLIES)
+
+
+@R.add(f"""with x as (select p_partkey, p_retailprice as price, p_size, case when p_size % 2 = 0 then p_name end as name, case when p_size % 3 = 0 then p_type end as category, case when p_size % 5 = 0 then [] else [p_name, p_type] end as choices, case when p_size % 7 = 0 then null else 'Toplam' end as summary, [{_NAMES}][1 + p_partkey % 19] as intent from part)
+select p_partkey, case when intent = 'greeting' then 'Merhaba, hoş geldiniz.' when intent = 'thanks' then 'Rica ederim, afiyet olsun.' when intent = 'ask_hours' then 'Çalışma saatlerimiz: 10:00-22:00.' when intent = 'restaurant_info' then 'Bu bilgi bu demo ortamında tanımlı değildir. Menü veya siparişle ilgili yardımcı olabilirim.'
+ when intent = 'ask_categories' then case when len(choices) > 0 then concat('Kategoriler: ', array_to_string(choices, ', ')) else 'Menüde böyle bir bilgi yok.' end
+ when intent = 'recommendation' then case when category is not null and len(choices) = 0 then concat(category, ' için uygun bir önerim yok. Başka bir kategori belirtir misiniz?') when category is not null then concat(category, ' olarak ', choices[1], ' veya ', choices[2], ' önerebilirim.') when len(choices) > 0 then concat('Öneri olarak şunları sunabilirim: ', array_to_string(choices, ', '), '.') else 'Size uygun bir önerim yok. Bir kategori belirtir misiniz?' end
+ when intent = 'allergy' then case when name is not null then concat(name, ' için kayıtlı alerjen bilgisini mutfakla teyit edebilirim.') else 'Alerji konusunda mutfakla teyit edebilirim.' end
+ when intent = 'ask_price' and name is not null then printf('%s %.2f TL.', name, price) when intent = 'ask_ingredient' and name is not null then concat(name, ': İçerik bilgisi bulunamadı.') when intent = 'menu_detail' and name is not null then printf('%s: Fiyat: %.2f TL.', name, price)
+ when intent = 'add_order' then case when name is not null then concat('Ekledim: ', p_size, ' x ', name, '. Başka bir isteğiniz var mı?') else 'Siparişe eklemek istediğiniz ürünü yazar mısınız?' end
+ when intent = 'update_order' then case when name is not null then concat('Güncelledim: ', p_size, ' x ', name, '. Başka bir isteğiniz var mı?') else 'Hangi ürünün miktarını güncellemek istersiniz?' end
+ when intent = 'remove_order' then case when name is not null then concat('Çıkardım: ', name, '. Başka bir isteğiniz var mı?') else 'Hangi ürünü çıkarmak istersiniz?' end
+ when intent = 'clear_order' then 'Siparişiniz temizlendi.' when intent = 'summary' then coalesce(summary, 'Siparişinizde henüz ürün yok.')
+ when intent = 'confirm_order' then case when summary is not null then concat('Siparişinizi onaylıyorum.', chr(10), summary, chr(10), 'Not: Bu yalnızca MVP/demo onayıdır; gerçek restoran gönderimi yapılmaz.') else 'Onaylanacak aktif bir siparişiniz görünmüyor. Önce siparişinize bir ürün ekleyebilir misiniz?' end
+ when intent = 'unavailable_item' then concat(coalesce(name, 'Bu ürün'), ' menümüzde bulunmuyor.') when intent = 'empty' then 'Sizi duyamadım, tekrar eder misiniz?' else 'Bu konuda yardımcı olamıyorum. Menü veya siparişle ilgili sorabilir misiniz?' end as reply from x""")
 def render_reply(spark: SparkSession, d: str) -> DataFrame:
-    return _part_intents(spark, d).select("p_partkey", J.render_reply(F.col("intent"), F.col("p_name"), F.col("p_retailprice"), F.col("p_size")).alias("reply"))
+    size = F.col("p_size")
+    intent = F.element_at(F.array(*[F.lit(i) for i in _REPLIES]), (F.col("p_partkey") % 19 + 1).cast("int"))
+    choices = F.filter(F.array("p_name", "p_type"), lambda x: size % 5 != 0)
+    reply = J.render_reply(intent, F.when(size % 2 == 0, F.col("p_name")), F.col("p_retailprice"), size, category=F.when(size % 3 == 0, F.col("p_type")), choices=choices, categories=choices, summary=F.when(size % 7 != 0, F.lit("Toplam")), hours="10:00-22:00")
+    return table(spark, d, "part").select("p_partkey", reply.alias("reply"))
 
 
 @R.add("select p_partkey, case when p_name like 'a%' then concat(p_name, ' için isteğinizi aldım.') else concat(p_name, ' için mutfağa sorup bilgi vereyim.') end as text from part")
 def ack_text(spark: SparkSession, d: str) -> DataFrame:
-    name = F.col("p_name")
-    known = F.when(name.startswith("a"), name)
-    return table(spark, d, "part").select("p_partkey", F.when(known.isNotNull(), F.concat(name, F.lit(" için isteğinizi aldım."))).otherwise(J.ack_text(name, ("-",))).alias("text"))
-
-
-_GROUND = f"select l_orderkey, l_linenumber, l_quantity, text, unnest([case when l_quantity > 45 then 'quantity above 45' end, case when not contains({folded('text')}, {folded('p_name')}) then 'name missing' end, case when contains(text, 'x') then 'has x' end]) as error from ({UTT})"
-
-
-@R.add(f"select l_orderkey, l_linenumber, error from ({_GROUND}) where error is not null")
-def validate_grounded(spark: SparkSession, d: str) -> DataFrame:
-    u = utterances(spark, d)
-    checks = [(F.col("l_quantity") > 45, "quantity above 45"), (~X.fold(F.col("text")).contains(X.fold(F.col("p_name"))), "name missing"), (F.col("text").contains("x"), "has x")]
-    return u.select(*IDS, F.explode(G.all_errors(checks)).alias("error"))
-
-
-@R.add(f"select l_orderkey, l_linenumber, case when l_quantity > 45 then ['invalid'] else list_filter([case when not contains(text, cast(cast(l_quantity as int) as varchar)) then 'missing quantity' end, case when contains(text, 'small') then 'forbidden small' end], lambda x: x is not null) end as reasons from ({UTT})")
-def paraphrase_safety(spark: SparkSession, d: str) -> DataFrame:
-    later = G.all_errors([(~F.contains("text", F.col("l_quantity").cast("int").cast("string")), "missing quantity"), (F.col("text").contains("small"), "forbidden small")])
-    return utterances(spark, d).select(*IDS, F.when(F.col("l_quantity") > 45, F.array(F.lit("invalid"))).otherwise(later).alias("reasons"))
+    return table(spark, d, "part").select("p_partkey", J.ack_text(F.col("p_name"), ~F.col("p_name").startswith("a")).alias("text"))
 
 
 # Aggregations over the dimension

@@ -31,10 +31,10 @@ def job_curation(spark: SparkSession, d: str) -> DataFrame:
     return gated.select("conversation_id", "turn_index", "category", "adaptation_status", "skip_reason")
 
 
-@R.add("with g as (select p_partkey, n_nationkey, p_type, concat(p_name, ' ', n_name) as message from part cross join nation where p_size <= 3), q as (select * from (select *, row_number() over (partition by p_type order by p_partkey, n_nationkey) as n from g) where n <= 8), r as (select *, case when p_type like '%BRASS' or p_partkey % 3 = 0 then 'rejected' else 'approved_seed' end as status from q) select printf('mgp_%03d', row_number() over (order by p_partkey, n_nationkey)) as new_id, p_partkey, n_nationkey, message from r where status = 'approved_seed'")
+@R.add("with g as (select p_partkey, n_nationkey, p_type, concat(p_name, ' ', n_name) as message from part cross join nation), q as (select * from (select *, row_number() over (partition by p_type order by p_partkey, n_nationkey) as n from g) where n <= 8), r as (select *, case when p_type like '%BRASS' or p_partkey % 3 = 0 then 'rejected' else 'approved_seed' end as status from q) select printf('mgp_%03d', row_number() over (order by p_partkey, n_nationkey)) as new_id, p_partkey, n_nationkey, message from r where status = 'approved_seed'")
 def job_seed(spark: SparkSession, d: str) -> DataFrame:
     """Templates times items, quotas, a review, and sequential ids for what is approved."""
-    parts = table(spark, d, "part").filter("p_size <= 3").select("p_partkey", "p_name", "p_type")
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
     rows = J.expand_templates(parts, table(spark, d, "nation").select("n_nationkey", "n_name")).withColumn("message", F.concat("p_name", F.lit(" "), "n_name"))
     picked = S.head_per_group(rows, F.col("p_type"), 8, [F.col("p_partkey"), F.col("n_nationkey")])
     reviewed = G.review(picked, [(F.col("p_type").endswith("BRASS") | (F.col("p_partkey") % 3 == 0), "rejected")], "approved_seed", ("approved_seed",))
@@ -59,14 +59,14 @@ def job_sft(spark: SparkSession, d: str) -> DataFrame:
     return split.groupBy("split").agg(F.count("*").alias("records"), F.sum(F.length(F.col("messages")[1]["content"])).alias("chars"))
 
 
-@R.add("with s as (select conv_id, turn, row_number() over (order by conv_id, turn) - 1 as i, count(*) over () as n from conversations where role = 'user' and contains(lower(text), 'tion') and length(text) <= 400), g as (select p_partkey, p_name, row_number() over (order by p_partkey) - 1 as k from part where p_size <= 10), r as (select g.*, s.conv_id, s.turn, row_number() over (order by p_partkey) as rank from g join s on g.k % s.n = s.i) select p_partkey, conv_id, turn, case when rank <= 100 then 'train' when rank <= 120 then 'valid' else 'test' end as split, concat(p_name, ' için mutfağa sorup bilgi vereyim.') as reply from r where rank <= 140")
+@R.add("with s as (select conv_id, turn, row_number() over (order by conv_id, turn) - 1 as i, count(*) over () as n from conversations where role = 'user' and contains(lower(text), 'tion') and length(text) <= 400), g as (select p_partkey, p_name, row_number() over (order by p_partkey) - 1 as k from part), r as (select g.*, s.conv_id, s.turn, row_number() over (order by p_partkey) as rank from g join s on g.k % s.n = s.i) select p_partkey, conv_id, turn, case when rank <= 100 then 'train' when rank <= 120 then 'valid' else 'test' end as split, concat(p_name, ' için mutfağa sorup bilgi vereyim.') as reply from r where rank <= 140")
 def job_targeted_sft(spark: SparkSession, d: str) -> DataFrame:
     """Filtered sources dealt in turn to generated rows, acknowledgement texts, fixed splits."""
     src = conversations(spark, d).filter((F.col("role") == "user") & F.lower("text").contains("tion") & (F.length("text") <= 400)).select("conv_id", "turn", F.lit("all").alias("bucket"))
-    gen = table(spark, d, "part").filter("p_size <= 10").select("p_partkey", "p_name", F.lit("all").alias("bucket"))
+    gen = table(spark, d, "part").select("p_partkey", "p_name", F.lit("all").alias("bucket"))
     dealt = J.round_robin_join(gen, src, "bucket", [F.col("p_partkey")], [F.col("conv_id"), F.col("turn")])
     split = S.split_fixed(dealt.select("p_partkey", "p_name", "conv_id", "turn"), [F.col("p_partkey")], {"train": 100, "valid": 20, "test": 20})
-    return split.select("p_partkey", "conv_id", "turn", "split", J.ack_text(F.col("p_name"), ("-",)).alias("reply"))
+    return split.select("p_partkey", "conv_id", "turn", "split", J.ack_text(F.col("p_name"), F.lit(True)).alias("reply"))
 
 
 @R.add(f"with c as (select doc_id, text, case when trim(text) = '' then 'no text' when n_chars < 50 then 'too short' end as bad from documents), s as (select c.doc_id, case when bad is not null then 'invalid' when l.doc_id is null then 'missing' when contains({folded('text')}, 'tion') then 'passed' else 'failed' end as status from c left join labels l using (doc_id)) select count(*) as total, count(*) filter (status = 'passed') as passed, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'missing') as missing, count(*) filter (status = 'invalid') as invalid, round(100.0 * count(*) filter (status = 'passed') / count(*), 4) as pass_rate from s")
@@ -92,7 +92,7 @@ def job_grounding(spark: SparkSession, d: str) -> DataFrame:
     dim, u = items(spark, d), utterances(spark, d).dropDuplicates([*IDS, "l_partkey", "l_quantity", "text"])
     keys = [*IDS, "l_partkey", "l_quantity"]
     first = J.first_mention(J.mention_join(u, J.surfaces(dim), keys), keys)
-    lines = u.join(first, keys).join(F.broadcast(dim.select(F.col("item_id").alias("item"), "price").limit(J.MOST_SURFACES)), "item")
+    lines = u.join(first, keys).join(dim.select(F.col("item_id").alias("item"), "price"), "item")
     lines = lines.withColumn("quantity", J.extract_quantity(F.col("text"), F.col("item"))).withColumn("intent", J.reply_intent(F.col("text"), F.lit(True)))
     lines = lines.withColumn("errors", G.all_errors([(F.col("quantity") > 45, "quantity above 45")])).filter(X.nonempty(F.col("text"), 1))
     return lines.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum(F.col("price") * F.col("quantity")), 2).alias("total"), F.count_if(F.size("errors") > 0).alias("flagged"))

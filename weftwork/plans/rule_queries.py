@@ -199,11 +199,11 @@ def split_fixed(spark: SparkSession, d: str) -> DataFrame:
     return S.split_fixed(conversations(spark, d).select("conv_id").distinct(), [F.col("conv_id")], {"train": 60, "valid": 15, "test": 15}).select("conv_id", "split")
 
 
-@R.add("with g as (select distinct p_type as category, concat(p_name, '|', n_name) as row_text from part cross join nation where p_size <= 5) select category, row_text from (select *, row_number() over (partition by category order by row_text) as n from g) where n <= 3 and category in (select distinct p_type from part order by 1 limit 2)")
+@R.add("with g as (select distinct p_type as category, concat(p_name, '|', n_name) as row_text from part cross join nation) select category, row_text from (select *, row_number() over (partition by category order by row_text) as n from g) where n <= 3")
 def take_distinct(spark: SparkSession, d: str) -> DataFrame:
-    parts, nations = table(spark, d, "part").filter("p_size <= 5"), table(spark, d, "nation")
+    parts, nations = table(spark, d, "part"), table(spark, d, "nation")
     g = parts.select("p_type", "p_name").distinct().crossJoin(F.broadcast(nations.select("n_name"))).select(F.col("p_type").alias("category"), F.concat("p_name", F.lit("|"), "n_name").alias("row_text"))
-    kinds = [r[0] for r in table(spark, d, "part").select("p_type").distinct().orderBy("p_type").limit(2).collect()]
+    kinds = [r[0] for r in table(spark, d, "part").select("p_type").distinct().collect()]  # the limits table: one row a category
     return S.take_distinct(g, "category", dict.fromkeys(kinds, 3), [F.col("row_text"), F.col("category")], [F.col("row_text")])
 
 

@@ -93,9 +93,9 @@ def term_check(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.missing_terms(F.col("text"), terms).alias("missing"), X.present_terms(F.col("text"), terms).alias("present"))
 
 
-@R.add("select doc_id, list_distinct_ordered as words from (select doc_id, (with recursive t as (select 1) select list(w order by i) from (select w, min(i) as i from (select unnest(string_split(substr(text, 1, 200), ' ')) as w, unnest(range(1, len(string_split(substr(text, 1, 200), ' ')) + 1)) as i) group by w)) as list_distinct_ordered from documents)")
+@R.add("select doc_id, list(w order by i) as words from (select doc_id, w, min(i) as i from (select doc_id, unnest(string_split(text, ' ')) as w, unnest(range(1, len(string_split(text, ' ')) + 1)) as i from documents) group by doc_id, w) group by doc_id")
 def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.ordered_distinct(F.split(F.substring("text", 1, 200), " ")).alias("words"))
+    return table(spark, d, "documents").select("doc_id", X.ordered_distinct(F.split("text", " ")).alias("words"))
 
 
 @R.add(r"select doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '```[a-z]*', '', 'g'), chr(10)), lambda s: trim(regexp_replace(s, '^\s*(?:[-*•]|\d+[.)])\s+', ''))), lambda s: not starts_with(lower(s), 'the ') and s <> ''), ' ') as cleaned from documents")
