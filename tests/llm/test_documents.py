@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -280,6 +281,42 @@ def test_secrets(spark):
     assert "entropy" in found[8] and "entropy" not in found[7] and "entropy" not in found[9]
 
 
+def plain_entropy_spans(text):
+    """Runs of 20 or more key characters with a digit, not allowed, whose peak reaches the limit of their class."""
+    rule, out = secret_scan.Entropy(), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+        s = m[0]
+        if not re.search("[0-9]", s) or re.search(rule.allow, s):
+            continue
+        mixed = all(re.search(p, s) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+        limit = rule.hex_bits if re.fullmatch("[0-9a-fA-F]+", s) else rule.mixed_bits if mixed else rule.other_bits
+        if windows_entropy(s) >= limit - 1e-12:
+            out.append(f"entropy:{m.start()}:{m.end()}")
+    return out
+
+
+def test_entropy_spans_against_a_plain_version(spark):
+    rnd = random.Random(11)
+    kinds = ["abcdef0123456789", "ABCDEFGHabcdefgh0123456789+/", "abcdefghijklmnop-_", "ab1", "xyzuvw0123", "Xx0", "=-_/+9"]
+    texts = []
+    for _ in range(150):
+        runs = ["".join(rnd.choice(rnd.choice(kinds)) if rnd.random() < 0.2 else rnd.choice(k) for _ in range(rnd.randrange(15, 60))) for k in rnd.choices(kinds, k=4)]
+        texts.append(" ".join(runs) + rnd.choice(["", " example1234567890123456789", " https/abc123def456ghi789jkl"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.secret_report(df).collect():
+        assert [s for s in r["spans"].split(",") if s.startswith("entropy")] == plain_entropy_spans(texts[r["doc_id"]]), texts[r["doc_id"]]
+        assert hashlib.sha256(base_spans(texts[r["doc_id"]]).encode()).hexdigest() == r["base_sha256"]
+
+
+def test_very_long_runs(spark):
+    n, rnd = 1_000_000, random.Random(3)
+    texts = {1: "-" * n, 2: "abcd" * (n // 4), 3: "".join(rnd.choices("ABCDEFabcdef123456789+/yz", k=n)), 4: "token" + " " * n, 5: "g" * n + "1", 6: "AKIA" * (n // 4)}
+    start = time.perf_counter()
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: f"hex:0:{n}", 3: f"entropy:0:{n}", 4: "", 5: "", 6: f"access:0:{n}"}
+    assert time.perf_counter() - start < 60
+
+
 def test_incremental_entropy(spark):
     rnd = random.Random(1)
     texts = ["".join(rnd.choice("abcdef0123456789ABC") for _ in range(rnd.randrange(20, 70))) for _ in range(60)] + ["a" * 30, "ab" * 15]
@@ -296,6 +333,8 @@ def test_redaction(spark, edge_docs, no_docs):
     df = spark.createDataFrame([(1, "x password=abcdefgh12 y token: zzzzzzzz"), (2, "clean"), (3, None)], "doc_id long, text string")
     assert {r[0]: r[1] for r in secret_scan.redacted(df).collect()} == {1: "x [SECRET] y [SECRET]", 2: "clean", 3: None}
     assert secret_scan.redacted(edge_docs).exceptAll(edge_docs).count() == 0
+    clash = spark.createDataFrame([("a", "b", "password=abcdefgh12", 1)], "__text string, __base string, text string, __extra int")
+    assert [tuple(r) for r in secret_scan.redacted(clash).collect()] == [("a", "b", "[SECRET]", 1)] and secret_scan.redacted(clash).columns == clash.columns
     assert secret_scan.secret_report(no_docs).count() == 0
 
 
@@ -375,6 +414,39 @@ def test_measures_count_every_word():
     assert quality.measures(signs)[0][at["tail_signs"]] == pytest.approx(2000 / 12000)
 
 
+def test_em_over_patterns_equals_em_over_documents(spark, sf):
+    """A plain expectation-maximisation, document by document, and the scorer's posteriors and scores."""
+    texts = [r["text"] for r in table(spark, sf, "documents").select("text").collect()]
+    cast = [quality.votes(quality.measures(t)[0]) for t in texts]
+    right, prior, post = {0: [0.2] * 11, 1: [0.99] * 11}, 0.8, [0.5] * len(cast)
+    for _ in range(300):
+        new = []
+        for v in cast:
+            odds = math.log(prior) - math.log1p(-prior)
+            for j, x in enumerate(v):
+                if x == 1:
+                    odds += math.log(right[1][j]) - math.log1p(-right[0][j])
+                elif x == 0:
+                    odds += math.log1p(-right[1][j]) - math.log(right[0][j])
+            new.append(1 / (1 + math.exp(-max(-500, min(500, odds)))))
+        for j in range(11):
+            for y, start in ((1, 0.99), (0, 0.2)):
+                w = [p if y else 1 - p for p in new]
+                hit = sum(a for a, v in zip(w, cast, strict=True) if v[j] == y) + start * 20
+                right[y][j] = max(0.001, min(0.999, hit / (sum(a for a, v in zip(w, cast, strict=True) if v[j] >= 0) + 20)))
+        prior = max(0.02, min(0.98, sum(new) / len(new)))
+        done = max(abs(a - b) for a, b in zip(new, post, strict=True)) < 1e-9
+        post = new if not done else post
+        if done:
+            break
+    scorer = quality.fit(table(spark, sf, "documents"))
+    assert np.allclose(scorer.accuracies, [right[0], right[1]], atol=1e-6) and abs(scorer.prior - prior) < 1e-6
+    got = {r["doc_id"]: r["score"] for r in quality.score(table(spark, sf, "documents"), scorer).collect()}
+    for r in table(spark, sf, "documents").limit(50).collect():
+        x = quality.features(*quality.measures(r["text"]))
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-float(x @ scorer.weights + scorer.bias))), abs=1e-9)
+
+
 def test_em_finds_accuracies():
     rnd = np.random.default_rng(0)
     truth = rnd.random(20_000) < 0.8
@@ -390,12 +462,62 @@ def test_em_finds_accuracies():
 
 def test_block_max_search_is_exact():
     rnd = random.Random(9)
-    vectors = [toxicity.weighted(dict.fromkeys(rnd.sample(range(40), rnd.randrange(1, 6)), 1), np.ones(40)) for _ in range(700)]
+
+    def one(most):
+        terms = np.array(rnd.sample(range(40), rnd.randrange(1, most)))
+        return toxicity.weighted(terms, np.array([float(rnd.randrange(1, 4)) for _ in terms]), np.ones(40))
+
+    vectors = [one(6) for _ in range(1500)]
     index = toxicity.Index(vectors, 40)
-    for _ in range(200):
-        q = toxicity.weighted(dict.fromkeys(rnd.sample(range(40), rnd.randrange(1, 8)), 1), np.ones(40))
-        want = sorted((sum(q.get(t, 0) * w for t, w in v.items()) for v in vectors), reverse=True)[:10]
-        assert np.allclose([c for c, _ in index.nearest(q, 10)], [w for w in want if w > 0])
+    for _ in range(150):
+        terms, weights = one(8)
+        q = dict(zip(terms.tolist(), weights.tolist(), strict=True))
+        want = sorted(((sum(q.get(t, 0) * w for t, w in zip(ts.tolist(), ws.tolist(), strict=True)), -i) for i, (ts, ws) in enumerate(vectors)), reverse=True)[:10]
+        got = index.nearest(terms, weights, 10)
+        assert np.allclose([c for c, _ in got], [c for c, _ in want if c > 0])
+    assert toxicity.Index([], 0).nearest(np.zeros(0, int), np.zeros(0), 3) == []
+
+
+def test_toxicity_against_a_direct_version(spark):
+    """Counts, weights, neighbours, votes and calibration of a small corpus, step by step."""
+    rnd = random.Random(2)
+    words = [f"{a}{b}" for a in "klmnp" for b in "aeiou"]
+    docs, label = {}, {}
+    for i in range(400):
+        label[i] = int(rnd.random() < 0.3)
+        docs[i] = " ".join(rnd.choice(words[:8] if label[i] and rnd.random() < 0.5 else words) for _ in range(rnd.randrange(4, 25)))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(list(label.items()), "doc_id long, toxic int"), k=7)
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in docs}
+    bags = {i: Counter(t.encode() for t in docs[i].split()) for i in docs}
+    df_of, known = Counter(t for b in bags.values() for t in b), [i for i in docs if fold[i] != 0]
+    share = sum(label[i] for i in known) / len(known)
+    worth = {}
+    for t in {t for i in known if fold[i] != 1 for t in bags[i]}:
+        n, n1 = sum(t in bags[i] for i in known), sum(label[i] for i in known if t in bags[i])
+        chi = (n1 - n * share) ** 2 / (n * share * (1 - share))
+        worth[t] = (math.log(401 / (1 + df_of[t])) + 1) * math.sqrt(max(chi - 1, 0))
+
+    def vector(i):
+        w = {t: (1 + math.log(n)) * worth[t] for t, n in bags[i].items() if worth.get(t)}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    shown = {i: v for i in known if fold[i] != 1 and (v := vector(i))}
+    assert sorted(model.ids) == sorted(shown) and set(model.vocabulary) == {t for t in worth if worth[t] > 0}
+
+    def vote(i):
+        q = vector(i)
+        near = sorted(((sum(q.get(t, 0) * w for t, w in v.items()), -model.ids.index(j)) for j, v in shown.items()), reverse=True)[:7]
+        near = [(c, model.labels[-j]) for c, j in near if c > 1e-12]
+        return sum(c * y for c, y in near) / sum(c for c, _ in near) if near else None
+
+    tried = [(v, label[i]) for i in known if fold[i] == 1 if (v := vote(i)) is not None]
+    ends, values = toxicity.pooled(np.array([round(v, 12) for v, _ in tried]), np.array([y for _, y in tried]))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    for i in list(docs)[:150]:
+        if (v := vote(i)) is not None:
+            assert got[i] == pytest.approx(values[min(np.searchsorted(ends, v - 1e-9), len(ends) - 1)], abs=1e-6)
 
 
 def test_toxicity(spark, sf, edge_docs, no_docs):

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import released, stored
 
-BLOCK = 64
+BLOCK = 128
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MARKS = re.compile(rb"\xe2[\x80\x81].|\xc2[\x80-\xbf]", re.S)
 SCORED = "doc_id long, score double, evidence string"
@@ -86,7 +86,7 @@ class Index:
             rows = _ranges(a, z)
             total = np.bincount(self.place[rows], weights=np.repeat(w[here], z - a) * self.weight[rows])
             hit = np.flatnonzero(total > 0)
-            score, example = np.r_[score, total[hit]], np.r_[example, self.order[hit]]
+            score, example = np.concatenate([score, total[hit]]), np.concatenate([example, self.order[hit]])
             if len(score) > k:
                 best = np.lexsort((example, -score))[:k]
                 score, example = score[best], example[best]
