@@ -10,8 +10,9 @@ not given, it is the number that ``recall`` of the true neighbours within the sa
 Search is two joins by equality, and nothing meets everything:
 
 1. Rows are packed into blocks, in the order of the first tree's leaves, and written once. Each block lists, by tree
-   and leaf, the places of its rows. These lists join the leaves that the queries open, on (tree, leaf, salt); a leaf
-   with many lists has several salts.
+   and node, its rows' places and leaves. These lists join the nodes that the queries open, on (tree, node, salt), and
+   give the places in open leaves; a node with many lists has several salts. Nodes are leaves where few leaves hold the
+   neighbours; otherwise they are the deepest ones of which the audited rows open at most MOST_NODES on average.
 2. The places found by all trees for a query in a block are united, and join the block's vectors on (block, part); a
    block with many queries has several parts. Distances are exact, in double precision, on the original vectors. A
    block returns a query's ``k`` nearest only.
@@ -29,6 +30,10 @@ from pyspark.sql import functions as F
 from .common import parallelism, released, stored
 
 FOUND = "query_id long, vec_id long, score double"
+#: Size of a block's vectors, and the most rows that a place of 16 bits can tell apart.
+BLOCK_BYTES, MOST_PLACES = 16 << 20, 1 << 16
+#: Nodes that a query's open leaves lie in, on average at most: the rows of a query in the first join.
+MOST_NODES = 384
 
 
 class Forest:
@@ -101,6 +106,15 @@ def visits_for(forest: Forest, x: np.ndarray, k: int, recall: float, tried: int
     return max([forest.trees, *([int(np.quantile(need, recall, method="higher"))] if need else [])])
 
 
+def levels_below(forest: Forest, x: np.ndarray, visits: int, tried: int = 30) -> int:
+    """Levels from the joined nodes down to the leaves."""
+    opened = [forest.opened(q, visits) for q in x[:tried]]
+    for below in range(forest.depth):
+        if np.mean([len({(t, leaf >> below) for t, leaf in o}) for o in opened]) <= MOST_NODES:
+            return below
+    return forest.depth
+
+
 def valid(vector: str):
     """Vectors that take part: not null, no null or non-finite component, not zero."""
     v = F.col(vector)
@@ -159,31 +173,51 @@ def _unpacked(ids: bytes, vectors: bytes, kind) -> tuple[np.ndarray, np.ndarray]
     return own, np.frombuffer(vectors, kind).reshape(len(own), -1).astype(np.float64)
 
 
-def _lists(forest, kind):
-    """(tree, leaf, block, places) of each block."""
+def _lists(forest, kind, below: int):
+    """(tree, node, block, places, leaves) of each block, in the order of leaves; leaves are numbered within their node."""
 
     def run(batches):
         for b in batches:
             for block, ids, vectors in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 leaf = forest.value.leaves(_unpacked(ids, vectors, kind)[1])
-                tree, of, places = [], [], []
                 for t in range(leaf.shape[1]):
-                    order = np.argsort(leaf[:, t], kind="stable").astype(np.uint16)
-                    value, first = np.unique(leaf[order, t], return_index=True)
-                    tree.append(np.full(len(value), t, np.int32))
-                    of.append(value)
-                    places += [p.tobytes() for p in np.split(order, first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tree)), pa.array(np.concatenate(of)), pa.array(np.full(len(places), block)), pa.array(places, pa.binary())], names=["tree", "leaf", "block", "places"])
+                    order = np.argsort(leaf[:, t], kind="stable")
+                    of = leaf[order, t]
+                    node, first = np.unique(of >> below, return_index=True)
+                    cut = lambda v: pa.array([p.astype(np.uint16).tobytes() for p in np.split(v, first[1:])], pa.binary())  # noqa: B023, E731
+                    n = len(node)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(node.astype(np.int32)), pa.array(np.full(n, block)), cut(order), cut(of & ((1 << below) - 1))], names=["tree", "node", "block", "places", "leaves"])
 
     return run
 
 
-def _opened(forest, visits: int):
+def _opened(forest, visits: int, below: int):
+    """(tree, node, query_id, open): the open leaves of each node, numbered within it."""
+
     def run(batches):
         for b in batches:
             for query, vector in zip(b.column(0).to_pylist(), _matrix(b.column(1)), strict=True):
-                at = np.array(forest.value.opened(vector, visits), np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(np.full(len(at), query, np.int64))], names=["tree", "leaf", "query_id"])
+                nodes: dict[tuple[int, int], list[int]] = {}
+                for t, leaf in forest.value.opened(vector, visits):
+                    nodes.setdefault((t, leaf >> below), []).append(leaf & ((1 << below) - 1))
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in nodes], pa.int32()), pa.array([n for _, n in nodes], pa.int32()), pa.array(np.full(len(nodes), query, np.int64)), pa.array([np.array(v, np.uint16).tobytes() for v in nodes.values()], pa.binary())], names=["tree", "node", "query_id", "open"])
+
+    return run
+
+
+def _in_open(below: int):
+    """(block, query_id, places): the places whose leaf is open."""
+
+    def run(batches):
+        is_open = np.zeros(1 << below, bool)
+        for b in batches:
+            found = []
+            for places, leaves, opened in zip(*(b.column(c).to_pylist() for c in ("places", "leaves", "open")), strict=True):
+                now = np.frombuffer(opened, np.uint16)
+                is_open[now] = True
+                found.append(np.frombuffer(places, np.uint16)[is_open[np.frombuffer(leaves, np.uint16)]].tobytes())
+                is_open[now] = False
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("block")), b.column(b.schema.get_field_index("query_id")), pa.array(found, pa.binary())], names=["block", "query_id", "places"])
 
     return run
 
@@ -213,8 +247,11 @@ def _nearest(k: int, kind):
     return run
 
 
-def candidates(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, trees: int = 24, leaf: int = 64, visits: int | None = None, recall: float = 0.95, sample: int = 16_384, block: int = 4096):
-    """What a search looks at: (blocks, queries, asks, type), asks with the places that each query has in each block; None without rows."""
+def candidates(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, trees: int = 24, leaf: int = 64, visits: int | None = None, recall: float = 0.95, sample: int = 16_384, block: int | None = None):
+    """What a search looks at: (blocks, queries, asks, type), asks with the places that each query has in each block; None without rows.
+
+    A block has ``block`` rows, by default as many as BLOCK_BYTES hold, so that a leaf's rows lie in few blocks.
+    """
     context = vectors.sparkSession.sparkContext
     rows = vectors.filter(valid(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     widths = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").head(1)
@@ -232,20 +269,25 @@ def candidates(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col:
     forest = context.broadcast(own)
     plain = "array<float>" if kind == np.float32 else "array<double>"
     located = rows.mapInArrow(_first_leaf(forest), f"id long, v {plain}, leaf int")
-    # A range of leaves a task: a leaf of many equal vectors is dealt over several by the hash of the id.
-    ordered = located.repartitionByRange(parallelism(vectors.sparkSession), "leaf", F.xxhash64("id")).sortWithinPartitions("leaf")
+    block = min(MOST_PLACES, block or max(256, BLOCK_BYTES // (np.dtype(kind).itemsize * width)))
+    # A range of leaves a block: a leaf of many equal vectors is dealt over several by the hash of the id.
+    # Read by as many tasks as there are blocks, however many partitions the exchange has: small blocks make many lists.
+    tasks = max(4, -(-total // block))
+    ordered = located.repartitionByRange(tasks, "leaf", F.xxhash64("id")).sortWithinPartitions("leaf").coalesce(tasks)
     blocks = stored(ordered.select("id", "v").mapInArrow(_blocks(block), "block long, ids binary, vectors binary"), "blocks")
     asked = stored(rows.filter(queries).groupBy("id").agg(F.min("v").alias("v")), "asked")
-    lists = stored(blocks.mapInArrow(_lists(forest, kind), "tree int, leaf int, block long, places binary"), "lists")
-    salts = lists.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / 1000).alias("salts"))  # trees x leaves rows: bounded by the parameters
-    listed = lists.join(F.broadcast(salts), ["tree", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("block"), "salts")).drop("salts")
-    opened = asked.mapInArrow(_opened(forest, visits), "tree int, leaf int, query_id long")
-    opened = opened.join(F.broadcast(salts), ["tree", "leaf"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-    asks = listed.join(opened, ["tree", "leaf", "salt"]).groupBy("block", "query_id").agg(F.collect_list("places").alias("places"))  # at most one list a tree and leaf
+    below = levels_below(own, x, visits)
+    lists = stored(blocks.mapInArrow(_lists(forest, kind, below), "tree int, node int, block long, places binary, leaves binary"), "lists")
+    salts = lists.groupBy("tree", "node").agg(F.ceil(F.count("*") / 1000).alias("salts"))  # at most trees x leaves rows: bounded by the parameters
+    listed = lists.join(F.broadcast(salts), ["tree", "node"]).withColumn("salt", F.pmod(F.xxhash64("block"), "salts")).drop("salts")
+    opened = asked.mapInArrow(_opened(forest, visits, below), "tree int, node int, query_id long, open binary")
+    opened = opened.join(F.broadcast(salts), ["tree", "node"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    met = listed.join(opened, ["tree", "node", "salt"]).mapInArrow(_in_open(below), "block long, query_id long, places binary")
+    asks = met.filter(F.length("places") > 0).groupBy("block", "query_id").agg(F.collect_list("places").alias("places"))  # at most one list a tree and node
     return blocks, asked, asks, kind
 
 
-def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, part: int = 20_000, **how) -> DataFrame:
+def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, part: int = 512, **how) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row that the condition ``queries`` picks.
 
     ``queries`` is a condition on ``id`` and ``v``. score is the Euclidean distance; ties go to the smaller id, and rows
