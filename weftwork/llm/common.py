@@ -60,17 +60,25 @@ def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def trimmed() -> None:
+    """Give this Python process's unused memory back to the system."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def released(run):
     """``run`` for mapInArrow, after which the Python worker, which Spark keeps for later tasks, gives its memory back."""
 
     def whole(batches):
         yield from run(batches)
-        import pyarrow as pa
-
-        pa.default_memory_pool().release_unused()
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "malloc_trim"):
-            libc.malloc_trim(0)
+        trimmed()
 
     return whole
 

@@ -21,11 +21,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released, stored
+from .common import released, stored, trimmed
 
 BLOCK = 128
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -201,11 +202,22 @@ def _frequencies(vocabulary):
     return run
 
 
-def _rows(table: pa.Table):
-    """(ids, labels, [(terms, counts) of each row]) of a collected sample."""
-    table = table.combine_chunks()
-    of = lambda c: table[c].to_pylist()
-    return of("id"), of("y"), list(zip(of("ts"), of("ns"), strict=True))
+class Sample:
+    """A collected sample of labelled rows; terms stay in Arrow memory."""
+
+    def __init__(self, table: pa.Table) -> None:
+        table = table.combine_chunks()
+        self.ids, self.labels = table["id"].to_pylist(), table["y"].to_pylist()
+        lists = table["ts"].combine_chunks()
+        self.terms, self.cut = lists.flatten(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(int)
+        self.counts = table["ns"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+
+    def vectors(self, vocabulary: pa.Array, worth: np.ndarray):
+        """The weighted vector of each row, in turn."""
+        number = pa.compute.index_in(self.terms, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, z in zip(self.cut[:-1], self.cut[1:], strict=True):
+            known = number[a:z] >= 0
+            yield weighted(number[a:z][known], self.counts[a:z][known], worth)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = 65_536, examples: int = 4096, calibration: int = 4096, k: int = 15) -> Model:
@@ -218,28 +230,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sampled = stored(known.select("__id", "__t", "__y").mapInArrow(released(_terms), "id long, y int, ts array<binary>, ns array<int>"), "labelled")
     total = sampled.agg(F.count("*").alias("n"), F.sum("y").alias("n1")).first()
     held = fold(F.col("id")) == 1
-    pick = lambda cond, most: _rows(sampled.filter(cond).orderBy(F.xxhash64("id"), "id").limit(most).toArrow())
-    ids, ys, bags = pick(~held, examples)
-    vocabulary = {t: i for i, t in enumerate(sorted({t for ts, _ in bags for t in ts}))}
-    shared = context.broadcast(vocabulary)
-    worth = np.zeros(len(vocabulary))
-    if vocabulary:
+    pick = lambda cond, most: Sample(sampled.filter(cond).orderBy(F.xxhash64("id"), "id").limit(most).toArrow())
+    shown = pick(~held, examples)
+    terms = pa.compute.unique(shown.terms)
+    terms = terms.take(pa.compute.sort_indices(terms))
+    worth = np.zeros(len(terms))
+    if len(terms):
+        shared = context.broadcast({t: i for i, t in enumerate(terms.to_pylist())})
         told = sampled.select("y", "ts").mapInArrow(released(_told(shared)), "term int, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).toArrow()
         seen = text.select("__t").mapInArrow(released(_frequencies(shared)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        n, n1, df = (np.zeros(len(vocabulary) + 1) for _ in range(3))  # the last place is that of term -1
+        shared.unpersist()
+        n, n1, df = (np.zeros(len(terms) + 1) for _ in range(3))  # the last place is that of term -1
         n[told["term"].to_numpy()], n1[told["term"].to_numpy()] = told["n"].to_numpy(), told["n1"].to_numpy()
         df[seen["term"].to_numpy()] = seen["n"].to_numpy()
         worth = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * relevance(n[:-1], n1[:-1], total["n"], total["n1"] or 0)
-        telling = {t: i for t, i in vocabulary.items() if worth[i] > 0}
-        vocabulary, worth = {t: k for k, t in enumerate(telling)}, worth[list(telling.values())]
-    vector = lambda bag: weighted(np.array([vocabulary[t] for t in bag[0] if t in vocabulary], np.int64), np.array([c for t, c in zip(*bag, strict=True) if t in vocabulary], float), worth)
-    vectors = [vector(bag) for bag in bags]
+        telling = np.flatnonzero(worth > 0)
+        terms, worth = terms.take(pa.array(telling)), worth[telling]
+        del told, seen, shared, n, n1, df
+    vectors = list(shown.vectors(terms, worth))
     some = [i for i, v in enumerate(vectors) if len(v[0])]
-    model = Model(vocabulary, worth, Index([vectors[i] for i in some], len(vocabulary)), [ids[i] for i in some], [ys[i] for i in some], k, 0.5)
-    _, tried, bags = pick(held, calibration)
-    near = [model.index.nearest(*vector(bag), k) for bag in bags]
-    votes = [(model.vote(x), y) for x, y in zip(near, tried, strict=True) if x]
-    silent = [y for x, y in zip(near, tried, strict=True) if not x]
+    index = Index([vectors[i] for i in some], len(terms))
+    model = Model({t: i for i, t in enumerate(terms.to_pylist())}, worth, index, [shown.ids[i] for i in some], [shown.labels[i] for i in some], k, 0.5)
+    del shown, vectors
+    tried = pick(held, calibration)
+    near = [index.nearest(*v, k) for v in tried.vectors(terms, worth)]
+    votes = [(model.vote(x), y) for x, y in zip(near, tried.labels, strict=True) if x]
+    silent = [y for x, y in zip(near, tried.labels, strict=True) if not x]
+    del tried, near
+    trimmed()
     if total["n"]:  # texts without telling terms: their share of toxic ones, or that of all labelled rows
         model.unknown = (sum(silent) + 0.5) / (len(silent) + 1) if silent else (total["n1"] + 0.5) / (total["n"] + 1)
     if votes:
