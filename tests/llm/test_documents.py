@@ -478,6 +478,16 @@ def test_block_max_search_is_exact():
     assert toxicity.Index([], 0).nearest(np.zeros(0, int), np.zeros(0), 3) == []
 
 
+def test_foremost_examples_against_a_full_sort():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 14, 15, 16, 400):
+        for values in (1, 4, 10**6):  # all tied, many ties, hardly any
+            score, example = rng.integers(1, values + 1, n) / values, rng.permutation(n)
+            full = np.lexsort((example, -score))[:15]
+            got = toxicity._foremost(score, example, 15)
+            assert got[0].tolist() == score[full].tolist() and got[1].tolist() == example[full].tolist()
+
+
 def test_toxicity_against_a_direct_version(spark):
     """Counts, weights, neighbours, votes and calibration of a small corpus, step by step."""
     rnd = random.Random(2)

@@ -48,6 +48,15 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
+def _foremost(score: np.ndarray, example: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores with their examples, largest first; of equal ones the smaller example number."""
+    if len(score) > k:
+        some = score >= np.partition(score, len(score) - k)[len(score) - k]
+        score, example = score[some], example[some]
+    best = np.lexsort((example, -score))[:k]
+    return score[best], example[best]
+
+
 class Index:
     """Inverted lists of unit example vectors (terms, weights), cut into blocks with their largest weight."""
 
@@ -88,13 +97,10 @@ class Index:
             total = np.bincount(self.place[rows], weights=np.repeat(w[here], z - a) * self.weight[rows])
             hit = np.flatnonzero(total > 0)
             score, example = np.concatenate([score, total[hit]]), np.concatenate([example, self.order[hit]])
-            if len(score) > k:
-                best = np.lexsort((example, -score))[:k]
-                score, example = score[best], example[best]
+            score, example = _foremost(score, example, k)
             floor = score.min() if len(score) == k else 0.0
             at, step = at + step, 2 * step
-        best = np.lexsort((example, -score))[:k]
-        return list(zip(score[best].tolist(), example[best].tolist(), strict=True))
+        return list(zip(score.tolist(), example.tolist(), strict=True))
 
 
 def pooled(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +129,7 @@ class Model:
 
     def near(self, text: str | None) -> list[tuple[float, int]]:
         known = self.vocabulary
-        counts = Counter(known[w] for w in terms_of(text) if w in known)
+        counts = {known[w]: n for w, n in Counter(terms_of(text)).items() if w in known}
         terms = np.fromiter(counts, np.int64, len(counts))
         return self.index.nearest(*weighted(terms, np.fromiter(counts.values(), float, len(counts)), self.worth), self.k)
 
