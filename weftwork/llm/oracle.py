@@ -50,4 +50,42 @@ heir as (select d.dir, arg_max(held.license, len(held.up)) as license, arg_max(h
 select f.doc_id, f.path, coalesce(own.license, heir.license) as license, case when own.license is not null then 'own' when heir.license is not null then 'inherited' else 'none' end as how, own.similarity, case when own.license is not null then f.path else heir.path end as license_path from files f left join own on own.doc_id = f.doc_id left join heir on heir.dir = f.dir
 """
 
-SQL = {"op3_licenses": OP3, "op4_embedding_dups": OP4, "op7_substrings": OP7}
+
+
+def _time(y: str) -> str:
+    """The inverse of the three schedules' integrals at share ``y``."""
+    late = f"0.5 + 2.0 * ({y} - 0.3125) / (0.75 + sqrt(0.5625 + 5.0 * ({y} - 0.3125)))"
+    return f"case kind when 0 then 10.0 * {y} / (7.5 + sqrt(greatest(0.0, 56.25 - 50.0 * {y}))) when 1 then {y} else case when {y} < 0.3125 then 2.0 * {y} / (0.5 + sqrt(0.25 + {y})) else {late} end end"
+
+
+#: The level of the caps by running sums in the order of cap / weight.
+OP11 = f"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+k as (select *, (row_number() over (order by source nulls last) - 1) % 3 as kind, 1.5 * sum(source_size) over () as total from s),
+w as (select *, 2 * source_size as cap, (case kind when 0 then 5.0 when 1 then 2.0 else 1.0 end)::double as weight from k),
+o as (select *, row_number() over (order by cap / weight, source nulls last) as nth from w),
+l as (select *, (total - coalesce(sum(cap) over (order by nth rows between unbounded preceding and 1 preceding), 0))::double / sum(weight) over (order by nth rows between current row and unbounded following) as level from o),
+t as (select source, kind, source_size, least(cap::double, weight * (select arg_min(level, nth) from l where cap > weight * level)) as target from l),
+p as (select d.*, t.kind, t.source_size, t.target, floor(t.target)::bigint as goal, coalesce(sum(d.size) over (partition by d.source order by md5(cast(d.doc_id as varchar)) nulls first, d.doc_id nulls first, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as begun from d join t on d.source is not distinct from t.source),
+y as (select *, greatest(0, least(size, goal - begun)) as t1, greatest(0, least(size, goal - begun - source_size)) as t2, begun::double / goal as y1, (begun + source_size)::double / goal as y2 from p)
+select doc_id, size, source_size, target, cast(t1 + t2 as bigint) as taken, round(case when t1 > 0 then {_time("y1")} end, 9) as position, round(case when t2 > 0 then {_time("y2")} end, 9) as next_position from y
+"""
+
+OP12 = r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+each as (select * from (select lang, unnest(w) as a, unnest(list_concat(w[2:], [null])) as b, unnest(list_concat(w[3:], [null, null])) as c from w) where a is not null),
+n as (select lang, count(*) as n from each group by 1),
+f1 as (select lang, a as p, count(*) as f from each group by 1, 2),
+f2 as (select lang, a, b, count(*) as f from each where b is not null group by 1, 2, 3 having count(*) >= 10),
+f3 as (select lang, a, b, c, count(*) as f from each where c is not null group by 1, 2, 3, 4 having count(*) >= 10),
+c2 as (select f2.lang, f2.a || ' ' || f2.b as phrase, f2.f as a, l.f as l, r.f as r, 1 as k from f2 join f1 l on l.lang = f2.lang and l.p = f2.a join f1 r on r.lang = f2.lang and r.p = f2.b where not exists (select 1 from f3 where f3.lang = f2.lang and 100 * f3.f >= 50 * f2.f and ((f3.a = f2.a and f3.b = f2.b) or (f3.b = f2.a and f3.c = f2.b)))),
+c3 as (select f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c as phrase, f3.f as a, l.f as l, r.f as r, 1 as k from f3 join f1 l on l.lang = f3.lang and l.p = f3.a join f2 r on r.lang = f3.lang and r.a = f3.b and r.b = f3.c union all select f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c, f3.f, l.f, r.f, 2 from f3 join f2 l on l.lang = f3.lang and l.a = f3.a and l.b = f3.b join f1 r on r.lang = f3.lang and r.p = f3.c),
+s as (select *, cast(1000000::hugeint * a * a // (l::hugeint * r) as bigint) as score from (select * from c2 union all select * from c3)),
+best as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+top as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best qualify rank <= 2000)
+select lang, rank, phrase, a, l, r, n, score from top join n using (lang)
+"""
+
+SQL = {"op11_mixing": OP11, "op12_collocations": OP12, "op3_licenses": OP3, "op4_embedding_dups": OP4, "op7_substrings": OP7}
