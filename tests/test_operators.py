@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,97 @@ def test_order_fold_equals_steps(spark, seed):
     assert got == step_by_step(ops)
 
 
+def alerts_one_by_one(rows, threshold, skip):
+    rest, out = {}, []
+    for k, n, s in sorted(rows, key=lambda r: r[1]):
+        if rest.get(k, 0) > 0:
+            rest[k] -= 1
+        elif s is not None and s >= threshold:
+            rest[k] = skip
+            out.append((k, n))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("skip,share", [(0, 0.5), (3, 0.2), (25, 0.9), (25, 0.02), (80, 0.3)])
+def test_cooldown_over_chunks(spark, skip, share):
+    """A key with most readings lies in several ranges."""
+    rnd = random.Random(skip)
+    rows = [(rnd.choice(["hot", "hot", "hot", "a", None]), i, None if rnd.random() < 0.03 else rnd.random()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, n long, s double")
+    got = O.cooldown_alerts(df.repartition(5), "k", ["n"], "s", 1 - share, skip)
+    assert sorted(((r.k, r.n) for r in got.collect()), key=str) == alerts_one_by_one(rows, 1 - share, skip)
+
+
+def test_cooldown_chunk_states():
+    """One chunk in batches, from every entry, against a walk."""
+    rnd = random.Random(1)
+    for skip in (0, 1, 4, 9):
+        for share in (0.1, 0.5, 1.0):
+            hits = [rnd.random() < share for _ in range(60)]
+            chunk, at, found = O._Chunk(skip), 0, []
+            while at < 60:
+                n = rnd.choice([1, 2, 7, 20])
+                own = hits[at : at + n]
+                found += [(at + p, r) for p, entries in chunk.add(np.flatnonzero(own), len(own)) for r in entries]
+                at += n
+            for r in range(skip + 1):
+                rest, want = r, []
+                for i, h in enumerate(hits):
+                    if rest:
+                        rest -= 1
+                    elif h:
+                        rest = skip
+                        want.append(i)
+                assert sorted(p for p, e in found if e == r) == want and chunk.ends()[r] == rest
+
+
+def test_steps_are_one_row_an_operation(spark):
+    rnd = random.Random(11)
+    ops = [(rnd.randrange(3), rnd.randrange(4), rnd.choice(["add", "add", "update", "remove", "clear"]), rnd.randrange(-1, 4), n) for n in range(300)]
+    got = {r.n: (r.i, r.op, r.before, r.after) for r in O.before_after(spark.createDataFrame(ops, "s long, i long, op string, q long, n long"), "s", "i", "op", "q", ["n"]).collect()}
+    assert len(got) == 300
+    state = {}
+    for s, i, op, q, n in ops:
+        mine = state.setdefault(s, {})
+        before = sum(mine.values()) if op == "clear" else mine.get(i, 0)
+        if op == "clear":
+            mine.clear()
+        elif op == "add":
+            mine[i] = mine.get(i, 0) + max(1, q)
+        elif op == "remove" or i in mine and q <= 0:
+            mine.pop(i, None)
+        elif i in mine:
+            mine[i] = q
+        assert got[n] == ((None, op, before, 0) if op == "clear" else (i, op, before, mine.get(i, 0)))
+
+
+def test_first_crossing_and_spans(spark):
+    rnd = random.Random(5)
+    base = 1_700_000_000
+    readings = [(rnd.randrange(6), base + rnd.randrange(40_000), rnd.random()) for _ in range(900)]
+    mutes = [(rnd.randrange(6), (a := base + rnd.randrange(40_000)), a + rnd.choice([0, 5, 900, 4000, 20_000])) for _ in range(60)] + [(9, base, base + 1)]
+    r = spark.createDataFrame(readings, "s long, at long, score double").select("s", F.timestamp_seconds("at").alias("ts"), "score")
+    m = spark.createDataFrame(mutes, "s long, a long, b long").select("s", F.timestamp_seconds("a").alias("mute_start"), F.timestamp_seconds("b").alias("mute_end"))
+    want = {}
+    for s in range(6):
+        mine = sorted((t, v) for k, t, v in readings if k == s)
+        for t, v in mine:
+            if v >= 0.7 and t <= mine[0][0] + 30_000 and not any(k == s and a <= t <= b for k, a, b in mutes):
+                want[s] = (t, v)
+                break
+    got = O.first_crossing(r, m, "s", "ts", "score", 0.7, 30_000).selectExpr("s", "unix_seconds(crossed_at) as at", "score").collect()
+    assert {x.s: x["at"] for x in got} == {s: t for s, (t, _) in want.items()} and len(want) > 3
+
+
+def test_a_session_of_many_spans(spark):
+    """100,000 spans and readings of one session: a product of the two would have ten thousand million rows."""
+    n = 100_000
+    r = spark.range(n).select(F.lit(1).alias("s"), F.timestamp_seconds(F.col("id") * 2 + 1_700_000_000).alias("ts"), F.lit(1.0).alias("score"))
+    m = spark.range(n).select(F.lit(1).alias("s"), F.timestamp_seconds(F.col("id") * 2 + 1_700_000_000).alias("mute_start"), F.timestamp_seconds(F.col("id") * 2 + 1_700_000_001).alias("mute_end")).filter(F.col("mute_start") < F.timestamp_seconds(F.lit(1_700_000_000 + 2 * n - 10)))
+    got = O.first_crossing(r, m, "s", "ts", "score", 0.5, 10**7).selectExpr("unix_seconds(crossed_at) as at").collect()
+    assert [x["at"] for x in got] == [1_700_000_000 + 2 * n - 10]
+
+
 @pytest.mark.parametrize("values", [[5.0], [float(i) for i in range(20)], [1.0, 1.0, 2.0, 9.0]])
 def test_latency(spark, values):
     r = E.latency_stats(spark.createDataFrame([("k", v) for v in values] + [("k", None)], "k string, v double"), ["k"], "v").first()

@@ -141,6 +141,19 @@ def with_history(df: DataFrame, session: str, order: str, role: str = "role", co
     return df.withColumn("history", F.collect_list(F.struct(F.col(role).alias("role"), F.col(content).alias("content"))).over(w))
 
 
+def session_history(df: DataFrame, session: str, order: Sequence[str], reset: Column, role: Column, content: Column, keep: int) -> DataFrame:
+    """Each turn with at most ``keep`` turns before it since the session's last reset; a reset starts anew with its own turn.
+
+    earlier: the number of turns since the reset, also of those that ``keep`` leaves out.
+    """
+    past = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = df.withColumn("__part", F.sum(F.coalesce(reset, F.lit(False)).cast("int")).over(past))
+    own = Window.partitionBy(session, "__part").orderBy(*order)
+    turn = F.struct(role.alias("role"), content.alias("content"))
+    out = parts.withColumn("earlier", (F.row_number().over(own) - 1).cast("long")).withColumn("history", F.collect_list(turn).over(own.rowsBetween(-keep, -1)))
+    return out.drop("__part")
+
+
 def assign_ids(df: DataFrame, fmt: str, *order: Column) -> DataFrame:
     return global_rank(df, *order).withColumn("new_id", F.format_string(fmt, "rank")).drop("rank")
 

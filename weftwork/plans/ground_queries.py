@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.functions import presets, text as X
@@ -10,6 +10,7 @@ from weftwork.operators import evaluate as E
 from weftwork.operators import gates as G
 from weftwork.operators import grounding as J
 from weftwork.operators import orders as O
+from weftwork.operators import selection as S
 from weftwork.operators.rules import Rule, first_match
 from weftwork.plans.base import ITEMS, OPS, UTT, Registry, conversations, folded, items, operations, table, users, utterances
 from weftwork.plans.rule_queries import _CASE, RULES
@@ -359,24 +360,25 @@ def evaluate_backend(spark: SparkSession, d: str) -> DataFrame:
 
 # Orders and state
 
-_STEPS = f"""with recursive ops as ({OPS}), ks as (select distinct session, item from ops where op <> 'clear'),
-rows as (select session, item, op, qty, ts, event_id from ops where op <> 'clear' union all select o.session, k.item, 'remove', 0, o.ts, o.event_id from ops o join ks k using (session) where o.op = 'clear'),
-n as (select *, row_number() over (partition by session, item order by ts, event_id) as i from rows),
-f as (select session, item, op, qty, ts, event_id, i, cast(0 as bigint) as before, cast(case op when 'add' then greatest(qty, 1) else 0 end as bigint) as after from n where i = 1
- union all select n.session, n.item, n.op, n.qty, n.ts, n.event_id, n.i, f.after, case n.op when 'add' then f.after + greatest(n.qty, 1) when 'update' then case when n.qty <= 0 then 0 when f.after > 0 then n.qty else f.after end else 0 end from f join n on n.session = f.session and n.item = f.item and n.i = f.i + 1)"""
+_STEPS = f"""with recursive ops as ({OPS}), o as (select *, sum(case when op = 'clear' then 1 else 0 end) over (partition by session order by ts, event_id rows unbounded preceding) as span from ops),
+n as (select *, row_number() over (partition by session, item, span order by ts, event_id) as i from o where op <> 'clear'),
+f as (select session, item, op, qty, ts, event_id, span, i, cast(0 as bigint) as before, cast(case op when 'add' then greatest(qty, 1) else 0 end as bigint) as after from n where i = 1
+ union all select n.session, n.item, n.op, n.qty, n.ts, n.event_id, n.span, n.i, f.after, case n.op when 'add' then f.after + greatest(n.qty, 1) when 'update' then case when n.qty <= 0 then 0 when f.after > 0 then n.qty else f.after end else 0 end from f join n on n.session = f.session and n.item = f.item and n.span = f.span and n.i = f.i + 1),
+fold as (select session, item, after as quantity from f where (session, item, span, i) in (select session, item, span, max(i) from f group by 1, 2, 3) and (session, span) in (select session, max(span) from o group by 1) and after > 0)"""
 
 
-@R.add(f"{_STEPS} select session, item, after as quantity from f where (session, item, i) in (select session, item, max(i) from f group by 1, 2) and after > 0")
+@R.add(f"{_STEPS} select * from fold")
 def order_fold(spark: SparkSession, d: str) -> DataFrame:
     return O.fold_orders(operations(spark, d), "session", "item", "op", "qty", ["ts", "event_id"])
 
 
-@R.add(f"{_STEPS} select session, item, event_id, op, before, after from f")
+@R.add(f"{_STEPS} select session, item, event_id, op, before, after from f union all select session, null, event_id, op, coalesce((select sum(f.after - f.before) from f where f.session = o.session and f.span = o.span - 1), 0)::bigint, 0 from o where op = 'clear'")
 def order_before_after(spark: SparkSession, d: str) -> DataFrame:
+    """One row an operation; a clear has no item and the whole order's quantity."""
     return O.before_after(operations(spark, d), "session", "item", "op", "qty", ["ts", "event_id"]).select("session", "item", "event_id", "op", "before", "after")
 
 
-@R.add(f"{_STEPS} select session, item, after as quantity from f where (session, item, i) in (select session, item, max(i) from f group by 1, 2) and after > 0")
+@R.add(f"{_STEPS} select * from fold")
 def order_fold_stream(spark: SparkSession, d: str) -> DataFrame:
     return jobs.run_order_stream(spark, f"{d}/events[.]parquet")
 
@@ -386,7 +388,12 @@ def cooldown_alerts(spark: SparkSession, d: str) -> DataFrame:
     return O.cooldown_alerts(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 20.0, 3).select("user_id", "event_id", "value")
 
 
-R.sql["cooldown_alerts"] = "with recursive n as (select user_id, event_id, value, row_number() over (partition by user_id order by ts, event_id) as i from events), f as (select user_id, event_id, value, i, value >= 20 as alert, case when value >= 20 then 3 else 0 end as rest from n where i = 1 union all select n.user_id, n.event_id, n.value, n.i, f.rest = 0 and n.value >= 20, case when f.rest > 0 then f.rest - 1 when n.value >= 20 then 3 else 0 end from f join n on n.user_id = f.user_id and n.i = f.i + 1) select user_id, event_id, value from f where alert"
+@R.add()
+def cooldown_alerts_stream(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.run_alert_stream(spark, f"{d}/events[.]parquet", 20.0, 3)
+
+
+R.sql["cooldown_alerts"] = R.sql["cooldown_alerts_stream"] = "with recursive n as (select user_id, event_id, value, row_number() over (partition by user_id order by ts, event_id) as i from events), f as (select user_id, event_id, value, i, value >= 20 as alert, case when value >= 20 then 3 else 0 end as rest from n where i = 1 union all select n.user_id, n.event_id, n.value, n.i, f.rest = 0 and n.value >= 20, case when f.rest > 0 then f.rest - 1 when n.value >= 20 then 3 else 0 end from f join n on n.user_id = f.user_id and n.i = f.i + 1) select user_id, event_id, value from f where alert"
 
 
 @R.add("with s as (select user_id, min(ts) as st from events group by 1), m as (select user_id, ts as a, ts + interval 1 day as b from events where event_type = 'error') select e.user_id, min(e.ts) as crossed_at, arg_min(e.value, e.ts) as score from events e join s using (user_id) where e.value >= 50 and e.ts <= s.st + interval 10 day and not exists (select 1 from m where m.user_id = e.user_id and e.ts between m.a and m.b) group by e.user_id")
@@ -396,13 +403,19 @@ def first_crossing(spark: SparkSession, d: str) -> DataFrame:
     return O.first_crossing(e, mutes, "user_id", "ts", "value", 50.0, 10 * 86_400)
 
 
-@R.add("with s as (select *, sum(case when event_type = 'signup' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as part from events) select user_id, event_id, count(*) over (partition by user_id, part order by ts, event_id rows between unbounded preceding and 1 preceding) as earlier from s")
+_HISTORY = "with s as (select *, sum(case when event_type = 'signup' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as part from events), h as (select user_id, event_id, count(*) over (partition by user_id, part order by ts, event_id rows between unbounded preceding and 1 preceding) as earlier, coalesce(list(event_type) over (partition by user_id, part order by ts, event_id rows between 8 preceding and 1 preceding), []) as history from s)"
+
+
+@R.add(f"{_HISTORY} select user_id, event_id, earlier, history from h")
 def session_history(spark: SparkSession, d: str) -> DataFrame:
-    """History of a session with a reset event: turns before this one since the last reset."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    parts = table(spark, d, "events").withColumn("part", F.sum((F.col("event_type") == "signup").cast("int")).over(w))
-    h = Window.partitionBy("user_id", "part").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select("user_id", "event_id", F.count("*").over(h).alias("earlier"))
+    """The last 8 turns before each turn since the session's reset event, and the number of all of them."""
+    h = S.session_history(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.lit("user"), F.col("event_type"), 8)
+    return h.select("user_id", "event_id", "earlier", F.col("history.content").alias("history"))
+
+
+@R.add(f"{_HISTORY} select user_id, event_id, history from h")
+def session_history_stream(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.run_history_stream(spark, f"{d}/events[.]parquet", 8).select("user_id", "event_id", F.col("history.content").alias("history"))
 
 
 @R.add("select time_bucket(interval 1 day, ts) as window_start, case when event_type in ('click', 'view') then 'browse' when event_type = 'purchase' then 'buy' else 'other' end as category, count(*) as n from events group by 1, 2")

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from weftwork.operators.ranking import shared_folder
 from weftwork.operators.rules import Rule, first_match
+from weftwork.streaming import stateful
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='weftwork-')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -47,62 +45,54 @@ def run_category_counts(spark: SparkSession, path: str) -> DataFrame:
     return out.join(F.broadcast(last), "batch").drop("batch")  # one row
 
 
-class OrderFold(StatefulProcessor):
-    """Order state of a session: quantities by item. Operations of a batch are applied in (ts, event_id) order.
-
-    Batches must come in event order; an operation older than the last applied one of its session is dropped.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getMapState("items", "item long", "quantity long")
-        self.last = handle.getValueState("last", "ts long, event_id long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ops = pd.concat(list(rows)).sort_values(["micros", "event_id"])
-        done = self.last.get() if self.last.exists() else (-(2**62), -1)
-        for r in ops.itertuples():
-            if (r.micros, r.event_id) <= tuple(done):
-                continue
-            done = (int(r.micros), int(r.event_id))
-            at = (int(r.item),)
-            have = self.items.getValue(at)[0] if self.items.containsKey(at) else 0
-            if r.op == "clear":
-                self.items.clear()
-            elif r.op == "add":
-                self.items.updateValue(at, (have + max(1, int(r.qty)),))
-            elif r.op == "update" and have and r.qty > 0:
-                self.items.updateValue(at, (int(r.qty),))
-            elif have and r.op in ("remove", "update") and (r.op == "remove" or r.qty <= 0):
-                self.items.removeKey(at)
-        self.last.update(done)
-        live = [(key[0], k[0], v[0]) for k, v in self.items.iterator()]
-        yield pd.DataFrame(live or [(key[0], -1, 0)], columns=["session", "item", "quantity"])
-
-    def close(self) -> None:
-        pass
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def with_rocks(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """``run`` while the state store is RocksDB, which list and map states need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        return run()
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
-def fold_orders_stream(ops: DataFrame) -> DataFrame:
-    """(session, item, quantity) snapshots of each session that a batch touched; item -1: nothing is left."""
-    rows = ops.withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
-    return rows.groupBy("session").transformWithStateInPandas(OrderFold(), "session long, item long, quantity long", "update", "none")
+def newest(snapshots: DataFrame, key: str) -> DataFrame:
+    """The rows of each key's last batch."""
+    last = snapshots.groupBy(key).agg(F.max("batch").alias("batch"))
+    return snapshots.join(last, [key, "batch"])
 
 
-def run_order_stream(spark: SparkSession, path: str, to_ops: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    try:
+def run_order_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Live (session, item, quantity) after all order operations of an event table."""
+
+    def run() -> DataFrame:
         e = read_stream(spark, path)
         op = F.when(F.col("event_type").isin("click", "view"), "add").when(F.col("event_type") == "purchase", "update").when(F.col("event_type") == "error", "remove").otherwise("clear")
-        ops = to_ops(e) if to_ops else e.select(F.col("user_id").alias("session"), (F.col("event_id") % 5).alias("item"), op.alias("op"), (F.col("event_id") % 4).cast("int").alias("qty"), "ts", "event_id")
-        out = finish(fold_orders_stream(ops), "update")
-    finally:
-        if old is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-    newest = out.groupBy("session").agg(F.max("batch").alias("batch"))
-    return out.join(newest, ["session", "batch"]).filter("quantity > 0").select("session", "item", "quantity")
+        ops = e.select(F.col("user_id").alias("session"), (F.col("event_id") % 5).alias("item"), op.alias("op"), (F.col("event_id") % 4).cast("int").alias("qty"), "ts", "event_id")
+        return finish(stateful.fold_orders_stream(ops), "update")
+
+    return newest(with_rocks(spark, run), "session").filter("quantity > 0").select("session", "item", "quantity")
+
+
+def run_history_stream(spark: SparkSession, path: str, keep: int) -> DataFrame:
+    """(user_id, event_id, history) of an event table: what a user did since the last signup, at most ``keep`` events."""
+
+    def run() -> DataFrame:
+        e = read_stream(spark, path)
+        turns = e.select(F.col("user_id").alias("session"), "ts", "event_id", (F.col("event_type") == "signup").alias("reset"), F.lit("user").alias("role"), F.col("event_type").alias("content"))
+        return finish(stateful.history_stream(turns, keep), "append")
+
+    return with_rocks(spark, run).select(F.col("session").alias("user_id"), "event_id", "history")
+
+
+def run_alert_stream(spark: SparkSession, path: str, threshold: float, skip: int) -> DataFrame:
+    """(user_id, event_id, value) of an event table's alerts."""
+
+    def run() -> DataFrame:
+        readings = read_stream(spark, path).select(F.col("user_id").alias("key"), "ts", "event_id", F.col("value").alias("score"))
+        return finish(stateful.alerts_stream(readings, threshold, skip), "append")
+
+    return with_rocks(spark, run).select(F.col("key").alias("user_id"), "event_id", F.col("score").alias("value"))
