@@ -9,6 +9,8 @@ them, and two adjacent pairs are a phrase of three words. So level n counts phra
 ``least`` is ever paired again.
 
 No vocabulary is broadcast: each block's distinct symbols are joined with the ranked ones and go back to the block.
+Between steps all lies in flat rows, a row a distinct symbol of a block and one row with the block's codes, so that no
+reader holds more than one block.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftwork.operators.ranking import global_rank
 
-from .common import stored
+from .common import dropped, released, stored
 
 #: Piece ends become byte FF, which no UTF-8 text holds; a tab becomes a space.
 MARK = b"\xff"
@@ -32,7 +34,10 @@ _TABLE = bytes(255 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c fo
 BLOCK, WAITING = 1 << 20, 1 << 22
 #: A long text is taken in slices of about so many bytes, cut at piece ends.
 SLICE = 1 << 20
-PAIRS = "block long, lang string, x array<long>, y array<long>, counts array<long>, codes binary"
+#: A block's rows: one for each distinct symbol (at: its code), and one at ``CODES`` with the codes and, as count, how many symbols there are.
+CODES = 2**31 - 1
+WORDS = "block long, at int, lang string, word string, count long, codes binary"
+PAIRS = "block long, at int, x long, y long, count long, codes binary"
 
 
 def slices(text: bytes):
@@ -61,10 +66,19 @@ class _Coder:
         self.n += len(words)
         return len(words)
 
-    def row(self):
+    def rows(self, block: int, lang: str):
         codes = np.concatenate(self.parts) - 1
-        counts = np.bincount(codes[codes >= 0], minlength=len(self.known) - 1)
-        return [w.decode("utf-8", "surrogatepass") for w in list(self.known)[1:]], counts, codes.tobytes()
+        words = [w.decode("utf-8", "surrogatepass") for w in list(self.known)[1:]]
+        n = len(words)
+        counts = np.bincount(codes[codes >= 0], minlength=n)
+        one = pa.array([n], pa.int64())
+        columns = [np.full(n, block), np.arange(n, dtype=np.int32)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([lang] * n, pa.string()), pa.array(words, pa.string()), pa.array(counts), pa.nulls(n, pa.binary())], names=_names(WORDS))
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([CODES], pa.int32()), pa.array([lang]), pa.nulls(1, pa.string()), one, pa.array([codes.tobytes()], pa.binary())], names=_names(WORDS))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _blocks(batches):
@@ -72,10 +86,9 @@ def _blocks(batches):
 
     def ready(langs):
         nonlocal made
-        rows = [(lang, *waiting.pop(lang).row()) for lang in langs]
-        out = pa.RecordBatch.from_arrays([pa.array([base + made + i for i in range(len(rows))], pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())], names=["block", "lang", "symbols", "counts", "codes"])
-        made += len(rows)
-        return out
+        for lang in langs:
+            yield from waiting.pop(lang).rows(base + made, lang)
+            made += 1
 
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -83,12 +96,11 @@ def _blocks(batches):
                 held += (coder := waiting.setdefault(lang, _Coder())).add(part)
                 if coder.n >= BLOCK:
                     held -= coder.n
-                    yield ready([lang])
+                    yield from ready([lang])
                 elif held >= WAITING:
                     held = 0
-                    yield ready(list(waiting))
-    if waiting:
-        yield ready(list(waiting))
+                    yield from ready(list(waiting))
+    yield from ready(list(waiting))
 
 
 def tiled(x: np.ndarray, y: np.ndarray, n: int, width: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,39 +147,50 @@ def paired(codes: np.ndarray, at: np.ndarray, ids: np.ndarray, symbols: int):
     return ids[x], ids[y], count, out
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values).astype(np.int64)))
+def _pairs(last: bool):
+    """Rows come sorted by (block, at): a block's ranked symbols, then its codes."""
 
+    def out(block: int, codes: np.ndarray, at: np.ndarray, ids: np.ndarray, symbols: int):
+        x, y, count, coded = paired(codes, at, ids, symbols)
+        n = len(x)
+        for k in range(0, n, 1 << 16):
+            part = slice(k, min(n, k + (1 << 16)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.stop - k, block)), pa.array(np.arange(k, part.stop, dtype=np.int32)), *[pa.array(c[part].astype(np.int64)) for c in (x, y, count)], pa.nulls(part.stop - k, pa.binary())], names=_names(PAIRS))
+        if n and not last:
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([CODES], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([n], pa.int64()), pa.array([coded.tobytes()], pa.binary())], names=_names(PAIRS))
 
-def _pairs(last: bool):
     def run(batches):
+        held_at, held_ids = [], []
         for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1)
-                ranked, codes = row.column(4).flatten(), np.frombuffer(row.column(2)[0].as_buffer(), np.int32)
-                x, y, count, out = paired(codes, ranked.field("at").to_numpy(), ranked.field("id").to_numpy(), row.column(3)[0].as_py())
-                yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), _lists([x]), _lists([y]), _lists([count]), pa.array([b"" if last else out.tobytes()], pa.binary())], names=["block", "lang", "x", "y", "counts", "codes"])
+            at, ids, start = b.column(1).to_numpy(), b.column(2).to_numpy(), 0
+            for end in np.flatnonzero(at == CODES).tolist():
+                held_at.append(at[start:end])
+                held_ids.append(ids[start:end])
+                codes = np.frombuffer(b.column(3)[end].as_buffer(), np.int32)
+                yield from out(b.column(0)[end].as_py(), codes, np.concatenate(held_at), np.concatenate(held_ids), int(ids[end]))
+                held_at, held_ids, start = [], [], end + 1
+            held_at.append(at[start:].copy())
+            held_ids.append(ids[start:].copy())
 
     return run
 
 
 def coded(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    return docs.select(lang.alias("lang"), F.col(text_col).alias("text")).filter("text is not null").mapInArrow(_blocks, "block long, lang string, symbols array<string>, counts array<long>, codes binary")
+    return docs.select(lang.alias("lang"), F.col(text_col).alias("text")).filter("text is not null").mapInArrow(released(_blocks), WORDS)
 
 
-def ranked(blocks: DataFrame, names: list[str], least: int) -> DataFrame:
-    """(lang, names, a, id) of the blocks' symbols that occur ``least`` times or more; ids rise as frequencies fall."""
-    entries = blocks.select("lang", F.explode(F.arrays_zip(*names, "counts")).alias("s")).select("lang", *[F.col(f"s.{n}").alias(n) for n in names], F.col("s.counts").alias("count"))
-    often = entries.groupBy("lang", *names).agg(F.sum("count").alias("a")).filter(F.col("a") >= least)
-    return stored(global_rank(often, F.col("lang"), F.col("a").desc(), *[F.col(n) for n in names], name="id"), "ranked")
+def ranked(entries: DataFrame, names: list[str], least: int) -> DataFrame:
+    """(names, a, id) of the symbols that occur ``least`` times or more; ids rise as frequencies fall."""
+    often = entries.groupBy(*names).agg(F.sum("count").alias("a")).filter(F.col("a") >= least)
+    return stored(global_rank(often, F.col("a").desc(), *[F.col(n) for n in names], name="id"), "ranked")
 
 
 def next_level(blocks: DataFrame, names: list[str], symbols: DataFrame, last: bool) -> DataFrame:
     """The blocks in pairs of ranked symbols."""
-    entries = blocks.select("block", "lang", F.posexplode(F.arrays_zip(*names)).alias("at", "s")).select("block", "lang", "at", *[F.col(f"s.{n}").alias(n) for n in names])
-    back = entries.join(symbols.select("lang", *names, "id"), ["lang", *names]).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("ranked"))
-    return stored(blocks.select("block", "lang", "codes", F.size("counts").alias("symbols")).join(back, "block").select("block", "lang", "codes", "symbols", "ranked").mapInArrow(_pairs(last), PAIRS), "pairs")
+    known = blocks.filter(F.col("at") < CODES).select("block", "at", *names).join(symbols.select(*names, "id"), names).select("block", "at", "id", F.lit(None).cast("binary").alias("codes"))
+    codes = blocks.filter(F.col("at") == CODES).select("block", "at", F.col("count").alias("id"), "codes")
+    return stored(known.unionByName(codes).repartition("block").sortWithinPartitions("block", "at").mapInArrow(released(_pairs(last)), PAIRS), "pairs")
 
 
 def _scored(n: int):
@@ -193,16 +216,18 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int
     an empty table gives no rows; columns besides language and text are not read. Texts are taken whole, a long one in
     slices that end at piece ends.
     """
-    blocks, names = stored(coded(docs, lang_col, text_col), "blocks"), ["symbols"]
-    words = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n"))
-    symbols = ranked(blocks, names, least)
-    level = symbols.select("lang", "id", F.col("symbols").alias("phrase"), F.col("symbols").alias("end"), "a", F.array("a").alias("heads"), F.array("a").alias("tails"))
+    blocks, names = stored(coded(docs, lang_col, text_col), "blocks"), ["lang", "word"]
+    entries = blocks.filter(F.col("at") < CODES)
+    words = stored(entries.groupBy("lang").agg(F.sum("count").alias("n")), "words")
+    symbols = ranked(entries, names, least)
+    level = symbols.select("lang", "id", F.col("word").alias("phrase"), F.col("word").alias("end"), "a", F.array("a").alias("heads"), F.array("a").alias("tails"))
     found = []
     for n in range(2, longest + 1):
-        blocks = next_level(blocks, names, symbols, last=n == longest)
+        before, blocks = blocks, next_level(blocks, names, symbols, last=n == longest)
+        dropped(before)
         names = ["x", "y"]
-        symbols = ranked(blocks, names, least)
-        left = level.select(F.col("id").alias("x"), F.col("phrase").alias("__left"), F.col("heads").alias("__heads"))
+        symbols = ranked(blocks.filter(F.col("at") < CODES), names, least)
+        left = level.select("lang", F.col("id").alias("x"), F.col("phrase").alias("__left"), F.col("heads").alias("__heads"))
         right = level.select(F.col("id").alias("y"), "end", F.col("tails").alias("__tails"))
         joined = symbols.join(left, "x").join(right, "y")
         if found:
