@@ -1,3 +1,5 @@
+import contextlib
+import json
 import random
 
 import numpy as np
@@ -12,7 +14,7 @@ from weftwork.operators import orders as O
 from weftwork.operators import selection as S
 from weftwork.operators.rules import Rule, classify, first_match
 from weftwork.operators.ranking import global_rank
-from weftwork.sources import io
+from weftwork.sources import io, json_array
 
 
 def one(spark, value, f, kind="string"):
@@ -279,6 +281,74 @@ def test_dialogues(spark, tmp_path):
     assert [(r["conversation_id"], r["turn_index"], r["original_text"]) for r in got] == [("x", 0, "hi"), ("x", 3, "soup")]
 
 
+@contextlib.contextmanager
+def byte_ranges(spark, size):
+    keys = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_bad_line_in_a_late_range(spark, tmp_path):
+    path = tmp_path / "lines.jsonl"
+    lines = ['{"id": %d, "t": "%s"}' % (i, "é" * (i % 50)) if i % 9 else "" for i in range(1, 400)]
+    lines[301] = '{"id": 7'
+    lines[350] = "[1]"
+    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    with byte_ranges(spark, 3000):
+        good, bad = io.read_jsonl(spark, str(path), "id bigint, t string", "quarantine")
+        assert good.rdd.getNumPartitions() > 4
+        assert [(r.line, r.problem) for r in bad.orderBy("line").collect()] == [(302, "bad_json"), (351, "not_an_object")]
+        assert good.count() == sum(bool(x) for x in lines) - 2
+        with pytest.raises(ValueError, match="lines.jsonl, line 302: bad_json"):
+            io.read_jsonl(spark, str(path), "id bigint, t string")
+
+
+@pytest.mark.parametrize("size,most", [(1 << 20, 100_000), (97, 100_000), (64, 3), (300, 100_000)])
+def test_json_array_by_byte_ranges(spark, tmp_path, monkeypatch, size, most):
+    """Braces, brackets, quotes and escapes in strings at every border; a record over many ranges."""
+    monkeypatch.setattr(json_array, "MOST_RANGES", most)
+    rnd = random.Random(size)
+    odd = ["}", "{", "]", "[", '"', "\\", "}]", '\\"}', "é\n", "},{", "plain ", " "]
+    want = []
+    for f in range(3):
+        docs = [{"id": f"{f}-{i}", "utterances": [{"index": k, "speaker": "USER", "text": "".join(rnd.choice(odd) for _ in range(rnd.randrange(12)))} for k in range(rnd.randrange(4))]} for i in range(20)]
+        docs.append({"id": f"{f}-long", "utterances": [{"index": 0, "text": "}{" * 700}]})
+        (tmp_path / f"{f}.json").write_text(json.dumps(docs, indent=rnd.choice([None, 2]), ensure_ascii=bool(f)), encoding="utf-8")
+        want += [(d["id"], [(u["index"], u["text"]) for u in d["utterances"]]) for d in docs]
+    (tmp_path / "3.json").write_text(" [ ]\n")
+    with byte_ranges(spark, size):
+        got = io.read_dialogues(spark, str(tmp_path))
+        rows = sorted((r.id, [(u["index"], u["text"]) for u in r.utterances]) for r in got.collect())
+        assert rows == sorted(want)
+        assert size > 1000 or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+
+
+@pytest.mark.parametrize("text", ['{"id": "x"}', '[{"id": "x"}', '[{"id": "x"}, 5]', '["a", {"id": "x"}]', '[[{"id": "x"}]]', '[{"id": "x}]'])
+def test_json_that_is_no_array_of_objects(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="top is not|does not end|not an object"):
+        io.read_dialogues(spark, str(tmp_path)).collect()
+
+
+def test_split_sinks(spark, tmp_path):
+    df = spark.range(100).selectExpr("id", "case when id % 10 = 0 then 'valid' else 'train' end as split")
+    path = str(tmp_path / "s")
+    assert io.write_splits(df, "split", path, ["train", "valid", "test"]) == {"train": 90, "valid": 10, "test": 0}
+    assert io.write_splits(df.filter("split = 'valid' and id < 50"), "split", path, ["train", "valid", "test"]) == {"train": 0, "valid": 5, "test": 0}
+    assert {r["split"]: r["count"] for r in io.read_splits(spark, path, "split").groupBy("split").count().collect()} == {"train": 90, "valid": 5}
+    with pytest.raises(Exception, match="no such split"):
+        io.write_splits(df, "split", path, ["train"])
+    spark.range(3).selectExpr("id").write.parquet(f"{path}/data/split=test")
+    with pytest.raises(ValueError, match="test"):
+        io.read_splits(spark, path, "split")
+
+
 def test_containment_of_many_and_of_short_surfaces(spark):
     texts = spark.createDataFrame([(1, "iki Köfte ve su"), (2, "a"), (3, ""), (4, None), (5, "çay, ayran")], "id long, text string")
     found = spark.createDataFrame([("kofte", 0, "kofte"), ("su", 1, "su"), ("a", 2, "a"), ("ayran", 3, "ayran"), ("cay", 4, "cay")], "item string, position int, surface string")

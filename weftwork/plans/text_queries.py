@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions import text as X
 from weftwork.operators import sft
+from weftwork.operators.ranking import shared_folder
 from weftwork.plans.base import UTT, Registry, conversations, folded, norm, table, users, utterances
 from weftwork.sources import io
 
@@ -153,14 +156,44 @@ def extract_user_turns(spark: SparkSession, d: str) -> DataFrame:
     return io.extract_turns(_dialogues(spark, d))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @R.add("select cast(conv_id as varchar) as id, count(*) as turns, cast(sum(length(text)) as bigint) as chars from conversations group by conv_id")
 def dialogue_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Dialogues as JSON texts, read back with the nested schema."""
-    texts = _dialogues(spark, d).select(F.to_json(F.struct("*")).alias("j"))
-    back = texts.select(F.from_json("j", io.DIALOGUE).alias("x")).select("x.id", F.explode("x.utterances").alias("u"))
+    """Dialogues written as files of one JSON array each, and scanned by byte ranges."""
+    file = Window.partitionBy("file").orderBy("id")
+    texts = _dialogues(spark, d).select("id", F.pmod(F.hash("id"), F.lit(4)).alias("file"), F.to_json(F.struct("*")).alias("j")).withColumn("n", F.row_number().over(file)).withColumn("last", F.count("*").over(Window.partitionBy("file")))
+    line = F.concat(F.when(F.col("n") == 1, "[").otherwise(""), "j", F.when(F.col("n") == F.col("last"), "]").otherwise(","))
+    path = _folder(spark, "dialogues")
+    texts.select("file", "n", line.alias("value")).repartition("file").sortWithinPartitions("file", "n").select("file", "value").write.partitionBy("file").text(path)
+    back = io.read_dialogues(spark, path).select("id", F.explode("utterances").alias("u"))
     return back.groupBy("id").agg(F.count("*").alias("turns"), F.sum(F.length("u.text")).alias("chars"))
 
 
+@R.add("with l as (select conv_id % 4 as file, conv_id, turn, row_number() over (partition by conv_id % 4 order by conv_id, turn) as line from conversations) select file, line, case when turn % 7 = 0 then 'bad_json' else 'not_an_object' end as problem from l where turn % 7 <= 1")
+def jsonl_bad_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Bad lines of written JSON lines, by file and line number."""
+    line = F.to_json(F.struct("conv_id", "turn", "text"))
+    value = F.when(F.col("turn") % 7 == 0, F.concat(F.lit('{"conv_id": '), F.substring(line, 1, 5))).when(F.col("turn") % 7 == 1, F.concat(F.lit("["), line, F.lit("]"))).otherwise(line)
+    path = _folder(spark, "lines")
+    rows = conversations(spark, d).select((F.col("conv_id") % 4).alias("file"), "conv_id", "turn", value.alias("value"))
+    rows.repartition("file").sortWithinPartitions("file", "conv_id", "turn").select("file", "value").write.partitionBy("file").text(path)
+    _, bad = io.read_jsonl(spark, path, "conv_id bigint, turn bigint, text string", "quarantine")
+    return bad.select(F.regexp_extract("file", r"file=(\d+)", 1).cast("bigint").alias("file"), "line", "problem")
+
+
+@R.add("select case when turn % 5 = 0 then 'valid' when turn % 5 = 1 then 'test' else 'train' end as split, count(*) as rows, cast(sum(length(text)) as bigint) as chars from conversations group by 1")
+def split_sinks(spark: SparkSession, d: str) -> DataFrame:
+    """Splits written twice, the second time a part of them, and read against their manifest."""
+    split = F.when(F.col("turn") % 5 == 0, "valid").when(F.col("turn") % 5 == 1, "test").otherwise("train")
+    rows, path, names = conversations(spark, d).withColumn("split", split), _folder(spark, "splits"), ("train", "valid", "test")
+    io.write_splits(rows, "split", path, names)
+    io.write_splits(rows.filter("split <> 'train'"), "split", path, names)
+    return io.read_splits(spark, path, "split").groupBy("split").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
+
+
 @R.add("select case when turn % 7 = 0 then 'bad_json' when turn % 7 = 1 then 'not_an_object' end as problem, count(*) as n, count(case when turn % 7 > 1 then conv_id end) as ids from conversations group by 1")
 def jsonl_quarantine(spark: SparkSession, d: str) -> DataFrame:
     line = F.to_json(F.struct("conv_id", "turn", "text"))
@@ -222,8 +255,6 @@ def paraphrase_prompt(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("select conv_id, turn, text as user_text, lead(text) over (partition by conv_id order by turn) as reply, 3 as n, 'system,user,assistant' as roles from conversations qualify role = 'user' and lead(role) over (partition by conv_id order by turn) = 'assistant'")
 def chat_records(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id").orderBy("turn")
     pairs = conversations(spark, d).withColumn("reply", F.lead("text").over(w)).withColumn("next", F.lead("role").over(w)).filter("role = 'user' and next = 'assistant'")
     rec = pairs.withColumn("m", sft.chat_record("You take orders.", F.col("text"), F.col("reply")))

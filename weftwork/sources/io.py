@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftwork.functions.text import clean_text, first_truthy, norm_label
+from weftwork.sources.json_array import array_records
 
 
 def parse_lines(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
@@ -22,15 +24,33 @@ def parse_lines(lines: DataFrame, schema: str, value: str = "value") -> DataFram
     return out.select(*lines.columns, *[F.col(f"__p.{n}").alias(n) for n in names], problem.alias("problem"))
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, place): lines with their file, the start of their byte range, and their place in the order of reading."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+
+
+def numbered(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows`` of :func:`placed_lines` with their line number in the file, from 1.
+
+    Lines are counted by byte range, and the counts before a range are added to the place inside it; only the rows
+    asked for are joined with these counts.
+    """
+    ranges = lines.groupBy("file", "block").agg(F.count("*").alias("__n"), F.min("place").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = ranges.select("file", "block", "__first", before.alias("__before"))
+    return rows.join(at, ["file", "block"]).withColumn("line", F.col("place") - F.col("__first") + F.col("__before") + 1).drop("__first", "__before")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "strict") -> DataFrame | tuple[DataFrame, DataFrame]:
-    """JSON lines; strict: a bad line is an error; quarantine: (good rows, bad lines with the problem)."""
-    rows = parse_lines(spark.read.text(path), schema)
-    bad = rows.filter("problem is not null").select("value", "problem")
-    good = rows.filter("problem is null").drop("value", "problem")
+    """JSON lines. strict: a bad line is an error that names file and line; quarantine: (good rows, bad lines with file, line and problem)."""
+    lines = placed_lines(spark, path)
+    rows = parse_lines(lines, schema)
+    good = rows.filter("problem is null").drop("value", "problem", "file", "block", "place")
+    bad = numbered(rows.filter("problem is not null").select("value", "file", "block", "place", "problem"), lines).select("file", "line", "value", "problem")
     if mode == "quarantine":
         return good, bad
-    if first := bad.limit(1).collect():
-        raise ValueError(f"{first[0]['problem']}: {first[0]['value'][:200]}")
+    if first := bad.orderBy("file", "line").limit(1).collect():
+        raise ValueError(f"{first[0].file}, line {first[0].line}: {first[0].problem}: {first[0]['value'][:200]}")
     return good
 
 
@@ -42,17 +62,49 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     df.select(*columns).write.option("header", True).csv(path)
 
 
-def write_splits(df: DataFrame, split: str, path: str) -> None:
-    """One folder a split in one write."""
-    df.write.partitionBy(split).parquet(path)
+def write_splits(df: DataFrame, split: str, path: str, names: Sequence[str]) -> dict[str, int]:
+    """One folder a split in one write, with a manifest of the rows of each; returns the rows written.
+
+    Only the splits written are replaced, so a second run leaves no double rows. The rows are counted by the write
+    itself; the manifest follows it, so :func:`read_splits` sees a write that did not end. ``names``: all splits there
+    may be; a row of another is an error.
+    """
+    spark = df.sparkSession
+    watch = Observation(f"splits-{uuid.uuid4().hex}")
+    counts = [F.count_if(F.col(split) == n).alias(f"n{i}") for i, n in enumerate(names)]
+    known = F.when(F.col(split).isin(*names), F.col(split)).otherwise(F.raise_error(F.concat(F.lit("no such split: "), F.coalesce(F.col(split).cast("string"), F.lit("null")))).cast("string"))
+    checked = df.withColumn(split, known)
+    checked.observe(watch, *counts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(split).parquet(f"{path}/data")
+    found = {n: watch.get[f"n{i}"] for i, n in enumerate(names)}
+    kept = {r.split: r.rows for r in _manifest(spark, path).collect()} if _exists(spark, f"{path}/manifest") else {}
+    spark.createDataFrame(sorted((kept | {n: c for n, c in found.items() if c}).items()), "split string, rows long").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return found
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("split string, rows long").json(f"{path}/manifest")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def read_splits(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """What :func:`write_splits` wrote; an error where a split does not hold the rows of the manifest."""
+    rows = spark.read.parquet(f"{path}/data").withColumn(split, F.col(split).cast("string"))
+    held = rows.groupBy(F.col(split).alias("split")).agg(F.count("*").alias("held"))
+    if odd := _manifest(spark, path).join(held, "split", "full").filter("not (rows <=> held)").orderBy("split").limit(5).collect():
+        raise ValueError(f"{path}: {[(r.split, r.rows, r.held) for r in odd]} (split, rows of the manifest, rows there)")
+    return rows
 
 
 DIALOGUE = "conversation_id string, id string, dialogue_id string, utterances array<struct<index:bigint,speaker:string,role:string,participant:string,author:string,text:string,utterance:string,transcript:string,content:string,segments:array<struct<annotations:array<struct<name:string>>>>>>"
 
 
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of dialogues. Such a file is one task: convert it once for large corpora."""
-    return spark.read.schema(DIALOGUE).json(path, multiLine=True)
+    """Files that hold an array of dialogues each; a large file is read by several tasks."""
+    return array_records(spark, path).select(F.from_json("record", DIALOGUE, {"mode": "FAILFAST"}).alias("d")).select("d.*")
 
 
 def extract_turns(dialogues: DataFrame, labels: Sequence[str] = ("USER", "CUSTOMER")) -> DataFrame:
