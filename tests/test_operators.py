@@ -98,7 +98,7 @@ def test_mentions_in_both_ways(spark):
     dim = spark.createDataFrame([("a", "ay", 1), ("b", "ayran", 2), ("c", "çay", 0)], "item_id string, name string, position int")
     texts = spark.createDataFrame([(1, "Ayran lütfen"), (2, "ÇAY"), (3, "su"), (4, None)], "id int, text string")
     small = J.mention_join(texts, J.surfaces(dim), ["id"])
-    large = J.mention_join(texts, J.surfaces(dim), ["id"], most=1)
+    large = J.mention_join(texts, J.surfaces(dim), ["id"], few=1)
     want = {(1, "a"), (1, "b"), (2, "a"), (2, "c")}
     assert {(r["id"], r["item"]) for r in small.collect()} == want == {(r["id"], r["item"]) for r in large.collect()}
 
@@ -352,10 +352,59 @@ def test_split_sinks(spark, tmp_path):
 def test_containment_of_many_and_of_short_surfaces(spark):
     texts = spark.createDataFrame([(1, "iki Köfte ve su"), (2, "a"), (3, ""), (4, None), (5, "çay, ayran")], "id long, text string")
     found = spark.createDataFrame([("kofte", 0, "kofte"), ("su", 1, "su"), ("a", 2, "a"), ("ayran", 3, "ayran"), ("cay", 4, "cay")], "item string, position int, surface string")
-    few, many = (sorted(map(tuple, J.mention_join(texts, found, ["id"], most=m).collect())) for m in (100, 2))
+    few, many = (sorted(map(tuple, J.mention_join(texts, found, ["id"], few=m).collect())) for m in (100, 2))
     assert few == many and (2, "a", 2) in many and (1, "su", 1) in many and (5, "cay", 4) in many and (1, "kofte", 0) in many
 
 
+@pytest.mark.parametrize("few,most,heavy", [(1000, 1000, 10), (5, 1000, 10), (5, 10, 1_000_000), (5, 10, 3)])
+def test_containment_in_every_way(spark, few, most, heavy):
+    """In a projection, by broadcast grams, by shuffled grams, and by salted ones."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdé ") for _ in range(rnd.randrange(1, 8)))
+    names = sorted({word() for _ in range(60)} | {"a", "bc", "abc", "🙂x", "never there"})
+    texts = [(i, " ".join(word() for _ in range(rnd.randrange(6)))) for i in range(150)] + [(150, None), (151, ""), (152, "x🙂x"), (153, "a")] + [(154, "abc")] * 2
+    found = spark.createDataFrame([(n, i, n) for i, n in enumerate(names)], "item string, position long, surface string")
+    got = J.containing(spark.createDataFrame(texts, "id long, __t string"), found, few=few, most=most, heavy=heavy)
+    want = sorted((i, n) for i, t in texts for n in names if t is not None and n in t)
+    assert sorted((r.id, r.item) for r in got.collect()) == want
+    assert set(got.columns) == {"id", "__t", "item", "position", "surface"}
+
+
+@pytest.mark.parametrize("few", [100, 1])
+def test_mentions_as_an_array(spark, few):
+    dim = spark.createDataFrame([(7, "ayran", ["yoğurt suyu", "ay"], 2), (8, "çay", None, 1)], "item_id long, name string, aliases array<string>, position int")
+    texts = spark.createDataFrame([(1, "Ayran, ÇAY ve yoğurt suyu"), (2, "su"), (3, None)], "id int, text string")
+    got = J.with_mentions(texts, J.surfaces(dim, aliases="aliases"), ["id"], few=few)
+    assert {r.id: [(m["position"], m["item"]) for m in r.mentions] for r in got.collect()} == {1: [(1, 8), (2, 7)], 2: [], 3: []}
+
+
+def test_order_terms_leave_out_what_is_missing(spark):
+    df = spark.createDataFrame([([("A", 2, None), ("B", None, 1.5), (None, 1, 3.0)], None), ([], 4.0)], "items array<struct<name:string,quantity:int,price:double>>, total double")
+    got = [r.t for r in df.select(J.order_terms(F.col("items"), F.col("total")).alias("t")).collect()]
+    assert got == [["A", "2", "B", "1.50", "1", "3.00", "3.00"], ["4.00"]]
+
+
+def test_blank_results(spark):
+    lit, none = F.lit, F.array().cast("array<string>")
+    for blank in ("", "  ", "\t\n", "\xa0", "\u2003", "\x1c"):
+        errors = J.grounded_errors(lit("greeting"), lit(blank), lit(0.5), lit(blank), lit(1.0), lit(blank), none, none, lit(False))
+        assert spark.range(1).select(errors.alias("e")).first().e == ["empty message", "empty response", "empty menu source"]
+
+
+@pytest.mark.parametrize("at_most", [10_000, 40, 1])
+def test_order_statistics_of_a_large_group(spark, at_most):
+    rnd = random.Random(at_most)
+    nan, inf = float("nan"), float("inf")
+    groups = {"hot": [rnd.lognormvariate(0, 4) for _ in range(3000)], "same": [7.0] * 500, "ends": [-inf, inf, nan, nan, *[rnd.uniform(-1e300, 1e300) for _ in range(300)]], "few": [3.0, 1.0], "ties": [rnd.choice([1.0, 2.0, 1e9]) for _ in range(600)], None: [float(i) for i in range(200)]}
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("none", None)]
+    rnd.shuffle(rows)
+    got = {r.k: r for r in E.latency_stats(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v", at_most).collect()}
+    assert got.keys() == groups.keys()
+    for k, values in groups.items():
+        s, n = sorted(values, key=lambda v: (v != v, v)), len(values)
+        assert (got[k].n, got[k]["median"], got[k].p95) == (n, s[n // 2], s[max(0, int(n * 0.95) - 1)])
+
+
 def test_every_category_counts(spark):
     kinds = spark.range(50_001).selectExpr("concat('kat', lpad(cast(id as string), 6, '0'), 'x') as category")
     texts = spark.createDataFrame([(1, "bir kat050000x lütfen"), (2, "kat000007x ve kat000003x"), (3, "yok")], "id long, text string")

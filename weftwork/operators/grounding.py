@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 from weftwork.functions import presets
 from weftwork.functions.text import contains_any, fold, missing_terms, name_list, once, ordered_distinct, present_terms
-from weftwork.operators.ranking import global_rank
+from weftwork.operators.ranking import checkpointed, global_rank
 from weftwork.operators.rules import Rule, first_match
 
-#: Surfaces beyond this many are not broadcast: mentions then meet by the words of the surface.
+#: So many surfaces are looked for one by one, in a projection.
+FEW_SURFACES = 256
+#: Surfaces beyond this many are not broadcast.
 MOST_SURFACES = 50_000
+#: Surfaces that more rows could hold are dealt out with a salt.
+HEAVY_ROWS = 1_000_000
+#: Characters of the keys by which texts and surfaces meet.
+GRAM = 4
 
 
 def small(df: DataFrame, most: int = MOST_SURFACES) -> DataFrame:
@@ -28,24 +34,70 @@ def surfaces(dim: DataFrame, item: str = "item_id", name: str = "name", aliases:
     return dim.select(F.col(item).alias("item"), F.col(position).alias("position"), F.explode(F.array_distinct(F.transform(names, fold))).alias("surface")).filter("surface <> ''")
 
 
-def mention_join(texts: DataFrame, found: DataFrame, id_cols: Sequence[str], text: str = "text", most: int = MOST_SURFACES) -> DataFrame:
+def with_mentions(texts: DataFrame, found: DataFrame, id_cols: Sequence[str], text: str = "text", name: str = "mentions", few: int = FEW_SURFACES) -> DataFrame:
+    """``texts`` with the items whose surface the folded text contains: an array of (position, item), by position, once an item.
+
+    Few surfaces (counted) are one constant array, so that nothing is shuffled; more take the way of :func:`containing`
+    and come back by ``id_cols``.
+    """
+    constant = _constant(found.select("position", "item", "surface"), few)
+    if constant is not None:
+        hits = lambda t: F.array_sort(F.transform(F.filter(constant, lambda s: F.contains(t, s["surface"])), lambda s: F.struct(s["position"].alias("position"), s["item"].alias("item"))))
+        first = lambda m: F.filter(m, lambda x, i: F.array_position(F.transform(m, lambda y: y["item"]), x["item"]) == i + 1)
+        return texts.withColumn(name, F.coalesce(once(once(fold(F.col(text)), hits), first), F.array().cast(_mention_type(found))))
+    by_id = mention_join(texts, found, id_cols, text, few).groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias(name))
+    return texts.join(by_id, list(id_cols), "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(_mention_type(found))))
+
+
+def _mention_type(found: DataFrame) -> str:
+    return f"array<struct<position:{found.schema['position'].dataType.simpleString()},item:{found.schema['item'].dataType.simpleString()}>>"
+
+
+def _constant(found: DataFrame, few: int) -> Column | None:
+    """The rows of ``found`` as an array of structs, if there are at most ``few``."""
+    rows = found.limit(few + 1).collect()
+    if len(rows) > few:
+        return None
+    kind = f"array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in found.schema)}>>"
+    return F.array(*[F.struct(*[F.lit(r[c]).cast(found.schema[c].dataType).alias(c) for c in found.columns]) for r in rows]).cast(kind) if rows else F.array().cast(kind)
+
+
+def mention_join(texts: DataFrame, found: DataFrame, id_cols: Sequence[str], text: str = "text", few: int = FEW_SURFACES) -> DataFrame:
     """(ids, item, position) for each item with a surface that is a substring of the folded text, once an item."""
     folded = texts.select(*id_cols, fold(F.col(text)).alias("__t"))
-    return containing(folded, found, most).groupBy(*id_cols, "item").agg(F.min("position").alias("position"))
+    return containing(folded, found, few).groupBy(*id_cols, "item").agg(F.min("position").alias("position"))
 
 
-def containing(folded: DataFrame, found: DataFrame, most: int = MOST_SURFACES) -> DataFrame:
+def containing(folded: DataFrame, found: DataFrame, few: int = FEW_SURFACES, most: int = MOST_SURFACES, heavy: int = HEAVY_ROWS) -> DataFrame:
     """Rows of ``folded`` (text: __t) with those of ``found`` whose surface, not empty, the text contains.
 
-    Few surfaces are broadcast (their number is checked). More meet by an equal key, the first four characters of the
-    surface or all of a shorter one, which every text holding the surface also holds at some place; none is left out.
+    Few surfaces (counted) are looked for in a projection. More meet the texts by a gram of four characters (a shorter
+    surface by itself): each surface is keyed by its gram that the fewest texts hold, all texts being counted, so that a
+    text is tried on those surfaces only whose rarest gram it holds. Up to ``most`` keyed surfaces are broadcast; more
+    are joined by shuffle, and a gram that more than ``heavy`` texts hold is spread by a salt. None is left out.
     """
-    if found.limit(most + 1).count() <= most:
-        return folded.join(F.broadcast(found), F.col("__t").contains(F.col("surface")))
-    keyed = found.withColumn("__g", F.substring("surface", 1, 4))
-    place = F.sequence(F.lit(1), F.greatest(F.length("__t"), F.lit(1)))
-    keys = F.flatten(F.transform(place, lambda i: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(F.col("__t"), i, n))))
-    return folded.withColumn("__g", F.explode(F.array_distinct(keys))).join(keyed, "__g").filter(F.col("__t").contains(F.col("surface"))).drop("__g")
+    constant = _constant(found, few)
+    if constant is not None:
+        return folded.withColumn("__f", F.explode(F.filter(constant, lambda s: F.contains(F.col("__t"), s["surface"])))).select(*folded.columns, "__f.*")
+    lengths = sorted(r[0] for r in found.select(F.least(F.length("surface"), F.lit(GRAM))).distinct().collect())  # 1 to 4
+    texts = folded.withColumn("__g", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("__t"), n) for n in lengths])))))
+    held = texts.groupBy("__g").agg(F.count("*").alias("__c"))
+    own = F.when(F.length("surface") < GRAM, F.array("surface")).otherwise(_grams(F.col("surface"), GRAM))
+    keys = found.select("surface").distinct().withColumn("__g", F.explode(F.array_distinct(own))).join(held, "__g").groupBy("surface").agg(F.min(F.struct("__c", "__g")).alias("__k"))
+    keyed = checkpointed(found.join(keys.select("surface", "__k.__g", "__k.__c"), "surface"))
+    if keyed.limit(most + 1).count() <= most:
+        return texts.join(F.broadcast(keyed.drop("__c")), "__g").filter(F.col("__t").contains(F.col("surface"))).drop("__g")
+    salts = F.ceil(F.col("__c") / heavy).cast("int")
+    spread = keyed.filter(F.col("__c") > heavy).select("__g", salts.alias("__n")).distinct()
+    salted = texts.join(small(spread), "__g", "left").withColumn("__s", F.coalesce(F.pmod(F.xxhash64(*folded.columns), F.col("__n")), F.lit(0)).cast("int")).drop("__n")
+    copies = keyed.withColumn("__s", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop("__c")
+    return salted.join(copies, ["__g", "__s"]).filter(F.col("__t").contains(F.col("surface"))).drop("__g", "__s")
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All substrings of ``n`` characters."""
+    last = F.length(text) - (n - 1)
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
 
 
 def first_mention(mentions: DataFrame, id_cols: Sequence[str]) -> DataFrame:
@@ -168,10 +220,10 @@ def extract_category(texts: DataFrame, categories: DataFrame, id_cols: Sequence[
     one; other texts have no row.
     """
     named = categories.select("category", fold(F.col("category")).alias("surface")).filter("surface <> ''")
-    other = named.filter(F.col("surface") == alias_of).agg(F.min("category").alias("__other"))
     folded = texts.select(*id_cols, fold(F.col(text)).alias("__t"))
     hits = containing(folded, named).select(*id_cols, "category", F.lit(0).alias("__n"))
-    aliased = folded.filter(contains_any(F.col("__t"), aliases)).crossJoin(F.broadcast(other)).filter("__other is not null")  # one row
+    other = named.filter(F.col("surface") == alias_of).groupBy("surface").agg(F.min("category").alias("__other"))
+    aliased = folded.filter(contains_any(F.col("__t"), aliases)).withColumn("surface", F.lit(alias_of)).join(F.broadcast(other), "surface")  # one row
     both = hits.unionByName(aliased.select(*id_cols, F.col("__other").alias("category"), F.lit(1).alias("__n")))
     return both.groupBy(*id_cols).agg(F.min(F.struct("__n", "category")).alias("__c")).select(*id_cols, F.col("__c.category").alias("category"))
 
@@ -252,7 +304,7 @@ def grounding_terms(intent: Column, canonical: Column, matched: Column, before:
 
 def grounded_errors(intent: Column, message: Column, confidence: Column, canonical: Column, total: Column, source: Column, must_include: Column, must_preserve: Column, demo: Column) -> Column:
     """All broken invariants of a grounded result, in order; empty if it is sound. Null texts are blank."""
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    blank = lambda c: F.coalesce(c, F.lit("")).rlike(r"^[\s\x0B\x{85}\x{A0}\x{1C}-\x{1F}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*$")
     lacks = lambda terms, word: ~F.array_contains(terms, word)
     allergen = intent == "allergen_question"
     checks = [
@@ -261,7 +313,7 @@ def grounded_errors(intent: Column, message: Column, confidence: Column, canonic
         (confidence.isNotNull() & ~confidence.between(0.0, 1.0), F.lit("confidence outside 0 and 1")),
         (blank(canonical), F.lit("empty response")),
         (F.coalesce(total < 0, F.lit(False)), F.lit("negative total")),
-        (F.coalesce(source, F.lit("")).rlike(r"^\s*$"), F.lit("empty menu source")),
+        (blank(source), F.lit("empty menu source")),
         (allergen & lacks(must_include, "Alerji"), F.lit("allergen answer without Alerji")),
         (allergen & lacks(must_include, "teyit"), F.lit("allergen answer without teyit")),
         ((intent == "off_topic") & (F.size(must_include) == 0), F.lit("refusal without terms")),
@@ -271,9 +323,13 @@ def grounded_errors(intent: Column, message: Column, confidence: Column, canonic
 
 
 def order_terms(items: Column, total: Column) -> Column:
-    """What a paraphrase must keep of an order: names, quantities, unit prices and line totals of its lines, and the total."""
-    each = F.transform(items, lambda o: F.array(F.nullif(F.trim(o["name"]), F.lit("")), o["quantity"].cast("string"), F.format_string(PRICE, o["price"]), F.format_string(PRICE, o["price"] * o["quantity"])))
-    return F.array_compact(F.concat(F.flatten(each), F.array(F.when(total.isNotNull(), F.format_string(PRICE, total)))))
+    """What a paraphrase must keep of an order: names, quantities, unit prices and line totals of its lines, and the total.
+
+    What a line does not have is left out.
+    """
+    money = lambda c: F.when(c.isNotNull(), F.format_string(PRICE, c))
+    each = F.transform(items, lambda o: F.array(F.nullif(F.trim(o["name"]), F.lit("")), o["quantity"].cast("string"), money(o["price"]), money(o["price"] * o["quantity"])))
+    return F.array_compact(F.concat(F.flatten(each), F.array(money(total))))
 
 
 def paraphrase_errors(errors: Column, paraphrase: Column, canonical: Column, required: Column, forbidden: Column, allowed: Column) -> Column:

@@ -42,9 +42,9 @@ def extract_quantity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_item(spark, d):
-    """Utterances with whether they mention an item; every one does, by way of the mention join."""
-    first = J.first_mention(_mentions(spark, d), IDS).withColumnRenamed("item", "mentioned")
-    return utterances(spark, d).join(first, IDS, "left")
+    """Utterances with the first item that they mention."""
+    u = J.with_mentions(utterances(spark, d), J.surfaces(items(spark, d)), IDS)
+    return u.withColumn("mentioned", F.get("mentions", F.lit(0))["item"])
 
 
 _HAS = f"with m as ({_MENTIONS}), f as (select l_orderkey, l_linenumber, arg_min(item, position) as mentioned from m group by 1, 2), x as (select u.*, mentioned, {folded('u.text')} as t from ({UTT}) u left join f using (l_orderkey, l_linenumber))"
