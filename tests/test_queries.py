@@ -32,7 +32,7 @@ def test_every_query_has_sql():
 def test_plans(spark, sf):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan(rule_queries.priority_topk(spark, sf))
-    for query in (ground_queries.mention_join, ground_queries.intent_reply, ground_queries.extract_category):
+    for query in (ground_queries.mention_join, ground_queries.intent_reply):
         assert "NestedLoop" not in plan(query(spark, sf))
     assert plan(ground_queries.intent_reply(spark, sf)).count("Exchange hashpartitioning") <= 2  # the tables' own join
     scan = plan(rule_queries.category_histogram(spark, sf))
