@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftwork.operators.ranking import global_rank
 
-from .common import dropped, released, stored
+from .common import dropped, released, stored, swept
 
 #: Piece ends become byte FF, which no UTF-8 text holds; a tab becomes a space.
 MARK = b"\xff"
@@ -225,8 +225,10 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int
     for n in range(2, longest + 1):
         before, blocks = blocks, next_level(blocks, names, symbols, last=n == longest)
         dropped(before)
+        swept(docs.sparkSession)
         names = ["x", "y"]
         symbols = ranked(blocks.filter(F.col("at") < CODES), names, least)
+        swept(docs.sparkSession)
         left = level.select("lang", F.col("id").alias("x"), F.col("phrase").alias("__left"), F.col("heads").alias("__heads"))
         right = level.select(F.col("id").alias("y"), "end", F.col("tails").alias("__tails"))
         joined = symbols.join(left, "x").join(right, "y")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -51,6 +52,12 @@ def dropped(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, which it does once the driver has collected its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,8 +69,6 @@ def parallelism(spark: SparkSession) -> int:
 
 def trimmed() -> None:
     """Give this Python process's unused memory back to the system."""
-    import gc
-
     import pyarrow as pa
 
     gc.collect()
