@@ -256,6 +256,40 @@ def test_quotas(spark):
         S.take_distinct(df, "c", {"z": 2}, [F.col("n")], [F.col("n")])
 
 
+def staged_one_by_one(rows, stages, n):
+    """rows: (id, pair, score, kind) in the order of their score."""
+    ids, pairs, out = set(), set(), []
+    for name, kinds, limit in [*stages, ("rest", None, n)]:
+        own, take = {}, min(limit, n - len(out))
+        for r in rows:
+            if (kinds is None or r[3] in kinds) and r[0] not in ids and r[1] not in pairs and r[1] not in own:
+                own[r[1]] = r
+        best = sorted(own.values(), key=lambda r: r[2])[: max(0, take)]
+        ids |= {r[0] for r in best}
+        pairs |= {r[1] for r in best}
+        out += [(name, r[2]) for r in best]
+    return out
+
+
+@pytest.mark.parametrize("seed,ids,pairs", [(0, 400, 300), (1, 30, 300), (2, 400, 25), (3, 25, 25), (4, 12, 400)])
+def test_staged_select(spark, seed, ids, pairs):
+    """Also where ids and pairs repeat so often that the first candidates do not do."""
+    rnd = random.Random(seed)
+    rows = [(rnd.randrange(ids), f"p{rnd.randrange(pairs)}" if rnd.random() < 0.95 else None, i, rnd.choice("abc")) for i in range(600)]
+    stages = [("first", "a", 7), ("second", "ab", 4), ("none", "z", 5), ("third", "c", 3)]
+    df = spark.createDataFrame(rows, "id int, pair string, score int, kind string")
+    conditions = [(name, F.col("kind").isin(*kinds), limit) for name, kinds, limit in stages]
+    want = staged_one_by_one(rows, stages, 20)
+    if len(want) < 20:
+        with pytest.raises(ValueError):
+            S.staged_select(df, conditions, 20, "id", ["pair"], [F.col("score")])
+    else:
+        got = S.staged_select(df.repartition(4), conditions, 20, "id", ["pair"], [F.col("score")])
+        assert sorted((r.stage, r.score) for r in got.collect()) == sorted(want)
+    with pytest.raises(ValueError):
+        S.staged_select(df, conditions, 601, "id", ["pair"], [F.col("score")])
+
+
 def test_global_rank(spark):
     df = spark.range(1000).withColumn("k", F.pmod(F.col("id") * 7919, F.lit(1000)))
     got = global_rank(df, F.col("k"))

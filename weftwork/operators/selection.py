@@ -87,23 +87,54 @@ def capped_topn(df: DataFrame, category: Column, order: Sequence[Column], n: int
 def staged_select(df: DataFrame, stages: Sequence[tuple[str, Column, int]], n: int, id_col: str, pair: Sequence[str], score: Sequence[Column]) -> DataFrame:
     """Greedy quotas in stages: (name, condition, limit); ids and pairs are taken once; the rest fills up to n.
 
-    A stage sees what earlier ones left, keeps the best row of each pair, and takes its limit. Fewer than n rows in
-    the end raise an error. The chosen rows (at most n) are checkpointed between stages.
+    A stage sees what earlier ones left, keeps the best row of each pair, and takes its limit; ids are unique between
+    stages. Null ids and pairs are values like any other. Fewer than n rows in the end raise an error.
+
+    One pass finds candidates for all stages: of each pair as many ids as earlier stages can take and one more, and of
+    these the best rows, some for each place of the stage and for each row that earlier stages take. The greedy walk
+    over their ids and pairs is exact unless a stage ends with fewer rows than its limit while its candidates were cut;
+    then there are four times as many.
     """
-    chosen = None
-    for name, condition, limit in [*stages, ("rest", F.lit(True), n)]:
-        left = df.filter(condition)
-        have = 0
+    every = [*stages, ("rest", F.lit(True), n)]
+    limits = [max(0, min(limit, n)) for _, _, limit in every]
+    before = [min(n, sum(limits[:i])) for i in range(len(limits))]
+    number = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("__stage"))
+    staged = df.withColumn("__stage", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), i) for i, (_, c, _) in enumerate(every)]))))
+    one = staged.withColumn("__n", _nth([F.col("__stage"), *[F.col(p) for p in pair], F.col(id_col)], score)).filter("__n = 1")
+    held = one.withColumn("__n", _nth([F.col("__stage"), *[F.col(p) for p in pair]], score)).filter((F.col("__n") <= n + 1) & (F.col("__n") <= number(before) + 1))
+    factor = 1
+    while True:
+        bounds = [factor * (a + b) for a, b in zip(limits, before, strict=True)]
+        best = held.withColumn("__n", _nth([F.col("__stage")], score)).filter((F.col("__n") <= max(bounds)) & (F.col("__n") <= number(bounds)))
+        candidates = checkpointed(best)
+        rows = candidates.select("__stage", "__n", F.struct(id_col).alias("id"), F.struct(*pair).alias("pair")).orderBy("__stage", "__n").collect()  # at most the sum of the bounds
+        chosen = _walked(rows, limits, bounds, n)
         if chosen is not None:
-            have = chosen.count()
-            left = left.join(F.broadcast(chosen.select(id_col)), id_col, "left_anti").join(F.broadcast(chosen.select(*pair)), list(pair), "left_anti")
-        take = min(limit, n - have)
-        if take <= 0:
-            continue
-        best = dedup_first(left, [F.col(p) for p in pair], score).orderBy(*score).limit(take).withColumn("stage", F.lit(name))
-        chosen = checkpointed(best if chosen is None else chosen.unionByName(best))
-    if chosen is None or chosen.count() < n:
+            break
+        factor *= 4
+    if len(chosen) < n:
         raise ValueError(f"fewer than {n} rows")
+    names = F.get(F.array(*[F.lit(name) for name, _, _ in every]), F.col("__stage"))
+    taken = df.sparkSession.createDataFrame(chosen, "__stage int, __n int")
+    return candidates.join(F.broadcast(taken), ["__stage", "__n"]).withColumn("stage", names).drop("__stage", "__n")  # n rows
+
+
+def _walked(rows: Sequence, limits: Sequence[int], bounds: Sequence[int], n: int) -> list[tuple[int, int]] | None:
+    """(stage, place) of the rows taken from sorted candidates; None where candidates that were cut could matter."""
+    ids, pairs, chosen = set(), set(), []
+    for stage, limit in enumerate(limits):
+        own, taken = [r for r in rows if r[0] == stage], []
+        take = min(limit, n - len(chosen))
+        for r in own:
+            if len(taken) >= take:
+                break
+            if r.id not in ids and r.pair not in pairs:
+                taken.append(r)
+                pairs.add(r.pair)
+        if len(taken) < take and len(own) >= bounds[stage]:
+            return None
+        ids |= {r.id for r in taken}
+        chosen += [(r[0], r[1]) for r in taken]
     return chosen
 
 
