@@ -34,23 +34,23 @@ def surfaces(dim: DataFrame, item: str = "item_id", name: str = "name", aliases:
     return dim.select(F.col(item).alias("item"), F.col(position).alias("position"), F.explode(F.array_distinct(F.transform(names, fold))).alias("surface")).filter("surface <> ''")
 
 
-def with_mentions(texts: DataFrame, found: DataFrame, id_cols: Sequence[str], text: str = "text", name: str = "mentions", few: int = FEW_SURFACES) -> DataFrame:
-    """``texts`` with the items whose surface the folded text contains: an array of (position, item), by position, once an item.
+def with_mentions(texts: DataFrame, found: DataFrame, id_cols: Sequence[str], text: str = "text", name: str = "mentions", few: int = FEW_SURFACES, carry: Sequence[str] = ()) -> DataFrame:
+    """``texts`` with the items whose surface the folded text contains: an array of (position, item, carry), by position, once an item.
 
     Few surfaces (counted) are one constant array, so that nothing is shuffled; more take the way of :func:`containing`
-    and come back by ``id_cols``.
+    and come back by ``id_cols``. ``carry``: more columns of ``found``.
     """
-    constant = _constant(found.select("position", "item", "surface"), few)
+    own = ["position", "item", *carry]
+    none = F.array().cast(f"array<struct<{','.join(f'{c}:{found.schema[c].dataType.simpleString()}' for c in own)}>>")
+    constant = _constant(found.select(*own, "surface"), few)
     if constant is not None:
-        hits = lambda t: F.array_sort(F.transform(F.filter(constant, lambda s: F.contains(t, s["surface"])), lambda s: F.struct(s["position"].alias("position"), s["item"].alias("item"))))
+        hits = lambda t: F.array_sort(F.transform(F.filter(constant, lambda s: F.contains(t, s["surface"])), lambda s: F.struct(*[s[c].alias(c) for c in own])))
         first = lambda m: F.filter(m, lambda x, i: F.array_position(F.transform(m, lambda y: y["item"]), x["item"]) == i + 1)
-        return texts.withColumn(name, F.coalesce(once(once(fold(F.col(text)), hits), first), F.array().cast(_mention_type(found))))
-    by_id = mention_join(texts, found, id_cols, text, few).groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias(name))
-    return texts.join(by_id, list(id_cols), "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(_mention_type(found))))
-
-
-def _mention_type(found: DataFrame) -> str:
-    return f"array<struct<position:{found.schema['position'].dataType.simpleString()},item:{found.schema['item'].dataType.simpleString()}>>"
+        return texts.withColumn(name, F.coalesce(once(once(fold(F.col(text)), hits), first), none))
+    folded = texts.select(*id_cols, fold(F.col(text)).alias("__t"))
+    each = containing(folded, found, few).groupBy(*id_cols, "item").agg(F.min(F.struct("position", *carry)).alias("__m"))
+    by_id = each.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct(F.col("__m.position").alias("position"), "item", *[F.col(f"__m.{c}").alias(c) for c in carry]))).alias(name))
+    return texts.join(by_id, list(id_cols), "left").withColumn(name, F.coalesce(F.col(name), none))
 
 
 def _constant(found: DataFrame, few: int) -> Column | None:
@@ -161,16 +161,17 @@ def _reply_intent(t: Column, has_item: Column) -> Column:
 
 
 def grounded_intent(text: Column, has_item: Column, unavailable: Column) -> Column:
-    """The grounding cascade: allergy before confirm, unavailable before add."""
+    """The grounding cascade, with 13 outcomes: questions about the house first, then allergy, the order, the menu."""
     return once(fold(F.trim(text)), lambda t: _grounded_intent(t, has_item, unavailable))
 
 
 def _grounded_intent(t: Column, has_item: Column, unavailable: Column) -> Column:
     of = {r.label: r for r in presets.REPLY_BEFORE_MENTION}
-    steps = [(of[k].test(t), k) for k in ("allergy", "confirm_order", "clear_order", "remove_order")]
-    steps += [(F.size(unavailable) > 0, "unavailable_item"), ((has_item & t.rlike(presets.NUMBER)) | t.rlike(presets.ADD_WORDS), "add_order"), (has_item & contains_any(t, presets.PRICE_ASKS), "ask_price"), (has_item, "menu_detail")]
-    steps += [(of[k].test(t), k) for k in ("recommendation", "ask_categories", "restaurant_info", "ask_hours")]
-    out = F.lit("fallback")
+    named = (("greeting", "greeting"), ("ask_hours", "restaurant_info"), ("restaurant_info", "restaurant_info"), ("recommendation", "recommendation"), ("allergy", "allergen_question"), ("confirm_order", "confirm_order"), ("summary", "summarize_order"), ("clear_order", "clear_order"), ("remove_order", "remove_item"))
+    steps = [(of[rule].test(t), intent) for rule, intent in named]
+    add = (has_item & t.contains("daha")) | (has_item & t.rlike(presets.NUMBER)) | t.rlike(presets.ADD_WORDS)
+    steps += [(F.size(unavailable) > 0, "unavailable_item"), (add, "add_item"), (of["ask_categories"].test(t), "menu_question"), (has_item & contains_any(t, presets.PRICE_ASKS), "price_question"), (has_item | contains_any(t, presets.DETAIL_ASKS), "menu_question")]
+    out = F.lit("off_topic")
     for condition, name in reversed(steps):
         out = F.when(condition, name).otherwise(out)
     return out

@@ -58,11 +58,27 @@ def intent_reply(spark: SparkSession, d: str) -> DataFrame:
     return u.select(*IDS, J.reply_intent(F.col("text"), F.col("mentioned").isNotNull()).alias("intent"))
 
 
-@R.add(f"{_HAS} select l_orderkey, l_linenumber, case when contains(t, 'sil') or contains(t, 'cikar') or contains(t, 'iptal') then 'remove_order' when {_ADD} then 'add_order' else 'other' end as intent from x")
+#: What is said to reach each outcome of the grounding cascade; {} is an item.
+_SAID = ("Merhaba {}", "{} kaçta açılıyorsunuz çalışma saatleri", "Restoranın adı ne", "Ne önerirsin {}", "{} glutensiz mi", "Siparişi onayla", "Özet lütfen", "Hepsini temizle", "{} çıkar", "Pizza var mı", "2 {} alabilir miyim", "Menüde neler var", "{} ne kadar", "{} güzel", "Bir şiir yaz")
+_SAYS = "case l_orderkey % 15 " + " ".join(f"when {i} then " + " || ".join(["'" + part + "'" for part in [said.split("{}")[0]]] + (["p_name || '" + said.split("{}")[1] + "'"] if "{}" in said else [])) for i, said in enumerate(_SAID)) + " end"
+_GROUND = " ".join(f"when {test} then '{intent}'" for test, intent in [
+    ("contains(t, 'merhaba')", "greeting"), ("contains(t, 'calisma saatleri') or contains(t, 'restoranin adi')", "restaurant_info"), ("regexp_matches(t, '(?:^|\\s)(?:oner|tavsiye)')", "recommendation"), ("contains(t, 'gluten')", "allergen_question"), ("contains(t, 'siparisi onayla')", "confirm_order"),
+    ("contains(t, 'ozet') or contains(t, 'toplam')", "summarize_order"), ("contains(t, 'temizle')", "clear_order"), ("contains(t, 'iptal') or contains(t, 'cikar') or contains(t, 'sil')", "remove_item"), ("mentioned is null and contains(t, 'pizza') and contains(t, 'var mi')", "unavailable_item"),
+    ("(mentioned is not null and (contains(t, 'daha') or regexp_matches(t, '\\b(?:[0-9]+|bir|iki|uc|dort|bes)\\b'))) or regexp_matches(t, '\\b(?:istiyorum|alabilir|siparis|ekle|isterim|alayim)\\b')", "add_item"), ("contains(t, 'menude neler var')", "menu_question"),
+    ("mentioned is not null and contains(t, 'ne kadar')", "price_question"), ("mentioned is not null", "menu_question"),
+])
+
+
+@R.add(f"with u as (select l_orderkey, l_linenumber, {_SAYS} as text from ({UTT})), i as ({ITEMS}), m as (select u.*, replace({folded('u.text')}, 'ı', 'i') as t, i.name as mentioned, i.position from u left join i on contains(replace({folded('u.text')}, 'ı', 'i'), {folded('i.name')})), x as (select l_orderkey, l_linenumber, text, any_value(t) as t, arg_min(mentioned, position) as mentioned from m group by 1, 2, 3) select distinct l_orderkey, l_linenumber, text, case {_GROUND} else 'off_topic' end as intent from x")
 def intent_grounded(spark: SparkSession, d: str) -> DataFrame:
-    u = _with_item(spark, d)
-    none = F.array().cast("array<string>")
-    return u.select(*IDS, J.grounded_intent(F.col("text"), F.col("mentioned").isNotNull(), none).alias("intent"))
+    """All 13 outcomes; what is unavailable is found in the text."""
+    text = F.lit(None).cast("string")
+    for i, said in enumerate(_SAID):
+        before, *after = said.split("{}")
+        text = F.when(F.col("l_orderkey") % 15 == i, F.concat(F.lit(before), *[F.concat("p_name", F.lit(x)) for x in after])).otherwise(text)
+    u = J.with_mentions(utterances(spark, d).withColumn("text", text), J.surfaces(items(spark, d)), IDS)
+    has = F.size("mentions") > 0
+    return u.select(*IDS, "text", J.grounded_intent(F.col("text"), has, J.unavailable_terms(F.col("text"), has, ("pizza",), ("var mi",))).alias("intent")).distinct()
 
 
 @R.add(f"{_HAS} select l_orderkey, l_linenumber, {_BEFORE} when {_ADD} then 'add_order' else 'other' end as intent from x")
@@ -184,7 +200,7 @@ t as (select *, case intent when 'greeting' then ['Merhaba'] when 'restaurant_in
 r as (select *, list_filter(terms, lambda x, i: list_position(terms, x) = i) as must_preserve,
   case intent when 'unavailable_item' then list_concat(unavailable, ['eklendi', 'fiyatı', 'fiyati', 'MVP/demo']) when 'off_topic' then ['şiir hazırladım', 'şiir yazdım', 'iste bir siir', 'işte bir şiir'] when 'allergen_question' then ['kesinlikle güvenli', 'hiç sorun yok'] else [] end as must_not_introduce,
   case intent when 'allergen_question' then ['Alerji', 'teyit'] when 'off_topic' then ['yardımcı olamıyorum'] else [] end as safe,
-  intent = 'allergen_question' as staff from t),
+  case intent when 'allergen_question' then ['kesinlikle güvenli', 'hiç sorun yok'] else [] end as claims, intent = 'allergen_question' as staff from t),
 c as (select *, case when p_size % 5 = 0 then list_filter(safe, lambda x: x = 'Alerji') else safe end as must_include, case when p_size % 4 = 0 then [] else must_preserve end as kept, case when p_size % 8 = 0 then -1.0 else p_retailprice end as total, case when p_size % 7 = 0 then ' ' else 'menu' end as source from r),
 e as (select *, list_filter([case when intent = 'dance' then 'unsupported intent: dance' end, case when trim(message) = '' then 'empty message' end, case when confidence > 1 then 'confidence outside 0 and 1' end, case when trim(canonical) = '' then 'empty response' end,
   case when total < 0 then 'negative total' end, case when trim(source) = '' then 'empty menu source' end, case when intent = 'allergen_question' and not list_contains(must_include, 'Alerji') then 'allergen answer without Alerji' end,
@@ -223,12 +239,12 @@ def validate_grounded(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(f"""{_GROUNDED}, s as (select *, list_concat(kept, must_include, list_concat(own, [printf('%.2f', total)])) as required, case when p_size % 10 = 1 then canonical else concat(array_to_string(list_concat(kept, own), ' '), ' ', printf('%.2f', total), case when p_size % 6 = 1 then ' eklendi kesinlikle güvenli' else '' end) end as said from e)
-select p_partkey, case when len(errors) > 0 then errors else list_concat(list_transform(list_filter(required, lambda x: not contains({folded('said')}, {folded('x')})), lambda x: concat('missing: ', x)), list_transform(list_filter(must_not_introduce, lambda x: contains({folded('said')}, {folded('x')})), lambda x: concat('forbidden: ', x)),
+select p_partkey, case when len(errors) > 0 then errors else list_concat(list_transform(list_filter(required, lambda x: not contains({folded('said')}, {folded('x')})), lambda x: concat('missing: ', x)), list_transform(list_filter(list_concat(must_not_introduce, claims), lambda x: contains({folded('said')}, {folded('x')})), lambda x: concat('forbidden: ', x)),
  case when p_size % 13 = 0 and {folded('said')} <> {folded('canonical')} then ['paraphrase not allowed'] else [] end) end as reasons from s""")
 def paraphrase_safety(spark: SparkSession, d: str) -> DataFrame:
     own = J.order_terms(F.col("ordered"), F.col("total"))
     said = F.when(F.col("p_size") % 10 == 1, F.col("canonical")).otherwise(F.concat(F.array_join(F.concat("kept", own), " "), F.when(F.col("p_size") % 6 == 1, " eklendi kesinlikle güvenli").otherwise("")))
-    reasons = J.paraphrase_errors(F.col("errors"), said, F.col("canonical"), F.concat("kept", "included", own), F.col("must_not_introduce"), F.col("p_size") % 13 != 0)
+    reasons = J.paraphrase_errors(F.col("errors"), said, F.col("canonical"), F.concat("kept", "included", own), F.concat("must_not_introduce", "forbidden_claims"), F.col("p_size") % 13 != 0)
     return _grounded(spark, d).select("p_partkey", reasons.alias("reasons"))
 
 

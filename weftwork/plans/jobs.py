@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions import text as X
@@ -11,6 +11,7 @@ from weftwork.operators import gates as G
 from weftwork.operators import grounding as J
 from weftwork.operators import selection as S
 from weftwork.operators import sft
+from weftwork.operators.results import answered, ground_messages
 from weftwork.operators.rules import first_match
 from weftwork.plans.base import ITEMS, UTT, Registry, conversations, folded, items, table, utterances
 from weftwork.plans.rule_queries import _CASE, RULES
@@ -86,13 +87,38 @@ def job_audit(spark: SparkSession, d: str) -> DataFrame:
     return E.audit_summary(e, "event_type", F.col("value") >= 10, F.col("value")).select("event_type", "passed").join(stats, "event_type")
 
 
-@R.add(f"with u as ({UTT}), i as ({ITEMS}), m as (select u.l_orderkey, u.l_linenumber, u.l_partkey, u.l_quantity, u.text, arg_min(i.name, i.position) as item, arg_min(i.price, i.position) as price from u join i on contains({folded('u.text')}, {folded('i.name')}) group by all), q as (select *, case when starts_with(text, concat(cast(cast(l_quantity as int) as varchar), ' ', item)) then cast(l_quantity as int) else 1 end as quantity from m) select l_orderkey, count(*) as lines, round(sum(price * quantity), 2) as total, count(*) filter (quantity > 45) as flagged from q group by l_orderkey")
+_SESSIONS = f"""with u as (select distinct l_orderkey, l_linenumber, l_partkey, l_quantity, p_name from ({UTT})),
+w as (select l_orderkey as session, row_number() over w as position, cast(l_quantity as int) as q, p_name, first_value(p_name) over w as first_name from u window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity, p_name)),
+t as (select session, position, q, case position % 6 when 3 then first_name || ' cikar' when 4 then 'ozet' when 5 then 'siparisi onayla' when 0 then 'sepeti temizle' else q || ' ' || p_name || ' alabilir miyim' end as text from w),
+i as ({ITEMS}),
+hit as (select session, t.position, i.name as item, i.position as place, i.price, case when starts_with(text, q || ' ' || i.name) then q else 1 end as qty from t join i on contains({folded('text')}, {folded('name')})),
+c as (select t.*, case when contains(text, 'siparisi onayla') then 'confirm_order' when contains(text, 'ozet') or contains(text, 'toplam') then 'summarize_order' when contains(text, 'temizle') then 'clear_order' when contains(text, 'iptal') or contains(text, 'cikar') or contains(text, 'sil') then 'remove_item' else 'add_item' end as intent from t),
+ops as (select session, position, intent, item, place, price, qty from c join hit using (session, position) where intent in ('add_item', 'remove_item')),
+live as (select c.session, c.position, o.item, o.place, o.price, sum(o.qty)::bigint as quantity from c join ops o on o.session = c.session and o.position <= c.position and o.intent = 'add_item'
+  where not exists (select 1 from c z where z.session = c.session and z.intent = 'clear_order' and z.position > o.position and z.position <= c.position) and not exists (select 1 from ops r where r.intent = 'remove_item' and r.session = c.session and r.item = o.item and r.position > o.position and r.position <= c.position) group by all),
+a as (select c.session, c.position, coalesce(list({{'name': item, 'quantity': quantity, 'price': price}} order by place) filter (item is not null), []) as after, coalesce(sum(price * quantity), 0.0) as total from c left join live using (session, position) group by 1, 2),
+b as (select c.*, after, total, coalesce(lag(after) over (partition by c.session order by c.position), []) as before, coalesce((select list(item order by place) from hit h where h.session = c.session and h.position = c.position), []) as names from c join a using (session, position)),
+own as (select *, flatten(list_transform(after, lambda o: [o.name, cast(o.quantity as varchar), printf('%.2f', o.price), printf('%.2f', o.price * o.quantity)])) as terms, flatten(list_transform(list_filter(before, lambda o: not list_contains(list_transform(after, lambda x: x.name), o.name)), lambda o: [o.name, cast(o.quantity as varchar), printf('%.2f', o.price)])) as gone from b),
+k as (select *, case intent when 'add_item' then list_concat(['Ekledim'], names, terms) when 'remove_item' then list_concat(['Çıkardım'], names, gone) when 'clear_order' then ['temizlendi'] when 'summarize_order' then list_concat(case when len(after) > 0 then ['Toplam', 'TL'] else [] end, terms) else list_concat(case when len(after) > 0 then ['Toplam', 'MVP/demo'] else ['aktif bir siparişiniz görünmüyor', 'Önce'] end, terms) end as keep from own),
+r as (select *, list_filter(keep, lambda x, n: list_position(keep, x) = n) as must_preserve from k),
+f as (select *, list_concat(must_preserve, terms, [printf('%.2f', total)]) as required from r),
+said as (select *, array_to_string(case when position % 2 = 0 then required[:len(required) - 1] else required end, ' ') as said from f)"""
+
+
+@R.add(f"{_SESSIONS} select session, position, intent, array_to_string(list_transform(after, lambda o: o.quantity || ' x ' || o.name), ', ') as order_text, round(total, 2) as total, must_preserve, len(list_filter(required, lambda x: not contains({folded('said')}, {folded('x')})))::int as missing from said")
 def job_grounding(spark: SparkSession, d: str) -> DataFrame:
-    """Messages to mentions, quantities, intents, priced lines and checks, summed per order."""
-    dim, u = items(spark, d), utterances(spark, d).dropDuplicates([*IDS, "l_partkey", "l_quantity", "text"])
-    keys = [*IDS, "l_partkey", "l_quantity"]
-    first = J.first_mention(J.mention_join(u, J.surfaces(dim), keys), keys)
-    lines = u.join(first, keys).join(dim.select(F.col("item_id").alias("item"), "price"), "item")
-    lines = lines.withColumn("quantity", J.extract_quantity(F.col("text"), F.col("item"))).withColumn("intent", J.reply_intent(F.col("text"), F.lit(True)))
-    lines = lines.withColumn("errors", G.all_errors([(F.col("quantity") > 45, "quantity above 45")])).filter(X.nonempty(F.col("text"), 1))
-    return lines.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum(F.col("price") * F.col("quantity")), 2).alias("total"), F.count_if(F.size("errors") > 0).alias("flagged"))
+    """Conversations of orders to mentions, quantities, intents, order states, terms, checks and safe final texts."""
+    u = utterances(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "p_name").distinct()
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "p_name")
+    n = F.row_number().over(w)
+    texts = {3: F.concat(F.first("p_name").over(w), F.lit(" çıkar")), 4: F.lit("Özet"), 5: F.lit("Siparişi onayla"), 0: F.lit("Sepeti temizle")}
+    text = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" "), "p_name", F.lit(" alabilir miyim"))
+    for k, said in texts.items():
+        text = F.when(n % 6 == k, said).otherwise(text)
+    messages = u.select(F.col("l_orderkey").alias("session"), n.alias("n"), text.alias("text"))
+    results = ground_messages(messages, items(spark, d), "session", ["n"], categories=F.array(F.lit("Menü")))
+    own = F.concat("must_preserve", J.order_terms(F.col("after"), F.col("total")))
+    paraphrase = F.array_join(F.when(F.col("position") % 2 == 0, F.slice(own, 1, F.size(own) - 1)).otherwise(own), " ")
+    done = answered(results, paraphrase)
+    order_text = F.array_join(F.transform("after", lambda o: F.concat(o["quantity"].cast("string"), F.lit(" x "), o["name"])), ", ")
+    return done.select("session", F.col("position").cast("long").alias("position"), "intent", order_text.alias("order_text"), F.round("total", 2).alias("total"), "must_preserve", F.size("reasons").alias("missing"))
