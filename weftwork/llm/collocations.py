@@ -32,6 +32,8 @@ MARK = b"\xff"
 _TABLE = bytes(255 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c for c in range(256))
 #: Words of one language in a block, and of all languages that wait in a task.
 BLOCK, WAITING = 1 << 20, 1 << 22
+#: Bits of the filter before a join with ranked symbols (4 MB).
+BITS = 1 << 25
 #: A long text is taken in slices of about so many bytes, cut at piece ends.
 SLICE = 1 << 20
 #: A block's rows: one for each distinct symbol (at: its code), and one at ``CODES`` with the codes and, as count, how many symbols there are.
@@ -186,11 +188,26 @@ def ranked(entries: DataFrame, names: list[str], least: int) -> DataFrame:
     return stored(global_rank(often, F.col("a").desc(), *[F.col(n) for n in names], name="id"), "ranked")
 
 
+def bitmap(symbols: DataFrame, names: list[str]) -> DataFrame:
+    """One row with ``BITS`` bits as an array: set at the hashes of the symbols. Its size is fixed, whatever their number."""
+    at = F.xxhash64(*names).bitwiseAND(BITS - 1)
+    words = symbols.select(F.shiftright(at, 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bits")).groupBy("id").agg(F.bit_or("bits").alias("bits"))
+    whole = symbols.sparkSession.range(BITS // 64).join(words, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w"))
+    return whole.select(F.transform("w", lambda x: x["bits"]).alias("__bits"))
+
+
+def admitted(entries: DataFrame, symbols: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of ``entries`` without most of those that have no ranked symbol, so that they need not be shuffled to the join that decides."""
+    at = F.xxhash64(*names).bitwiseAND(BITS - 1)
+    bit = F.call_function("shiftright", F.get("__bits", F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1)
+    return entries.crossJoin(F.broadcast(bitmap(symbols, names))).filter(bit == 1).drop("__bits")  # one row of BITS bits
+
+
 def next_level(blocks: DataFrame, names: list[str], symbols: DataFrame, last: bool) -> DataFrame:
     """The blocks in pairs of ranked symbols."""
-    known = blocks.filter(F.col("at") < CODES).select("block", "at", *names).join(symbols.select(*names, "id"), names).select("block", "at", "id", F.lit(None).cast("binary").alias("codes"))
+    known = admitted(blocks.filter(F.col("at") < CODES).select("block", "at", *names), symbols, names).join(symbols.select(*names, "id"), names).select("block", "at", "id", F.lit(None).cast("binary").alias("codes"))
     codes = blocks.filter(F.col("at") == CODES).select("block", "at", F.col("count").alias("id"), "codes")
-    return stored(known.unionByName(codes).repartition("block").sortWithinPartitions("block", "at").mapInArrow(released(_pairs(last)), PAIRS), "pairs")
+    return stored(known.unionByName(codes).repartition("block").sortWithinPartitions("block", "at").mapInArrow(released(_pairs(last)), PAIRS), "pairs", "zstd")
 
 
 def _scored(n: int):
@@ -216,7 +233,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int
     an empty table gives no rows; columns besides language and text are not read. Texts are taken whole, a long one in
     slices that end at piece ends.
     """
-    blocks, names = stored(coded(docs, lang_col, text_col), "blocks"), ["lang", "word"]
+    blocks, names = stored(coded(docs, lang_col, text_col), "blocks", "zstd"), ["lang", "word"]
     entries = blocks.filter(F.col("at") < CODES)
     words = stored(entries.groupBy("lang").agg(F.sum("count").alias("n")), "words")
     symbols = ranked(entries, names, least)
