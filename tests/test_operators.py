@@ -12,6 +12,7 @@ from weftwork.operators import gates as G
 from weftwork.operators import grounding as J
 from weftwork.operators import orders as O
 from weftwork.operators import selection as S
+from weftwork.operators.results import answered, ground_messages
 from weftwork.operators.rules import Rule, classify, first_match
 from weftwork.operators.ranking import global_rank
 from weftwork.sources import io, json_array
@@ -418,6 +419,46 @@ def test_order_terms_leave_out_what_is_missing(spark):
     assert got == [["A", "2", "B", "1.50", "1", "3.00", "3.00"], ["4.00"]]
 
 
+def test_grounded_conversations(spark):
+    """Against a walk through each session: the order before and after, intents, terms, and which paraphrases are safe."""
+    rnd = random.Random(12)
+    menu = {"Ayran": (30.0, 1), "Köfte": (150.5, 2), "Künefe": (90.0, 3)}
+    dim = spark.createDataFrame([(n, p, k) for n, (p, k) in menu.items()], "name string, price double, position int")
+    say = ["2 {} alabilir miyim", "{} ekle", "{} çıkar", "Sepeti temizle", "Özet", "Siparişi onayla", "{} ne kadar", "Pizza var mı", "Merhaba", "Bir şiir yaz"]
+    rows = [(s, n, rnd.choice(say[:6] * 2 + say).format(rnd.choice(list(menu)))) for s in range(12) for n in range(15)]
+    got = ground_messages(spark.createDataFrame(rows, "session long, n long, text string").repartition(3), dim, "session", ["n"], unavailable={"pizza": "Pizza"}, markers=("var mi",))
+    got = answered(got, F.when(F.col("n") % 2 == 0, F.col("canonical")).otherwise(F.array_join(F.concat("must_preserve", "must_include", J.order_terms(F.col("after"), F.col("total"))), " ")))
+    at = {(r.session, r.n): r for r in got.collect()}
+    assert len(at) == len(rows)
+    intents = {"alabilir": "add_item", "ekle": "add_item", "çıkar": "remove_item", "temizle": "clear_order", "Özet": "summarize_order", "onayla": "confirm_order", "ne kadar": "price_question", "Pizza": "unavailable_item", "Merhaba": "greeting", "şiir": "off_topic"}
+    state = {}
+    for s, n, text in rows:
+        r, mine = at[s, n], state.setdefault(s, {})
+        before, intent = dict(mine), next(v for k, v in intents.items() if k in text)
+        named = [m for m in menu if m in text]
+        if intent == "add_item":
+            mine[named[0]] = mine.get(named[0], 0) + (2 if text[0] == "2" else 1)
+        elif intent == "remove_item":
+            mine.pop(named[0], None)
+        elif intent == "clear_order":
+            mine.clear()
+        lines = lambda d: sorted(((m, q, menu[m][0]) for m, q in d.items()), key=lambda x: menu[x[0]][1])
+        assert (r.intent, r.position) == (intent, n + 1), text
+        assert [tuple(x) for x in r.before] == lines(before) and [tuple(x) for x in r.after] == lines(mine)
+        assert r.errors == [] and [m["item"] for m in r.mentions] == named
+        total = sum(q * p for _, q, p in lines(mine))
+        assert r.total == (pytest.approx(total) if intent in ("add_item", "remove_item", "clear_order", "summarize_order", "confirm_order") else None)
+        if n % 2:
+            # what is unavailable must be named and must not be introduced, so no paraphrase passes there
+            assert (r.used_paraphrase, r.final) == ((False, r.canonical) if intent == "unavailable_item" else (True, r.paraphrase))
+        else:
+            assert r.final == r.canonical
+        if intent == "unavailable_item":
+            assert "Pizza" in r.canonical and r.must_preserve == ["bulunmuyor", "Pizza"]
+        if intent == "add_item":
+            assert r.must_preserve[:2] == ["Ekledim", named[0]] and f"{total:.2f}" in r.must_preserve + [f"{total:.2f}"]
+
+
 def test_blank_results(spark):
     lit, none = F.lit, F.array().cast("array<string>")
     for blank in ("", "  ", "\t\n", "\xa0", "\u2003", "\x1c"):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftwork.operators import grounding as J
 from weftwork.operators import sft
 from weftwork.operators.orders import fold_steps
+from weftwork.operators.ranking import checkpointed
 
 #: The reply whose text answers each grounded intent; menu questions are told apart by a mention.
 REPLY_OF = {
@@ -19,6 +20,14 @@ REPLY_OF = {
 ORDER_INTENTS = ("add_item", "remove_item", "clear_order", "summarize_order", "confirm_order")
 
 
+def reply_kind(intent: Column, mentioned: Column | None = None) -> Column:
+    """The reply of a grounded intent; a menu question without a mention asks for the categories."""
+    out = F.when(intent == "menu_question", F.when(F.lit(True) if mentioned is None else mentioned, "menu_detail").otherwise("ask_categories"))
+    for name, kind in REPLY_OF.items():
+        out = F.when(intent == name, kind).otherwise(out)
+    return out
+
+
 def order_states(messages: DataFrame, session: str, position: str, lines: DataFrame) -> DataFrame:
     """``messages`` with ``before`` and ``after``: the order's lines (name, quantity, price) around each message.
 
@@ -65,17 +74,14 @@ def ground_messages(messages: DataFrame, dim: DataFrame, session: str, order: Se
     m = m.withColumn("__named", J.unavailable_terms(F.col(text), has, unavailable, markers))
     m = m.withColumn("intent", J.grounded_intent(F.col(text), has, F.col("__named")))
     m = m.withColumn("unavailable", J.unavailable_names(F.col("intent"), F.col(text), has, unavailable)).drop("__named")
-    m = m.withColumn("op", F.when(F.col("intent") == "clear_order", "clear"))
+    m = checkpointed(m.withColumn("op", F.when(F.col("intent") == "clear_order", "clear")))  # read for lines, clears and ends
     lines = m.filter(F.col("intent").isin("add_item", "remove_item")).select(session, "position", F.when(F.col("intent") == "add_item", "add").otherwise("remove").alias("op"), F.explode(F.arrays_zip("mentions", "quantities")).alias("x"))
     lines = lines.select(session, "position", "op", F.col("x.mentions.item").alias("item"), F.col("x.quantities").alias("qty"), F.col("x.mentions.price").alias("price"), F.col("x.mentions.position").alias("place"))
     s = order_states(m, session, "position", lines).drop("op")
     sum_of = F.aggregate("after", F.lit(0.0), lambda acc, o: acc + o["price"] * o["quantity"])
     s = s.withColumn("total", F.when(F.col("intent").isin(*ORDER_INTENTS), sum_of))
     first = F.get("mentions", F.lit(0))
-    wanted = F.when(F.col("intent") == "menu_question", F.when(has, "menu_detail").otherwise("ask_categories"))
-    for intent, kind in REPLY_OF.items():
-        wanted = F.when(F.col("intent") == intent, kind).otherwise(wanted)
-    said = J.render_reply(wanted, F.when(F.col("intent") == "unavailable_item", F.get("unavailable", F.lit(0))).otherwise(first["item"]), first["price"], F.get("quantities", F.lit(0)), summary=order_text(F.col("after"), F.col("total")), **reply)
+    said = J.render_reply(reply_kind(F.col("intent"), has), F.when(F.col("intent") == "unavailable_item", F.get("unavailable", F.lit(0))).otherwise(first["item"]), first["price"], F.get("quantities", F.lit(0)), summary=order_text(F.col("after"), F.col("total")), **reply)
     s = s.withColumn("canonical", said)
     matched = F.transform("mentions", lambda x: F.struct(x["item"].alias("name"), x["price"].alias("price")))
     s = s.withColumn("__t", J.grounding_terms(F.col("intent"), F.col("canonical"), matched, F.col("before"), F.col("after"), F.col("unavailable"))).select("*", "__t.*").drop("__t")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +13,10 @@ from weftwork.operators import gates as G
 from weftwork.operators import grounding as J
 from weftwork.operators import selection as S
 from weftwork.operators import sft
-from weftwork.operators.results import answered, ground_messages
-from weftwork.operators.rules import first_match
-from weftwork.plans.base import ITEMS, UTT, Registry, conversations, folded, items, table, utterances
+from weftwork.operators.ranking import checkpointed, shared_folder
+from weftwork.operators.results import answered, ground_messages, reply_kind
+from weftwork.operators.rules import Rule, buckets, first_match
+from weftwork.plans.base import ITEMS, UTT, Registry, conversations, folded, items, norm, table, utterances
 from weftwork.plans.rule_queries import _CASE, RULES
 from weftwork.plans.text_queries import _dialogues
 from weftwork.sources import io
@@ -22,69 +25,166 @@ R = Registry()
 IDS = ["l_orderkey", "l_linenumber"]
 
 
-@R.add(f"with c as (select cast(conv_id as varchar) as conversation_id, turn as turn_index, text, {_CASE} as category from conversations where role = 'user' and regexp_matches(text, '[\\p{{L}}\\p{{N}}]')), r as (select *, row_number() over (partition by turn_index % 2 order by case when category = 'unclear' then 1 else 0 end, turn_index, conversation_id) as n from c) select conversation_id, turn_index, category, 'pending' as adaptation_status, case when category = 'german' then 'german' when category = 'unclear' then 'unclear' end as skip_reason from r where n <= 25")
-def job_curation(spark: SparkSession, d: str) -> DataFrame:
-    """Dialogues to user turns, classes, the best of each domain, a worksheet, and gate reasons."""
-    turns = io.extract_turns(_dialogues(spark, d)).withColumn("category", first_match(F.lower("original_text"), RULES))
-    best = S.priority_topk(turns.withColumn("domain", (F.col("turn_index") % 2).cast("string")), F.col("domain"), [(F.col("category") == "unclear").cast("int"), F.col("turn_index"), F.col("conversation_id")], {"0": 25, "1": 25})
-    sheet = io.to_worksheet(best, {"adaptation_status": F.lit("pending")})
-    gated = G.gate(sheet, [(F.col("category") == "german", "german"), (F.col("category") == "unclear", "unclear")])
-    return gated.select("conversation_id", "turn_index", "category", "adaptation_status", "skip_reason")
+_TURNS = f"select cast(conv_id as varchar) as conversation_id, turn as turn_index, {norm('text')} as text, {_CASE} as category from conversations where role = 'user' and regexp_matches(text, '[\\p{{L}}\\p{{N}}]')"
+_PILOTS = f"""with c as ({_TURNS}), r as (select *, turn_index % 2 as domain, row_number() over (partition by turn_index % 2 order by case when category = 'unclear' then 1 else 0 end, turn_index, conversation_id) as n from c), sheet as (select * from r where n <= 60),
+u as (select *, row_number() over (partition by text order by turn_index, conversation_id) as k from sheet), p as (select *, case when category in ('spanish', 'the_word', 'german') and row_number() over (partition by category order by turn_index, conversation_id) = 1 then 0 else 1 end as phase from u where k = 1),
+first as (select *, 'diverse' as pilot from p order by phase, case when phase = 0 then case category when 'spanish' then 0 when 'the_word' then 1 else 2 end else 0 end, turn_index, conversation_id limit 15),
+rest1 as (select * from sheet where (conversation_id, turn_index) not in (select conversation_id, turn_index from first)),
+second as (select *, 'scored' as pilot from rest1 order by case category when 'german' then 0 when 'ends_tion' then 1 else 2 end, length(text), turn_index, conversation_id limit 15),
+rest2 as (select *, row_number() over (partition by category order by turn_index, conversation_id) as m from rest1 where (conversation_id, turn_index) not in (select conversation_id, turn_index from second)),
+third as (select *, 'capped' as pilot from rest2 where category <> 'unclear' or m <= 4 order by turn_index, conversation_id limit 15),
+every as (select conversation_id, turn_index, category, text, pilot from first union all select conversation_id, turn_index, category, text, pilot from second union all select conversation_id, turn_index, category, text, pilot from third),
+w as (select *, case when category = 'german' then 'rejected_unsupported' when length(text) < 40 then 'rejected_short' else 'accepted_adapted' end as adaptation_status, case when category <> 'german' and length(text) >= 40 then concat('TR: ', text) end as adapted from every)
+select conversation_id, turn_index, category, pilot, adaptation_status, adapted, case when adaptation_status <> 'accepted_adapted' then 'not accepted' when adapted is null then 'no text' end as skip_reason from w"""
 
 
-@R.add("with g as (select p_partkey, n_nationkey, p_type, concat(p_name, ' ', n_name) as message from part cross join nation), q as (select * from (select *, row_number() over (partition by p_type order by p_partkey, n_nationkey) as n from g) where n <= 8), r as (select *, case when p_type like '%BRASS' or p_partkey % 3 = 0 then 'rejected' else 'approved_seed' end as status from q) select printf('mgp_%03d', row_number() over (order by p_partkey, n_nationkey)) as new_id, p_partkey, n_nationkey, message from r where status = 'approved_seed'")
+@R.add(_PILOTS)
+def job_curation(spark: SparkSession, d: str) -> DataFrame:
+    """Dialogues to user turns, classes, the best of each domain, a worksheet, three pilots that exclude each other, manual columns, gate reasons."""
+    turns = io.extract_turns(_dialogues(spark, d)).withColumn("category", first_match(F.lower("original_text"), RULES))
+    best = S.priority_topk(turns.withColumn("domain", (F.col("turn_index") % 2).cast("string")), F.col("domain"), [(F.col("category") == "unclear").cast("int"), F.col("turn_index"), F.col("conversation_id")], {"0": 60, "1": 60})
+    sheet, order, key = io.to_worksheet(best, {"adaptation_status": F.lit("pending"), "adapted": F.lit(None).cast("string")}), [F.col("turn_index"), F.col("conversation_id")], ["conversation_id", "turn_index"]
+    tagged = lambda df, name: df.select(*key, "category", "original_text", "adaptation_status", "adapted", F.lit(name).alias("pilot"))
+    first = checkpointed(tagged(S.diverse_sample(sheet, F.col("category"), ("spanish", "the_word", "german"), 15, [F.col("original_text")], order), "diverse"))
+    second = checkpointed(tagged(S.scored_topn(S.exclude_prior(sheet, [first], key), [S.rank_of(F.col("category"), ("german", "ends_tion")), F.length("original_text"), *order], 15), "scored"))
+    third = tagged(S.capped_topn(S.exclude_prior(sheet, [first, second], key), F.col("category"), order, 15, {"unclear": 4}), "capped")
+    pilots = first.unionByName(second).unionByName(third)
+    status = F.when(F.col("category") == "german", "rejected_unsupported").when(F.length("original_text") < 40, "rejected_short").otherwise("accepted_adapted")
+    filled = pilots.withColumn("adaptation_status", status).withColumn("adapted", F.when(F.col("adaptation_status") == "accepted_adapted", F.concat(F.lit("TR: "), "original_text")))
+    gated = G.gate(filled, [(F.col("adaptation_status") != "accepted_adapted", "not accepted"), (F.col("adapted").isNull(), "no text")])
+    return gated.select("conversation_id", "turn_index", "category", "pilot", "adaptation_status", "adapted", "skip_reason")
+
+
+_SEEDS = f"""with i as ({ITEMS}), v(q) as (values (1), (2), (3)), g as (select i.*, q, concat(q, ' ', name, ' alabilir miyim') as said from i cross join v),
+quota as (select * from (select *, row_number() over (partition by category order by position, q) as n from g) where n <= 60),
+m as (select *, case when category = 'MEDIUM POLISHED BRASS' and q = 1 then 'Bana bir şey öner' when q = 3 then concat('Bana ', said) else said end as message from quota),
+seed as (select *, case when trim(message) = '' then 'rejected_missing' when price < 850 and q = 2 then 'approved_probe' when position % 5 = 0 then 'rejected' else 'approved_seed' end as status from m),
+kept as (select *, {folded('message')} as t, replace(replace(message, 'Bana ', ''), concat(' ', name, ' alabilir miyim'), '') as lead from seed where status in ('approved_seed', 'approved_probe')),
+c as (select *, case when contains(t, 'oner') then 'recommendation' when contains(t, 'ozet') or contains(t, 'toplam') then 'summarize_order' when contains(t, 'temizle') then 'clear_order' when contains(t, 'iptal') or contains(t, 'cikar') or contains(t, 'sil') then 'remove_item' else 'add_item' end as intent from kept),
+r as (select *, case intent when 'add_item' then concat('Ekledim: ', q, ' x ', name, '. Başka bir isteğiniz var mı?') when 'remove_item' then concat('Çıkardım: ', name, '. Başka bir isteğiniz var mı?') when 'recommendation' then concat('Öneri olarak şunları sunabilirim: ', name, '.') when 'summarize_order' then 'Siparişinizde henüz ürün yok.' else 'Siparişiniz temizlendi.' end as reply from c),
+ok as (select *, intent = 'add_item' and not starts_with(message, 'Bana') as fits from r), d as (select *, coalesce(min(case when fits then position * 10 + q end) over (partition by reply) < position * 10 + q, false) as dup from ok),
+canon as (select *, row_number() over (order by position, q) as rank, printf('mgp_%04d', row_number() over (order by position, q)) as new_id from d where not dup and fits),
+s1 as (select *, 'cheap' as stage from canon where price < 900 order by rank limit 4), s2 as (select *, 'two' as stage from canon where q = 2 and rank not in (select rank from s1) order by rank limit 4),
+s3 as (select *, 'rest' as stage from canon where rank not in (select rank from s1 union all select rank from s2) order by rank limit 16 - (select count(*) from s1) - (select count(*) from s2)),
+picked as (select * from s1 union all select * from s2 union all select * from s3),
+p as (select *, case rank % 4 when 0 then concat('Tabii, ', reply) when 1 then concat('Tabii, ', q, ' x ', name) when 2 then 'Hemen.' else concat(reply, ' Fiyatı uygun.') end as paraphrase from picked)
+select new_id, stage, message, paraphrase, list_filter([name, regexp_extract(reply, '[0-9]+\\s*x\\s*\\p{{L}}+')], lambda x: x <> '') as terms from p where not (contains(lower(paraphrase), 'fiyatı')) and contains({folded('paraphrase')}, {folded('name')}) and contains({folded('paraphrase')}, {folded("regexp_extract(reply, '[0-9]+\\s*x\\s*\\p{L}+')")})"""
+
+
+@R.add(_SEEDS)
 def job_seed(spark: SparkSession, d: str) -> DataFrame:
-    """Templates times items, quotas, a review, and sequential ids for what is approved."""
-    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
-    rows = J.expand_templates(parts, table(spark, d, "nation").select("n_nationkey", "n_name")).withColumn("message", F.concat("p_name", F.lit(" "), "n_name"))
-    picked = S.head_per_group(rows, F.col("p_type"), 8, [F.col("p_partkey"), F.col("n_nationkey")])
-    reviewed = G.review(picked, [(F.col("p_type").endswith("BRASS") | (F.col("p_partkey") % 3 == 0), "rejected")], "approved_seed", ("approved_seed",))
-    return S.assign_ids(reviewed.filter("include"), "mgp_%03d", F.col("p_partkey"), F.col("n_nationkey")).select("new_id", "p_partkey", "n_nationkey", "message")
-
-
-@R.add("with k as (select doc_id, md5(text) as k, n_chars >= 300 as ok from documents left join labels using (doc_id) where coalesce(toxic, 0) = 0 and n_chars >= 100) select doc_id, case when coalesce(min(case when ok then doc_id end) over (partition by k) < doc_id, false) then 'duplicate' when ok then 'approved' else 'bad_match' end as status from k")
+    """A menu to templates, quotas, rewrites, reviewed seeds, canonical replies and their review, ids and terms, a staged pick, the semantic gate."""
+    dim = items(spark, d)
+    grid = J.expand_templates(dim, spark.createDataFrame([(1,), (2,), (3,)], "q int")).withColumn("said", F.concat(F.col("q").cast("string"), F.lit(" "), "name", F.lit(" alabilir miyim")))
+    quota = S.head_per_group(grid, F.col("category"), 60, [F.col("position"), F.col("q")])
+    message = sft.rewrite(F.concat_ws("/", "category", F.col("q").cast("string")), {"MEDIUM POLISHED BRASS/1": "Bana bir şey öner"}, [(F.col("q") == 3, F.concat(F.lit("Bana "), "said"))], F.col("said"))
+    seeds = G.review(quota.withColumn("message", message), [(F.trim("message") == "", "rejected_missing"), ((F.col("price") < 850) & (F.col("q") == 2), "approved_probe"), (F.col("position") % 5 == 0, "rejected")], "approved_seed", ("approved_seed", "approved_probe"))
+    kept = G.kept(G.gate(seeds, [(~F.col("include"), "not approved")])).drop("status", "include")
+    none = F.array().cast("array<string>")
+    replied = kept.withColumn("intent", J.grounded_intent(F.col("message"), F.lit(True), none))
+    reply = J.render_reply(reply_kind(F.col("intent")), F.col("name"), F.col("price"), F.col("q"), choices=F.array("name"))
+    fits = (F.col("intent") == "add_item") & ~F.col("message").startswith("Bana")
+    marked = replied.withColumn("reply", reply).withColumn("fits", fits)
+    marked = marked.withColumn("dup", S.duplicate_of_approved(F.col("fits"), [F.col("reply")], F.col("position") * 10 + F.col("q")))
+    canonical = G.review(marked, [(F.col("dup"), "duplicate_of_approved"), (F.col("reply").isNull(), "missing_field"), (F.col("fits"), "approved")], "bad_match", ("approved",)).filter("include")
+    named = S.assign_ids(canonical, "mgp_%04d", F.col("position"), F.col("q")).withColumn("terms", J.extract_terms(F.col("name"), F.col("reply")))
+    picked = S.staged_select(named, [("cheap", F.col("price") < 900, 4), ("two", F.col("q") == 2, 4)], 16, "new_id", ["message", "reply"], [F.col("new_id")])
+    turn = F.substring("new_id", 5, 8).cast("int") % 4
+    said = F.when(turn == 0, F.concat(F.lit("Tabii, "), "reply")).when(turn == 1, F.concat(F.lit("Tabii, "), F.col("q").cast("string"), F.lit(" x "), "name")).when(turn == 2, "Hemen.").otherwise(F.concat("reply", F.lit(" Fiyatı uygun.")))
+    gated = picked.withColumn("paraphrase", said).withColumn("status", G.semantic_status(F.col("paraphrase"), F.col("terms"), F.array(F.lit("fiyatı")), {}, (), F.lit(False)))
+    return gated.filter("status = 'approved'").select("new_id", "stage", "message", "paraphrase", "terms")
+
+
+@R.add(f"with u as (select distinct l_orderkey, l_linenumber, p_name, p_retailprice as price, cast(l_quantity as int) as q, case l_linenumber % 4 when 0 then concat(p_name, ' ne kadar') when 1 then 'Özet' else concat(cast(cast(l_quantity as int) as varchar), ' ', p_name, ' alabilir miyim') end as message from ({UTT}) where l_quantity <= 40), t as (select *, {folded('message')} as t from u), c as (select *, case when contains(t, 'ozet') or contains(t, 'toplam') then 'summarize_order' when contains(t, 'temizle') then 'clear_order' when contains(t, 'iptal') or contains(t, 'cikar') or contains(t, 'sil') then 'remove_item' when contains(t, 'alabilir') then 'add_item' else 'price_question' end as intent from t), r as (select *, case intent when 'summarize_order' then 'Siparişinizde henüz ürün yok.' when 'remove_item' then concat('Çıkardım: ', p_name, '. Başka bir isteğiniz var mı?') when 'add_item' then concat('Ekledim: ', q, ' x ', p_name, '. Başka bir isteğiniz var mı?') when 'price_question' then printf('%s %.2f TL.', p_name, price) else 'Siparişiniz temizlendi.' end as reply from c), k as (select *, intent in ('add_item', 'price_question') as ok from r) select l_orderkey, l_linenumber, p_name, q, intent, reply, case when coalesce(min(case when ok then l_orderkey * 10 + l_linenumber end) over (partition by message, reply) < l_orderkey * 10 + l_linenumber, false) then 'duplicate' when ok then 'approved' else 'bad_match' end as status from k")
 def job_preview(spark: SparkSession, d: str) -> DataFrame:
-    """Gate, then a review that approves each text once."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", F.md5(F.col("text").cast("binary")).alias("k"), "n_chars", "toxic")
-    kept = G.kept(G.gate(docs, [(F.col("toxic") == 1, "toxic"), (F.col("n_chars") < 100, "short")])).withColumn("ok", F.col("n_chars") >= 300)
-    marked = kept.withColumn("dup", S.duplicate_of_approved(F.col("ok"), [F.col("k")], F.col("doc_id")))
-    return G.review(marked, [(F.col("dup"), "duplicate"), (F.col("ok"), "approved")], "bad_match", ("approved",)).select("doc_id", "status")
+    """Accepted messages to intents, canonical replies, and a review that approves each pair once."""
+    plain = F.concat(F.col("q").cast("string"), F.lit(" "), "p_name", F.lit(" alabilir miyim"))
+    message = F.when(F.col("l_linenumber") % 4 == 0, F.concat("p_name", F.lit(" ne kadar"))).when(F.col("l_linenumber") % 4 == 1, "Özet").otherwise(plain)
+    rows = utterances(spark, d).select(*IDS, "p_name", F.col("p_retailprice").alias("price"), F.col("l_quantity").cast("int").alias("q")).withColumn("message", message).distinct()
+    kept = G.kept(G.gate(rows, [(F.col("q") > 40, "too many")])).withColumn("intent", J.grounded_intent(F.col("message"), F.col("l_linenumber") % 4 != 1, F.array().cast("array<string>")))
+    replied = kept.withColumn("reply", J.render_reply(reply_kind(F.col("intent")), F.col("p_name"), F.col("price"), F.col("q"))).withColumn("ok", F.col("intent").isin("add_item", "price_question"))
+    marked = replied.withColumn("dup", S.duplicate_of_approved(F.col("ok"), [F.col("message"), F.col("reply")], F.col("l_orderkey") * 10 + F.col("l_linenumber")))
+    return G.review(marked, [(F.col("dup"), "duplicate"), (F.col("ok"), "approved")], "bad_match", ("approved",)).select(*IDS, "p_name", "q", "intent", "reply", "status")
 
 
-@R.add("with v as (select conv_id, turn, text from conversations where role = 'user' and trim(text) <> ''), s as (select conv_id, turn, text, row_number() over (order by md5(concat('7:', cast(conv_id * 1000 + turn as varchar))), conv_id * 1000 + turn) as n, count(*) over () as total from v) select case when n <= ceil(0.85 * total) then 'train' else 'valid' end as split, count(*) as records, cast(sum(length(text)) as bigint) as chars from s group by 1")
+@R.add(f"with e as (select conv_id * 1000 + turn as id, role, text, list_filter([case when trim(text) = '' then 'empty' end, case when length(text) > 1500 then 'too long' end, case when row_number() over (partition by md5(text) order by conv_id * 1000 + turn) > 1 then 'duplicate' end, case when contains({folded('text')}, 'idiot') then 'forbidden' end], lambda x: x is not null) as errors from conversations where role = 'user'), v as (select * from e where len(errors) = 0), s as (select *, row_number() over (order by md5(concat('7:', cast(id as varchar))), id) as n, count(*) over () as total from v), p as (select case when n <= ceil(0.85 * total) then 'train' else 'valid' end as split, * from s) select split, count(*) as records, cast(sum(length(text)) as bigint) as chars, 0 as shared, case when split = 'valid' then count(*) else 0 end as held_out, case when split = 'valid' then count(*) else 0 end as blanks from p group by 1")
 def job_sft(spark: SparkSession, d: str) -> DataFrame:
-    """Validated turns to chat records, split by seeded hash order."""
-    turns = conversations(spark, d).filter("role = 'user'").withColumn("errors", G.all_errors([(F.trim("text") == "", "empty")])).filter(F.size("errors") == 0)
-    records = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), sft.chat_record("You take orders.", F.col("text"), F.lit("")).alias("messages"))
-    split = S.split_ratio(records, F.col("id"), 7)
-    return split.groupBy("split").agg(F.count("*").alias("records"), F.sum(F.length(F.col("messages")[1]["content"])).alias("chars"))
-
-
-@R.add("with s as (select conv_id, turn, row_number() over (order by conv_id, turn) - 1 as i, count(*) over () as n from conversations where role = 'user' and contains(lower(text), 'tion') and length(text) <= 400), g as (select p_partkey, p_name, row_number() over (order by p_partkey) - 1 as k from part), r as (select g.*, s.conv_id, s.turn, row_number() over (order by p_partkey) as rank from g join s on g.k % s.n = s.i) select p_partkey, conv_id, turn, case when rank <= 100 then 'train' when rank <= 120 then 'valid' else 'test' end as split, concat(p_name, ' için mutfağa sorup bilgi vereyim.') as reply from r where rank <= 140")
+    """Validated turns to chat records, split by seeded hash order, written as JSON lines; ids apart, references and blank outputs of the held-out part."""
+    turns = conversations(spark, d).filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    turns = turns.withColumn("dup", S.duplicates(turns, [F.md5(F.col("text").cast("binary"))], [F.col("id")]))
+    checks = [(F.trim("text") == "", "empty"), (F.length("text") > 1500, "too long"), (F.col("dup"), "duplicate"), (G.has_term(F.col("text"), "idiot"), "forbidden")]
+    seeds = turns.withColumn("errors", G.all_errors(checks)).filter(F.size("errors") == 0).select("id", "text")
+    split = checkpointed(S.split_ratio(seeds.withColumn("messages", sft.chat_record("You take orders.", F.col("text"), F.concat(F.lit("Re: "), "text"))), F.col("id"), 7).select("id", "split", "messages"))
+    path = f"{shared_folder(spark)}/sft-{uuid.uuid4().hex}"
+    parts = {}
+    for name in ("train", "valid"):
+        io.write_jsonl(split.filter(F.col("split") == name).select(F.struct("id").alias("metadata"), "messages"), f"{path}/{name}")
+        parts[name] = io.read_jsonl(spark, f"{path}/{name}", "metadata struct<id:bigint>, messages array<struct<role:string,content:string>>").select("metadata.id", "messages")
+    shared = S.leakage(parts["train"], parts["valid"], "id").agg(F.count("*").cast("int").alias("shared"))
+    references = sft.export_reference(parts["valid"].select("id"), seeds, "id", ["text"])
+    held = references.agg(F.count("*").alias("held_out")).crossJoin(F.broadcast(sft.output_template(references, "id").filter("response = ''").agg(F.count("*").alias("blanks"))))  # one row each
+    both = io.tag_and_union(parts, "split").groupBy("split").agg(F.count("*").alias("records"), F.sum(F.length(F.col("messages")[1]["content"])).alias("chars"))
+    out = both.crossJoin(F.broadcast(shared)).crossJoin(F.broadcast(held))  # one row each
+    return out.select("split", "records", "chars", "shared", *[F.when(F.col("split") == "valid", F.col(c)).otherwise(0).alias(c) for c in ("held_out", "blanks")])
+
+
+#: Generated rows a category and the sizes of the parts.
+_WANTED, _PARTS = {"tion": 60, "german": 40, "other": 50}, {"train": 110, "valid": 20, "test": 20}
+
+
+@R.add(f"with s as (select conversation_id, turn_index, text from ({_TURNS}) where not (length(text) > 400 or contains(lower(text), 'licensed'))), b as (select *, case when contains(lower(text), 'tion') then 'tion' end as b1, case when contains(lower(text), 'und') or contains(lower(text), 'der ') then 'german' end as b2 from s), src as (select conversation_id, turn_index, bucket from (select conversation_id, turn_index, unnest([b1, b2, 'all']) as bucket from b) where bucket is not null), srcn as (select *, row_number() over (partition by bucket order by turn_index, conversation_id) - 1 as i, count(*) over (partition by bucket) as n from src), i as ({ITEMS}), g as (select i.name, i.position, q, concat(q, ' ', name, ' alabilir miyim') as message, case when i.position % 3 = 0 then 'tion' when i.position % 3 = 1 then 'german' else 'other' end as category from i cross join (values (1), (2), (3), (4), (5), (6)) as v(q)), w as (select * from (select *, row_number() over (partition by category order by q, position) as k from g) where k <= case category when 'tion' then 60 when 'german' then 40 else 50 end), u as (select *, case when category in (select bucket from src) then category else 'all' end as use from w), dealt as (select u.*, conversation_id, turn_index from u join srcn on u.use = srcn.bucket and (u.k - 1) % srcn.n = srcn.i), r as (select *, row_number() over (order by category, q, position) as rank from dealt), p as (select *, case when rank <= 110 then 'train' when rank <= 130 then 'valid' else 'test' end as split from r where rank <= 150) select split, category, conversation_id, turn_index, message, concat(name, case when q > 3 then ' için mutfağa sorup bilgi vereyim.' else ' için isteğinizi aldım.' end) as reply from p")
 def job_targeted_sft(spark: SparkSession, d: str) -> DataFrame:
-    """Filtered sources dealt in turn to generated rows, acknowledgement texts, fixed splits."""
-    src = conversations(spark, d).filter((F.col("role") == "user") & F.lower("text").contains("tion") & (F.length("text") <= 400)).select("conv_id", "turn", F.lit("all").alias("bucket"))
-    gen = table(spark, d, "part").select("p_partkey", "p_name", F.lit("all").alias("bucket"))
-    dealt = J.round_robin_join(gen, src, "bucket", [F.col("p_partkey")], [F.col("conv_id"), F.col("turn")])
-    split = S.split_fixed(dealt.select("p_partkey", "p_name", "conv_id", "turn"), [F.col("p_partkey")], {"train": 100, "valid": 20, "test": 20})
-    return split.select("p_partkey", "conv_id", "turn", "split", J.ack_text(F.col("p_name"), F.lit(True)).alias("reply"))
-
-
-@R.add(f"with c as (select doc_id, text, case when trim(text) = '' then 'no text' when n_chars < 50 then 'too short' end as bad from documents), s as (select c.doc_id, case when bad is not null then 'invalid' when l.doc_id is null then 'missing' when contains({folded('text')}, 'tion') then 'passed' else 'failed' end as status from c left join labels l using (doc_id)) select count(*) as total, count(*) filter (status = 'passed') as passed, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'missing') as missing, count(*) filter (status = 'invalid') as invalid, round(100.0 * count(*) filter (status = 'passed') / count(*), 4) as pass_rate from s")
+    """Scanned dialogues, filtered and bucketed, dealt in turn to generated rows; acknowledgements, chat records, fixed parts with a manifest, an audit file."""
+    path = f"{shared_folder(spark)}/targeted-{uuid.uuid4().hex}"
+    turns = io.extract_turns(_dialogues(spark, d))
+    good = turns.filter(~((F.length("original_text") > 400) | X.contains_any(F.lower("original_text"), ("licensed",))))
+    rules = (Rule("tion", ("tion",)), Rule("german", ("und", "der ")))
+    sources = good.select("conversation_id", "turn_index", F.explode(buckets(F.lower("original_text"), rules)).alias("bucket"))
+    grid = J.expand_templates(items(spark, d).select("name", "position"), spark.createDataFrame([(q,) for q in range(1, 7)], "q int"))
+    category = F.when(F.col("position") % 3 == 0, "tion").when(F.col("position") % 3 == 1, "german").otherwise("other")
+    grid = grid.withColumn("message", F.concat(F.col("q").cast("string"), F.lit(" "), "name", F.lit(" alabilir miyim"))).withColumn("bucket", category)
+    taken = S.take_distinct(grid, "bucket", _WANTED, [F.col("message")], [F.col("q"), F.col("position")])
+    dealt = J.round_robin_join(taken, sources, "bucket", [F.col("q"), F.col("position")], [F.col("turn_index"), F.col("conversation_id")]).select("name", "position", "q", "message", taken["bucket"].alias("category"), "conversation_id", "turn_index")
+    reply = J.ack_text(F.col("name"), F.col("q") > 3)
+    records = dealt.withColumn("messages", sft.chat_record("You take orders.", F.col("message"), reply))
+    split = S.split_fixed(records, [F.col("category"), F.col("q"), F.col("position")], _PARTS).withColumn("row_index", F.col("rank"))
+    io.write_splits(split.select("split", "row_index", "messages"), "split", f"{path}/records", tuple(_PARTS))
+    audit = ["row_index", "category", "conversation_id", "turn_index"]
+    io.write_csv(split, f"{path}/audit", audit)
+    back = io.read_splits(spark, f"{path}/records", "split")
+    rows = spark.read.csv(f"{path}/audit", header=True, schema="row_index long, category string, conversation_id string, turn_index long")
+    return back.join(rows, "row_index").select("split", "category", "conversation_id", "turn_index", F.col("messages")[1]["content"].alias("message"), F.col("messages")[2]["content"].alias("reply"))
+
+
+_CASES = f"""with c as (select doc_id, text, case when trim(text) = '' then 'no text' when n_chars < 50 then 'too short' end as bad from documents),
+o as (select doc_id, coalesce(case when quality is null then 'no response' end, case when row_number() over (partition by doc_id, quality is null order by toxic) > 1 then 'duplicate_key' end) as reason from labels),
+j as (select c.*, o.doc_id is null as none from c left join (select * from o where reason is null) o using (doc_id)),
+s as (select doc_id, bad, none, list_filter([case when not contains({folded('text')}, 'tion') then 'missing: tion' end, case when contains({folded('text')}, 'idiot') then 'forbidden: idiot' end], lambda x: x is not null) as reasons from j),
+t as (select doc_id, case when bad is not null then 'invalid' when none then 'missing' when len(reasons) = 0 then 'passed' else 'failed' end as status, case when bad is not null then [bad] when none then [] else reasons end as why from s)"""
+
+
+@R.add(f"{_CASES} select 'report' as kind, status as key, cast(count(*) as varchar) as value from t group by status union all select 'report', 'total', cast(count(*) as varchar) from t union all select 'problem', cast(doc_id as varchar), array_to_string(why, '; ') from t where len(why) > 0")
 def job_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """Cases checked, matched to outputs, scored, reported."""
+    """Cases and outputs checked, matched, scored; the report's figures and a line for each failing case."""
     cases = table(spark, d, "documents").select("doc_id", "text", G.first_reason([(F.trim("text") == "", "no text"), (F.col("n_chars") < 50, "too short")]).alias("bad"))
-    found = E.match_outputs(cases, table(spark, d, "labels").select("doc_id"), "doc_id").withColumnRenamed("status", "match")
-    scored = E.score(found, F.col("text"), F.array(F.lit("tion")), F.array().cast("array<string>"))
-    return E.report(scored.withColumn("status", F.when(F.col("bad").isNotNull(), "invalid").when(F.col("match") == "missing", "missing").otherwise(F.col("status"))))
-
-
-@R.add("with a as (select event_type, value, value >= 10 as ok, row_number() over (partition by event_type order by value) - 1 as r, count(*) over (partition by event_type) as n from events where value is not null) select event_type, max(n) as n, count(*) filter (ok) as passed, max(value) filter (r = n // 2) as median, max(value) filter (r = greatest(0, cast(floor(n * 0.95::double) as bigint) - 1)) as p95 from a group by event_type")
+    outputs = E.valid_outputs(table(spark, d, "labels"), "doc_id", G.first_reason([(F.col("quality").isNull(), "no response")]), [F.col("toxic")]).filter("reason is null").select("doc_id")
+    found = E.match_outputs(cases, outputs, "doc_id").withColumnRenamed("status", "match")
+    scored = E.score(found, F.col("text"), F.array(F.lit("tion")), F.array(F.lit("idiot")))
+    none = F.array().cast("array<string>")
+    final = scored.withColumn("status", F.when(F.col("bad").isNotNull(), "invalid").when(F.col("match") == "missing", "missing").otherwise(F.col("status")))
+    final = final.withColumn("reasons", F.when(F.col("bad").isNotNull(), F.array("bad")).when(F.col("match") == "missing", none).otherwise(F.col("reasons")))
+    figures = E.report(final).drop("pass_rate")
+    rows = figures.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in figures.columns])).alias("r")).select(F.lit("report").alias("kind"), "r.key", "r.value").filter("value <> '0' or key = 'total'")
+    return rows.unionByName(E.problem_lines(final, "doc_id").select(F.lit("problem").alias("kind"), F.col("doc_id").cast("string").alias("key"), F.col("problems").alias("value")))
+
+
+@R.add(f"with o as (select lang, n_chars::double as latency, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '```[a-z]*', '', 'g'), chr(10)), lambda s: trim(regexp_replace(s, '^\\s*(?:[-*•]|\\d+[.)])\\s+', ''))), lambda s: s <> ''), ' ') as reply from documents), a as (select *, contains({folded('reply')}, 'on') and not contains({folded('reply')}, 'idiot') as ok, row_number() over (partition by lang order by latency) - 1 as r, count(*) over (partition by lang) as n from o) select lang, max(n) as n, count(*) filter (ok) as passed, round(count(*) filter (ok) / count(*), 6) as pass_share, round(avg(latency), 4) as mean_latency, max(latency) filter (r = n // 2) as median, max(latency) filter (r = greatest(0, cast(floor(n * 0.95::double) as bigint) - 1)) as p95, min(latency) as least, max(latency) as most from a group by lang")
 def job_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Pass counts and exact latency ranks per category."""
-    e = table(spark, d, "events").filter("value is not null").select("event_type", "value")
-    stats = E.latency_stats(e, ["event_type"], "value").select("event_type", "n", "median", "p95")
-    return E.audit_summary(e, "event_type", F.col("value") >= 10, F.col("value")).select("event_type", "passed").join(stats, "event_type")
+    """Outputs cleaned and scored; pass counts and exact latency ranks of each language."""
+    raw = table(spark, d, "documents").select("lang", F.col("n_chars").cast("double").alias("latency"), X.clean_output(F.concat(F.lit("<think>plan</think>"), "text")).alias("reply"))
+    scored = E.score(raw, F.col("reply"), F.array(F.lit("on")), F.array(F.lit("idiot")))
+    stats = E.latency_stats(scored, ["lang"], "latency").drop("n", "mean")
+    return E.audit_summary(scored, "lang", F.col("status") == "passed", F.col("latency")).join(stats, "lang")
 
 
 _SESSIONS = f"""with u as (select distinct l_orderkey, l_linenumber, l_partkey, l_quantity, p_name from ({UTT})),

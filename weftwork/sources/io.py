@@ -20,7 +20,7 @@ def parse_lines(lines: DataFrame, schema: str, value: str = "value") -> DataFram
     parsed = F.from_json(value, f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"})
     out = text.withColumn("__p", parsed)
     problem = F.when(~F.trim(F.col(value)).startswith("{"), F.when(F.get_json_object(value, "$").isNull(), "bad_json").otherwise("not_an_object")).when(F.col("__p.__bad").isNotNull(), "bad_json")
-    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    names = T.StructType.fromDDL(schema).names
     return out.select(*lines.columns, *[F.col(f"__p.{n}").alias(n) for n in names], problem.alias("problem"))
 
 
