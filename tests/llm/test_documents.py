@@ -317,6 +317,20 @@ def test_very_long_runs(spark):
     assert time.perf_counter() - start < 60
 
 
+def test_many_spans_in_one_text(spark):
+    """A file of 100,000 checksums: spans, and their redaction, are linear in their number."""
+    rnd, n = random.Random(4), 100_000
+    text = "".join(f"{rnd.getrandbits(160):040x}  file{i} é\n" for i in range(n)) + "password=abcdefgh token: 12345678 end"
+    df = spark.createDataFrame([(1, text), (2, "f" * 32 + "🙂" + "a1" * 20)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r["doc_id"]: r for r in secret_scan.secret_report(df).collect()}
+    want = base_spans(text)
+    assert got[1]["n_hex"] == n and got[1]["n_assign"] == 2 and got[1]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redacted(df).collect()}
+    assert masked == {1: re.sub("[0-9a-f]{40}", "[SECRET]", text[: text.index("password")]) + "[SECRET] [SECRET] end", 2: "[SECRET]🙂[SECRET]"}
+    assert time.perf_counter() - start < 60
+
+
 def test_incremental_entropy(spark):
     rnd = random.Random(1)
     texts = ["".join(rnd.choice("abcdef0123456789ABC") for _ in range(rnd.randrange(20, 70))) for _ in range(60)] + ["a" * 30, "ab" * 15]
@@ -414,6 +428,17 @@ def test_measures_count_every_word():
     assert quality.measures(signs)[0][at["tail_signs"]] == pytest.approx(2000 / 12000)
 
 
+def test_measures_do_not_depend_on_the_length():
+    at = {name: k for k, name in enumerate(quality.MEASURES)}
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    natural = [rnd.choice(words) for _ in range(250 * 200)]
+    once, many = (quality.measures(" ".join(natural[:n]))[0][at["distinct"]] for n in (250, 250 * 200))
+    assert abs(once - many) < 0.05 and quality.votes(quality.measures(" ".join(natural))[0])[3] == 1
+    dull = " ".join(rnd.choice(words[:40]) for _ in range(250 * 200))  # 50,000 words
+    assert quality.votes(quality.measures(dull)[0])[3] == 0 == quality.votes(quality.measures(dull[:1000])[0])[3]
+
+
 def test_em_over_patterns_equals_em_over_documents(spark, sf):
     """A plain expectation-maximisation, document by document, and the scorer's posteriors and scores."""
     texts = [r["text"] for r in table(spark, sf, "documents").select("text").collect()]

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.functions.text import once
+
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # A match of these two is never part of a longer run, so the shortest length can stand in the pattern itself: what it
 # leaves out are whole runs that are too short. Runs are possessive and start at their first character, so each
@@ -39,22 +41,51 @@ class Entropy:
     allow: str = r"(?i)^(?:[a-z_/.=+-]+|.*(?:example|placeholder|dummy|sample|changeme|xxxx|0000|1234567).*|(?:https?|www)[:/.].*)$"
 
 
+#: Spans are walked in chunks of so many: an array is copied at each step, so a walk over all of them would be quadratic.
+CHUNK = 256
+
+
+def _walked(items: Column, start: Column, kind: str, step) -> Column:
+    """Array over ``items`` of what ``step`` (place, item) gives: (next place, array to add); linear in the items.
+
+    Chunks are walked twice: once for the place at which each ends, then from these places for the arrays. ``kind`` is
+    the type of the array.
+    """
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(CHUNK)), lambda i: F.slice(items, i, CHUNK))
+    ends = lambda c, at: F.aggregate(c, at, lambda acc, x: step(acc, x)[0])
+
+    def from_places(c):
+        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("places"))
+        places = F.aggregate(c, zero, lambda acc, chunk: F.struct(ends(chunk, acc["at"]).alias("at"), F.concat(acc["places"], F.array(acc["at"])).alias("places")), lambda acc: acc["places"])
+        return F.flatten(F.zip_with(c, places, whole))
+
+    def whole(chunk, place):
+        def add(acc, x):
+            at, new = step(acc["at"], x)
+            return F.struct(at.alias("at"), F.concat(acc["found"], new).alias("found"))
+
+        return F.aggregate(chunk, F.struct(place.alias("at"), F.array().cast(kind).alias("found")), add, lambda acc: acc["found"])
+
+    return once(chunks, from_places)
+
+
 def _spans(text: Column, pattern: str, keep, kind: str) -> Column:
-    """Array of (start, end, kind, rank) in code points of the matches that ``keep`` (match, first group) admits."""
+    """Array of (start, rank, end, kind, hit) in code points of the matches that ``keep`` (match, first group) admits."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if pattern == ASSIGN else whole
     between = F.split(text, pattern, -1)
-    walked = F.aggregate(
-        F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("hit"), group.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.when(keep(x["hit"], x["value"]), F.concat(acc["found"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"))))).otherwise(acc["found"]).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
     rank = (*KINDS, "entropy").index(kind)
-    return F.transform(walked, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["hit"].alias("hit")))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,hit:string>>")
+
+    def step(at, x):
+        start = at + x["gap"]
+        end = start + x["length"]
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("hit"))
+        return end, F.when(x["kept"], F.array(span)).otherwise(none)
+
+    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("hit"), group.alias("value"))
+    items = F.transform(pairs, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("length"), x["hit"].alias("hit"), keep(x["hit"], x["value"]).alias("kept")))
+    return once(items, lambda z: _walked(z, F.lit(0), "array<struct<start:int,rank:int,end:int,kind:string,hit:string>>", step))
 
 
 def _peak_entropy(candidate: Column, window: int, enough: Column | None = None) -> Column:
@@ -139,18 +170,20 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
 
     A text without spans, a null one included, is unchanged.
     """
-    s = secret_spans(docs, text_col=text_col, carry=True)
-    spans = F.array_sort(F.concat("__base", "__extra"))
+    s = secret_spans(docs, text_col=text_col, carry=True).withColumn("__all", F.array_sort(F.concat("__base", "__extra")))
     t = F.col("__text")
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t) - acc["at"])),
-    )
+    step = lambda at, x: (F.greatest(at, x["end"]), F.when(x["start"] >= at, F.array(F.struct(at.alias("from"), x["start"].alias("to")))).otherwise(F.array().cast("array<struct<from:int,to:int>>")))
+    s = s.withColumn("__gaps", _walked(F.col("__all"), F.lit(0), "array<struct<from:int,to:int>>", step))
+    # A place in a text is found by counting from its start, so each chunk of gaps cuts its part of the text first.
+    last = F.aggregate("__all", F.lit(0), lambda acc, x: F.greatest(acc, x["end"]))
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__gaps"), F.lit(1)), F.lit(CHUNK)), lambda i: F.slice("__gaps", i, CHUNK))
+
+    def written(c):
+        first, end = F.get(c, F.lit(0))["from"], F.get(c, F.size(c) - 1)["to"]
+        part = F.substring(t, first + 1, end - first)
+        return once(part, lambda p: F.array_join(F.transform(c, lambda g: F.concat(F.substring(p, g["from"] - first + 1, g["to"] - g["from"]), F.lit(mark))), ""))
+
+    done = F.concat(F.array_join(F.transform(chunks, written), ""), F.substring(t, last + 1, F.length(t) - last))
     at = docs.columns.index(text_col)
-    changed = F.when(F.size(spans) > 0, done).otherwise(F.col(f"__c{at}"))
+    changed = F.when(F.size("__all") > 0, done).otherwise(F.col(f"__c{at}"))
     return s.select(*[(changed if i == at else F.col(f"__c{i}")).alias(name) for i, name in enumerate(docs.columns)])
