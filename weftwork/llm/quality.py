@@ -23,6 +23,8 @@ BITS = 10
 MEASURES = ("words", "mean_length", "signs", "digits", "capitals", "distinct", "repeated_lines", "sentence_ends", "pipes", "doubled", "function_words", "tail_signs")
 #: Frequent short words of the four languages, as fixed values.
 FUNCTION_WORDS = frozenset("the of and to in is that for it was on with as be at by this from or an der die das und in von mit zu den ist auf für nicht sich ein le la les de des et en un une du que pour dans qui est el los las y por con una del se".encode().split())
+#: Words over which the share of distinct ones is taken, and then averaged: over a whole text it would fall with the length.
+WINDOW = 250
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _CAPS = re.compile(rb"[A-Z]")
 _DIGITS = re.compile(rb"[0-9]")
@@ -38,13 +40,14 @@ def measures(text: str | None) -> tuple[np.ndarray, list[bytes]]:
     if not n:
         return np.zeros(len(MEASURES)), words
     distinct = set(words)
+    various = sum(len(set(words[k : k + WINDOW])) for k in range(0, n, WINDOW)) / n
     lines = [x for x in data.split(b"\n") if x.strip()]
     signs, caps = len(_SIGNS.findall(data)), len(_CAPS.findall(data))
     ends = data.count(b".") + data.count(b"!") + data.count(b"?")
     doubled = sum(a == b for a, b in zip(words, words[1:], strict=False))
     tails = sum(w[-1] in _TAILS for w in words)
     common = sum(w.lower() in FUNCTION_WORDS for w in distinct)
-    return np.array([n, (size - n) / n, signs / size, len(_DIGITS.findall(data)) / size, caps / size, len(distinct) / n, 1 - len(set(lines)) / len(lines), ends / n, data.count(b"|") / n, doubled / n, common / (len(distinct) ** 0.5), tails / n]), words
+    return np.array([n, (size - n) / n, signs / size, len(_DIGITS.findall(data)) / size, caps / size, various, 1 - len(set(lines)) / len(lines), ends / n, data.count(b"|") / n, doubled / n, common / (len(distinct) ** 0.5), tails / n]), words
 
 
 def votes(m: np.ndarray) -> tuple[int, ...]:
@@ -55,7 +58,7 @@ def votes(m: np.ndarray) -> tuple[int, ...]:
         pick(False, words >= 60),
         pick(signs > 0.08 and words >= 8, signs < 0.04),
         pick(caps > 0.2 and words >= 8, caps < 0.06),
-        pick(distinct < 0.3 and words < 4000, distinct > 0.45),
+        pick(distinct < 0.3, distinct > 0.45),
         pick(pipes > 0.1, False),
         pick(lines > 0.3, lines < 0.05),
         pick(tails > 0.3, tails < 0.05),
