@@ -371,6 +371,26 @@ def test_json_that_is_no_array_of_objects(spark, tmp_path, text):
         io.read_dialogues(spark, str(tmp_path)).collect()
 
 
+def test_yaml_dimension(spark, tmp_path):
+    path = tmp_path / "menu.yaml"
+    path.write_text("menu:\n- id: 7\n  name: Ayran\n  price: '12.5'\n  tags: null\n  aliases: [yoğurt, 3]\n- name: Su\n  availability: 1\n", encoding="utf-8")
+    got = [r.asDict() for r in io.dim_from_yaml(spark, str(path)).orderBy("position").collect()]
+    assert got[0] == {"id": "7", "name": "Ayran", "category": "", "description": "", "price": 12.5, "availability": False, "allergens": [], "tags": [], "aliases": ["yoğurt", "3"], "position": 0}
+    assert (got[1]["name"], got[1]["price"], got[1]["availability"]) == ("Su", 0.0, True)
+    path.write_text("other: 1\n")
+    assert io.dim_from_yaml(spark, str(path)).count() == 0
+    path.write_text("menu: [5]\n")
+    with pytest.raises(ValueError):
+        io.dim_from_yaml(spark, str(path))
+
+
+def test_context_document(spark):
+    dim = spark.createDataFrame([("Çay", " ", 15.0, 2), (" Su ", "İçecek", None, 1), (None, "İçecek", 3.0, 0), ("Köfte", "Ana", 150.5, 3)], "name string, category string, price double, position int")
+    got = J.context_document(dim, {"Saat": "10-22 ", "Ödeme": ["kart", ""], "Boş": " "}).first().document
+    assert got == "Menü kategorileri: Ana, Diğer, İçecek.\nAna: Köfte (150.50 TL).\nDiğer: Çay (15.00 TL).\nİçecek: Su.\nSaat: 10-22.\nÖdeme: kart."
+    assert J.context_document(dim.limit(0)).first().document == ""
+
+
 def test_split_sinks(spark, tmp_path):
     df = spark.range(100).selectExpr("id", "case when id % 10 = 0 then 'valid' else 'train' end as split")
     path = str(tmp_path / "s")

@@ -44,6 +44,11 @@ def review(df: DataFrame, statuses: Sequence[tuple[Column, str]], default: str,
     return df.withColumn("status", status).withColumn("include", F.col("status").isin(*included))
 
 
+def with_review(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with review columns added or overwritten; all computed from the columns as they were."""
+    return df.withColumns(columns)
+
+
 def semantic_status(text: Column, preserve: Column, forbidden: Column, synonyms: Mapping[str, Sequence[str]], changes: Sequence[str], duplicate: Column) -> Column:
     """Empty, then a missing term, a forbidden fact (synonyms included), a changed order state, a duplicate; else approved."""
     low = F.lower(text)

@@ -341,6 +341,29 @@ def paraphrase_errors(errors: Column, paraphrase: Column, canonical: Column, req
     return F.when(F.size(errors) > 0, errors).otherwise(later)
 
 
+#: Where an item has no category.
+NO_CATEGORY = "Diğer"
+
+
+def context_document(dim: DataFrame, facts: Mapping[str, str | Sequence[str]] | None = None, name: str = "name", category: str = "category", price: str = "price", order: str = "position") -> DataFrame:
+    """One row with a dimension as a text: its categories, a line a category with names and prices, a line a fact.
+
+    Items stand in their order; one without a name is left out, one without a category goes to ``NO_CATEGORY``, one
+    without a price has none. Facts with blank values are left out. The text is as large as the dimension.
+    """
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    own = dim.filter(blank(name).isNotNull()).select(F.coalesce(blank(category), F.lit(NO_CATEGORY)).alias("c"), F.struct(F.col(order).alias("o"), F.concat(blank(name), F.coalesce(F.format_string(" (%.2f TL)", F.when(F.col(price).isNotNull(), F.col(price))), F.lit(""))).alias("t")).alias("i"), F.col(price).isNull().alias("free"), blank(name).alias("n"))
+    own = own.withColumn("i", F.when(F.col("free"), F.struct(F.col("i.o").alias("o"), F.col("n").alias("t"))).otherwise(F.col("i")))
+    lines = own.groupBy("c").agg(F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda x: x["t"]), ", ").alias("line"))
+    each = lambda c: f"{c.strip()}" if isinstance(c, str) else ", ".join(x.strip() for x in c if x and x.strip())
+    said = [F.lit(f"{label}: {each(v)}.") for label, v in (facts or {}).items() if v and each(v)]
+    sorted_ = F.array_sort(F.collect_list(F.struct("c", "line")))
+    head = F.concat(F.lit("Menü kategorileri: "), F.array_join(F.transform(sorted_, lambda x: x["c"]), ", "), F.lit("."))
+    body = F.concat(F.array(head), F.transform(sorted_, lambda x: F.concat(x["c"], F.lit(": "), x["line"], F.lit("."))))
+    none = F.array().cast("array<string>")
+    return lines.agg(F.array_join(F.concat(F.when(F.count("*") > 0, body).otherwise(none), F.array(*said) if said else none), "\n").alias("document"))
+
+
 def render_reply(intent: Column, name: Column, price: Column, quantity: Column, facts: Mapping[str, str] | None = None, category: Column | None = None, choices: Column | None = None, categories: Column | None = None, detail: Column | None = None, summary: Column | None = None, hours: str = "") -> Column:
     """A reply text for each intent of the reply cascade; what a text needs and does not have gives its question instead.
 

@@ -73,6 +73,11 @@ def diverse_sample(df: DataFrame, category: Column, preferred: Sequence[str], n:
     return unique.withColumn("phase", phase).withColumn("phase_rank", rank).orderBy("phase", "phase_rank", *order).limit(n)
 
 
+def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows by a total order; each task keeps n at most."""
+    return df.orderBy(*order).limit(n)
+
+
 def scored_topn(df: DataFrame, scores: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*scores).limit(n)
 

@@ -285,13 +285,11 @@ def categories(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_type").alias("category")).distinct().orderBy("category")
 
 
-@R.add(f"with i as ({ITEMS}) select string_agg(concat(category, ': ', line), chr(10) order by category) as document from (select category, string_agg(printf('%s (%.2f)', name, price), ', ' order by name) as line from i group by category)")
+@R.add(f"with i as (select name, position, case when position % 4 = 0 then 'Diğer' else category end as category, case when position % 5 = 0 then name else concat(name, printf(' (%.2f TL)', price)) end as item from ({ITEMS})), l as (select category, string_agg(item, ', ' order by position) as line from i group by category) select concat('Menü kategorileri: ', string_agg(category, ', ' order by category), '.', chr(10), string_agg(concat(category, ': ', line, '.'), chr(10) order by category), chr(10), 'Çalışma saatleri: 10:00-22:00.', chr(10), 'Ödeme yöntemleri: nakit, kart.') as document from l")
 def context_text(spark: SparkSession, d: str) -> DataFrame:
-    """One text for a dimension: a line a category. The dimension is bounded by its distinct names."""
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["t"]), ", ")
-    by = items(spark, d).groupBy("category").agg(joined(F.struct("name", F.format_string("%s (%.2f)", "name", "price").alias("t"))).alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("category", "line"))), lambda s: F.concat(s["category"], F.lit(": "), s["line"]))
-    return by.agg(F.array_join(lines, "\n").alias("document"))
+    """One text for a dimension, which is bounded by its distinct names: categories, items with prices, facts."""
+    dim = items(spark, d).withColumn("category", F.when(F.col("position") % 4 == 0, " ").otherwise(F.col("category"))).withColumn("price", F.when(F.col("position") % 5 != 0, F.col("price")))
+    return J.context_document(dim, {"Çalışma saatleri": "10:00-22:00", "Ödeme yöntemleri": ["nakit", " ", "kart"], "Alerji politikası": ""})
 
 
 @R.add("select regexp_replace(substr(string_agg(distinct p_name, ', ' order by p_name), 1, 200), ',[^,]*$', '') as vocabulary from part")
@@ -310,6 +308,28 @@ def order_summary_text(spark: SparkSession, d: str) -> DataFrame:
     return O.order_summary(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" x "), F.col("l_partkey").cast("string")))
 
 
+# Enrichment, limits, parsers: steps of other operators, on their own
+
+
+@R.add("select doc_id, lang, 'reviewed' as source, n_chars > 500 as include, concat('n=', n_chars) as notes from documents")
+def with_review(spark: SparkSession, d: str) -> DataFrame:
+    """Records keep their columns; review flags are overwritten."""
+    return G.with_review(table(spark, d, "documents").drop("text"), source=F.lit("reviewed"), include=F.col("n_chars") > 500, notes=F.concat(F.lit("n="), F.col("n_chars").cast("string"))).drop("n_chars")
+
+
+@R.add("select conv_id, turn from conversations where role = 'user' order by conv_id, turn limit 20")
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    return S.first_rows(users(spark, d), 20, F.col("conv_id"), F.col("turn")).select("conv_id", "turn")
+
+
+@R.add(f"select conv_id, turn, case when contains({folded('text')}, 'tion') then 'add_item' else 'unknown' end as intent, case when contains({folded('text')}, 'tion') then 0.9 else 0.2 end::double as confidence from conversations")
+def parse_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Any parser: a transform that adds an intent and a confidence."""
+    hit = X.fold(F.col("text")).contains("tion")
+    parser = lambda df: df.withColumn("intent", F.when(hit, "add_item").otherwise("unknown")).withColumn("confidence", F.when(hit, 0.9).otherwise(0.2))
+    return J.parsed(conversations(spark, d), parser).select("conv_id", "turn", "intent", "confidence")
+
+
 # Evaluation
 
 

@@ -284,6 +284,34 @@ def final_response(spark: SparkSession, d: str) -> DataFrame:
     return j.select("doc_id", sft.final_response(F.lit("rejected"), F.col("lang"), reasons).alias("f")).select("doc_id", "f.*")
 
 
+@R.add("with i as (select p_name as name, min(p_type) as category, min(p_retailprice) as price, min(p_partkey) as k from part group by p_name) select name, case when k % 3 = 0 then '' else category end as category, case when k % 4 = 0 then 0.0 else price end as price, k % 2 = 0 as availability, case when k % 5 = 0 then [name, upper(name)] else [] end as aliases, '' as description, cast(row_number() over (order by name) - 1 as int) as position from i")
+def menu_yaml(spark: SparkSession, d: str) -> DataFrame:
+    """A menu written as a YAML list with absent and null fields, and read with defaults."""
+    i = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_type").alias("category"), F.min("p_retailprice").alias("price"), F.min("p_partkey").alias("k"))
+    part = lambda c, value: F.when(c, value)
+    entry = F.struct("name", part(F.col("k") % 3 != 0, F.col("category")).alias("category"), part(F.col("k") % 4 != 0, F.col("price").cast("string")).alias("price"), part(F.col("k") % 2 == 0, F.lit(True)).alias("availability"), part(F.col("k") % 5 == 0, F.array("name", F.upper("name"))).alias("aliases"))
+    path = _folder(spark, "menu")
+    lines = i.orderBy("name").select(F.concat(F.lit("- "), F.to_json(entry)).alias("value")).coalesce(1)
+    spark.createDataFrame([("menu:",)], "value string").coalesce(1).unionByName(lines).coalesce(1).write.text(path)
+    return io.dim_from_yaml(spark, path).select("name", "category", "price", "availability", "aliases", "description", "position")
+
+
+_RECORDS = "with r as (select conv_id * 1000 + turn as id, role, text, turn, text as message, concat('C: ', text) as canonical, [role] as keep, case when turn % 2 = 0 then ['iste'] else [] end as forbid from conversations) select id, list_filter([case when turn % 5 = 1 and trim(message) = '' then 'blank content' end, case when id % 13 = 0 then 'no seed' end, case when turn % 7 = 0 then 'a section is missing' end, case when id % 13 <> 0 and turn % 7 = 0 and not contains('', role) then 'a term to keep is missing' end, case when id % 13 <> 0 and turn % 5 = 0 then 'another paraphrase' end, case when id % 13 <> 0 and turn % 11 = 0 then 'another intent' end], lambda x: x is not null) as errors from r"
+
+
+@R.add(_RECORDS)
+def validate_records(spark: SparkSession, d: str) -> DataFrame:
+    """Paraphrase records, some of them spoilt, against their seeds."""
+    none = F.array().cast("array<string>")
+    c = conversations(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("user_message"), F.lit("add").alias("intent"), F.concat(F.lit("C: "), "text").alias("canonical_response"), F.concat(F.lit("P: "), "text").alias("safe_paraphrase"), F.array("role").alias("must_preserve_terms"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("iste"))).otherwise(none).alias("must_not_introduce"), F.lit("n").alias("notes"), "turn")
+    prompt = sft.grounded_prompt(F.col("user_message"), F.col("intent"), F.col("canonical_response"), F.col("must_preserve_terms"), F.col("must_not_introduce"))
+    prompt = F.when(F.col("turn") % 7 == 0, F.regexp_replace(prompt, r"(?m)^Korunacak terimler: .*\n", "")).otherwise(prompt)
+    said = F.concat(F.col("safe_paraphrase"), F.when(F.col("turn") % 5 == 0, "!").otherwise(""))
+    meta = F.struct("id", F.when(F.col("turn") % 11 == 0, "other").otherwise(F.col("intent")).alias("intent"), "notes")
+    records = c.select(sft.chat_record("You take orders.", prompt, said).alias("messages"), meta.alias("metadata"))
+    return sft.record_errors(records, c.filter("id % 13 <> 0").drop("turn"), "You take orders.").select("metadata.id", "errors")
+
+
 @R.add("select conv_id, turn, case when role = 'system' then 'S' when contains(text, 'tion') then concat('T:', text) else concat(role, '/', text) end as text from conversations")
 def rewrite_messages(spark: SparkSession, d: str) -> DataFrame:
     key = F.when(F.col("role") == "system", "system").otherwise(F.lit("none"))

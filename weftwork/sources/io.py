@@ -123,6 +123,40 @@ def dim_from_records(spark: SparkSession, rows: Sequence[Mapping], schema: T.Str
     return spark.createDataFrame([tuple(value(r, f.name) for f in schema) for r in rows], schema)
 
 
+#: A menu entry: absent fields take these values; texts, lists and numbers are coerced.
+MENU = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "name", "category", "description")] + [T.StructField("price", T.DoubleType()), T.StructField("availability", T.BooleanType())] + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("allergens", "tags", "aliases")])
+MENU_DEFAULTS = {"id": "", "name": "", "category": "", "description": "", "price": 0.0, "availability": False, "allergens": (), "tags": (), "aliases": ()}
+#: A dimension file is parsed on the driver, up to so many characters.
+MOST_YAML = 16_000_000
+
+
+def coerced(value, kind: T.DataType, default):
+    """A parsed value in the type of its field: an absent one is the default, a null list is empty, anything is a text."""
+    if isinstance(kind, T.ArrayType):
+        return [str(x) for x in (value or default or ())]
+    if value is None:
+        return default
+    return {T.DoubleType: float, T.BooleanType: bool, T.LongType: int}.get(type(kind), str)(value)
+
+
+def dim_from_yaml(spark: SparkSession, path: str, key: str = "menu", schema: T.StructType = MENU, defaults: Mapping = MENU_DEFAULTS) -> DataFrame:
+    """A small dimension from the list under ``key`` of a YAML file, with its place in the list as ``position``.
+
+    An empty file, or one without the key, has no rows; an entry that is no mapping is an error. A file of more than
+    ``MOST_YAML`` characters is an error: it is no small dimension.
+    """
+    import yaml  # not needed by anything else
+
+    texts = spark.read.text(path, wholetext=True).select(F.length("value").alias("n"), F.when(F.length("value") <= MOST_YAML, F.col("value")).alias("value")).limit(2).collect()
+    if len(texts) > 1 or any(t.n > MOST_YAML for t in texts):
+        raise ValueError(f"{path}: one file of at most {MOST_YAML} characters is needed")
+    entries = (yaml.safe_load(texts[0]["value"]) or {}).get(key) or [] if texts else []
+    if any(not isinstance(e, Mapping) for e in entries):
+        raise ValueError(f"{path}: an entry of {key} is no mapping")
+    rows = [(*[coerced(e.get(f.name), f.dataType, defaults.get(f.name)) for f in schema], i) for i, e in enumerate(entries)]
+    return spark.createDataFrame(rows, T.StructType([*schema, T.StructField("position", T.IntegerType())]))
+
+
 def tag_and_union(frames: Mapping[str, DataFrame], tag: str = "source_domain") -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [df.withColumn(tag, F.lit(name)) for name, df in frames.items()])
 
