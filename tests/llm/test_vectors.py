@@ -148,3 +148,23 @@ def test_nodes_without_a_path_are_kept_beside_the_graph():
     assert len(graph.unreached()) == 199 and hnsw_dedup.audited(graph, x[:50].astype(np.float32), 0.5, 4, 1.0) == 0
     r, c = hnsw_dedup.products(graph.x, x[:50].astype(np.float32), 0.5)
     assert set(zip(r, c, strict=True)) == set(zip(*np.nonzero(x[:50] @ x.T >= 0.5), strict=True))
+
+
+def test_audit_by_planted_copies():
+    """Without duplicates a node's hit on itself says nothing; a planted copy asks for its original."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((400, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(400) + 1000
+    graph = hnsw_dedup.Graph(x, 4, 16)
+    q, own = x[:60].astype(np.float32), ids[:60]
+    assert hnsw_dedup.audited(graph, q, 0.95, 2, 1.0, ids, own) == 2  # nothing to find
+    copies = hnsw_dedup.planted(x[:60], 0.975)
+    assert np.abs((copies * x[:60]).sum(1) - 0.975).max() < 1e-12
+    both, both_ids = np.concatenate([q, copies.astype(np.float32)]), np.r_[own, np.full(60, -1)]
+    width = hnsw_dedup.audited(graph, both, 0.95, 2, 1.0, ids, both_ids)
+    assert width > 2
+    found = graph.within(copies.astype(np.float32), 0.95 - 1e-4, width)
+    assert set(range(60)) <= {r for r, c in zip(*found, strict=True) if r == c}
+    graph.layers[-1][1][:] = -1
+    assert hnsw_dedup.audited(graph, both, 0.95, 2, 1.0, ids, both_ids) == 0

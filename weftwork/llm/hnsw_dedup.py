@@ -2,8 +2,8 @@
 
 Equal vectors are one node with a weight, so copies never multiply. Nodes are dealt to shards of bounded size; each
 shard's graph is built, audited and written in one task. The audit searches a bounded sample (``audit`` nodes of all
-shards and as many of its own, those with the smallest hash of their id) and compares with all products: the shard's
-beam is widened until ``recall`` of the links are found, and a shard where no beam finds them is searched by products.
+shards and as many of its own, those with the smallest hash of their id, and a planted near copy of each own one) and
+compares with all products, without a node's hit on itself: the shard's beam is widened until ``recall`` of the links are found, and a shard where no beam finds them is searched by products.
 Nodes that no path of the graph's lowest layer reaches are kept beside it and compared with every query.
 
 Every block of nodes is then searched in every shard (the blocks stream past a graph). A search whose beam holds links
@@ -184,9 +184,23 @@ def _packed(batch: pa.RecordBatch) -> bytes:
     return pickle.dumps((ids, weight, _matrix(batch.column(2)).astype(kind)))
 
 
-def audited(graph: Graph, q: np.ndarray, threshold: float, beam: int, recall: float) -> int:
-    """The beam with which ``recall`` of the links of ``q`` are found; 0 where none does."""
-    key = lambda pairs: pairs[0].astype(np.int64) * len(graph.x) + pairs[1]
+def planted(unit: np.ndarray, cosine: float) -> np.ndarray:
+    """Unit vectors at ``cosine`` to those given, in a direction drawn at random."""
+    away = np.random.default_rng(7).standard_normal(unit.shape)
+    away -= (away * unit).sum(1, keepdims=True) * unit
+    size = np.sqrt((away * away).sum(1, keepdims=True))
+    away = np.divide(away, size, out=np.zeros_like(away), where=size > 0)  # in one dimension there is no other direction
+    return _unit(unit * cosine + away * (1 - cosine**2) ** 0.5)
+
+
+def audited(graph: Graph, q: np.ndarray, threshold: float, beam: int, recall: float, ids: np.ndarray | None = None, q_ids: np.ndarray | None = None) -> int:
+    """The beam with which ``recall`` of the links of ``q`` are found; 0 where none does. With ids, a node's hit on itself is no link."""
+
+    def key(pairs):
+        r, c = pairs
+        other = np.ones(len(r), bool) if ids is None else q_ids[r] != ids[c]
+        return r[other].astype(np.int64) * len(graph.x) + c[other]
+
     truth, width = key(products(graph.x, q, threshold)), beam
     while len(truth):
         found = np.isin(truth, key(graph.within(q, threshold - 1e-4, width))).mean()
@@ -206,9 +220,12 @@ def _build(links: int, beam: int, threshold: float, audit: int, recall: float, t
         unit = _unit(x.astype(np.float64))
         g = Graph(unit, links, beam)
         own = np.argsort(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:audit]
-        q = np.concatenate([tried.value.get(x.shape[1], unit[:0]), unit[own]]).astype(np.float32)
+        some_ids, some = tried.value.get(x.shape[1], (ids[:0], unit[:0]))
+        copies = planted(unit[own], (1 + threshold) / 2)
+        q = np.concatenate([some, unit[own], copies]).astype(np.float32)
+        q_ids = np.concatenate([some_ids, ids[own], np.full(len(own), -1)])  # the copies link with their originals
         loose = g.unreached()
-        data = pickle.dumps((ids, weight, x, g.layers, audited(g, q, threshold, beam, recall), loose))
+        data = pickle.dumps((ids, weight, x, g.layers, audited(g, q, threshold, beam, recall, ids, q_ids), loose))
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([data], pa.binary())], names=["shard", "data"])
 
     def run(batches):
@@ -301,9 +318,9 @@ def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector
     total = nodes.count()
     shards = max(least_shards, -(-total // shard_rows))
     tried: dict[int, list] = {}
-    for r in nodes.orderBy(F.xxhash64("id"), "id").limit(audit).select("v").collect():
-        tried.setdefault(len(r.v), []).append(r.v)
-    tried = spark.sparkContext.broadcast({w: _unit(np.array(v, np.float64)) for w, v in tried.items()})
+    for r in nodes.orderBy(F.xxhash64("id"), "id").limit(audit).select("id", "v").collect():
+        tried.setdefault(len(r.v), []).append(r)
+    tried = spark.sparkContext.broadcast({w: (np.array([r.id for r in of], np.int64), _unit(np.array([r.v for r in of], np.float64))) for w, of in tried.items()})
     width = F.size("v").cast("long")
     dealt = nodes.withColumn("shard", width * 1_000_000 + F.pmod(F.xxhash64("id"), F.lit(shards)))
     graphs = stored(dealt.repartition(parallelism(spark), "shard").sortWithinPartitions("shard").mapInArrow(released(_build(links, beam, threshold, audit, recall, tried)), "shard long, data binary"), "graphs")
