@@ -68,9 +68,11 @@ def diverse_sample(df: DataFrame, category: Column, preferred: Sequence[str], n:
     """The first row of each preferred category, then encounter order, up to n; unique on ``keys``. Category must follow from the key."""
     unique = dedup_first(df, keys, order)
     place = F.row_number().over(Window.partitionBy(category).orderBy(*order))
-    phase = F.when(category.isin(*preferred) & (place == 1), 0).otherwise(1)
+    phase = F.when(category.isin(*preferred) & (F.col("__p") == 1), 0).otherwise(1)
     rank = F.when(F.col("phase") == 0, rank_of(category, preferred)).otherwise(0)
-    return unique.withColumn("phase", phase).withColumn("phase_rank", rank).orderBy("phase", "phase_rank", *order).limit(n)
+    # A row behind n of its category is behind n in the end; the constant bound lets each map task drop such rows.
+    near = unique.withColumn("__p", place).filter(F.col("__p") <= n)
+    return near.withColumn("phase", phase).withColumn("phase_rank", rank).drop("__p").orderBy("phase", "phase_rank", *order).limit(n)
 
 
 def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -85,7 +87,9 @@ def scored_topn(df: DataFrame, scores: Sequence[Column], n: int) -> DataFrame:
 def capped_topn(df: DataFrame, category: Column, order: Sequence[Column], n: int, caps: Mapping[str, int]) -> DataFrame:
     """The first n rows, no more than ``caps[c]`` of a capped category."""
     cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])
-    free = df.withColumn("__n", _nth([category], order)).filter(F.col("__n") <= F.coalesce(F.try_element_at(cap, category), F.lit(2**31 - 1)))
+    # No category gives more than n rows; the constant bound lets each map task drop the others.
+    near = df.withColumn("__n", _nth([category], order)).filter(F.col("__n") <= n)
+    free = near.filter(F.col("__n") <= F.coalesce(F.try_element_at(cap, category), F.lit(n)))
     return free.drop("__n").orderBy(*order).limit(n)
 
 
