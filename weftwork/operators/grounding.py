@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftwork.functions import presets
 from weftwork.functions.text import contains_any, fold, missing_terms, name_list, once, ordered_distinct, present_terms
@@ -14,7 +16,7 @@ from weftwork.operators.ranking import checkpointed, global_rank
 from weftwork.operators.rules import Rule, first_match
 
 #: So many surfaces are looked for one by one, in a projection.
-FEW_SURFACES = 256
+FEW_SURFACES = 128
 #: Surfaces beyond this many are not broadcast.
 MOST_SURFACES = 50_000
 #: Surfaces that more rows could hold are dealt out with a salt.
@@ -44,22 +46,33 @@ def with_mentions(texts: DataFrame, found: DataFrame, id_cols: Sequence[str], te
     none = F.array().cast(f"array<struct<{','.join(f'{c}:{found.schema[c].dataType.simpleString()}' for c in own)}>>")
     constant = _constant(found.select(*own, "surface"), few)
     if constant is not None:
-        hits = lambda t: F.array_sort(F.transform(F.filter(constant, lambda s: F.contains(t, s["surface"])), lambda s: F.struct(*[s[c].alias(c) for c in own])))
+        hits = F.array_sort(F.transform(constant.held(F.col("__t")), lambda s: F.struct(*[s[c].alias(c) for c in own])))
         first = lambda m: F.filter(m, lambda x, i: F.array_position(F.transform(m, lambda y: y["item"]), x["item"]) == i + 1)
-        return texts.withColumn(name, F.coalesce(once(once(fold(F.col(text)), hits), first), none))
+        folded = texts.withColumn("__t", fold(F.col(text)))  # a column of its own, so that the tests are compiled
+        return folded.withColumn(name, F.coalesce(once(hits, first), none)).drop("__t")
     folded = texts.select(*id_cols, fold(F.col(text)).alias("__t"))
     each = containing(folded, found, few).groupBy(*id_cols, "item").agg(F.min(F.struct("position", *carry)).alias("__m"))
     by_id = each.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct(F.col("__m.position").alias("position"), "item", *[F.col(f"__m.{c}").alias(c) for c in carry]))).alias(name))
     return texts.join(by_id, list(id_cols), "left").withColumn(name, F.coalesce(F.col(name), none))
 
 
-def _constant(found: DataFrame, few: int) -> Column | None:
-    """The rows of ``found`` as an array of structs, if there are at most ``few``."""
+class _Constant:
+    """Rows as an array of structs, and the tests of a text for each row's surface, one after the other, as one expression."""
+
+    def __init__(self, rows: Sequence, schema: T.StructType) -> None:
+        self.surfaces = [r["surface"] for r in rows]
+        self.rows = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), T.ArrayType(schema))  # folded into one literal
+
+    def held(self, text: Column) -> Column:
+        """The rows whose surface ``text`` (a column) contains."""
+        places = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(s)), F.lit(i)) for i, s in enumerate(self.surfaces)])) if self.surfaces else F.array().cast("array<int>")
+        return F.transform(places, lambda i: F.get(self.rows, i))
+
+
+def _constant(found: DataFrame, few: int) -> _Constant | None:
+    """The rows of ``found``, if there are at most ``few``."""
     rows = found.limit(few + 1).collect()
-    if len(rows) > few:
-        return None
-    kind = f"array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in found.schema)}>>"
-    return F.array(*[F.struct(*[F.lit(r[c]).cast(found.schema[c].dataType).alias(c) for c in found.columns]) for r in rows]).cast(kind) if rows else F.array().cast(kind)
+    return _Constant(rows, found.schema) if len(rows) <= few else None
 
 
 def mention_join(texts: DataFrame, found: DataFrame, id_cols: Sequence[str], text: str = "text", few: int = FEW_SURFACES) -> DataFrame:
@@ -78,7 +91,7 @@ def containing(folded: DataFrame, found: DataFrame, few: int = FEW_SURFACES, mos
     """
     constant = _constant(found, few)
     if constant is not None:
-        return folded.withColumn("__f", F.explode(F.filter(constant, lambda s: F.contains(F.col("__t"), s["surface"])))).select(*folded.columns, "__f.*")
+        return folded.withColumn("__f", F.explode(constant.held(F.col("__t")))).select(*folded.columns, "__f.*")
     lengths = sorted(r[0] for r in found.select(F.least(F.length("surface"), F.lit(GRAM))).distinct().collect())  # 1 to 4
     texts = folded.withColumn("__g", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("__t"), n) for n in lengths])))))
     held = texts.groupBy("__g").agg(F.count("*").alias("__c"))
