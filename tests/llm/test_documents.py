@@ -397,6 +397,15 @@ def test_each_template_finds_itself(spark, sf):
     assert [got[i][0] for i in range(len(TEMPLATES))] == [name for name, _ in TEMPLATES]
 
 
+def test_unknown_licence_files_do_not_inherit(spark):
+    mit = next(text for name, text in TEMPLATES if name == "MIT")
+    strange = "Terms of the Artful Garden: plants may be moved with their gardener alone. " * 8
+    rows = [(1, "LICENSE", mit), (2, "a.py", "x"), (3, "vendor/LICENSE.GARDEN", strange), (4, "vendor/b.py", "y"), (5, "vendor/sub/c.py", None), (6, "both/COPYING", strange), (7, "both/LICENSE", mit), (8, "both/d.py", "z"), (9, "plain/e.py", "w")]
+    got = scanned(spark.createDataFrame(rows, "doc_id long, path string, text string"))
+    assert got[2] == ("MIT", "inherited", "LICENSE") and got[9] == ("MIT", "inherited", "LICENSE") and got[8] == ("MIT", "inherited", "both/LICENSE")
+    assert got[3] == (None, "unknown", "vendor/LICENSE.GARDEN") == got[4] == got[5] and got[6] == (None, "unknown", "both/COPYING")
+
+
 def test_licenses_along_page_urls(spark, sf):
     """Paths that the data have: hosts and directories of pages, with one licence file planted at a host."""
     pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"//([^?#]*)", 1).alias("path"), F.lit("plain text").alias("text"))

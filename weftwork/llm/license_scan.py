@@ -56,8 +56,9 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
     """(doc_id, path, license, how, similarity, license_path) for each row of ``files``.
 
     how is own (a sentence or the whole of its text), inherited (from the licence file of the nearest ancestor
-    directory) or none. A licence file is a text whose whole has a licence, or one with a licence and the name of a
-    licence file; of several in a directory the smallest path counts. Of equal similarities the first template counts,
+    directory), unknown or none. A licence file is a text whose whole has a licence, or one with the name of a licence
+    file; of several in a directory the smallest path with a licence counts. One so named without a licence that the
+    templates know is unknown, and so is what it stands nearest to: neither takes the licence of a neighbour. Of equal similarities the first template counts,
     then the whole text, then the first sentence. Null texts are empty; a null path has no ancestors; repeated rows are
     each returned; an empty table gives no rows.
     """
@@ -80,7 +81,10 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
     )
     own = stored(own.select("doc_id", "path", "whole", "o.license", "o.similarity"), "own")
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
-    files_of = own.filter("whole").withColumn("up", folder).groupBy("up").agg(F.min(F.struct("path", "license")).alias("f"))
+    named = F.coalesce(F.col("path").rlike(NAMED), F.lit(False))
+    other = rows.filter(named).select("path").distinct().join(own.select("path"), "path", "left_anti").select("path", F.lit(None).cast("string").alias("license"))
+    texts = own.filter("whole").select("path", "license").unionByName(other).withColumn("up", folder)
+    files_of = texts.groupBy("up").agg(F.min(F.struct(F.col("license").isNull().alias("unknown"), "path", "license")).alias("f"))
     parts = F.split("dir", "/")
     dirs = rows.select(folder.alias("dir")).filter("dir is not null").distinct()
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.when(k > 0, F.array_join(F.slice(parts, F.lit(1), k), "/")).otherwise(F.lit("")).alias("up")))).alias("a"))
@@ -89,11 +93,12 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
     heir = stored(heir, "heirs")  # its size is then known: broadcast when small, else a join whose hot directory Spark can split
     mine = own.select(F.col("doc_id").alias("i"), F.col("path").alias("p"), F.struct("license", "similarity").alias("o"))
     out = rows.select("doc_id", "path", folder.alias("dir"))
+    own_or_heir = F.when(F.col("o").isNotNull(), F.col("o.license")).when(~named, F.col("h.license"))
     joined = out.join(mine, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("path").eqNullSafe(F.col("p")), "left").join(heir, "dir", "left")
     return joined.select(
         "doc_id", "path",
-        F.coalesce("o.license", "h.license").alias("license"),
-        F.when(F.col("o").isNotNull(), "own").when(F.col("h").isNotNull(), "inherited").otherwise("none").alias("how"),
+        own_or_heir.alias("license"),
+        F.when(F.col("o").isNotNull(), "own").when(named | (F.col("h").isNotNull() & F.col("h.license").isNull()), "unknown").when(F.col("h").isNotNull(), "inherited").otherwise("none").alias("how"),
         F.col("o.similarity").alias("similarity"),
-        F.when(F.col("o").isNotNull(), F.col("path")).otherwise(F.col("h.path")).alias("license_path"),
+        F.when(F.col("o").isNotNull() | named, F.col("path")).otherwise(F.col("h.path")).alias("license_path"),
     )
