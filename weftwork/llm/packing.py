@@ -228,16 +228,23 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 def _packed_examples(limits: Limits):
     def run(batches):
         packer, base, names = Packer(limits), TaskContext.get().partitionId() << 40, ["id", "start", "length", "sequence_id", "offset", "padded_to"]
-        keys: list[int | None] = []
+        keys: dict[int, int | None] = {}  # of the pieces that wait
 
         def batch(pieces):
             rows = [(keys[k], s, n, base + q, o, p) for k, s, n, q, o, p in pieces]
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, names=names)
 
+        at = 0
         for b in batches:
+            pieces = []
             for key, tokens, loss in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                keys.append(key)
-                yield batch(packer.add(len(keys) - 1, max(0, tokens or 0), max(0, loss or 0)))
+                keys[at] = key
+                pieces += packer.add(at, max(0, tokens or 0), max(0, loss or 0))
+                at += 1
+            yield batch(pieces)
+            waiting = {p[0] for p in packer.pool}
+            for k in [k for k in keys if k not in waiting]:
+                del keys[k]
         yield batch(packer.fill(0))
 
     return run
