@@ -364,6 +364,36 @@ def test_json_array_by_byte_ranges(spark, tmp_path, monkeypatch, size, most):
         assert size > 1000 or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
 
 
+def test_parsed_filter_on_json_array(spark, tmp_path):
+    """A filter on what is parsed never meets the pieces of a record that crosses byte ranges."""
+    docs = [{"id": str(i), "utterances": [{"index": 0, "text": "abc" * 40}]} for i in range(60)]
+    (tmp_path / "a.json").write_text(json.dumps(docs))
+    with byte_ranges(spark, 700):
+        said = io.read_dialogues(spark, str(tmp_path)).select("id", F.explode("utterances").alias("u"))
+        assert said.agg(F.count("*"), F.sum(F.length("u.text"))).first() == (60, 60 * 120)
+
+
+def test_json_ranges_stay_while_executors_join(spark, tmp_path, monkeypatch):
+    """The second read has the ranges of the first, though there are more tasks at once by then."""
+    (tmp_path / "a.json").write_text(json.dumps([{"id": str(i), "utterances": []} for i in range(200)]))
+    key, real, tasks = "spark.sql.leafNodeDefaultParallelism", json_array.checkpointed, [3]
+
+    def joined(df):
+        out = real(df)
+        tasks[0] += 4
+        spark.conf.set(key, str(tasks[0]))
+        return out
+
+    monkeypatch.setattr(json_array, "checkpointed", joined)
+    with byte_ranges(spark, 100_000):
+        spark.conf.set(key, str(tasks[0]))
+        try:
+            assert io.read_dialogues(spark, str(tmp_path)).count() == 200
+        finally:
+            spark.conf.unset(key)
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
 @pytest.mark.parametrize("text", ['{"id": "x"}', '[{"id": "x"}', '[{"id": "x"}, 5]', '["a", {"id": "x"}]', '[[{"id": "x"}]]', '[{"id": "x}]'])
 def test_json_that_is_no_array_of_objects(spark, tmp_path, text):
     (tmp_path / "a.json").write_text(text)

@@ -10,6 +10,7 @@ records: whole ones leave at once, and the pieces of a record that crosses range
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -161,6 +162,23 @@ def array_records(spark: SparkSession, path: str) -> DataFrame:
 
     Another value at the top, an array that does not end, or an element that is no object is an error.
     """
+    with _same_ranges(spark):
+        return _array_records(spark, path)
+
+
+@contextmanager
+def _same_ranges(spark: SparkSession):
+    """Both reads are cut alike: the size of Spark's byte ranges goes by its tasks at once, which grow while executors join."""
+    key = "spark.sql.files.minPartitionNum"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, old or spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+def _array_records(spark: SparkSession, path: str) -> DataFrame:
     segments = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     ranges = checkpointed(segments.mapInArrow(_summaries, "file string, block long, first string, ends array<long>"))
     start = F.struct(F.lit(0).cast("long").alias("inside"), F.lit(0).cast("long").alias("depth"), F.array().cast("array<struct<block:long,inside:long,depth:long>>").alias("entered"))
@@ -180,7 +198,9 @@ def array_records(spark: SparkSession, path: str) -> DataFrame:
     order = Window.partitionBy("file").orderBy("block", "starts")
     parts = pieces.filter(~(F.col("starts") & F.col("ends"))).withColumn("n", F.sum(F.col("starts").cast("int")).over(order))
     joined = parts.groupBy("file", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "starts", "record"))), lambda p: p["record"]), "").alias("record"))
-    return pieces.filter("starts and ends").select("file", "record").unionByName(joined.select("file", "record"))
+    # A null where a piece is no whole record: a later filter on parsed records can be tested before this one.
+    whole = pieces.select("file", F.when(F.col("starts") & F.col("ends"), F.col("record")).alias("record")).filter("record is not null")
+    return whole.unionByName(joined.select("file", "record"))
 
 
 def _entered(segments: DataFrame, entered: DataFrame) -> DataFrame:
