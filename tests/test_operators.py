@@ -15,6 +15,7 @@ from weftwork.operators import selection as S
 from weftwork.operators.results import answered, ground_messages
 from weftwork.operators.rules import Rule, classify, first_match
 from weftwork.operators.ranking import global_rank
+from weftwork.plans import ground_queries
 from weftwork.sources import io, json_array
 
 
@@ -195,6 +196,16 @@ def test_steps_are_one_row_an_operation(spark):
         assert got[n] == ((None, op, before, 0) if op == "clear" else (i, op, before, mine.get(i, 0)))
 
 
+def test_info_topics_start_words(spark, tmp_path):
+    """Letters inside a word ask nothing; endings may follow a phrase, and a whole query agrees with its SQL on such texts."""
+    route = lambda raw, mode: one(spark, raw, lambda c: J.route_info(c, {}, mode=mode)["topic"])
+    assert [route(x, "start") for x in ("of aneredea, onereded", "Neredesiniz?", "bu ADRESE kurye", "ankonum (konumu)", None)] == [None, "location", "delivery", "location", None]
+    assert route("of aneredea", "substring") == "location"
+    spark.createDataFrame([(k, 1, "user", "nt aneredea and") for k in range(3)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted((r.conv_id, r.topic, r.answer) for r in ground_queries.info_router(spark, str(tmp_path)).collect())
+    assert got == [(0, "payment", "Kart geçiyor."), (1, "location", "Bu bilgi elimde yok."), (2, None, None)]
+
+
 def test_first_crossing_and_spans(spark):
     rnd = random.Random(5)
     base = 1_700_000_000

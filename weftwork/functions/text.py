@@ -99,9 +99,11 @@ def word_count(c: Column, stop: Sequence[str] = ()) -> Column:
 
 
 def contains_any(c: Column, phrases: Sequence[str], mode: str = "substring") -> Column:
-    """Whether any phrase occurs: anywhere in the text, or (mode='word') between word borders."""
+    """Whether any phrase occurs: anywhere in the text, between word borders (mode='word'), or from the start of a word on (mode='start'), so that endings may follow."""
     if mode == "word":
         return matches_any(c, [r"\b\Q" + p + r"\E\b" for p in phrases])
+    if mode == "start":  # the pattern is tried on the few texts that hold the letters
+        return reduce(lambda a, b: a | b, [c.contains(p) & matches_any(c, [r"\b\Q" + p + r"\E"]) for p in phrases], F.lit(False))
     return reduce(lambda a, b: a | b, [c.contains(p) for p in phrases], F.lit(False))
 
 

@@ -431,9 +431,9 @@ def parsed(df: DataFrame, parser: Callable[[DataFrame], DataFrame], fields: Sequ
     return out
 
 
-def route_info(text: Column, facts: dict[str, str], topics: Sequence[Rule] = presets.INFO_TOPICS, missing: str = "Bu bilgi elimde yok.") -> Column:
-    """Struct of topic and answer; a topic without a fact has the missing text; no topic: null."""
-    topic = first_match(fold(text), topics, None)
+def route_info(text: Column, facts: dict[str, str], topics: Sequence[Rule] = presets.INFO_TOPICS, missing: str = "Bu bilgi elimde yok.", mode: str = "substring") -> Column:
+    """Struct of topic and answer; a topic without a fact has the missing text; no topic: null. ``mode``: how phrases occur (``contains_any``)."""
+    topic = first_match(fold(text), topics, None, mode)
     table = F.create_map(*[F.lit(x) for kv in facts.items() for x in kv])
     return F.struct(topic.alias("topic"), F.when(topic.isNotNull(), F.coalesce(F.try_element_at(table, topic), F.lit(missing))).alias("answer"))
 
