@@ -196,6 +196,25 @@ def test_steps_are_one_row_an_operation(spark):
         assert got[n] == ((None, op, before, 0) if op == "clear" else (i, op, before, mine.get(i, 0)))
 
 
+def test_clears_take_each_item_of_a_session(spark):
+    rnd = random.Random(12)
+    ops = [(rnd.randrange(3), rnd.randrange(4), rnd.choice(["add", "add", "update", "remove", "clear"]), rnd.randrange(-1, 4), n) for n in range(300)] + [(7, 0, "clear", 0, 300)]
+    got = sorted((r.n, r.i, r.op, r.before, r.after) for r in O.item_steps(spark.createDataFrame(ops, "s long, i long, op string, q long, n long"), "s", "i", "op", "q", ["n"]).collect())
+    known, state, want = {s: sorted({i for t, i, op, *_ in ops if t == s and op != "clear"}) for s in (0, 1, 2, 7)}, {}, []
+    for s, i, op, q, n in ops:
+        mine = state.setdefault(s, {})
+        for k in known[s] if op == "clear" else [i]:
+            before = mine.get(k, 0)
+            if op == "add":
+                mine[k] = before + max(1, q)
+            elif op in ("clear", "remove") or q <= 0:
+                mine.pop(k, None)
+            elif before:
+                mine[k] = q
+            want.append((n, k, "remove" if op == "clear" else op, before, mine.get(k, 0)))
+    assert got == sorted(want) and len(got) > 400
+
+
 def test_info_topics_start_words(spark, tmp_path):
     """Letters inside a word ask nothing; endings may follow a phrase, and a whole query agrees with its SQL on such texts."""
     route = lambda raw, mode: one(spark, raw, lambda c: J.route_info(c, {}, mode=mode)["topic"])
