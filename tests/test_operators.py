@@ -215,6 +215,23 @@ def test_clears_take_each_item_of_a_session(spark):
     assert got == sorted(want) and len(got) > 400
 
 
+def test_repeated_texts_are_worked_on_once(spark, monkeypatch):
+    """Whether they are broadcast or not; null texts stay."""
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else "ab" if i % 5 < 4 else f"c{i}") for i in range(50)], "n long, t string")
+    seen = []
+
+    def work(texts):
+        seen.append(texts.count())
+        return texts.withColumn("long", F.length("t"))
+
+    for most in (100, 2):
+        with monkeypatch.context() as m:
+            m.setattr(J, "small", lambda df, real=J.small, most=most: real(df, most))
+            got = sorted((r.n, r.t, r.long) for r in J.per_text(rows, "t", work).collect())
+        assert got == [(r.n, r.t, r.t and len(r.t)) for r in rows.orderBy("n").collect()]
+    assert seen == [12, 12]
+
+
 def test_info_topics_start_words(spark, tmp_path):
     """Letters inside a word ask nothing; endings may follow a phrase, and a whole query agrees with its SQL on such texts."""
     route = lambda raw, mode: one(spark, raw, lambda c: J.route_info(c, {}, mode=mode)["topic"])

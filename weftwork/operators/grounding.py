@@ -30,6 +30,15 @@ def small(df: DataFrame, most: int = MOST_SURFACES) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def per_text(rows: DataFrame, text: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the columns that ``work`` adds to the table of their distinct texts, so that a repeated text is worked on once.
+
+    Few distinct texts (counted) are broadcast, so that a very common one is not shuffled; more are joined by shuffle.
+    """
+    done = checkpointed(work(rows.select(text).distinct()))
+    return rows.join(small(done.withColumnRenamed(text, "__of")), F.col(text).eqNullSafe(F.col("__of"))).drop("__of")
+
+
 def surfaces(dim: DataFrame, item: str = "item_id", name: str = "name", aliases: str | None = None, position: str = "position") -> DataFrame:
     """(item, position, surface): folded names and aliases."""
     names = F.array(F.col(name)) if aliases is None else F.concat(F.array(F.col(name)), F.coalesce(F.col(aliases), F.array().cast("array<string>")))
