@@ -289,6 +289,18 @@ def test_gate_keeps_null_flags_out(spark):
     assert got.filter("skip_reason is not null").count() + 1 == df.count()
 
 
+def test_duplicates_without_a_window(spark):
+    """As by a window, null keys and null ``ok`` included, and no task has all rows of a common key."""
+    rnd = random.Random(3)
+    rows = [(n, rnd.choice(["a", "a", "a", "b", None]), rnd.choice([True, False, None])) for n in range(200)] + [(200 + n, "free", False) for n in range(50)]
+    df = spark.createDataFrame(rows, "n long, k string, ok boolean")
+    got = S.with_duplicate_of_approved(df, F.col("ok"), [F.col("k")], F.col("n"))
+    want = df.withColumn("dup", S.duplicate_of_approved(F.col("ok"), [F.col("k")], F.col("n")))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_duplicate_of_approved(spark):
     df = spark.createDataFrame([(1, "p", False), (2, "p", True), (3, "p", True), (4, "q", True)], "n int, k string, ok boolean")
     got = df.select("n", S.duplicate_of_approved(F.col("ok"), [F.col("k")], F.col("n")).alias("d"))

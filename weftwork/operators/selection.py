@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grounding import small
 from .ranking import checkpointed, global_rank
 
 
@@ -31,6 +32,18 @@ def duplicate_of_approved(ok: Column, keys: Sequence[Column], order: Column) ->
     return F.coalesce(first < order, F.lit(False))
 
 
+def with_duplicate_of_approved(df: DataFrame, ok: Column, keys: Sequence[Column], order: Column, name: str = "dup") -> DataFrame:
+    """``df`` with :func:`duplicate_of_approved`, without a window: a very common key never is one task.
+
+    The first order that passed is aggregated by key and joined back; few keys (counted) are broadcast. ``df`` is read
+    twice.
+    """
+    kept = checkpointed(df.filter(ok).groupBy(*[k.alias(f"__f{i}") for i, k in enumerate(keys)]).agg(F.min(order).alias("__first")).filter("__first is not null"))
+    same = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(f"__f{i}")) for i, k in enumerate(keys)])
+    found = df.join(small(kept), same, "left").withColumn(name, F.coalesce(F.col("__first") < order, F.lit(False)))
+    return found.drop("__first", *[f"__f{i}" for i in range(len(keys))])
+
+
 def head_per_group(df: DataFrame, group: Column, n: int, order: Sequence[Column], unknown: str = "__unknown__") -> DataFrame:
     return df.withColumn("__n", _nth([F.coalesce(group, F.lit(unknown))], order)).filter(F.col("__n") <= n).drop("__n")
 

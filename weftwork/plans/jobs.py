@@ -85,7 +85,7 @@ def job_seed(spark: SparkSession, d: str) -> DataFrame:
     reply = J.render_reply(reply_kind(F.col("intent")), F.col("name"), F.col("price"), F.col("q"), choices=F.array("name"))
     fits = (F.col("intent") == "add_item") & ~F.col("message").startswith("Bana")
     marked = replied.withColumn("reply", reply).withColumn("fits", fits)
-    marked = marked.withColumn("dup", S.duplicate_of_approved(F.col("fits"), [F.col("reply")], F.col("position") * 10 + F.col("q")))
+    marked = S.with_duplicate_of_approved(marked, F.col("fits"), [F.col("reply")], F.col("position") * 10 + F.col("q"))
     canonical = G.review(marked, [(F.col("dup"), "duplicate_of_approved"), (F.col("reply").isNull(), "missing_field"), (F.col("fits"), "approved")], "bad_match", ("approved",)).filter("include")
     named = S.assign_ids(canonical, "mgp_%04d", F.col("position"), F.col("q")).withColumn("terms", J.extract_terms(F.col("name"), F.col("reply")))
     picked = S.staged_select(named, [("cheap", F.col("price") < 900, 4), ("two", F.col("q") == 2, 4)], 16, "new_id", ["message", "reply"], [F.col("new_id")])
@@ -103,7 +103,7 @@ def job_preview(spark: SparkSession, d: str) -> DataFrame:
     rows = utterances(spark, d).select(*IDS, "p_name", F.col("p_retailprice").alias("price"), F.col("l_quantity").cast("int").alias("q")).withColumn("message", message).distinct()
     kept = G.kept(G.gate(rows, [(F.col("q") > 40, "too many")])).withColumn("intent", J.grounded_intent(F.col("message"), F.col("l_linenumber") % 4 != 1, F.array().cast("array<string>")))
     replied = kept.withColumn("reply", J.render_reply(reply_kind(F.col("intent")), F.col("p_name"), F.col("price"), F.col("q"))).withColumn("ok", F.col("intent").isin("add_item", "price_question"))
-    marked = replied.withColumn("dup", S.duplicate_of_approved(F.col("ok"), [F.col("message"), F.col("reply")], F.col("l_orderkey") * 10 + F.col("l_linenumber")))
+    marked = S.with_duplicate_of_approved(checkpointed(replied), F.col("ok"), [F.col("message"), F.col("reply")], F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     return G.review(marked, [(F.col("dup"), "duplicate"), (F.col("ok"), "approved")], "bad_match", ("approved",)).select(*IDS, "p_name", "q", "intent", "reply", "status")
 
 

@@ -177,7 +177,7 @@ def staged_select(spark: SparkSession, d: str) -> DataFrame:
 @R.add("select doc_id, coalesce(min(case when n_chars % 2 = 0 then doc_id end) over (partition by md5(text)) < doc_id, false) as dup from documents")
 def dup_of_approved(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", S.duplicate_of_approved(F.col("n_chars") % 2 == 0, [F.md5(F.col("text").cast("binary"))], F.col("doc_id")).alias("dup"))
+    return S.with_duplicate_of_approved(docs, F.col("n_chars") % 2 == 0, [F.md5(F.col("text").cast("binary"))], F.col("doc_id")).select("doc_id", "dup")
 
 
 @R.add("select doc_id, row_number() over (partition by md5(text) order by doc_id) > 1 as dup from documents")
@@ -303,7 +303,7 @@ _CANON = "with r as (select doc_id, lang, n_chars, md5(text) as k, case lang whe
 def _canonical(spark, d):
     ok = F.when(F.col("lang") == "en", F.col("n_chars") >= 300).when(F.col("lang") == "de", F.col("n_chars") >= 500).otherwise(F.col("n_chars") >= 100)
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", F.md5(F.col("text").cast("binary")).alias("k")).withColumn("ok", ok)
-    docs = docs.withColumn("dup", S.duplicate_of_approved(F.col("ok"), [F.col("k")], F.col("doc_id")))
+    docs = S.with_duplicate_of_approved(docs, F.col("ok"), [F.col("k")], F.col("doc_id"))
     return G.review(docs, [(F.col("dup"), "duplicate_of_approved"), (F.col("lang").isNull(), "missing_field"), (F.col("ok"), "approved")], "bad_match", ("approved",))
 
 
@@ -320,7 +320,7 @@ def review_counts(spark: SparkSession, d: str) -> DataFrame:
 @R.add("with r as (select doc_id, md5(text) as k, n_chars >= 300 as ok from documents) select doc_id, case when coalesce(min(case when ok then doc_id end) over (partition by k) < doc_id, false) then 'duplicate' when ok then 'approved' else 'bad_match' end as status from r")
 def review_once(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("k"), (F.col("n_chars") >= 300).alias("ok"))
-    docs = docs.withColumn("dup", S.duplicate_of_approved(F.col("ok"), [F.col("k")], F.col("doc_id")))
+    docs = S.with_duplicate_of_approved(docs, F.col("ok"), [F.col("k")], F.col("doc_id"))
     return G.review(docs, [(F.col("dup"), "duplicate"), (F.col("ok"), "approved")], "bad_match", ("approved",)).select("doc_id", "status")
 
 
