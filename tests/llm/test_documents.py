@@ -14,10 +14,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftwork.llm import license_scan, packing, quality, secret_scan, sentence_pieces, simhash, substring_dedup, toxicity
+from weftwork.llm import license_scan, near_copies, packing, quality, secret_scan, sentence_pieces, simhash, substring_dedup, toxicity
 from weftwork.llm.common import table
 from weftwork.llm.components import connected_components
-from weftwork.llm.near_copies import one_of_each
+from weftwork.llm.near_copies import near_copy_groups, one_of_each, shingle_hashes
 from weftwork.llm.license_templates import TEMPLATES
 from weftwork.llm.queries import tokenizer_path
 
@@ -580,3 +580,19 @@ def test_toxicity(spark, sf, edge_docs, no_docs):
     assert (again.score.sort_index() == p.score.sort_index()).all()
     assert toxicity.score(edge_docs, model).count() == edge_docs.count()
     assert toxicity.score(no_docs, toxicity.fit(no_docs, labels)).count() == 0
+
+
+def test_texts_of_one_template_meet_by_rare_shingles(spark, monkeypatch):
+    """Many texts of one template below the similarity: few pairs are decided, and the groups are those of all pairs."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(f"x{rnd.randrange(10**9)}" if rnd.random() < rate else w for w in base) for rate in (0.004, 0.02, 0.04, 0.06) for _ in range(75)]
+    rnd.shuffle(texts)
+    sets = [set(shingle_hashes(t, 5).tolist()) for t in texts]
+    linked = [(a, b) for a in range(300) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    decided, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *more: (decided.append(pairs.count()), verified(pairs, *more))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_copy_groups(df).collect()}
+    assert got == components(range(300), linked)
+    assert len(decided) > 1 and sum(decided[1:]) < 3000, decided

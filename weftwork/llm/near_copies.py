@@ -9,6 +9,9 @@ a key do not grow, and the keys with them, so that a pair of similarity 0.8 alwa
 then decided by the exact similarity of their shingle sets.
 
 Rows of equal shingles are one node. Large groups behind one key are tried by spanning forests of their candidates.
+Where a tried pair of a forest fails, as in many texts of one template that are alike but below 0.8, the groups meet
+again by their rarest shingles, which is exact: two sets of similarity t share one of the first n - ceil(t n) + 1 shingles
+in any common order, and their first common one leaves enough behind it in both. Pairs below t mostly fail that bound.
 """
 
 from __future__ import annotations
@@ -135,10 +138,21 @@ def _keys(exact_bits: int, tables: int):
     return run
 
 
-def _meet(limit: int, turn: int | None, group: int = 8):
-    """Candidates (src, dst, part): ids of different components with one key and at most ``limit`` differing bits.
+def _within(limit: int):
+    """Whether fingerprints differ in at most ``limit`` bits."""
+    return lambda a, b: np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= limit
 
-    Rows come sorted by key and id. Of a group of more than ``group`` rows only a spanning forest of candidates is
+
+def _room(similarity: float):
+    """Whether sets of (size, rest from the common shingle on) can still share enough for ``similarity``."""
+    share = similarity / (1 + similarity)
+    return lambda a, b: np.minimum(a[..., 1], b[..., 1]) >= share * (a[..., 0] + b[..., 0]) - 1e-6
+
+
+def _meet(near, turn: int | None, width: int = LANES, group: int = 8):
+    """Candidates (src, dst, part): ids of different components with one key for whose ``width`` columns ``near`` holds.
+
+    Rows (key, id, columns, component) come sorted by key and id. Of a group of more than ``group`` rows only a spanning forest of candidates is
     taken (part 1), grown in an order that changes with ``turn``; without a turn all of them are.
     """
 
@@ -152,7 +166,7 @@ def _meet(limit: int, turn: int | None, group: int = 8):
         for i in range(n - 1):
             if left == 1:
                 break
-            j = i + 1 + np.flatnonzero(np.bitwise_count(wide[i] ^ wide[i + 1 :]).sum(1, dtype=np.int64) <= limit)
+            j = i + 1 + np.flatnonzero(near(wide[i], wide[i + 1 :]))
             j = j[label[j] != label[i]]
             if not len(j):
                 continue
@@ -179,7 +193,7 @@ def _meet(limit: int, turn: int | None, group: int = 8):
         while len(rows):
             rows = rows[rows + lag < len(key)]
             rows = rows[key[rows] == key[rows + lag]]
-            hit = rows[(np.bitwise_count(wide[rows] ^ wide[rows + lag]).sum(1, dtype=np.int64) <= limit) & (label[rows] != label[rows + lag])]
+            hit = rows[near(wide[rows], wide[rows + lag]) & (label[rows] != label[rows + lag])]
             out.append((ids[hit], ids[hit + lag]))
             lag += 1
         yield batch(out, False)
@@ -191,7 +205,7 @@ def _meet(limit: int, turn: int | None, group: int = 8):
         for r in batches:
             if not r.num_rows:
                 continue
-            part = (r.column(0).to_numpy(), r.column(1).to_numpy(), np.stack([r.column(2 + k).to_numpy() for k in range(LANES)], 1).view(np.uint64), r.column(2 + LANES).to_numpy())
+            part = (r.column(0).to_numpy(), r.column(1).to_numpy(), np.stack([r.column(2 + k).to_numpy() for k in range(width)], 1).view(np.uint64), r.column(2 + width).to_numpy())
             if wait and part[0][-1] == wait[-1][0][-1]:
                 wait.append(part)
                 continue
@@ -230,13 +244,29 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float)
     return both.groupBy("src", "dst", "part").agg(F.max(ok).alias("ok"))
 
 
+def _rarest(live: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, id, digest, size, rest): the rarest shingles of each node of ``live`` (id, digest), in the order of their number among them.
+
+    ``rest`` is the number of the node's shingles from this one on. As many are taken as two sets of ``similarity`` need
+    to meet; a shingle of a single node is left out, as nothing meets there.
+    """
+    sets = rows.join(live.select("id").distinct(), "id", "left_semi").mapInArrow(released(_sets(words)), "id long, digest long, hashes array<long>")
+    each = stored(sets.join(live.select("id", "digest"), ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "digest", F.explode("hashes").alias("key")), "shingles")
+    held = each.groupBy("key").agg(F.count("*").alias("n"))
+    ordered = each.join(held, "key").groupBy("id", "digest").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))
+    size = F.size("own").cast("long")
+    first = F.slice("own", F.lit(1), F.size("own") - F.ceil(F.size("own") * similarity - 1e-6).cast("int") + 1)
+    return ordered.select("id", "digest", size.alias("size"), F.posexplode(first).alias("at", "own")).filter("own.n > 1").select("own.key", "id", "digest", "size", (F.col("size") - F.col("at")).alias("rest"))
+
+
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, turns: int = 2) -> DataFrame:
     """(doc_id, component_id) for rows with an id: the smallest id reachable over links of ``similarity`` or more.
 
     Null, empty and wordless texts are one group. A link is a pair that meets behind a key, differs in at most as many
     bits as the similarity's angle plus three standard deviations, and has the similarity on its shingle sets. The
-    large groups of a key are tried by spanning forests in ``turns`` turns; where a tried pair of a forest fails, its
-    components meet again, and in the last turn all their remaining candidates are tried.
+    large groups of a key are tried by a spanning forest; where a tried pair of it fails, its components meet again by
+    their rarest shingles (see above), in ``turns`` turns of which the last tries all remaining candidates, the ones
+    before forests.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     limit = int(WIDTH * share + 3 * (share * (1 - share) * WIDTH) ** 0.5)
@@ -246,21 +276,28 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prints = stored(rows.mapInArrow(released(_prints(words)), long(*NAMES, "digest")), "wide")
     nodes = stored(prints.groupBy(*same).agg(F.min("id").alias("id")).select(*NAMES, "digest"), "nodes")
     bits, tables = keys_for(nodes.count(), similarity)
-    live, tried = nodes.select(*NAMES, F.col("id").alias("component")), None
+    placed, tried, rarest = nodes.withColumn("component", F.col("id")), None, None
     for turn in [*range(turns), None]:
-        keys = spread(live.mapInArrow(released(_keys(bits, tables)), long("key", *NAMES, "component")), "key").sortWithinPartitions("key", "id")
-        pairs = keys.mapInArrow(released(_meet(limit, turn)), long("src", "dst", "part")).groupBy("src", "dst").agg(F.max("part").alias("part"))
+        if tried is None:
+            met = nodes.select(*NAMES, F.col("id").alias("component")).mapInArrow(released(_keys(bits, tables)), long("key", *NAMES, "component"))
+            near, width = _within(limit), LANES
+        else:
+            met = rarest.join(live, ["id", "digest"]).select("key", "id", "size", "rest", "component")
+            near, width = _room(similarity), 2
+        pairs = spread(met, "key").sortWithinPartitions("key", "id").mapInArrow(_meet(near, turn, width), long("src", "dst", "part")).groupBy("src", "dst").agg(F.max("part").alias("part"))
         if turn is None:
             pairs = pairs.join(tried.select("src", "dst"), ["src", "dst"], "left_anti")
         new = stored(_verified(stored(pairs, "pairs"), rows, words, similarity), "tried")
         tried = new if tried is None else tried.union(new)
-        top = connected_components(tried.filter("ok").select("src", "dst"))
-        placed = nodes.join(top, nodes["id"] == top["node"], "left").select(*NAMES, "digest", F.coalesce("component", "id").alias("component"))
+        if not new.filter("ok").isEmpty():
+            top = connected_components(tried.filter("ok").select("src", "dst"))
+            placed = nodes.join(top, nodes["id"] == top["node"], "left").select(*NAMES, "digest", F.coalesce("component", "id").alias("component"))
         failed = new.filter("not ok and part = 1").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         if turn is None or failed.isEmpty():
             break
         again = placed.join(failed, "id", "left_semi").select("component").distinct()
-        live = stored(placed.join(again, "component", "left_semi").select(*NAMES, "component"), "again")
+        live = stored(placed.join(again, "component", "left_semi").select("id", "digest", "component"), "again")
+        rarest = stored(_rarest(live, rows, words, similarity), "rarest") if rarest is None else rarest
     placed = placed.select(*same, F.col("component").alias("component_id"))
     return prints.join(placed, same).select(F.col("id").alias("doc_id"), "component_id")
 
