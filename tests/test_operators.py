@@ -618,3 +618,18 @@ def test_parser_is_pluggable(spark):
     assert J.parsed(df, lambda x: x.withColumn("intent", F.lit("add")).withColumn("confidence", F.lit(0.9))).first()["intent"] == "add"
     with pytest.raises(ValueError):
         J.parsed(df, lambda x: x.withColumn("intent", F.lit("add")))
+
+
+def test_amounts_of_an_order_are_made_once(spark):
+    """Line totals are texts once a row, and messages meet their text's mentions; terms that folding changes are found as before."""
+    dim = spark.createDataFrame([("çay", 5.0, 1, "çay"), ("kola", 7.5, 2, "kola")], "name string, price double, position int, item_id string")
+    said = spark.createDataFrame([(s, n, t) for s in (1, 2) for n, t in enumerate(["2 çay alabilir miyim", "3 kola alabilir miyim", "siparişi onayla"])], "s int, n int, text string")
+    done = answered(ground_messages(said, dim, "s", ["n"]), F.array_join(F.concat("must_preserve", "order_terms"), " ")).select("s", "n", "after", "total", "must_preserve", "reasons", "canonical")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string(%.2f, (") == 1
+    rows = {(r.s, r.n): r for r in done.collect()}
+    assert len(rows) == 6 and all(not r.reasons for r in rows.values())
+    assert rows[2, 2].total == 32.5 and rows[2, 2].must_preserve == ["Toplam", "MVP/demo", "çay", "2", "5.00", "10.00", "kola", "3", "7.50", "22.50"]
+    assert "3 x kola = 22.50 TL\nToplam: 32.50 TL" in rows[1, 2].canonical
+    terms = spark.createDataFrame([("Iki ÇAY, Ã¼ ve cay", ["cay", "ÇAY", "ÇAy", "ve cay", "iki", "KAHVE", "ü", "Ã¼"])], "c string, t array<string>")
+    assert terms.select(X.missing_terms(F.col("c"), F.col("t")).alias("m")).first().m == terms.select(F.filter("t", lambda t: ~X.fold(F.col("c")).contains(X.fold(t))).alias("m")).first().m

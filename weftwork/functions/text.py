@@ -117,8 +117,13 @@ def norm_label(c: Column) -> Column:
 
 
 def missing_terms(c: Column, terms: Column) -> Column:
-    """The terms that the folded text lacks."""
-    return once(fold(c), lambda x: F.filter(terms, lambda t: ~x.contains(fold(t))))
+    """The terms that the folded text lacks.
+
+    Folding keeps ASCII text but for its case, so an ASCII term that the text holds as it is need not be folded.
+    """
+    as_is = lambda x, t: (F.octet_length(t) == F.length(t)) & x.contains(t)
+    both = once(c, lambda x: F.struct(x.alias("c"), fold(x).alias("f")))
+    return once(both, lambda x: F.filter(terms, lambda t: ~(as_is(x["c"], t) | x["f"].contains(fold(t)))))
 
 
 def present_terms(c: Column, terms: Column) -> Column:

@@ -272,6 +272,16 @@ def extract_terms(name: Column, text: Column, cautions: Sequence[str] = (), reje
 PRICE = "%.2f"
 
 
+def money(c: Column) -> Column:
+    """An amount as terms have it; null for none."""
+    return F.when(c.isNotNull(), F.format_string(PRICE, c))
+
+
+def priced(items: Column) -> Column:
+    """An order's lines (name, quantity, price) with ``unit`` and ``sum``, their amounts as texts, which are dear to make."""
+    return F.transform(items, lambda o: F.struct(o["name"].alias("name"), o["quantity"].alias("quantity"), o["price"].alias("price"), money(o["price"]).alias("unit"), money(o["price"] * o["quantity"]).alias("sum")))
+
+
 def _texts(*cols: Column) -> Column:
     return F.array(*cols) if cols else F.array().cast("array<string>")
 
@@ -283,16 +293,18 @@ def _by_intent(intent: Column, table: Mapping[str, Column]) -> Column:
     return out
 
 
-def grounding_terms(intent: Column, canonical: Column, matched: Column, before: Column, after: Column, unavailable: Column, offered: Column | None = None, markers: Sequence[str] = presets.INFO_MARKERS) -> Column:
+def grounding_terms(intent: Column, canonical: Column, matched: Column, before: Column, after: Column, unavailable: Column, offered: Column | None = None, markers: Sequence[str] = presets.INFO_MARKERS, texts: bool = False) -> Column:
     """Struct of must_preserve, must_not_introduce, must_include, forbidden_claims and staff, for all 13 intents.
 
     ``matched`` holds structs of name and price, ``before`` and ``after`` (the order) of name, quantity and price;
+    ``after`` may be :func:`priced` (``texts``).
     ``offered`` names the items that a recommendation may name. must_include, forbidden_claims and staff are the safety
     part. Terms keep their first place; empty ones are left out.
     """
     lit = lambda *words: _texts(*[F.lit(w) for w in words])
     names = F.transform(matched, lambda m: m["name"])
     ordered = lambda items, total: F.flatten(F.transform(items, lambda o: F.array(o["name"], o["quantity"].cast("string"), F.format_string(PRICE, o["price"]), *([F.format_string(PRICE, o["price"] * o["quantity"])] if total else []))))
+    bought = F.flatten(F.transform(after, lambda o: F.array(o["name"], o["quantity"].cast("string"), F.coalesce(o["unit"], F.lit("null")), F.coalesce(o["sum"], F.lit("null"))))) if texts else ordered(after, True)
     gone = F.filter(before, lambda o: ~F.exists(after, lambda x: x["name"] == o["name"]))
     some = F.size(after) > 0
     preserve = {
@@ -302,11 +314,11 @@ def grounding_terms(intent: Column, canonical: Column, matched: Column, before:
         "recommendation": F.concat(lit("Öneri"), F.filter(offered if offered is not None else names, lambda n: F.contains(canonical, n))),
         "price_question": F.concat(lit("TL"), F.flatten(F.transform(matched, lambda m: F.array(m["name"], F.format_string(PRICE, m["price"]))))),
         "allergen_question": lit("Alerji", "teyit"),
-        "add_item": F.concat(lit("Ekledim"), names, ordered(after, True)),
+        "add_item": F.concat(lit("Ekledim"), names, bought),
         "remove_item": F.concat(lit("Çıkardım"), names, ordered(gone, False)),
         "clear_order": lit("temizlendi"),
-        "summarize_order": F.concat(F.when(some, lit("Toplam", "TL")).otherwise(_texts()), ordered(after, True)),
-        "confirm_order": F.concat(F.when(some, lit("Toplam", "MVP/demo")).otherwise(lit("aktif bir siparişiniz görünmüyor", "Önce")), ordered(after, True)),
+        "summarize_order": F.concat(F.when(some, lit("Toplam", "TL")).otherwise(_texts()), bought),
+        "confirm_order": F.concat(F.when(some, lit("Toplam", "MVP/demo")).otherwise(lit("aktif bir siparişiniz görünmüyor", "Önce")), bought),
         "unavailable_item": F.concat(lit("bulunmuyor"), unavailable),
         "off_topic": lit("yardımcı olamıyorum"),
     }
@@ -345,13 +357,13 @@ def grounded_errors(intent: Column, message: Column, confidence: Column, canonic
     return F.array_compact(F.array(*[F.when(condition, message) for condition, message in checks]))
 
 
-def order_terms(items: Column, total: Column) -> Column:
+def order_terms(items: Column, total: Column, texts: bool = False) -> Column:
     """What a paraphrase must keep of an order: names, quantities, unit prices and line totals of its lines, and the total.
 
-    What a line does not have is left out.
+    What a line does not have is left out. ``texts``: the items are :func:`priced`.
     """
-    money = lambda c: F.when(c.isNotNull(), F.format_string(PRICE, c))
-    each = F.transform(items, lambda o: F.array(F.nullif(F.trim(o["name"]), F.lit("")), o["quantity"].cast("string"), money(o["price"]), money(o["price"] * o["quantity"])))
+    amounts = lambda o: (o["unit"], o["sum"]) if texts else (money(o["price"]), money(o["price"] * o["quantity"]))
+    each = F.transform(items, lambda o: F.array(F.nullif(F.trim(o["name"]), F.lit("")), o["quantity"].cast("string"), *amounts(o)))
     return F.array_compact(F.concat(F.flatten(each), F.array(money(total))))
 
 

@@ -53,8 +53,9 @@ def order_states(messages: DataFrame, session: str, position: str, lines: DataFr
 
 
 def order_text(lines: Column, total: Column) -> Column:
-    """One line an item, and the total; null for an empty order."""
-    line = lambda o: F.format_string("%d x %s = %.2f TL", o["quantity"], o["name"], o["price"] * o["quantity"])
+    """One line an item (:func:`J.priced`), and the total; null for an empty order."""
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    line = lambda o: F.concat(shown(o["quantity"]), F.lit(" x "), shown(o["name"]), F.lit(" = "), shown(o["sum"]), F.lit(" TL"))
     return F.when(F.size(lines) > 0, F.concat(F.array_join(F.transform(lines, line), "\n"), F.format_string("\nToplam: %.2f TL", total)))
 
 
@@ -63,36 +64,40 @@ def ground_messages(messages: DataFrame, dim: DataFrame, session: str, order: Se
 
     dim: item, name, price, position. Added columns: position in the session, mentions, quantity of each mention,
     unavailable names, intent (13 of them), before and after (the order), total, canonical (the reply), must_preserve,
-    must_not_introduce, must_include, forbidden_claims, staff, and errors of the result. Adding, removing and clearing
+    must_not_introduce, must_include, forbidden_claims, staff, order_terms, and errors of the result. Adding, removing and clearing
     change the order of the session, in the order of ``order``. ``reply``: facts for the reply texts.
     """
     found = J.surfaces(dim.withColumn("item_id", F.col("name"))).join(dim.select(F.col("name").alias("item"), "price"), "item")
-    placed = messages.withColumn("position", F.row_number().over(Window.partitionBy(session).orderBy(*order)))
-    m = J.with_mentions(placed, found, [session, "position"], text, carry=("price",))
+    placed = checkpointed(messages.withColumn("position", F.row_number().over(Window.partitionBy(session).orderBy(*order))))  # read for texts, lines, clears and ends
     has = F.size("mentions") > 0
-    m = m.withColumn("quantities", F.transform("mentions", lambda x: J.extract_quantity(F.col(text), x["item"])))
-    m = m.withColumn("__named", J.unavailable_terms(F.col(text), has, unavailable, markers))
-    m = m.withColumn("intent", J.grounded_intent(F.col(text), has, F.col("__named")))
-    m = m.withColumn("unavailable", J.unavailable_names(F.col("intent"), F.col(text), has, unavailable)).drop("__named")
-    m = checkpointed(m.withColumn("op", F.when(F.col("intent") == "clear_order", "clear")))  # read for lines, clears and ends
+
+    def read(texts: DataFrame) -> DataFrame:
+        t = J.with_mentions(texts, found, [text], text, carry=("price",))
+        t = t.withColumn("quantities", F.transform("mentions", lambda x: J.extract_quantity(F.col(text), x["item"])))
+        t = t.withColumn("__named", J.unavailable_terms(F.col(text), has, unavailable, markers))
+        t = t.withColumn("intent", J.grounded_intent(F.col(text), has, F.col("__named")))
+        t = t.withColumn("unavailable", J.unavailable_names(F.col("intent"), F.col(text), has, unavailable)).drop("__named")
+        return t.withColumn("op", F.when(F.col("intent") == "clear_order", "clear"))
+
+    m = J.per_text(placed, text, read)
     lines = m.filter(F.col("intent").isin("add_item", "remove_item")).select(session, "position", F.when(F.col("intent") == "add_item", "add").otherwise("remove").alias("op"), F.explode(F.arrays_zip("mentions", "quantities")).alias("x"))
     lines = lines.select(session, "position", "op", F.col("x.mentions.item").alias("item"), F.col("x.quantities").alias("qty"), F.col("x.mentions.price").alias("price"), F.col("x.mentions.position").alias("place"))
     s = order_states(m, session, "position", lines).drop("op")
     sum_of = F.aggregate("after", F.lit(0.0), lambda acc, o: acc + o["price"] * o["quantity"])
-    s = s.withColumn("total", F.when(F.col("intent").isin(*ORDER_INTENTS), sum_of))
+    s = s.withColumn("total", F.when(F.col("intent").isin(*ORDER_INTENTS), sum_of)).withColumn("__lines", J.priced(F.col("after")))
     first = F.get("mentions", F.lit(0))
-    said = J.render_reply(reply_kind(F.col("intent"), has), F.when(F.col("intent") == "unavailable_item", F.get("unavailable", F.lit(0))).otherwise(first["item"]), first["price"], F.get("quantities", F.lit(0)), summary=order_text(F.col("after"), F.col("total")), **reply)
+    said = J.render_reply(reply_kind(F.col("intent"), has), F.when(F.col("intent") == "unavailable_item", F.get("unavailable", F.lit(0))).otherwise(first["item"]), first["price"], F.get("quantities", F.lit(0)), summary=order_text(F.col("__lines"), F.col("total")), **reply)
     s = s.withColumn("canonical", said)
     matched = F.transform("mentions", lambda x: F.struct(x["item"].alias("name"), x["price"].alias("price")))
-    s = s.withColumn("__t", J.grounding_terms(F.col("intent"), F.col("canonical"), matched, F.col("before"), F.col("after"), F.col("unavailable"))).select("*", "__t.*").drop("__t")
+    s = s.withColumn("__t", J.grounding_terms(F.col("intent"), F.col("canonical"), matched, F.col("before"), F.col("__lines"), F.col("unavailable"), texts=True)).select("*", "__t.*")
+    s = s.withColumn("order_terms", J.order_terms(F.col("__lines"), F.col("total"), texts=True)).drop("__t", "__lines")
     is_demo = F.lit(demo) & F.contains(F.col("canonical"), F.lit("MVP/demo"))
     return s.withColumn("errors", J.grounded_errors(F.col("intent"), F.col(text), F.lit(1.0), F.col("canonical"), F.col("total"), F.lit(source), F.col("must_include"), F.col("must_preserve"), is_demo))
 
 
 def answered(results: DataFrame, paraphrase: Column, allowed: Column | None = None) -> DataFrame:
     """``results`` of :func:`ground_messages` with reasons against the paraphrase, and the final text: the paraphrase where it is safe, else the canonical."""
-    own = J.order_terms(F.col("after"), F.col("total"))
-    required = F.concat("must_preserve", "must_include", F.when(F.col("total").isNotNull(), own).otherwise(F.array().cast("array<string>")))
+    required = F.concat("must_preserve", "must_include", F.when(F.col("total").isNotNull(), F.col("order_terms")).otherwise(F.array().cast("array<string>")))
     reasons = J.paraphrase_errors(F.col("errors"), paraphrase, F.col("canonical"), required, F.concat("must_not_introduce", "forbidden_claims"), F.lit(True) if allowed is None else allowed)
     with_reasons = results.withColumn("paraphrase", paraphrase).withColumn("reasons", reasons)
     return with_reasons.withColumn("__f", sft.final_response(F.col("canonical"), F.col("paraphrase"), F.col("reasons"))).select("*", F.col("__f.text").alias("final"), F.col("__f.used_paraphrase").alias("used_paraphrase")).drop("__f")

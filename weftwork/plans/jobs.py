@@ -217,7 +217,7 @@ def job_grounding(spark: SparkSession, d: str) -> DataFrame:
         text = F.when(n % 6 == k, said).otherwise(text)
     messages = u.select(F.col("l_orderkey").alias("session"), n.alias("n"), text.alias("text"))
     results = ground_messages(messages, items(spark, d), "session", ["n"], categories=F.array(F.lit("Menü")))
-    own = F.concat("must_preserve", J.order_terms(F.col("after"), F.col("total")))
+    results, own = results.withColumn("own", F.concat("must_preserve", "order_terms")), F.col("own")
     paraphrase = F.array_join(F.when(F.col("position") % 2 == 0, F.slice(own, 1, F.size(own) - 1)).otherwise(own), " ")
     done = answered(results, paraphrase)
     order_text = F.array_join(F.transform("after", lambda o: F.concat(o["quantity"].cast("string"), F.lit(" x "), o["name"])), ", ")
