@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline as P
 from tests.llm.test_documents import WORDS, check_pieces, components, direct_removal
+from weftwork.llm import components as C
 from weftwork.llm import near_copies, toxicity
 from weftwork.llm.common import stored, table
 
@@ -70,6 +71,34 @@ def test_near_copies_are_decided_on_shingles(spark):
     assert top[center] == center and {top[i] for i in range(center + 1, len(docs))} == {center + 1}
 
 
+def test_no_more_pairs_are_decided_than_rows(spark, monkeypatch):
+    """A template (every two of 0.67) and copies (0.85 and more) behind many keys: a forest a key, but one partner a row."""
+    rnd, decided, verified = random.Random(9), [], near_copies._verified
+    word = lambda k: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(k))
+    template, base = word(100), word(200)
+    docs = [f"{template} {word(23)}" for _ in range(150)] + [f"{base} {word(12)}" for _ in range(150)]
+
+    def counted(pairs, *more):
+        decided.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    top = {r["doc_id"]: r["component_id"] for r in near_copies.near_copy_groups(df).collect()}
+    assert all(top[i] == i for i in range(150)) and {top[i] for i in range(150, 300)} == {150}
+    assert sum(decided) <= len(docs), decided
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(50, 51)], "src long, dst long")
+    want = {k: 1 for k in range(1, 41)} | {50: 50, 51: 50}
+    with monkeypatch.context() as m:  # a table of one chunk
+        m.setattr(C, "_stars", None)
+        assert {r["node"]: r["component"] for r in C.connected_components(edges.repartition(7)).collect()} == want
+    monkeypatch.setattr(C, "CHUNK", 5)  # several chunks: rounds until only stars are left
+    assert {r["node"]: r["component"] for r in C.connected_components(edges.repartition(7)).collect()} == want
+
+
 def test_near_copies_against_all_pairs(spark, sf):
     docs = table(spark, sf.replace("sf0.001", "sf0.01"), "documents")
     sets = {r["doc_id"]: shingles(r["text"] or "") for r in docs.select("doc_id", "text").collect()}

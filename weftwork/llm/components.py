@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every task first shrinks its own edges to a spanning forest (union-find over the edges of one partition), so a
-clique of n nodes costs at most n - 1 edges a task from then on. The star steps are two partial minimum aggregations
+clique of n nodes costs at most n - 1 edges a task from then on; what is left is shrunk again in tasks of about ``CHUNK``
+edges, which is all for a small table. The rounds end when only stars are left. The star steps are two partial minimum aggregations
 and joins a round. A hub, a node with many edges, is not joined by its key: the edges have at most twice as many ends as
 ``1 / SHARE`` hubs with a share of ``SHARE`` of them, so the hubs' minima are broadcast. Each round is written to the
 shared folder, so a lost executor costs at most one round.
@@ -19,6 +20,8 @@ from .common import dropped, stored
 EDGE = "src long, dst long"
 #: A node with more than this share of the edges (and more than FEW) is a hub; there are at most 2 / SHARE of them.
 SHARE, FEW = 1e-5, 500
+#: Edges that a task shrinks together before the first round; what fits one such chunk needs no round.
+CHUNK = 50_000
 
 
 class Forest:
@@ -78,23 +81,33 @@ def _stars(edges: DataFrame, count: int) -> DataFrame:
     return out.union(small.select("src", F.col("m").alias("dst"))).distinct()
 
 
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """(nodes that are not yet in place, edges). In place: stars only, each node pointing to one that points nowhere."""
+    ends = edges.select("src", F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    each = ends.groupBy("src").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    row = each.agg(F.count_if(F.expr("out > 1 or out = 1 and into = 1")), F.coalesce(F.sum("out"), F.lit(0))).first()
+    return row[0], row[1]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges(src long, dst long)``; component is the smallest reachable node.
 
     Null ends and self-loops carry no link; repeated and two-way edges count once; no edges give an empty table.
     """
     now = stored(edges.select("src", "dst").filter("src <> dst").mapInArrow(_shrink, EDGE).distinct(), "edges")
-    mark, count = None, now.count()
+    tasks = max(1, -(-now.count() // CHUNK))
+    full = now.coalesce(tasks).mapInArrow(_shrink, EDGE)
+    now = stored(full if tasks == 1 else full.distinct(), "edges")
     for _ in range(max_rounds):
-        new = stored(_stars(now, count), "stars")
-        total = new.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if mark == tuple(total) or total[0] == 0:
+        unsettled, count = _state(now) if tasks > 1 else (0, 0)
+        if not unsettled:
             break
+        new = stored(_stars(now, count), "stars")
         dropped(now)
-        now, mark, count = new, tuple(total), total[0]
+        now = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return new.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(new.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
+    return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
 
 
 def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

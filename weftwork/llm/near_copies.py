@@ -8,8 +8,9 @@ a key do not grow, and the keys with them, so that a pair of similarity 0.8 alwa
 (one of 0.9 with 0.99 and more); :func:`keys_for` has the rule. Pairs that meet are admitted by the whole fingerprint, which travels with the key, and
 then decided by the exact similarity of their shingle sets.
 
-Rows of equal shingles are one node. Large groups behind one key are tried by spanning forests of their candidates.
-Where a tried pair of a forest fails, as in many texts of one template that are alike but below 0.8, the groups meet
+Rows of equal shingles are one node. Large groups behind one key give spanning forests of their candidates, small ones
+all. Of a row's candidates the one with the smallest id is decided first, so these pairs are fewer than the rows. Where
+candidates then still stand in different groups, as in many texts of one template that are alike but below 0.8, the groups meet
 again by their rarest shingles, which is exact: two sets of similarity t share one of the first n - ceil(t n) + 1 shingles
 in any common order, and their first common one leaves enough behind it in both. Pairs below t mostly fail that bound.
 """
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, released, spread, stored
+from .common import WORD_BYTES, released, spread, stored, swept
 from .components import connected_components, local_components
 from .simhash import SEED, codewords
 
@@ -259,14 +260,21 @@ def _rarest(live: DataFrame, rows: DataFrame, words: int, similarity: float) ->
     return ordered.select("id", "digest", size.alias("size"), F.posexplode(first).alias("at", "own")).filter("own.n > 1").select("own.key", "id", "digest", "size", (F.col("size") - F.col("at")).alias("rest"))
 
 
+def _apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b), a < b: different components that ``pairs`` has a pair between."""
+    at = placed.select("id", "component")
+    ends = pairs.join(at.toDF("src", "a"), "src").join(at.toDF("dst", "b"), "dst").filter("a <> b")
+    return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, turns: int = 2) -> DataFrame:
     """(doc_id, component_id) for rows with an id: the smallest id reachable over links of ``similarity`` or more.
 
     Null, empty and wordless texts are one group. A link is a pair that meets behind a key, differs in at most as many
     bits as the similarity's angle plus three standard deviations, and has the similarity on its shingle sets. The
-    large groups of a key are tried by a spanning forest; where a tried pair of it fails, its components meet again by
-    their rarest shingles (see above), in ``turns`` turns of which the last tries all remaining candidates, the ones
-    before forests.
+    large groups of a key give a spanning forest of candidates, and each row tries its smallest partner. Components that
+    have candidates between them, and are still apart then, meet again by their rarest shingles (see above), in ``turns``
+    turns of which the last tries all remaining candidates, the ones before forests.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     limit = int(WIDTH * share + 3 * (share * (1 - share) * WIDTH) ** 0.5)
@@ -285,17 +293,24 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             met = rarest.join(live, ["id", "digest"]).select("key", "id", "size", "rest", "component")
             near, width = _room(similarity), 2
         pairs = spread(met, "key").sortWithinPartitions("key", "id").mapInArrow(_meet(near, turn, width), long("src", "dst", "part")).groupBy("src", "dst").agg(F.max("part").alias("part"))
-        if turn is None:
+        if tried is None:
+            first = stored(pairs, "candidates")
+            pairs = first.groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst", F.lit(1).cast("long").alias("part"))
+        elif turn is None:
             pairs = pairs.join(tried.select("src", "dst"), ["src", "dst"], "left_anti")
         new = stored(_verified(stored(pairs, "pairs"), rows, words, similarity), "tried")
+        left = first if tried is None else new.filter("not ok and part = 1")
         tried = new if tried is None else tried.union(new)
         if not new.filter("ok").isEmpty():
             top = connected_components(tried.filter("ok").select("src", "dst"))
-            placed = nodes.join(top, nodes["id"] == top["node"], "left").select(*NAMES, "digest", F.coalesce("component", "id").alias("component"))
-        failed = new.filter("not ok and part = 1").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        if turn is None or failed.isEmpty():
+            placed = stored(nodes.join(top, nodes["id"] == top["node"], "left").select(*NAMES, "digest", F.coalesce("component", "id").alias("component")), "placed")
+        swept(docs.sparkSession)
+        if turn is None:
+            break
+        again = stored(_apart(left, placed), "apart")
+        if again.isEmpty():
             break
-        again = placed.join(failed, "id", "left_semi").select("component").distinct()
+        again = again.select(F.explode(F.array("a", "b")).alias("component")).distinct()
         live = stored(placed.join(again, "component", "left_semi").select("id", "digest", "component"), "again")
         rarest = stored(_rarest(live, rows, words, similarity), "rarest") if rarest is None else rarest
     placed = placed.select(*same, F.col("component").alias("component_id"))
