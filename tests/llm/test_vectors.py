@@ -1,6 +1,10 @@
 """Operators over embeddings against brute force."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftwork.llm import ann, hnsw_dedup
@@ -168,3 +172,47 @@ def test_audit_by_planted_copies():
     assert set(range(60)) <= {r for r, c in zip(*found, strict=True) if r == c}
     graph.layers[-1][1][:] = -1
     assert hnsw_dedup.audited(graph, both, 0.95, 2, 1.0, ids, both_ids) == 0
+
+
+def traced(run):
+    """(result, most MB held meanwhile)."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def near_copies(n, width=16):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(width) + 0.03 * rng.standard_normal((n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_audit_of_wide_beams_is_bounded():
+    """Beams that widen to all nodes of a shard are searched for few queries at a time."""
+    x = near_copies(4000)
+    graph = hnsw_dedup.Graph(x)
+    width, most = traced(lambda: hnsw_dedup.audited(graph, x[:1536].astype(np.float32), 0.95, 48, 1.0))
+    assert width == 48 and most < 80, most
+
+
+def test_search_of_one_large_group_is_bounded(monkeypatch):
+    """A graph travels in rows of bounded size; a block that links with all of it is verified and counted in pieces."""
+    monkeypatch.setattr(hnsw_dedup, "PIECE_BYTES", 100_000)
+    x, ids = near_copies(4000), np.arange(4000) + 50
+    x[:10] = np.random.default_rng(5).standard_normal((10, 16))
+    vectors = pa.array(x.tolist(), pa.list_(pa.float64()))
+    rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.ones(4000, int)), vectors, pa.array(np.full(4000, 16_000_000))], names=["id", "weight", "v", "shard"])
+    graph = list(hnsw_dedup._build(12, 48, 0.95, 20, 1.0, SimpleNamespace(value={}))(iter([rows])))
+    assert len(graph) > 5 and max(b.nbytes for b in graph) < 130_000
+    (block,) = hnsw_dedup._query_blocks(512)(iter([rows.slice(0, 512)]))
+    feed = [(0, k, b.column(2)[0].as_py()) for k, b in enumerate(graph)] + [(1, 0, block.column(1)[0].as_py())]
+    feed = [pa.RecordBatch.from_arrays([pa.array([0]), pa.array([16_000_000]), pa.array([kind]), pa.array([piece]), pa.array([data])], names=["slot", "shard", "kind", "piece", "data"]) for kind, piece, data in feed]
+    (out,), most = traced(lambda: list(hnsw_dedup._search(0.95)(iter(feed))))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u[:512] @ u.T >= 0.95).sum(1) - 1
+    kind, a, b = (c.to_numpy() for c in out.columns)
+    assert dict(zip(a[kind == 0], b[kind == 0], strict=True)) == {i: n for i, n in zip(ids, links, strict=False) if n}
+    assert (kind == 1).sum() < 4000 and set(b[kind == 1]) == {60} and set(a[kind == 1]) == set(range(61, 4050))
+    assert most < 80, most

@@ -22,7 +22,14 @@ from pyspark.sql import functions as F
 
 from .ann import _matrix, valid
 from .common import parallelism, released, stored
-from .components import Forest, connected_components
+from .components import connected_components, local_components
+
+#: What a task holds at a time besides its graph: bytes of the marks of seen nodes, cells of beams, pairs of vectors by bytes.
+SEEN_BYTES, CELLS, PAIR_BYTES = 16 << 20, 1 << 18, 1 << 20
+#: Ties that a block collects before they are shrunk to a forest.
+MOST_TIES = 50_000
+#: A graph travels in rows of about so many bytes.
+PIECE_BYTES = 4 << 20
 
 
 class Graph:
@@ -62,8 +69,8 @@ class Graph:
         order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
         hit, first, count = np.unique(target, return_index=True, return_counts=True)
-        for at in range(0, len(hit), 1024):
-            h, f, c = hit[at : at + 1024], first[at : at + 1024], count[at : at + 1024]
+        for at in range(0, len(hit), 256):
+            h, f, c = hit[at : at + 256], first[at : at + 256], count[at : at + 256]
             width = min(int(c.max(initial=0)), 4 * table.shape[1])
             nth = np.arange(width)
             take = np.minimum(f[:, None] + nth, len(source) - 1)
@@ -94,16 +101,23 @@ class Graph:
             start = self.beam(q, table, at, 4)[0][:, :1]
         return np.full((len(q), 1), among[0]) if start is None else np.where(np.isin(start, among), start, among[0])
 
+    def fits(self, width: int) -> int:
+        """Queries that are searched together with a beam of ``width``."""
+        return max(1, min(SEEN_BYTES // max(1, len(self.x)), CELLS // (width + max(192, width))))
+
     def beam(self, q: np.ndarray, table: np.ndarray, start: np.ndarray, width: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of up to ``width`` nearest found of each query, nearest first; -1 and -2 where fewer."""
-        b = len(q)
-        ids = np.full((b, width), -1, np.int64)
+        b, n, fit, step = len(q), len(self.x), self.fits(width), max(step, width // 24)
+        if b > fit:
+            parts = [self.beam(q[at : at + fit], table, start[at : at + fit], width, step) for at in range(0, b, fit)]
+            return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+        ids = np.full((b, width), -1, np.int32)
         sims = np.full((b, width), -2, np.float32)
         ids[:, : start.shape[1]] = start
         sims[:, : start.shape[1]] = np.einsum("bcd,bd->bc", self.x[start], q)
         done = ids < 0
-        seen = np.zeros((b, len(self.x)), bool)
-        seen[np.arange(b)[:, None], start] = True
+        seen = np.zeros(b * n, bool)
+        seen[np.arange(b)[:, None] * n + start] = True
         live = np.arange(b)
         while len(live):
             open_ = np.where(done[live], -3, sims[live])
@@ -117,38 +131,55 @@ class Graph:
             rows = live[:, None]
             done[rows, pick] = True
             near = np.where(fresh[:, :, None], table[ids[rows, pick]], -1).reshape(len(live), -1)
-            good = (near >= 0) & ~seen[rows, near]
-            r, c = np.nonzero(good)
-            node = near[r, c]
-            key = live[r] * len(self.x) + node  # one node can be a neighbour of several opened ones
-            _, once = np.unique(key, return_index=True)
-            again = np.ones(len(key), bool)
-            again[once] = False
-            r, c, node = r[~again], c[~again], node[~again]
-            seen[live[r], node] = True
+            near.sort(axis=1)
+            good = near >= 0
+            good[:, 1:] &= near[:, 1:] != near[:, :-1]  # one node can be a neighbour of several opened ones
+            place = rows * n + near
+            good &= ~seen[place]
+            cell = np.flatnonzero(good)
+            seen[place.ravel()[cell]] = True
             score = np.full(near.shape, -2, np.float32)
-            score[r, c] = np.einsum("kd,kd->k", self.x[node], q[live[r]])
+            score.ravel()[cell] = self.similar(near.ravel()[cell], q[live], good.sum(1))
             all_s = np.concatenate([sims[live], score], 1)
             best = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
-            ids[live] = np.take_along_axis(np.concatenate([ids[live], np.where(score > -2, near, -1)], 1), best, 1)
-            done[live] = np.take_along_axis(np.concatenate([done[live], score <= -2], 1), best, 1)
+            ids[live] = np.take_along_axis(np.concatenate([ids[live], np.where(good, near, -1)], 1), best, 1)
+            done[live] = np.take_along_axis(np.concatenate([done[live], ~good], 1), best, 1)
             sims[live] = np.take_along_axis(all_s, best, 1)
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
+    def similar(self, nodes: np.ndarray, q: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Products of ``nodes`` with their queries; the first ``count[0]`` nodes are the first query's, and so on."""
+        of, out = np.repeat(np.arange(len(q)), count), np.empty(len(nodes), np.float32)
+        step = max(1, PAIR_BYTES // (4 * self.x.shape[1]))
+        for at in range(0, len(nodes), step):
+            out[at : at + step] = np.einsum("kd,kd->k", self.x[nodes[at : at + step]], q[of[at : at + step]])
+        return out
+
+    def pieces(self, q: np.ndarray, limit: float, width: int, wide: int | None = None):
+        """:meth:`within` in pieces of bounded size. Where a query would need a beam over ``wide`` nodes, it meets all products."""
+        todo, n, first = np.arange(len(q)), len(self.x), True
+        while len(todo):
+            width, again = min(width, n), []
+            if wide is not None and width > wide and not first:
+                for r, c in product_pieces(self.x, q[todo], limit):
+                    yield todo[r], c
+                return
+            fit = self.fits(width)
+            for at in range(0, len(todo), fit):
+                rows = todo[at : at + fit]
+                ids, sims = self.beam(q[rows], self.layers[-1][1], self.entries(q[rows], self.layers[-1][0]), width)
+                full = (sims[:, -1] >= limit) & (width < n)
+                r, c = np.nonzero((sims >= limit) & ~full[:, None])
+                yield rows[r], ids[r, c].astype(np.int64)
+                again.append(rows[full])
+            todo, width, first = np.concatenate(again), 4 * width, False
+
     def within(self, q: np.ndarray, limit: float, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs of similarity ``limit`` or more that a beam of ``width``, or wider where it is full of links, finds."""
-        todo, out = np.arange(len(q)), []
-        while len(todo):
-            width = min(width, len(self.x))
-            ids, sims = self.beam(q[todo], self.layers[-1][1], self.entries(q[todo], self.layers[-1][0]), width)
-            full = (sims[:, -1] >= limit) & (width < len(self.x))
-            r, c = np.nonzero((sims >= limit) & ~full[:, None])
-            out.append((todo[r], ids[r, c]))
-            todo, width = todo[full], 4 * width
+        out = list(self.pieces(q, limit, width))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 2
 
-
     def unreached(self) -> np.ndarray:
         """Nodes to which no path of the lowest layer leads from the first entry point."""
         table = self.layers[-1][1]
@@ -162,16 +193,20 @@ class Graph:
         return np.flatnonzero(~seen)
 
 
+def product_pieces(x: np.ndarray, q: np.ndarray, limit: float, among: np.ndarray | None = None):
+    """:func:`products` in pieces of bounded size."""
+    size = len(x) if among is None else len(among)
+    for first in range(0, len(q), 128):
+        for at in range(0, size, 4096):
+            rows = slice(at, at + 4096) if among is None else among[at : at + 4096]
+            r, c = np.nonzero(q[first : first + 128] @ x[rows].T >= limit)
+            yield first + r, c + at if among is None else rows[c]
+
+
 def products(x: np.ndarray, q: np.ndarray, limit: float, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs of similarity ``limit`` or more by all products with ``x`` (or its rows ``among``), in steps."""
-    out = [np.zeros(0, int)], [np.zeros(0, int)]
-    some = np.arange(len(x)) if among is None else among
-    for at in range(0, len(some), 8192):
-        rows = some[at : at + 8192]
-        r, c = np.nonzero(q @ x[rows].T >= limit)
-        out[0].append(r)
-        out[1].append(rows[c])
-    return np.concatenate(out[0]), np.concatenate(out[1])
+    """(query, node) pairs of similarity ``limit`` or more by all products with ``x`` (or its rows ``among``)."""
+    out = [(np.zeros(0, int), np.zeros(0, int)), *product_pieces(x, q, limit, among)]
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -196,37 +231,74 @@ def planted(unit: np.ndarray, cosine: float) -> np.ndarray:
 def audited(graph: Graph, q: np.ndarray, threshold: float, beam: int, recall: float, ids: np.ndarray | None = None, q_ids: np.ndarray | None = None) -> int:
     """The beam with which ``recall`` of the links of ``q`` are found; 0 where none does. With ids, a node's hit on itself is no link."""
 
-    def key(pairs):
-        r, c = pairs
-        other = np.ones(len(r), bool) if ids is None else q_ids[r] != ids[c]
-        return r[other].astype(np.int64) * len(graph.x) + c[other]
-
-    truth, width = key(products(graph.x, q, threshold)), beam
-    while len(truth):
-        found = np.isin(truth, key(graph.within(q, threshold - 1e-4, width))).mean()
-        if found >= recall:
-            break
-        if width >= len(graph.x):
+    width, n = beam, len(graph.x)
+    while True:
+        have = links = 0
+        fit = graph.fits(width)
+        for at in range(0, len(q), fit):
+            some, truth, found = q[at : at + fit], np.zeros((len(q[at : at + fit]), n), bool), np.zeros((len(q[at : at + fit]), n), bool)
+            for r, c in product_pieces(graph.x, some, threshold):
+                truth[r, c] = True
+            for r, c in graph.pieces(some, threshold - 1e-4, width):
+                found[r, c] = True
+            if ids is not None:
+                truth &= q_ids[at : at + fit, None] != ids
+            links += int(truth.sum())
+            have += int((truth & found).sum())
+        if have >= recall * links:
+            return width
+        if width >= n:
             return 0
-        width = min(4 * width, len(graph.x))
-    return width
+        width = min(4 * width, n)
+
+
+def _graph_rows(graph: Graph, ids, weight, x, width: int, loose):
+    """The graph's rows (shard is added by the caller): nodes with their vectors and lowest neighbours, a range at a time.
+
+    The first has the layers above, by their own nodes, the beam and the nodes beside the graph.
+    """
+    head = ([(nodes, table[nodes]) for nodes, table in graph.layers[:-1]], width, loose)
+    base = graph.layers[-1][1]
+    size = max(1, PIECE_BYTES // (16 + x.itemsize * x.shape[1] + 4 * base.shape[1]))
+    for at in range(0, len(x), size):
+        part = slice(at, at + size)
+        yield pickle.dumps((ids[part], weight[part], x[part], base[part], None if at else head))
+
+
+def _graph_of(parts: list):
+    """(graph, ids, weight, x, beam, nodes beside the graph) of the rows of :func:`_graph_rows`; empties ``parts``."""
+    above, width, loose = parts[0][4]
+    ids, weight, x, base = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    parts.clear()
+    graph = Graph.__new__(Graph)
+    graph.x, graph.layers = np.empty(x.shape, np.float32), []
+    for at in range(0, len(x), 8192):
+        graph.x[at : at + 8192] = _unit(x[at : at + 8192].astype(np.float64))
+    for nodes, near in above:
+        table = np.full((len(x), near.shape[1]), -1, np.int32)
+        table[nodes] = near
+        graph.layers.append((nodes, table))
+    graph.layers.append((np.arange(len(x)), base))
+    return graph, ids, weight, x, width, loose
 
 
 def _build(links: int, beam: int, threshold: float, audit: int, recall: float, tried):
-    """Rows (id, weight, v, shard) sorted by shard: one graph a shard, with its beam and the nodes beside it."""
+    """Rows (id, weight, v, shard) sorted by shard: one graph a shard, with its beam and the nodes beside it, in pieces."""
 
     def graph(shard, parts):
         ids, weight, x = (np.concatenate(c) for c in zip(*(pickle.loads(_packed(p)) for p in parts), strict=True))
+        parts.clear()
         unit = _unit(x.astype(np.float64))
-        g = Graph(unit, links, beam)
         own = np.argsort(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:audit]
         some_ids, some = tried.value.get(x.shape[1], (ids[:0], unit[:0]))
         copies = planted(unit[own], (1 + threshold) / 2)
         q = np.concatenate([some, unit[own], copies]).astype(np.float32)
         q_ids = np.concatenate([some_ids, ids[own], np.full(len(own), -1)])  # the copies link with their originals
-        loose = g.unreached()
-        data = pickle.dumps((ids, weight, x, g.layers, audited(g, q, threshold, beam, recall, ids, q_ids), loose))
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([data], pa.binary())], names=["shard", "data"])
+        unit = unit.astype(np.float32)
+        g = Graph(unit, links, beam)
+        width, loose = audited(g, q, threshold, beam, recall, ids, q_ids), g.unreached()
+        for k, data in enumerate(_graph_rows(g, ids, weight, x, width, loose)):
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["shard", "piece", "data"])
 
     def run(batches):
         now, parts = None, []
@@ -237,12 +309,11 @@ def _build(links: int, beam: int, threshold: float, audit: int, recall: float, t
                 if e == s:
                     continue
                 if now is not None and shards[s] != now:
-                    yield graph(now, parts)
-                    parts = []
+                    yield from graph(now, parts)
                 now = int(shards[s])
                 parts.append(b.slice(s, e - s))
         if parts:
-            yield graph(now, parts)
+            yield from graph(now, parts)
 
     return run
 
@@ -254,51 +325,82 @@ def _query_blocks(size: int):
             for w in np.unique(width):
                 rows = np.flatnonzero(width == w)
                 for at in range(0, len(rows), size):
-                    yield pa.RecordBatch.from_arrays([pa.array([int(w)], pa.int32()), pa.array([_packed(b.take(pa.array(rows[at : at + size])))], pa.binary())], names=["width", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(w)], pa.int32()), pa.array([pickle.dumps(pickle.loads(_packed(b.take(pa.array(rows[at : at + size]))))[::2])], pa.binary())], names=["width", "data"])
 
     return run
 
 
 def _search(threshold: float):
-    """Rows (slot, shard, kind, data) sorted so that a graph comes before its blocks. Out: (0, id, links) and (1, id, id)."""
-
-    def found(graph, width, loose, x, q):
-        unit = _unit(q).astype(np.float32)
-        r, c = graph.within(unit, threshold - 1e-4, width) if width else products(graph.x, unit, threshold - 1e-4)
-        if width and len(loose):
-            more = products(graph.x, unit, threshold - 1e-4, loose)
-            key = np.unique(np.r_[r * len(x) + c, more[0] * len(x) + more[1]])
-            r, c = key // len(x), key % len(x)
-        exact = np.einsum("kd,kd->k", q[r], x[c]) / (np.sqrt((q[r] ** 2).sum(1)) * np.sqrt((x[c] ** 2).sum(1)))
-        ok = exact >= threshold
-        return r[ok], c[ok]
+    """Rows (slot, shard, kind, piece, data) sorted so that a graph comes before its blocks. Out: (0, id, links) and (1, id, id)."""
+
+    def size(x):
+        """Lengths of the rows; the rows as doubles are made in steps."""
+        step = max(1, PAIR_BYTES // (8 * x.shape[1]))
+        return np.concatenate([np.sqrt((x[at : at + step].astype(np.float64) ** 2).sum(1)) for at in range(0, len(x), step)])
+
+    def near(graph, width, loose, unit):
+        """Pieces of pairs, each pair once."""
+        limit = threshold - 1e-4
+        if not width:
+            yield from product_pieces(graph.x, unit, limit)
+            return
+        beside = np.zeros(len(graph.x), bool)
+        beside[loose] = True
+        for r, c in graph.pieces(unit, limit, width, len(graph.x) // 8):
+            yield r[~beside[c]], c[~beside[c]]
+        if len(loose):
+            yield from product_pieces(graph.x, unit, limit, loose)
+
+    def verified(pairs, x, lengths, q, q_lengths):
+        step = max(1, PAIR_BYTES // (8 * x.shape[1]))
+        for all_r, all_c in pairs:
+            for at in range(0, len(all_r), step):
+                r, c = all_r[at : at + step], all_c[at : at + step]
+                ok = np.einsum("kd,kd->k", q[r], x[c].astype(np.float64)) / (q_lengths[r] * lengths[c]) >= threshold
+                yield r[ok], c[ok]
+
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def forest(ties):
+        """Ids that are tied, each but the smallest with the smallest."""
+        a, b = (np.concatenate(c) for c in zip(*ties, strict=True))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_components(at[: len(a)], at[len(a) :], len(ids))
+        more = np.flatnonzero(root != np.arange(len(ids)))
+        return ids[more], ids[root[more]]
 
     def run(batches):
-        graph, at = None, None
+        parts, at, graph = [], None, None
         for b in batches:
-            for shard, kind, data in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for k in range(b.num_rows):
+                shard, kind, data = b.column(1)[k].as_py(), b.column(2)[k].as_py(), pickle.loads(b.column(4)[k].as_buffer())
                 if kind == 0:
                     if at != shard:
-                        at = shard
-                        ids, weight, x, layers, width, loose = pickle.loads(data)
-                        x = x.astype(np.float64)
-                        graph = Graph.__new__(Graph)
-                        graph.x, graph.layers = np.ascontiguousarray(_unit(x), np.float32), layers
+                        parts, at, graph = [], shard, None
+                    parts.append(data)
                     continue
                 if at != shard:  # no vector of this length is in the shard
                     continue
-                q_ids, _, q = pickle.loads(data)
-                r, c = found(graph, width, loose, x, q.astype(np.float64))
-                other = q_ids[r] != ids[c]
-                r, c = r[other], c[other]
-                n = np.bincount(r, weights=weight[c], minlength=len(q)).astype(np.int64)
+                if graph is None:
+                    graph, ids, weight, x, width, loose = _graph_of(parts)
+                    lengths = size(x)
+                q_ids, q = data[0], data[1].astype(np.float64)
+                n, ties, held, most = np.zeros(len(q), np.int64), [none], 0, MOST_TIES
+                for r, c in verified(near(graph, width, loose, _unit(q).astype(np.float32)), x, lengths, q, size(q)):
+                    other = q_ids[r] != ids[c]
+                    r, c = r[other], c[other]
+                    if len(r):
+                        n += np.bincount(r, weights=weight[c], minlength=len(q)).astype(np.int64)
+                        ties.append(forest([(q_ids[r], ids[c])]))
+                        held += len(ties[-1][0])
+                        if held > most:
+                            ties = [forest(ties)]
+                            held = len(ties[0][0])
+                            most = MOST_TIES + 2 * held
+                ends = forest(ties)
                 some = n > 0
-                forest = Forest()
-                for left, right in zip(q_ids[r].tolist(), ids[c].tolist(), strict=True):
-                    forest.join(left, right)
-                ends = [(k, root) for k in forest.up if (root := forest.root(k)) != k]
-                kinds = np.r_[np.zeros(some.sum(), np.int32), np.ones(len(ends), np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.r_[q_ids[some], np.array([e[0] for e in ends], np.int64)]), pa.array(np.r_[n[some], np.array([e[1] for e in ends], np.int64)])], names=["kind", "a", "b"])
+                kinds = np.r_[np.zeros(some.sum(), np.int32), np.ones(len(ends[0]), np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.r_[q_ids[some], ends[0]]), pa.array(np.r_[n[some], ends[1]])], names=["kind", "a", "b"])
 
     return run
 
@@ -322,15 +424,17 @@ def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector
         tried.setdefault(len(r.v), []).append(r)
     tried = spark.sparkContext.broadcast({w: (np.array([r.id for r in of], np.int64), _unit(np.array([r.v for r in of], np.float64))) for w, of in tried.items()})
     width = F.size("v").cast("long")
-    dealt = nodes.withColumn("shard", width * 1_000_000 + F.pmod(F.xxhash64("id"), F.lit(shards)))
-    graphs = stored(dealt.repartition(parallelism(spark), "shard").sortWithinPartitions("shard").mapInArrow(released(_build(links, beam, threshold, audit, recall, tried)), "shard long, data binary"), "graphs")
-    chunks = max(2, 2 * parallelism(spark) // shards, -(-total // streamed))
-    slot = F.xxhash64("shard", "chunk")
+    place = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    dealt = nodes.withColumn("shard", width * 1_000_000 + place).repartitionById(shards, place).sortWithinPartitions("shard")  # a task a shard
+    graphs = stored(dealt.mapInArrow(released(_build(links, beam, threshold, audit, recall, tried)), "shard long, piece int, data binary"), "graphs")
+    # A graph has some two times its vectors' bytes: with no more copies of it than shards, copies are not much more than blocks.
+    chunks = max(2, min(2 * parallelism(spark) // shards, shards), -(-total // streamed))
     blocks = nodes.mapInArrow(_query_blocks(block), "width int, data binary")
     blocks = blocks.withColumn("chunk", F.pmod(F.xxhash64("data"), F.lit(chunks))).withColumn("one", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    blocks = blocks.withColumn("shard", F.col("width").cast("long") * 1_000_000 + F.col("one")).select(slot.alias("slot"), "shard", F.lit(1).alias("kind"), "data")
-    copies = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))).select(slot.alias("slot"), "shard", F.lit(0).alias("kind"), "data")
-    ready = copies.union(blocks).repartition(max(2 * shards * chunks, parallelism(spark)), "slot").sortWithinPartitions("slot", "shard", "kind")
+    blocks = blocks.select((F.col("one") * chunks + F.col("chunk")).cast("int").alias("slot"), (F.col("width").cast("long") * 1_000_000 + F.col("one")).alias("shard"), F.lit(1).alias("kind"), F.lit(0).alias("piece"), "data")
+    copies = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    copies = copies.select((F.col("shard") % 1_000_000 * chunks + F.col("chunk")).cast("int").alias("slot"), "shard", F.lit(0).alias("kind"), "piece", "data")
+    ready = copies.union(blocks).repartitionById(shards * chunks, F.col("slot")).sortWithinPartitions("slot", "shard", "kind", "piece")
     hits = stored(ready.mapInArrow(released(_search(threshold)), "kind int, a long, b long"), "hits")
     counts = hits.filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     members = connected_components(hits.filter("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
