@@ -1,5 +1,6 @@
 """Operators over embeddings against brute force."""
 
+import pickle
 import tracemalloc
 from types import SimpleNamespace
 
@@ -197,6 +198,27 @@ def test_audit_of_wide_beams_is_bounded():
     assert width == 48 and most < 80, most
 
 
+def test_nodes_beside_the_graph_need_no_wider_beam(monkeypatch):
+    """A link to a node without a path is found beside the graph; it does not send the audit through all beams, nor the shard to products."""
+
+    class Cut(hnsw_dedup.Graph):
+        def __init__(self, *how):
+            super().__init__(*how)
+            for _, table in self.layers:
+                table[table == 150] = -1
+
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((400, 16))
+    monkeypatch.setattr(hnsw_dedup, "Graph", Cut)
+    tried = []
+    monkeypatch.setattr(Cut, "beam", lambda self, q, table, start, width, *step: (tried.append(width), hnsw_dedup.Graph.__base__.beam(self, q, table, start, width, *step))[1])
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(400)), pa.array(np.ones(400, int)), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(np.full(400, 16_000_000))], names=["id", "weight", "v", "shard"])
+    out = list(hnsw_dedup._build(12, 48, 0.95, 400, 1.0, SimpleNamespace(value={}))(iter([rows])))
+    assert max(tried) < 400
+    _, width, loose = pickle.loads(out[0].column(2)[0].as_py())[4]
+    assert width >= 48 and 150 in loose
+
+
 def test_search_of_one_large_group_is_bounded(monkeypatch):
     """A graph travels in rows of bounded size; a block that links with all of it is verified and counted in pieces."""
     monkeypatch.setattr(hnsw_dedup, "PIECE_BYTES", 100_000)

@@ -228,8 +228,11 @@ def planted(unit: np.ndarray, cosine: float) -> np.ndarray:
     return _unit(unit * cosine + away * (1 - cosine**2) ** 0.5)
 
 
-def audited(graph: Graph, q: np.ndarray, threshold: float, beam: int, recall: float, ids: np.ndarray | None = None, q_ids: np.ndarray | None = None) -> int:
-    """The beam with which ``recall`` of the links of ``q`` are found; 0 where none does. With ids, a node's hit on itself is no link."""
+def audited(graph: Graph, q: np.ndarray, threshold: float, beam: int, recall: float, ids: np.ndarray | None = None, q_ids: np.ndarray | None = None, loose: np.ndarray | None = None) -> int:
+    """The beam with which ``recall`` of the links of ``q`` are found; 0 where none does. With ids, a node's hit on itself is no link.
+
+    Nodes that are ``loose`` count as found: a search compares them with every query, and no beam, however wide, reaches them.
+    """
 
     width, n = beam, len(graph.x)
     while True:
@@ -241,6 +244,8 @@ def audited(graph: Graph, q: np.ndarray, threshold: float, beam: int, recall: fl
                 truth[r, c] = True
             for r, c in graph.pieces(some, threshold - 1e-4, width):
                 found[r, c] = True
+            if loose is not None:
+                found[:, loose] = True
             if ids is not None:
                 truth &= q_ids[at : at + fit, None] != ids
             links += int(truth.sum())
@@ -296,7 +301,8 @@ def _build(links: int, beam: int, threshold: float, audit: int, recall: float, t
         q_ids = np.concatenate([some_ids, ids[own], np.full(len(own), -1)])  # the copies link with their originals
         unit = unit.astype(np.float32)
         g = Graph(unit, links, beam)
-        width, loose = audited(g, q, threshold, beam, recall, ids, q_ids), g.unreached()
+        loose = g.unreached()
+        width = audited(g, q, threshold, beam, recall, ids, q_ids, loose)
         for k, data in enumerate(_graph_rows(g, ids, weight, x, width, loose)):
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["shard", "piece", "data"])
 
@@ -425,7 +431,7 @@ def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector
     tried = spark.sparkContext.broadcast({w: (np.array([r.id for r in of], np.int64), _unit(np.array([r.v for r in of], np.float64))) for w, of in tried.items()})
     width = F.size("v").cast("long")
     place = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    dealt = nodes.withColumn("shard", width * 1_000_000 + place).repartitionById(shards, place).sortWithinPartitions("shard")  # a task a shard
+    dealt = nodes.withColumn("shard", width * 1_000_000 + place).repartitionById(shards, place).sortWithinPartitions("shard", "id")  # a task a shard, in an order that no shuffle changes
     graphs = stored(dealt.mapInArrow(released(_build(links, beam, threshold, audit, recall, tried)), "shard long, piece int, data binary"), "graphs")
     # A graph has some two times its vectors' bytes: with no more copies of it than shards, copies are not much more than blocks.
     chunks = max(2, min(2 * parallelism(spark) // shards, shards), -(-total // streamed))
